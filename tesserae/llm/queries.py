@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, langid, mainhtml, maxscore, packing, quality, warc
+from tesserae.llm import bpe, langid, mainhtml, maxscore, packing, quality, simhash, warc
 from tesserae.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,14 @@ s AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
 """
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = simhash.compare_edited(table(spark, sf_dir, "documents"))
+    counted = simhash.near_counts(compared, F.col("doc_id") % 20 == 0)
+    return counted.select(
+        "doc_id", "n_chars", "edited_sha256",
+        simhash.hexadecimal(F.col("hi"), F.col("lo")).alias("fingerprint"), simhash.hexadecimal(F.col("edited_hi"), F.col("edited_lo")).alias("edited_fingerprint"),
+        "near_edited", "near_next", "n_near",
+    )
