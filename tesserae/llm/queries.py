@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, langid, mainhtml, maxscore, packing, quality, simhash, warc
+from tesserae.llm import bpe, jaccard, langid, mainhtml, maxscore, packing, quality, simhash, warc
 from tesserae.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.hexadecimal(F.col("hi"), F.col("lo")).alias("fingerprint"), simhash.hexadecimal(F.col("edited_hi"), F.col("edited_lo")).alias("edited_fingerprint"),
         "near_edited", "near_next", "n_near",
     )
+
+
+@query
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_jaccard_components"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents),
+s AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 3 THEN [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g
+    FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * both >= 90 * (x.n + y.n - both)),
+r AS (SELECT doc_id, doc_id AS reach FROM w UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.reach)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
