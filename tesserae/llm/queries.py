@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, jaccard, langid, mainhtml, maxscore, packing, quality, simhash, warc
+from tesserae.llm import bpe, jaccard, langid, mainhtml, maxscore, packing, quality, simhash, substring, warc
 from tesserae.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,21 @@ r AS (SELECT doc_id, doc_id AS reach FROM w UNION SELECT r.doc_id, l.v FROM r JO
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "_kept.n_words", "_kept.n_removed", F.sha2(F.col("_kept.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op7_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+g AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 12], ' ')) AS h FROM s),
+m AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN m USING (h) WHERE first < doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(ws) AS n, [ws[i] FOR i IN range(1, len(ws) + 1) IF NOT list_contains(coalesce(gone, []), i)] AS kept FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
