@@ -304,3 +304,10 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(F.struct("a", "b").alias("set"), "copies", F.coalesce("root", "rep").alias("component_id"))
     answered = lookup_join(signed.withColumn("set", F.when(F.col("n") > 0, F.struct("a", "b"))), known, "set", "copies", spread=F.xxhash64("key", "a"))
     return answered.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` whose key is the smallest of its component. Only the keys to drop are joined with the rows."""
+    found = jaccard_components(documents, key, text, words, percent)
+    gone = stored(found.filter(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
+    return documents.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, key, "left_anti")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNDETERMINED = "und"
 FEATURES = 1 << 14
@@ -154,16 +155,18 @@ def train(documents: DataFrame, per_language: int = 600, languages: int = 256, k
     return fit([t for t, _ in kept], [l for _, l in kept])
 
 
-def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` (the calibrated probability of that language), for every row; no exchange."""
+def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """``key``, ``lang_pred`` and ``score`` (the calibrated probability of that language), for every row; no exchange. With
+    ``carry`` all columns of ``documents`` come along (those named ``lang_pred`` or ``score`` are replaced)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kind = documents.schema[key].dataType.simpleString()
+    kept = documents.drop("lang_pred", "score") if carry else documents.select(key)
+    rows = documents.select(*kept.columns, F.col(text).cast("string").alias("_read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             best, sure, i = np.full(len(texts), len(m.languages)), np.zeros(len(texts)), 0
             while i < len(texts):
                 j, chars = i, 0
@@ -176,6 +179,6 @@ def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", tex
                     best[i:j] = np.where(letters, p.argmax(axis=1), len(m.languages))
                     sure[i:j] = np.where(letters, p.max(axis=1), 0.0)
                 i = j
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(sure)], names=["key", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(sure)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BLOCK = 1024
 LEVEL = 3
@@ -139,17 +140,20 @@ def train(
     return CompressionModel(built[1], built[0], tuple(map(float, centre)), tuple(map(float, scale)), tuple(map(float, beta)), block, level)
 
 
-def score(documents: DataFrame, model: CompressionModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``score``: the calibrated probability of the good label, for every row. No exchange: one pass over the texts."""
+def score(documents: DataFrame, model: CompressionModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """``key`` and ``score``: the calibrated probability of the good label, for every row. With ``carry`` all columns of
+    ``documents`` come along (one named ``score`` is replaced). No exchange: one pass over the texts."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kind = documents.schema[key].dataType.simpleString()
+    kept = documents.drop("score") if carry else documents.select(key)
+    rows = documents.select(*kept.columns, F.col(text).cast("string").alias("_scored"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         read = _Reader(m.good, m.bad, m.block, m.level)
         for batch in batches:
-            x = _expand(np.array([read(t.as_py()) for t in batch.column(1)]).reshape(-1, 4))
+            *own, texts = batch.columns
+            x = _expand(np.array([read(t.as_py()) for t in texts]).reshape(-1, 4))
             z = ((x - np.array(m.centre)) / np.array(m.scale)) @ np.array(m.weights[:-1]) + m.weights[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names[:-1], "score"])
 
-    return documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
