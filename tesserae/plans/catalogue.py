@@ -1,11 +1,570 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries over the driver's tables, and DuckDB SQL for them.
+
+The tables have no Markdown or PDF structure of their own, so the lines of ``documents`` stand for a document's blocks, the
+tags of ``pages`` for headings and list items, turns of ``conversations`` for pages, and ``labels`` for a review's state.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import tables as T
+from tesserae.functions import text as X
+from tesserae.operators import clean, headings, retrieve, review
+from tesserae.operators.chunk import Budget, markdown_chunks, pdf_chunks, word_chunks
+from tesserae.operators.embed import HashEmbedder, embed, unit
+from tesserae.operators.index import index_rows, latest, upserted
+from tesserae.operators.normalize import normalize
+from tesserae.session import table
+from tesserae.sources.files import batch_result, is_done, newest
+from tesserae.sources.items import block_type, page_of
+from tesserae.sources.markdown import attach_captions, line_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "vector_topk"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as paragraph blocks."""
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("block_idx", "content"))
+    return rows.withColumn("block_type", F.lit("paragraph")).withColumns({"page_number": F.lit(None).cast("int"), "heading_level": F.lit(None).cast("int")})
+
+
+LINES = "lines AS (SELECT doc_id AS file_id, unnest(range(0, len(string_split(text, chr(10))))) AS block_idx, string_split(text, chr(10)) AS ls FROM documents), blocks AS (SELECT file_id, block_idx, ls[block_idx + 1] AS content FROM lines)"
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+TOKENS = r"len(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^\s]'))"
+
+
+@query(f"SELECT doc_id, {TOKENS.format('text')}::INTEGER AS token_count FROM documents")
+def token_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.token_count(F.col("text")).alias("token_count"))
+
+
+@query(r"""
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS idx, sentence FROM (
+    SELECT doc_id, i, regexp_replace(s[i], '^\s+|\s+$', '', 'g') AS sentence FROM (
+        SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+            SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;.\n]*[。！？!?；;.\n]|[^。！？!?；;.\n]+$') AS s FROM documents)))
+WHERE sentence <> ''""")
+def sentence_split(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("idx", "sentence"))
+
+
+@query(r"""
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS idx, sentence FROM (
+    SELECT doc_id, i, regexp_replace(s[i], '^\s+|\s+$', '', 'g') AS sentence FROM (
+        SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+            SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([。！？!?；;.])\s+', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1)) AS s FROM documents)))
+WHERE sentence <> ''""")
+def sentence_split_spaced(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.sentences_spaced(F.col("text"))).alias("idx", "sentence"))
+
+
+@query(r"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) > len(regexp_extract_all(text, '[A-Za-z]')) THEN 'zh' ELSE 'en' END AS language FROM documents")
+def detect_language(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.detect_language(F.col("text")).alias("language"))
+
+
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace({0}, chr(160), ' '), chr(8203), ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, sha256({CLEAN.format('html')}) AS sha256, length({CLEAN.format('html')})::INTEGER AS n FROM pages")
+def clean_text(spark, sf_dir):
+    cleaned = X.clean_characters(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", X.content_hash(cleaned).alias("sha256"), F.length(cleaned).alias("n"))
+
+
+@query(r"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?s)<!--.*?-->', '', 'g'), '^\s+|\s+$', '', 'g')) AS sha256
+FROM documents""")
+def clean_markdown_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.content_hash(X.clean_markdown(F.col("text"), F.lit("paragraph"))).alias("sha256"))
+
+
+@query(rf"""
+WITH {LINES}, l AS (SELECT file_id, block_idx, {STRIP.format('content')} AS line FROM blocks WHERE {STRIP.format('content')} <> ''),
+b AS (SELECT *, lag(line) OVER (PARTITION BY file_id ORDER BY block_idx) AS before FROM l),
+p AS (SELECT file_id, block_idx, CASE WHEN before IS NULL THEN line
+    WHEN regexp_matches(before, '[。！？.:：;；)）`]$') OR regexp_matches(line, '^([-*+]|\d+[.)、])\s+') THEN chr(10) || line ELSE line END AS piece FROM b)
+SELECT file_id AS doc_id, sha256(string_agg(piece, '' ORDER BY block_idx)) AS sha256 FROM p GROUP BY file_id""")
+def merge_broken_lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.content_hash(X.merge_broken_lines(F.col("text"))).alias("sha256"))
+
+
+@query(rf"""
+WITH {LINES}, p AS (SELECT file_id, block_idx, CASE block_idx % 4 WHEN 0 THEN block_idx || ' / 10 ' WHEN 1 THEN '第 ' || block_idx || '页' WHEN 2 THEN block_idx || '.1' ELSE content END AS content FROM blocks)
+SELECT file_id, block_idx::INTEGER AS block_idx FROM p WHERE regexp_matches(content, '^\s*(第\s*)?\d+\s*(页|/\s*\d+)?\s*$')""")
+def page_number_lines(spark, sf_dir):
+    n, k = F.col("block_idx").cast("string"), F.col("block_idx") % 4
+    content = F.when(k == 0, F.concat(n, F.lit(" / 10 "))).when(k == 1, F.concat(F.lit("第 "), n, F.lit("页"))).when(k == 2, F.concat(n, F.lit(".1"))).otherwise(F.col("content"))
+    return _lines(spark, sf_dir).withColumn("content", content).filter(X.is_page_number(F.col("content"))).select("file_id", "block_idx")
+
+
+@query(rf"""
+WITH {LINES} SELECT file_id, {STRIP.format('content')} AS noise FROM blocks WHERE length({STRIP.format('content')}) BETWEEN 1 AND 120
+GROUP BY ALL HAVING count(*) >= 3""")
+def repeated_noise(spark, sf_dir):
+    return clean.repeated_noise(_lines(spark, sf_dir))
+
+
+@query(f"""
+WITH {LINES}, b AS (SELECT *, lag(content) OVER (PARTITION BY file_id ORDER BY block_idx) AS before FROM blocks)
+SELECT file_id, block_idx::INTEGER AS block_idx, content FROM b WHERE content IS DISTINCT FROM before""")
+def adjacent_dedup(spark, sf_dir):
+    return clean.drop_adjacent_duplicates(_lines(spark, sf_dir)).select("file_id", "block_idx", "content")
+
+
+@query(rf"""
+WITH {LINES}, c AS (SELECT file_id, block_idx, content AS raw, {CLEAN.format('content')} AS content FROM blocks),
+n AS (SELECT file_id, {STRIP.format('raw')} AS noise FROM c WHERE length({STRIP.format('raw')}) BETWEEN 1 AND 120 GROUP BY ALL HAVING count(*) >= 3),
+k AS (SELECT * FROM c WHERE content <> '' AND NOT regexp_matches(content, '^\s*(第\s*)?\d+\s*(页|/\s*\d+)?\s*$') AND NOT EXISTS (SELECT 1 FROM n WHERE n.file_id = c.file_id AND n.noise = c.content)),
+b AS (SELECT *, lag(content) OVER (PARTITION BY file_id ORDER BY block_idx) AS before FROM k)
+SELECT file_id, block_idx::INTEGER AS block_idx, content FROM b WHERE content IS DISTINCT FROM before""")
+def clean_blocks(spark, sf_dir):
+    return clean.clean_blocks(_lines(spark, sf_dir)).select("file_id", "block_idx", "content")
+
+
+@query(rf"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<\s*/\s*tr\s*>', chr(10), 'g'), '(?i)<\s*/\s*(td|th)\s*>', ' | ', 'g'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text
+FROM pages""")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_flat(F.col("html")).alias("text"))
+
+
+LIST_TABLE = "replace(replace(replace(replace(html, '<ul><li>', '<table><tr><td>'), '</li><li>', '</td> <td>'), '</li></ul>', '</td></tr></table>'), '</p><p>', '</tr> <tr>')"
+
+
+@query(rf"""
+WITH t AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace({LIST_TABLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS h FROM pages),
+r AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<\s*/\s*t[dh]\s*>\s*<\s*t[dh][^>]*>', ' | ', 'g'), '(?i)<\s*/\s*tr\s*>\s*<\s*tr[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM t),
+l AS (SELECT page_id, [regexp_replace(regexp_replace(y, '\s+', ' ', 'g'), '^[ |]+|[ |]+$', '', 'g') FOR y IN string_split(x, chr(10))] AS ls FROM r)
+SELECT page_id, array_to_string([y FOR y IN ls IF y <> ''], chr(10)) AS text FROM l""")
+def html_rows(spark, sf_dir):
+    html = F.col("html")
+    for old, new in (("<ul><li>", "<table><tr><td>"), ("</li><li>", "</td> <td>"), ("</li></ul>", "</td></tr></table>"), ("</p><p>", "</tr> <tr>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return table(spark, sf_dir, "pages").select("page_id", T.html_rows(html).alias("text"))
+
+
+def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as headings of levels 1 to 4, by their length."""
+    return _lines(spark, sf_dir).select("file_id", "block_idx", (F.length("content") % 4 + 1).alias("level"))
+
+
+@query(f"""
+WITH {LINES}, h AS (SELECT file_id, block_idx, length(content) % 4 + 1 AS level, row_number() OVER (PARTITION BY file_id ORDER BY block_idx) AS i FROM blocks)
+SELECT file_id, block_idx::INTEGER AS block_idx, (i + least(0, min(level - i) OVER (PARTITION BY file_id ORDER BY block_idx)))::INTEGER AS depth FROM h""")
+def heading_depth_positional(spark, sf_dir):
+    return headings.positional_depth(_levelled(spark, sf_dir), "file_id", "block_idx", "level").select("file_id", "block_idx", F.col("depth").cast("int").alias("depth"))
+
+
+def _paths(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    entry = F.struct("block_idx", "level", F.col("block_idx").cast("string").alias("title"))
+    grouped = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(entry)).alias("h"))
+    paths = fold(F.transform("h", lambda x: F.struct(x["level"].cast("int").alias("level"), x["title"].alias("title"))))
+    return grouped.select("file_id", F.posexplode(F.arrays_zip("h", paths.alias("p"))).alias("n", "z")).select("file_id", F.col("z.h.block_idx").alias("block_idx"), F.array_join(F.transform("z.p", lambda e: e["title"]), " > ").alias("path"))
+
+
+@query(f"""
+WITH RECURSIVE {LINES}, h AS (SELECT file_id, block_idx, length(content) % 4 + 1 AS level, row_number() OVER (PARTITION BY file_id ORDER BY block_idx) AS i FROM blocks),
+r AS (SELECT file_id, block_idx, i, [block_idx::VARCHAR] AS path FROM h WHERE i = 1
+    UNION ALL SELECT h.file_id, h.block_idx, h.i, list_append(r.path[1:least(h.level - 1, len(r.path))], h.block_idx::VARCHAR) FROM r JOIN h ON h.file_id = r.file_id AND h.i = r.i + 1)
+SELECT file_id, block_idx::INTEGER AS block_idx, array_to_string(path, ' > ') AS path FROM r""")
+def heading_stack_positional(spark, sf_dir):
+    return _paths(_levelled(spark, sf_dir), headings.positional_paths)
+
+
+@query(f"""
+WITH {LINES}, h AS (SELECT file_id, block_idx, length(content) % 4 + 1 AS level FROM blocks),
+p AS (SELECT file_id, block_idx, {', '.join(f"max(CASE WHEN level = {v} THEN block_idx END) OVER w AS p{v}" for v in (1, 2, 3, 4))} FROM h WINDOW w AS (PARTITION BY file_id ORDER BY block_idx)),
+q AS (SELECT file_id, block_idx, p1, CASE WHEN p2 > coalesce(p1, -1) THEN p2 END AS p2, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN p3 END AS p3,
+    CASE WHEN p4 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) THEN p4 END AS p4 FROM p)
+SELECT file_id, block_idx::INTEGER AS block_idx, concat_ws(' > ', p1, p2, p3, p4) AS path FROM q""")
+def heading_stack_levelled(spark, sf_dir):
+    return _paths(_levelled(spark, sf_dir), headings.levelled_paths)
+
+
+@query(rf"""
+WITH {LINES}, h AS (SELECT file_id, block_idx, regexp_extract(CASE WHEN block_idx % 2 = 0 THEN 'A' || block_idx || '.' || length(content) || ' ' || content ELSE content END, '^[Aa]?(\d+(?:\.\d+)*)', 1) AS n FROM blocks)
+SELECT file_id, block_idx::INTEGER AS block_idx, least(len(string_split(n, '.')) + 1, 6)::INTEGER AS level FROM h WHERE n <> ''""")
+def numbered_heading_level(spark, sf_dir):
+    content = F.when(F.col("block_idx") % 2 == 0, F.concat(F.lit("A"), F.col("block_idx").cast("string"), F.lit("."), F.length("content").cast("string"), F.lit(" "), "content")).otherwise(F.col("content"))
+    return _lines(spark, sf_dir).select("file_id", "block_idx", headings.marker_level(content).cast("int").alias("level")).filter("level is not null")
+
+
+@query(f"""
+WITH {LINES}, e AS (SELECT *, CASE WHEN length(content) % 3 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM blocks WHERE {CLEAN.format('content')} <> ''),
+s AS (SELECT *, CASE WHEN kind = 'paragraph' AND lag(kind) OVER (PARTITION BY file_id ORDER BY block_idx) = 'paragraph' THEN 0 ELSE 1 END AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY block_idx) AS run FROM s)
+SELECT file_id, min(block_idx)::INTEGER AS element_idx, min(kind) AS element_type, sha256(string_agg({CLEAN.format('content')}, chr(10) ORDER BY block_idx)) AS sha256 FROM r GROUP BY file_id, run""")
+def word_paragraph_islands(spark, sf_dir):
+    kind = F.when(F.length("content") % 3 == 0, "table").when(F.length("content") % 3 == 1, "list").otherwise("paragraph")
+    rows = _lines(spark, sf_dir).select("file_id", F.col("block_idx").alias("element_idx"), kind.alias("element_type"), "content")
+    return clean.clean_word(rows).select("file_id", "element_idx", "element_type", X.content_hash(F.col("content")).alias("sha256"))
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as Markdown elements: one in three is code; the heading path changes every fourth line."""
+    kind = F.when(F.length("content") % 3 == 0, "code").otherwise("paragraph")
+    part = F.floor(F.col("block_idx") / 4).cast("string")
+    rows = _lines(spark, sf_dir).select("file_id", F.col("block_idx").alias("element_idx"), kind.alias("element_type"), F.trim("content").alias("content"), F.array(part).alias("heading_path"))
+    return rows.withColumns({"heading_levels": F.array(F.lit(1)), "line_start": F.col("element_idx") + 1, "line_end": F.col("element_idx") + 1}).filter("content <> ''")
+
+
+@query(r"""
+WITH """ + LINES + r""", e AS (SELECT file_id, block_idx, trim(content) AS content, CASE WHEN length(content) % 3 = 0 THEN 'code' ELSE 'paragraph' END AS kind, block_idx // 4 AS part FROM blocks WHERE trim(content) <> ''),
+s AS (SELECT *, CASE WHEN kind = 'paragraph' AND lag(kind) OVER w = 'paragraph' AND lag(part) OVER w = part THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY file_id ORDER BY block_idx)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY block_idx) AS run FROM s)
+SELECT file_id, min(block_idx)::INTEGER AS element_idx, min(kind) AS element_type, (max(block_idx) + 1)::INTEGER AS line_end,
+    sha256(string_agg(CASE WHEN kind = 'code' THEN regexp_replace(content, '^\s+|\s+$', '', 'g') ELSE regexp_replace(regexp_replace(content, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') END, chr(10) || chr(10) ORDER BY block_idx)) AS sha256
+FROM r GROUP BY file_id, run""")
+def markdown_paragraph_islands(spark, sf_dir):
+    return clean.clean_markdown_elements(_elements(spark, sf_dir)).select("file_id", "element_idx", "element_type", "line_end", X.content_hash(F.col("content")).alias("sha256"))
+
+
+def _pack_sql(target: int, most: int, overlap: int) -> str:
+    """Greedy packing of sentences in SQL: a recursion over a document's units, one step each."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, {TOKENS.format('text')} AS t FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+u AS (SELECT doc_id, CASE WHEN t <= {target} THEN [text] ELSE [x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN regexp_extract_all(text, '[^。！？!?；;.\n]*[。！？!?；;.\n]|[^。！？!?；;.\n]+$')] IF x <> ''] END AS us FROM d),
+n AS (SELECT doc_id, us, [{TOKENS.format('x')} FOR x IN us] AS ts FROM u),
+r AS (
+    SELECT doc_id, us, ts, 1 AS k, 1 AS lo, 0 AS hi, 0::BIGINT AS t, NULL::INTEGER AS clo, NULL::INTEGER AS chi FROM n
+    UNION ALL
+    SELECT doc_id, us, ts, k + 1, nlo, k, list_sum(ts[nlo:k]), CASE WHEN full_ THEN lo END, CASE WHEN full_ THEN hi END
+    FROM (
+        SELECT *, CASE WHEN full_ THEN hi - (len(list_filter(range(1, hi - lo + 2), lambda j: j = 1 OR list_sum(ts[hi - j + 1:hi]) <= {overlap})) - 1) ELSE lo END AS nlo
+        FROM (SELECT *, hi >= lo AND t + ts[k] > {most} AS full_ FROM r WHERE k <= len(us)))),
+c AS (SELECT doc_id, us, k, clo AS a, chi AS b FROM r WHERE clo IS NOT NULL UNION ALL SELECT doc_id, us, k + 1, lo, hi FROM r WHERE k = len(us) + 1 AND hi >= lo)
+SELECT doc_id AS file_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS chunk_index, sha256(array_to_string(us[a:b], chr(10))) AS content_hash FROM c"""
+
+
+@query(_pack_sql(650, 800, 100))
+def greedy_chunks(spark, sf_dir):
+    """Each text as one paragraph, under the default budget."""
+    rows = _docs(spark, sf_dir)
+    blocks = rows.select(F.col("doc_id").alias("file_id"), F.lit(0).alias("block_idx"), F.lit("paragraph").alias("block_type"), X.strip(F.col("text")).alias("content"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("int").alias("heading_level")).filter("content <> ''")
+    return pdf_chunks(blocks, Budget()).select("file_id", "chunk_index", "content_hash")
+
+
+@query(rf"""
+WITH {LINES}, t AS (SELECT file_id, block_idx, CASE block_idx % 4 WHEN 0 THEN 'Table ' || block_idx || ': ' || content WHEN 1 THEN '(a) ' || content WHEN 2 THEN '附表' || block_idx || '：' || content ELSE content END AS line FROM blocks)
+SELECT file_id, block_idx::INTEGER AS block_idx FROM t WHERE length({STRIP.format('line')}) BETWEEN 1 AND 220 AND length(line) - length(replace(line, '|', '')) < 2
+    AND (regexp_matches({STRIP.format('line')}, '(?i)^(table|tab\.?|tbl\.?)\s*[\pL\pN_.-]+[\s:：.-]+.+') OR regexp_matches({STRIP.format('line')}, '^[表附]表?\s*[\pL\pN_.-]+[\s:：、.-]+.+') OR regexp_matches({STRIP.format('line')}, '^\([a-zA-Z0-9]+\)\s+\S+'))""")
+def caption_lines(spark, sf_dir):
+    n, k = F.col("block_idx").cast("string"), F.col("block_idx") % 4
+    line = F.when(k == 0, F.concat(F.lit("Table "), n, F.lit(": "), "content")).when(k == 1, F.concat(F.lit("(a) "), "content")).when(k == 2, F.concat(F.lit("附表"), n, F.lit("："), "content")).otherwise(F.col("content"))
+    return _lines(spark, sf_dir).filter(T.is_caption(line)).select("file_id", "block_idx")
+
+
+def _table_rows() -> Column:
+    """A small table of a customer's fields."""
+    text = lambda *names: F.array(*(F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names))
+    return F.array(F.array(F.lit("name"), F.lit("segment"), F.lit("nation")), text("c_name", "c_mktsegment", "c_nationkey"), text("c_mktsegment", "c_name", "c_nationkey"))
+
+
+@query("""
+SELECT c_custkey, '表格第1行记录: name为' || c_name || '，segment为' || c_mktsegment || '，nation为' || c_nationkey || '。' || chr(10) || '表格第2行记录: name为' || c_mktsegment || '，segment为' || c_name || '，nation为' || c_nationkey || '。' AS records,
+    'name | segment | nation' || chr(10) || c_name || ' | ' || c_mktsegment || ' | ' || c_nationkey || chr(10) || c_mktsegment || ' | ' || c_name || ' | ' || c_nationkey AS lines,
+    '| name | segment | nation |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' | ' || c_nationkey || ' |' || chr(10) || '| ' || c_mktsegment || ' | ' || c_name || ' | ' || c_nationkey || ' |' AS markdown,
+    'name' || c_name || '的segment是' || c_mktsegment || '。' AS sentence
+FROM customer""")
+def table_texts(spark, sf_dir):
+    two = F.array(F.array(F.lit("name"), F.lit("segment")), F.array("c_name", "c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.rows_as_records(_table_rows()).alias("records"), T.rows_as_lines(_table_rows()).alias("lines"), T.markdown_table(_table_rows()).alias("markdown"), T.word_table_sentences(two).alias("sentence"))
+
+
+@query("""
+SELECT doc_id, text_hash, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS chunk_id
+FROM (SELECT doc_id, sha256(text) AS text_hash, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id || ':0:' || sha256(text))) AS h FROM documents)""")
+def chunk_ids(spark, sf_dir):
+    digest = X.content_hash(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", digest.alias("text_hash"), X.chunk_id(F.col("doc_id").cast("string"), F.lit(0), digest).alias("chunk_id"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN name NOT IN ('', '.', '..') THEN name END AS name, CASE WHEN length(flat) > 220 THEN left(flat, 220) || '...' ELSE flat END AS preview
+FROM (SELECT page_id, regexp_replace(regexp_replace(list_last(string_split(replace(url, '\', '/'), '/')), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^\s+|\s+$', '', 'g') AS name, regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS flat FROM pages)""")
+def file_names_and_previews(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.safe_file_name(F.col("url")).alias("name"), X.preview(F.col("html")).alias("preview"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, least(1, greatest(0, least(a, c))) AS x0, least(1, greatest(0, least(b, d))) AS y0, least(1, greatest(0, greatest(a, c))) AS x1, least(1, greatest(0, greatest(b, d))) AS y1
+FROM (SELECT l_orderkey, l_linenumber, l_quantity * 30 / 1000.0 AS a, l_discount / 1000.0 AS b, l_quantity / 1000.0 AS c, l_extendedprice / 1000.0 AS d FROM lineitem)""")
+def unit_boxes(spark, sf_dir):
+    box = T.unit_box(F.array(F.col("l_quantity") * 30, F.col("l_discount"), F.col("l_quantity"), F.col("l_extendedprice")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query("""
+SELECT event_id, CASE WHEN v IS NULL OR v <= 0 THEN 5 ELSE least(v, 20) END AS k FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 31 - 5)::INTEGER END AS v FROM events)""")
+def top_k_normalise(spark, sf_dir):
+    asked = F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 31 - 5).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", retrieve.top_k_column(asked).alias("k"))
+
+
+@query("""
+SELECT event_id, CASE WHEN pn > 0 THEN pn WHEN p > 0 THEN p ELSE pi END + CASE WHEN pi IS NOT NULL THEN 1 ELSE 0 END AS page
+FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id % 7 END AS pn, CASE WHEN event_id % 3 = 0 THEN event_id % 5 END AS p, CASE WHEN event_id % 5 < 3 THEN event_id % 4 END AS pi FROM events)""")
+def page_numbers(spark, sf_dir):
+    e = F.col("event_id")
+    page = page_of(F.when(e % 2 == 0, (e % 7).cast("string")), F.when(e % 3 == 0, (e % 5).cast("string")), F.when(e % 5 < 3, (e % 4).cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", page.cast("long").alias("page"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN source = 'src1' THEN 'title' WHEN n_chars % 5 = 0 OR source = 'src2' THEN 'heading' WHEN source = 'src3' OR starts_with(text, '|') THEN 'table' WHEN source = 'src4' THEN 'image'
+    WHEN regexp_matches(text, '^\s*([-*+]|\d+[.)、])\s+') THEN 'list' ELSE 'paragraph' END AS block_type FROM documents""")
+def block_types(spark, sf_dir):
+    kind = F.when(F.col("source") == "src1", "title").when(F.col("source") == "src2", "header").when(F.col("source") == "src3", "table").when(F.col("source") == "src4", "figure").otherwise("text")
+    return _docs(spark, sf_dir).select("doc_id", block_type(kind, F.when(F.col("n_chars") % 5 == 0, 1), F.col("text")).alias("block_type"))
+
+
+def _raw_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk per document with a parser's metadata from its labels and columns."""
+    docs, labels = _docs(spark, sf_dir), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    meta = F.struct(
+        F.col("doc_id").cast("string").alias("file_id"), F.when(F.col("quality") == 1, F.col("source")).alias("file_name"), F.col("lang").alias("language"), F.col("source").alias("chapter"),
+        F.when(F.col("toxic") == 1, F.lit("")).alias("section"), F.concat_ws(" > ", "source", "lang").alias("heading_path"), (F.col("doc_id") % 9).cast("int").alias("page_number"), F.col("quality").alias("line_start"), F.col("toxic").alias("line_end"), F.lit("text,list").alias("block_type"),
+    )
+    return docs.join(labels, "doc_id", "left").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("int").alias("chunk_index"), "text", X.token_count(F.col("text")).alias("token_count"), X.content_hash(F.col("text")).alias("content_hash"), meta.alias("metadata"))
+
+
+CHUNKS = f"""
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT d.*, quality, toxic, {TOKENS.format('text')}::INTEGER AS token_count, sha256(text) AS content_hash FROM documents d LEFT JOIN l USING (doc_id))"""
+
+
+@query(f"""
+WITH {CHUNKS}
+SELECT doc_id::VARCHAR AS chunk_id, doc_id::INTEGER AS chunk_index, token_count, content_hash, doc_id::VARCHAR AS file_id, CASE WHEN quality = 1 THEN source ELSE '' END AS file_name, 'pdf' AS file_type,
+    source || ' > ' || lang AS heading_path, source AS chapter, '' AS section, (doc_id % 9)::INTEGER AS page_number, 1 AS n_pages, concat_ws(',', quality, toxic) AS line_range, 'text,list' AS types, lang AS language FROM c""")
+def unified_chunk(spark, sf_dir):
+    m = lambda p: F.col(f"metadata.{p}")
+    u = normalize(_raw_chunks(spark, sf_dir), "pdf")
+    return u.select("chunk_id", "chunk_index", "token_count", "content_hash", m("document.file_id"), m("document.file_name"), m("document.file_type"), F.array_join(m("structure.heading_path"), "/").alias("heading_path"), m("structure.chapter"), m("structure.section"), F.get(m("source.page_numbers"), F.lit(0)).alias("page_number"), F.size(m("source.page_numbers")).alias("n_pages"), F.array_join(m("source.line_range").cast("array<string>"), ",").alias("line_range"), F.array_join(m("content.types"), "/").alias("types"), m("processing.language"))
+
+
+@query(f"""
+WITH {CHUNKS}
+SELECT doc_id::VARCHAR AS id, text, CASE WHEN quality = 1 THEN source ELSE '' END AS file_name, source || ' > ' || lang AS heading_path, content_hash, token_count, (doc_id % 9)::INTEGER AS page_number, (doc_id % 9)::VARCHAR AS page_numbers,
+    coalesce(quality, toxic)::INTEGER AS line_start, coalesce(toxic, quality)::INTEGER AS line_end, lang AS json_language FROM c""")
+def index_row(spark, sf_dir):
+    rows = index_rows(normalize(_raw_chunks(spark, sf_dir), "pdf").withColumn("vector", F.array(F.lit(1.0).cast("float"))))
+    return rows.select("id", "text", "file_name", "heading_path", "content_hash", "token_count", "page_number", "page_numbers", "line_start", "line_end", F.get_json_object("metadata_json", "$.processing.language").alias("json_language"))
+
+
+@query("""
+WITH n AS (SELECT doc_id AS id, text || '!' AS text FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 10 = 0)
+SELECT id, sha256(text) AS sha256 FROM n UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE doc_id NOT IN (SELECT id FROM n)""")
+def upsert_latest(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    changed = docs.filter("id % 3 = 0").select("id", F.concat("text", F.lit("!")).alias("text"), F.lit(2).alias("n")).unionByName(docs.filter("id % 3 = 0").withColumn("n", F.lit(1))).unionByName(docs.filter("id % 10 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "text", F.lit(1).alias("n")))
+    return upserted(docs, latest(changed, "id", F.col("n")).drop("n")).select("id", X.content_hash(F.col("text")).alias("sha256"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with the text and fields of the document of the same number."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("file_name"), F.lit("txt").alias("file_type"), F.col("lang").alias("chapter"), F.lit("").alias("section"), (F.col("doc_id") % 3).cast("int").alias("page_number"), F.col("doc_id").cast("int").alias("chunk_index"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(docs, "id")
+
+
+def _first_vector(spark: SparkSession, sf_dir: str, n: int = 0) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == n).first()["embedding"])
+
+
+def _top_sql(k: int, least: float) -> str:
+    return f"""
+q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+t AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT {k}),
+r AS (SELECT row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank, * FROM t WHERE score >= {least}),
+h AS (SELECT r.*, d.text, d.source AS file_name, d.lang AS chapter, (d.doc_id % 3)::INTEGER AS page FROM r JOIN documents d ON d.doc_id = r.id)"""
+
+
+@query(f"WITH {_top_sql(5, 0.0)} SELECT id, round(score, 6) AS score, file_name, 'txt' AS file_type, chapter, '' AS section, id::INTEGER AS chunk_index, page::VARCHAR AS pages FROM h")
+def vector_topk(spark, sf_dir):
+    hits = retrieve.result_metadata(retrieve.search(_index(spark, sf_dir), _first_vector(spark, sf_dir)))
+    return hits.select("id", F.round("score", 6).alias("score"), "metadata.file_name", "metadata.file_type", "metadata.chapter", "metadata.section", "metadata.chunk_index", F.array_join("metadata.page_numbers", ",").alias("pages"))
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= 5 AND score >= 0.3""")
+def vector_topk_batch(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return retrieve.search_many(vectors, asked, 5, 0.3).withColumn("score", F.round("score", 6))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieve.search(_index(spark, sf_dir), _first_vector(spark, sf_dir), 20, 0.0)
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("page", F.col("page_number"))  # 20 rows at most
+
+
+@query(f"""
+WITH {_top_sql(20, 0.0)}
+SELECT sha256(string_agg('[参考资料 ' || rank || '] 来源：' || concat_ws(' | ', file_name, chapter, '第' || page || '页') || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS sha256 FROM h""")
+def rag_context(spark, sf_dir):
+    return retrieve.context_parts(_ranked(spark, sf_dir)).select(X.content_hash(F.col("context")).alias("sha256"))
+
+
+@query(f"""
+WITH {_top_sql(20, 0.0)}
+SELECT rank, file_name, chapter, page FROM h QUALIFY row_number() OVER (PARTITION BY file_name, chapter, page ORDER BY rank) = 1""")
+def rag_sources(spark, sf_dir):
+    return retrieve.distinct_sources(_ranked(spark, sf_dir).withColumn("chunk_index", F.lit(0))).select("rank", "file_name", "chapter", "page")
+
+
+def _review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return labels.select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("toxic") == 1, "REJECTED").when(F.col("quality") == 1, "APPROVED").otherwise("MODIFIED").alias("review_status"), F.lit("seen").alias("review_comment"),
+        F.when(F.col("quality") == 0, F.lit("rewritten")).when(F.col("toxic") == 1, F.lit("")).alias("text"), F.create_map(F.lit("lang"), F.lit("xx"), F.lit("by"), F.col("toxic").cast("string")).alias("metadata"), F.lit("2024-01-01").alias("updated_time"),
+    )
+
+
+@query("""
+WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
+SELECT d.doc_id::VARCHAR AS chunk_id, sha256(CASE WHEN quality = 0 THEN 'rewritten' ELSE text END) AS sha256, CASE WHEN l.doc_id IS NULL THEN 'PENDING' WHEN toxic = 1 THEN 'REJECTED' WHEN quality = 1 THEN 'APPROVED' ELSE 'MODIFIED' END AS review_status,
+    CASE WHEN l.doc_id IS NULL THEN '' ELSE 'seen' END AS review_comment, CASE WHEN l.doc_id IS NULL THEN lang ELSE 'xx' END AS lang, source, toxic::VARCHAR AS reviewer FROM documents d LEFT JOIN l USING (doc_id)""")
+def review_overlay(spark, sf_dir):
+    chunks = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"))
+    done = review.overlay(chunks, _review_state(spark, sf_dir))
+    at = lambda k: F.try_element_at("metadata", F.lit(k))
+    return done.select("chunk_id", X.content_hash(F.col("text")).alias("sha256"), "review_status", "review_comment", at("lang").alias("lang"), at("source").alias("source"), at("by").alias("reviewer"))
+
+
+@query("SELECT conv_id AS file_id, turn::INTEGER AS page, count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY role, text)) AS sha256 FROM conversations GROUP BY ALL")
+def page_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").cast("int").alias("page_number"), F.col("role").alias("block_idx"), F.lit("paragraph").alias("block_type"), F.col("text").alias("content"))
+    pages = review.pages_of_blocks(rows)
+    return pages.select("file_id", "page", F.size("blocks").cast("long").alias("n"), X.content_hash(F.array_join(F.transform("blocks", lambda b: b["content"]), "\n")).alias("sha256"))
+
+
+@query("SELECT conv_id AS file_id, max(turn)::INTEGER AS page_count, count(*) AS chunk_count FROM conversations GROUP BY ALL")
+def page_count(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.array(F.col("turn").cast("int")).alias("page_numbers"), F.lit(0).alias("page_number"))
+    return review.page_count(rows)
+
+
+@query("""
+WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/$', ''), '/') AS parts FROM pages),
+q AS (SELECT page_id, parts[1:n] AS path, n FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM p)),
+h AS (SELECT path, min_by(page_id, page_id) AS page FROM q GROUP BY path)
+SELECT array_to_string(path, ' > ') AS path, list_last(path) AS label, 'heading' AS node_type, page::INTEGER AS page_number FROM h
+UNION ALL SELECT array_to_string(list_append(parts, 'Chunk ' || page_id), ' > '), 'Chunk ' || page_id, 'chunk', page_id::INTEGER FROM p""")
+def heading_tree(spark, sf_dir):
+    heading = F.replace(F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/$", ""), F.lit("/"), F.lit(" > "))
+    rows = table(spark, sf_dir, "pages").select(F.lit(0).alias("file_id"), F.col("page_id").cast("int").alias("chunk_index"), F.col("page_id").cast("string").alias("chunk_id"), heading.alias("heading"), F.col("page_id").cast("int").alias("page_number"))
+    return review.heading_tree(rows).select(F.array_join("path", " > ").alias("path"), "label", "node_type", "page_number")
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(
+        F.col("source").alias("file_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("int").alias("chunk_index"), "text", X.token_count(F.col("text")).alias("token_count"), F.col("lang").alias("chapter"),
+        F.when(F.col("doc_id") % 4 == 0, "").otherwise("s").alias("section"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 7).cast("int")).alias("page_number"), F.array((F.col("doc_id") % 3).cast("int"), (F.col("doc_id") % 11).cast("int")).alias("page_numbers"),
+        F.when(F.col("doc_id") % 6 == 0, F.col("text")).otherwise("").alias("heading"), X.content_hash(F.col("text")).alias("content_hash"),
+    )
+
+
+ISSUES = rf"""
+c AS (SELECT *, {TOKENS.format('text')} AS t, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS again FROM documents),
+i AS (SELECT source AS file_id, doc_id, unnest(list_filter([
+    CASE WHEN t > 1000 THEN 'WARNING:CHUNK_TOO_LARGE' END, CASE WHEN t < 50 THEN 'WARNING:CHUNK_TOO_SHORT' END, CASE WHEN doc_id % 4 = 0 THEN 'ERROR:METADATA_MISSING' END, CASE WHEN doc_id % 5 = 0 THEN 'ERROR:METADATA_MISSING' END,
+    CASE WHEN doc_id % 3 > 0 AND doc_id % 11 > 0 AND abs(doc_id % 3 - doc_id % 11) > 5 THEN 'WARNING:PAGE_JUMP' END, CASE WHEN doc_id % 6 = 0 AND text NOT LIKE '% > %' THEN 'WARNING:ORPHAN_HEADING' END, CASE WHEN again > 1 THEN 'WARNING:DUPLICATE_CONTENT' END],
+    lambda x: x IS NOT NULL)) AS issue FROM c)"""
+
+
+@query(f"WITH {ISSUES} SELECT file_id, doc_id::VARCHAR AS chunk_id, string_split(issue, ':')[1] AS severity, string_split(issue, ':')[2] AS code, sha1(doc_id || ':' || string_split(issue, ':')[2]) AS issue_id FROM i")
+def quality_issues(spark, sf_dir):
+    return review.quality_issues(_reviewed(spark, sf_dir)).select("file_id", "chunk_id", "severity", "code", "issue_id")
+
+
+@query(f"""
+WITH {ISSUES}, n AS (SELECT file_id, count(*) FILTER (issue LIKE 'ERROR%') AS errors, count(*) FILTER (issue LIKE 'WARNING%') AS warnings FROM i GROUP BY ALL)
+SELECT source AS file_id, count(*) AS chunk_count, coalesce(any_value(errors), 0) AS errors, coalesce(any_value(warnings), 0) AS warnings, greatest(0, 100 - 15 * coalesce(any_value(errors), 0) - 5 * coalesce(any_value(warnings), 0)) AS score
+FROM documents LEFT JOIN n ON n.file_id = source GROUP BY source""")
+def quality_report(spark, sf_dir):
+    return review.quality_report(_reviewed(spark, sf_dir))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'click' DESC, ts DESC, event_id) = 1")
+def latest_artifact(spark, sf_dir):
+    return newest(table(spark, sf_dir, "events"), ["user_id"], [(F.col("event_type") == "click").desc(), F.desc("ts"), F.col("event_id")]).select("user_id", "event_id")
+
+
+@query("""
+SELECT event_id, event_type IN ('done', 'success', 'completed', 'finish', 'finished') OR event_id % 4 = 0 AS done, CASE WHEN event_id % 3 = 0 THEN 'a' WHEN event_id % 3 = 1 THEN 'b' END AS found FROM events""")
+def batch_items(spark, sf_dir):
+    e = F.col("event_id")
+    entry = lambda data_id, name: F.struct(data_id.alias("data_id"), F.lit(name).alias("name"))
+    results = F.array(entry(F.lit("other"), "z"), entry(F.when(e % 3 == 0, F.lit(None).cast("string")).otherwise("no"), "a"), entry(F.when(e % 3 == 1, F.lit("me")).otherwise("no"), "b"))
+    return table(spark, sf_dir, "events").select("event_id", is_done(F.col("event_type"), F.when(e % 4 == 0, "url")).alias("done"), batch_result(results, "me")["name"].alias("found"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum([x * x FOR x IN [y / sqrt(list_sum([z::DOUBLE * z FOR z IN embedding])) FOR y IN embedding]])), 6) AS norm FROM embeddings")
+def unit_vectors(spark, sf_dir):
+    v = unit(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+# Not expressible as SQL over these tables; tested against fixtures and plain loops.
+
+
+@query()
+def pdf_chunk_rows(spark, sf_dir):
+    """Lines as blocks, every fifth a heading: cleaned, chunked, normalised."""
+    rows = _lines(spark, sf_dir)
+    heading = F.col("block_idx") % 5 == 0
+    blocks = rows.withColumns({"block_type": F.when(heading, "heading").otherwise("paragraph"), "heading_level": F.when(heading, F.length("content") % 3 + 1), "page_number": F.floor(F.col("block_idx") / 10).cast("int") + 1})
+    return pdf_chunks(clean.clean_blocks(blocks))
+
+
+@query()
+def word_chunk_rows(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    heading = F.col("block_idx") % 5 == 0
+    elements = rows.select("file_id", F.col("file_id").cast("string").alias("file_name"), F.col("block_idx").alias("element_idx"), F.when(heading, "heading").otherwise("paragraph").alias("element_type"), F.when(heading, F.length("content") % 3 + 1).alias("level"), "content")
+    return word_chunks(clean.clean_word(elements))
+
+
+@query()
+def markdown_chunk_rows(spark, sf_dir):
+    return markdown_chunks(clean.clean_markdown_elements(_elements(spark, sf_dir)))
+
+
+@query()
+def markdown_line_blocks(spark, sf_dir):
+    return line_blocks(_docs(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "text"))
+
+
+@query()
+def table_captions(spark, sf_dir):
+    kind = F.when(F.length("content") % 3 == 0, "table").otherwise("paragraph")
+    rows = _elements(spark, sf_dir).withColumns({"element_type": kind, "content": F.when(F.col("element_idx") % 2 == 0, F.concat(F.lit("Table 1: "), F.substring("content", 1, 80))).otherwise(F.col("content"))})
+    return attach_captions(rows).select("file_id", "element_idx", "element_type", "content")
+
+
+@query()
+def embedded_index(spark, sf_dir):
+    """Unified chunks embedded by a deterministic stand-in, as index rows."""
+    return index_rows(embed(normalize(_raw_chunks(spark, sf_dir), "pdf"), HashEmbedder))
