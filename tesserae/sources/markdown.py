@@ -40,7 +40,7 @@ def line_blocks(texts: DataFrame) -> DataFrame:
     kind = F.when(in_code, F.when(closed, "code").otherwise("text")).when(F.col("line").startswith("#"), "heading").when(strip(F.col("line")).startswith("|"), "table").otherwise("text")
     typed = marked.withColumn("_kind", kind).withColumn("_pair", F.when(in_code, F.ceil(F.col("_fences") / 2)).otherwise(F.lit(-1)))
     before = lambda c: F.lag(c).over(w)
-    new = F.col("_kind").isin("heading", "table") | before("_kind").isNull() | (F.col("_kind") != before("_kind")) | ((F.col("_kind") == "code") & (F.col("_pair") != before("_pair")))
+    new = (fence & (F.col("_fences") % 2 == 1)) | F.col("_kind").isin("heading", "table") | before("_kind").isNull() | (F.col("_kind") != before("_kind")) | ((F.col("_kind") == "code") & (F.col("_pair") != before("_pair")))
     runs = typed.withColumn("_new", F.when(new, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
     grouped = runs.groupBy("file_id", "_run").agg(F.min("_kind").alias("_kind"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("raw"))
     level = F.when(F.col("_kind") == "heading", F.least(F.length(F.regexp_extract("raw", "^(#+)", 1)), F.lit(6)))
@@ -78,13 +78,13 @@ def _list(lines: list[str], at: int) -> tuple[int, list[str], bool]:
         m = _ITEM.match(line)
         indent = len(line) - len(line.lstrip())
         if m and not _RULE.match(line):
-            while levels and indent < levels[-1][0] and not (len(levels) > 1 and indent >= levels[-2][0] and indent >= levels[-1][3]):
-                if indent >= levels[-1][3]:
-                    break
+            while len(levels) > 1 and indent < levels[-1][3]:
                 levels.pop()
             kind = m[3] is not None
-            if not levels and out and indent == 0 and kind != ordered:
-                break
+            if levels and indent < levels[-1][0] and kind != levels[-1][1]:
+                if len(levels) == 1:
+                    break
+                levels.pop()
             if not levels or indent >= levels[-1][0]:
                 levels.append([indent + len(m[2]) + 1, kind, int(m[3] or 1), indent])
             prefix = f"{levels[-1][2]}." if levels[-1][1] else "-"
