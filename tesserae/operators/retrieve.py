@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +77,65 @@ def search(index: DataFrame, query: list[float], k: int = DEFAULT_K, min_score:
 
 def search_many(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_score: float = MIN_SCORE, vector: str = "vector", key: str = "id", most_queries: int = 20_000) -> DataFrame:
     """``query_id``, ``rank``, ``id`` and ``score`` for a stated set of queries (query_id, query_vector), at most ``most_queries`` of
-    them at a time: they are gathered into one broadcast row whose size is checked, each index row scores all of them,
-    and each task keeps the best ``k`` per query before anything is exchanged."""
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries at once; split them into sets of {most_queries}")
-    packed = queries.select(F.collect_list(F.struct("query_id", F.col("query_vector").alias("v"))).alias("qs"))
-    scored = index.select(F.col(key).alias("id"), vector).join(F.broadcast(packed)).select("id", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), cosine(F.col(vector), q["v"]).alias("score")))).alias("s"))
-    flat = scored.select("s.query_id", "id", F.coalesce("s.score", F.lit(0.0)).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return flat.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).filter(F.col("score") >= min_score).select("query_id", "rank", "id", "score")
+    them at a time (checked): their matrix is broadcast, each task multiplies it with its rows block by block and keeps the
+    best ``k`` per query, and only these are exchanged. Vectors without length score 0."""
+    asked = queries.select("query_id", "query_vector").limit(most_queries + 1).collect()
+    if len(asked) > most_queries:
+        raise ValueError(f"more than {most_queries} queries at once; split them into sets")
+    matrix = np.array([r["query_vector"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
+    shared = index.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in asked]), _rows_of_length_one(matrix)))
+    types = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {index.schema[key].dataType.simpleString()}", "score double"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        ids, best = None, None  # candidates so far: ids, and for each query places in them with scores
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                lists = part.column(1)
+                x = _rows_of_length_one(np.asarray(lists.flatten(), dtype=np.float64).reshape(part.num_rows, -1)) if len(lists.flatten()) else np.zeros((part.num_rows, q.shape[1]))
+                fresh = [_best(np.round(q[i : i + 256] @ x.T, 12), part.column(0), k) for i in range(0, len(q), 256)]
+                places, scores = (np.concatenate([f[n] for f in fresh]) for n in (0, 1)) if fresh else (np.zeros((0, 0), int), np.zeros((0, 0)))
+                if ids is None:
+                    ids, best = part.column(0), (places, scores)
+                    continue
+                merged = pa.concat_arrays([ids, part.column(0)])
+                places = np.concatenate((best[0], places + len(ids)), axis=1)
+                scores = np.concatenate((best[1], scores), axis=1)
+                rank = _ranks(merged)[places]
+                order = np.lexsort((rank, -scores), axis=1)[:, :k]
+                places, scores = np.take_along_axis(places, order, 1), np.take_along_axis(scores, order, 1)
+                used, inverse = np.unique(places, return_inverse=True)
+                ids, best = merged.take(pa.array(used)), (inverse.reshape(places.shape), scores)
+        if ids is not None and len(q):
+            width = best[0].shape[1]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(q)), width))), ids.take(pa.array(best[0].ravel())), pa.array(best[1].ravel())], names=["query_id", "id", "score"])
+
+    found = index.select(F.col(key).alias("id"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, ", ".join(types))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("score") >= min_score).select("query_id", "rank", "id", "score")
+
+
+BLOCK = 4096
+
+
+def _rows_of_length_one(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Places of ids in ascending order."""
+    order = pc.sort_indices(ids).to_numpy(zero_copy_only=False)
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[order] = np.arange(len(ids))
+    return rank
+
+
+def _best(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best ``k`` columns of each row, equal scores by id."""
+    order = np.lexsort((np.broadcast_to(_ranks(ids), scores.shape), -scores), axis=1)[:, :k]
+    return order, np.take_along_axis(scores, order, 1)
 
 
 def _first(*values: Column) -> Column:
