@@ -40,6 +40,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lets no more than ``rows`` rows at a time go to Python workers in this session: texts may be long, and a batch is held
+    whole on both sides. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the files behind frames returned by ``stored``. Only for frames that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
