@@ -82,7 +82,9 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_sc
     asked = queries.select("query_id", "query_vector").limit(most_queries + 1).collect()
     if len(asked) > most_queries:
         raise ValueError(f"more than {most_queries} queries at once; split them into sets")
-    matrix = np.array([r["query_vector"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
+    if not asked:
+        return index.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("rank"), F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    matrix = np.array([r["query_vector"] for r in asked], dtype=np.float64)
     shared = index.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in asked]), _rows_of_length_one(matrix)))
     types = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {index.schema[key].dataType.simpleString()}", "score double"]
 
