@@ -1,7 +1,7 @@
 """The chunk index: flat rows keyed by chunk id, kept as versions of a Parquet table.
 
-A version is a folder; ``CURRENT`` names the one that counts and is replaced last, so readers see the old rows or the new
-ones, and a failed write leaves nothing that is read. Upserts never delete: rows with other ids stay.
+A version is a folder; ``CURRENT`` names the one that counts and is replaced last, by an overwriting rename, so readers see the old
+rows or the new ones, and a failed write leaves nothing that is read. One writer at a time is meant. Upserts never delete: rows with other ids stay.
 """
 
 from __future__ import annotations
@@ -76,10 +76,11 @@ class Index:
         out = self._fs.create(draft, True)
         out.write(bytearray(version.encode()))
         out.close()
-        old = self._at("CURRENT")
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        self._fs.rename(draft, old)
+        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
+        overwrite = getattr(self._hadoop, "Options$Rename").OVERWRITE
+        how = context._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
+        how[0] = overwrite
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._at("CURRENT")), how)
 
     def upsert(self, rows: DataFrame, key: str = "id", create: bool = True, order: Column | None = None) -> int:
         """Writes the rows; the number written. No rows: nothing is written. Of rows with one key the last by ``order`` counts."""

@@ -12,7 +12,7 @@ from tesserae.operators import retrieve, review
 from tesserae.operators.embed import EmbeddingUnavailable, HashEmbedder, embed, vectors_of
 from tesserae.operators.index import Index, index_rows
 from tesserae.operators.normalize import normalize
-from tesserae.plans import catalogue, ingest
+from tesserae.plans import api, catalogue, ingest
 from tesserae.sources import files
 from tesserae.streaming.ingest import watch_markdown
 
@@ -159,3 +159,19 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "b.md").write_text("# B\n\nmore")
     watch_markdown(spark, str(tmp_path / "in"), index, str(tmp_path / "state")).awaitTermination()
     assert index.read().count() == 2
+
+
+def test_service(spark, tmp_path):
+    service = api.Service(spark, Index(spark, str(tmp_path / "index")), model=lambda p: "answer", records=Index(spark, str(tmp_path / "records")))
+    got = service.upload(io.BytesIO(b"# A\n\nalpha body"), "C:/x/a?.md", str(tmp_path / "up"))
+    assert got["upsert_count"] == 1 and got["file_size"] == 15 and got["path"].endswith("a_.md")
+    assert [r["text"] for r in service.search("alpha", 3).collect()] in (["# A\n\nalpha body"], [])
+    assert api.KnowledgeSearch(service).invoke({"query": "# A\n\nalpha body"})[0]["metadata"]["file_name"] == "a_.md"
+    assert service.chat("# A\n\nalpha body")["answer"] == "answer" and service.health()["index"]
+    assert [(r["file_name"], r["chunk_count"]) for r in api.recent(service.records.read()).collect()] == [("a_.md", 1)]
+    for stream, name, error in ((io.BytesIO(b""), "e.md", ValueError), (io.StringIO("x"), "e.md", TypeError), (io.BytesIO(b"x"), "..", ValueError), (io.BytesIO(b"x"), "e.exe", ValueError)):
+        with pytest.raises(error):
+            api.save_upload(stream, name, str(tmp_path / "up"))
+    assert api.source_text(spark, str(tmp_path / "up")).filter("text like '# A%'").count() == 1
+    marked = spark.createDataFrame([(3, 5), (3, None), (3, 1), (0, 2), (None, 2)], "a int, b int").select(api.lines_to_mark(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [r["m"] for r in marked] == [[3, 5], [3, 3], [3, 3], None, None]
