@@ -18,16 +18,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tesserae.llm.fmindex import FmIndex
 from tesserae.llm.jaccard import SMALL_IDS, whole_groups
-from tesserae.llm.wordhash import _powers, Words, buffers, mix, slices, window_hash
+from tesserae.llm.wordhash import Words, _powers, buffers, mix, parts, slices, tidy, window_hash
 from tesserae.operators.skew import lookup_join
-from tesserae.session import stored
+from tesserae.session import stored, text_batches
 
 WINDOW = 13
 ANCHOR = 3
@@ -84,7 +84,7 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key[i:j][text]), pa.array(mark[i:j][text] << 39 | span(first, windows))], names=["a", "c", "key", "at"])
 
-    return rows.select("key", "mark", "text").mapInArrow(run, "a long, c long, key long, at long")
+    return rows.select("key", "mark", "text").mapInArrow(tidy(run), "a long, c long, key long, at long")
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def _repeated(runs: DataFrame) -> DataFrame:
             wait = [x[done:] for x in own]
         yield mixed(*wait)
 
-    return runs.repartition("a").sortWithinPartitions("a", "c", "key", "at").mapInArrow(run, "kind int, a long, key long, at long")
+    return runs.repartition("a").sortWithinPartitions("a", "c", "key", "at").mapInArrow(tidy(run), "kind int, a long, key long, at long")
 
 
 def _words_of(rows: DataFrame, window: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _words_of(rows: DataFrame, window: int) -> DataFrame:
                 raw = words.data.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a[i:j].flatten())), pa.array(key[i:j][where]), pa.array(at), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())], names=["a", "key", "at", "words"])
 
-    return rows.select("key", "text", "spots", "ats").mapInArrow(run, "a long, key long, at long, words binary")
+    return rows.select("key", "text", "spots", "ats").mapInArrow(tidy(run), "a long, key long, at long, words binary")
 
 
 def shard_spans(words: list[bytes] | pa.Array, key: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +178,12 @@ def _shards(words: DataFrame, window: int) -> DataFrame:
             mark, first = at[which] >> 39, (at[which] & ((1 << 39) - 1)) >> 6
             yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(mark), pa.array(span(first + offset, window))], names=["key", "mark", "span"])
 
-    return words.repartition("a").sortWithinPartitions("a", "key", "at").mapInArrow(run, "key long, mark long, span long")
+    return words.repartition("a").sortWithinPartitions("a", "key", "at").mapInArrow(tidy(run), "key long, mark long, span long")
 
 
 def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``key``, ``mark`` and ``spans``, the words to remove, for the documents that have any: numbers as of ``span``, or ``WHOLE``."""
+    text_batches(documents.sparkSession)
     if not 1 <= anchor <= window < 40:
         raise ValueError("a window must hold an anchor and fewer than 40 words")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -229,15 +230,19 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     """The rows of ``documents`` with a column ``_kept``: n_words, n_removed and text (the words that stay, joined by one space)."""
     spans = repeated_spans(documents, key, text, window, anchor)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    kind = "n_words long, n_removed long, text string"
+    at = documents.columns.index(text)
 
-    @F.pandas_udf(kind)
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, s in zip(texts, lists):
-            words, n = apply_spans(t.encode("utf-8"), s, window)
-            out.append((n, n - len(words), b" ".join(words).decode("utf-8")))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, at):
+            *own, lists = part.columns
+            counts, lost, kept = [], [], []
+            for t, s in zip(part.column(at), lists):
+                words, n = apply_spans((t.as_py() or "").encode("utf-8"), s.as_py(), window)
+                counts.append(n)
+                lost.append(n - len(words))
+                kept.append(b" ".join(words).decode("utf-8"))
+            made = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([*own, made], names=[*part.schema.names[:-1], "_kept"])
 
     own = F.struct(F.col(key).cast("long").alias("key"), _mark(body).alias("mark"))
     rows = documents.withColumn("_own", own)
@@ -246,7 +251,8 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
         ids = F.broadcast(listed.select("_own"))
         touched = rows.join(ids, "_own", "left_semi").join(listed, "_own")
         clean = rows.join(ids, "_own", "left_anti").withColumn("_spans", F.lit(None).cast("array<bigint>"))
-        parts = touched.select(*rows.columns, "_spans").unionByName(clean)
+        listed_rows = touched.select(*documents.columns, "_spans").unionByName(clean.select(*documents.columns, "_spans"))
     else:
-        parts = rows.join(listed, "_own", "left")
-    return parts.withColumn("_kept", cut(body, F.col("_spans"))).select(*documents.columns, "_kept")
+        listed_rows = rows.join(listed, "_own", "left").select(*documents.columns, "_spans")
+    kept = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())])
+    return listed_rows.mapInArrow(tidy(run), StructType([*documents.schema.fields, StructField("_kept", kept)]))

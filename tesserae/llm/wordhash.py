@@ -7,7 +7,9 @@ slice of documents, and callers slice by bytes (``slices``) so that memory follo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,30 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about ``limit`` bytes, so that what is made of a slice stays small."""
+    for batch in batches:
+        if batch.num_rows:
+            for i, j in slices(buffers(batch.column(column))[1], limit):
+                yield batch.slice(i, j - i)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A worker's function that gives memory back to the system when its task ends: workers are used again, and what the
+    allocators keep would add up."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidied
+
+
 class Words:
     """The words of some texts. ``start`` and ``end`` are byte places in ``data``; ``first[i]:first[i + 1]`` are those of text i."""
 
