@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
-from tesserae.llm.wordhash import Words, buffers, slices
+from tesserae.llm.wordhash import Words, buffers, slices, tidy
 from tesserae.operators.skew import lookup_join
-from tesserae.session import stored
+from tesserae.session import stored, text_batches
 
 COMMON = 65_536
 HEAD = 8
@@ -115,7 +115,7 @@ def _survey(documents: DataFrame, words: int) -> DataFrame:
             yield _batch(np.zeros(len(n)), batch.column(0), n, a, b)
         yield often()
 
-    return documents.select("key", "text").mapInArrow(run, "kind int, key long, n long, a long, b long")
+    return documents.select("key", "text").mapInArrow(tidy(run), "kind int, key long, n long, a long, b long")
 
 
 def _entries(documents: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _entries(documents: DataFrame, order: Order, words: int, percent: int) -> Da
                 ids = np.array(who, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids[:, 0], sizes)), pa.array(np.repeat(ids[:, 1], sizes))], names=["s", "a", "b"])
 
-    return documents.select("text").mapInArrow(run, "s long, a long, b long")
+    return documents.select("text").mapInArrow(tidy(run), "s long, a long, b long")
 
 
 def _described(documents: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _described(documents: DataFrame, order: Order, words: int, percent: int) ->
                 head.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(profile, pa.binary()), pa.array(head, pa.binary())], names=["key", "n", "profile", "head"])
 
-    return documents.select("key", "text").mapInArrow(run, "key long, n long, profile binary, head binary")
+    return documents.select("key", "text").mapInArrow(tidy(run), "key long, n long, profile binary, head binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
@@ -200,7 +200,7 @@ def _shared_columns(entries: DataFrame) -> DataFrame:
             keep[:-1] |= same
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, a, b)], names=["s", "a", "b"])
 
-    return entries.repartition("s").sortWithinPartitions("s", "a", "b").mapInArrow(run, "s long, a long, b long")
+    return entries.repartition("s").sortWithinPartitions("s", "a", "b").mapInArrow(tidy(run), "s long, a long, b long")
 
 
 def _pairs(columns: DataFrame, percent: int, star: bool) -> DataFrame:
@@ -253,7 +253,7 @@ def _pairs(columns: DataFrame, percent: int, star: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["u", "v"])
 
     dealt = columns.select("s", "key", "n", "label", "profile", "head").repartition("s").sortWithinPartitions("s", "n", "key")
-    return dealt.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+    return dealt.mapInArrow(tidy(run), "u long, v long").filter("u <> v").distinct()
 
 
 def rows_of(documents: DataFrame, ids: DataFrame, column: str = "key") -> DataFrame:
@@ -278,13 +278,14 @@ def _linked(documents: DataFrame, pairs: DataFrame, words: int, percent: int) ->
 
     one = texts.groupBy("key").agg(F.min("text").alias("text"))  # a repeated key: any of its rows was described by its smallest text
     joined = pairs.join(one.select(F.col("key").alias("u"), F.col("text").alias("tu")), "u").join(one.select(F.col("key").alias("v"), F.col("text").alias("tv")), "v")
-    return joined.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return joined.select("u", "v", "tu", "tv").mapInArrow(tidy(run), "u long, v long")
 
 
 def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row. Documents link when 100
     times the intersection of their shingle sets is at least ``percent`` times the union."""
     spark: SparkSession = documents.sparkSession
+    text_batches(spark)
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     survey = stored(_survey(rows, words), "survey")
     signed = survey.filter("kind = 0").select("key", "n", "a", "b")

@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tesserae.llm.wordhash import tidy
+from tesserae.session import text_batches
+
 UNDETERMINED = "und"
 FEATURES = 1 << 14
 SLICE_CHARS = 400_000
@@ -114,38 +117,55 @@ def fit(texts: list[str], languages: list[str], features: int = FEATURES, epochs
     if len(names) < 2:
         return LanguageModel(names, np.ones(features), np.zeros((features, len(names))), np.zeros(len(names)), 1.0)
     order = np.random.default_rng(seed).permutation(len(texts))
-    tf = np.concatenate([tf_matrix(texts[i : i + SLICE_ROWS], features)[0] for i in range(0, len(texts), SLICE_ROWS)])
+    rows: list[tuple[np.ndarray, np.ndarray]] = []  # cells and counts of each text: the matrix is never whole
+    for i in range(0, len(texts), SLICE_ROWS):
+        tf, _ = tf_matrix(texts[i : i + SLICE_ROWS], features)
+        for row in tf:
+            cells = np.flatnonzero(row).astype(np.int32)
+            rows.append((cells, row[cells]))
     cut = max(1, int(len(order) * (1 - kept_out)))
     train, held = order[:cut], order[cut:]
-    df = (tf[train] > 0).sum(axis=0)
+    df = np.zeros(features)
+    for i in train:
+        df[rows[i][0]] += 1
     idf = (np.log((1 + len(train)) / (1 + df)) + 1).astype(np.float32)
-    for i in range(0, len(tf), 256):  # in place, by slices: the matrix is the largest thing here
-        tf[i : i + 256] = _weigh(tf[i : i + 256], idf)
+
+    def dense(places: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(places), features + 1))
+        for n, i in enumerate(places):
+            cells, tf = rows[i]
+            value = tf * idf[cells]
+            x[n, cells] = value / max(float(np.sqrt((value * value).sum())), 1e-9)
+        x[:, -1] = 1.0
+        return x
+
     target = np.eye(len(names))[code]
     learner = Ftrl(features + 1, len(names))
     rng = np.random.default_rng(seed + 1)
     for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
-            learner.step(np.hstack([tf[rows], np.ones((len(rows), 1))]), target[rows])
+        for places in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
+            learner.step(dense(places), target[places])
     w = learner.weights()
     temperature = 1.0
     if len(held):
-        logits = tf[held] @ w[:-1] + w[-1]
+        logits = np.concatenate([dense(held[i : i + SLICE_ROWS]) @ w for i in range(0, len(held), SLICE_ROWS)])
         grid = np.geomspace(0.02, 5, 80)
         loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), code[held]], 1e-12)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
     return LanguageModel(names, idf, w[:-1].astype(np.float32), w[-1], temperature)
 
 
-def train(documents: DataFrame, per_language: int = 600, languages: int = 256, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+def train(documents: DataFrame, per_language: int = 600, languages: int = 256, most: int = 6000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fits on a bounded sample: about ``per_language`` documents of each of the ``languages`` most frequent languages,
-    chosen by the hash of the key against a threshold from the languages' full counts."""
+    and no more than ``most`` in all, chosen by the hash of the key against a threshold from the languages' full counts."""
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     known = rows.filter("l is not null and t is not null")
     count = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages)
+    found = max(1, count.count())
+    per_language = max(1, min(per_language, most // found))
     share = F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1_000_003)) / 1_000_003.0
     picked = known.join(F.broadcast(count), "l").filter(share < F.least(F.lit(1.0), F.lit(1.25 * per_language) / F.col("n")))
-    got = picked.select("l", "t", share.alias("h")).orderBy("h").limit(2 * per_language * languages).collect()
+    got = picked.select("l", "t", share.alias("h")).orderBy("h").limit(2 * per_language * found).collect()
     seen: dict[str, int] = {}
     kept = []
     for r in got:
@@ -158,6 +178,7 @@ def train(documents: DataFrame, per_language: int = 600, languages: int = 256, k
 def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` (the calibrated probability of that language), for every row; no exchange. With
     ``carry`` all columns of ``documents`` come along (those named ``lang_pred`` or ``score`` are replaced)."""
+    text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.drop("lang_pred", "score") if carry else documents.select(key)
     rows = documents.select(*kept.columns, F.col(text).cast("string").alias("_read"))
@@ -181,4 +202,4 @@ def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", tex
                 i = j
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(sure)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return rows.mapInArrow(tidy(run), StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.wordhash import tidy
 from tesserae.operators.skew import lookup_join
-from tesserae.session import stored
+from tesserae.session import stored, text_batches
 
 MIN_PAGES = 8
 SHARE = 0.1
@@ -223,7 +224,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
 
-    counted = pages.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counted = pages.select("host", "html").mapInArrow(tidy(run), "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
     kept = stored(counted.filter((F.col("hash") == 0) | (F.col("n") >= min_pages)), "subtrees")
     hosts = kept.filter("hash = 0").select("host", F.col("n").alias("pages"), F.col("n").alias("weight"))
     common = lookup_join(kept.filter("hash <> 0"), hosts, "host", "weight", spread=F.col("hash")).filter(F.col("n") >= share * F.col("pages"))
@@ -232,6 +233,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars``, a row for each row of ``pages``."""
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), host(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
     templates = stored(site_templates(rows, min_pages, share), "templates")
     joined = lookup_join(rows, templates, "host", "pages", spread=F.coalesce(F.xxhash64("key", "url"), F.lit(0)), rows=templates.count())
@@ -250,4 +252,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 texts.append(main_text(parse(page.as_py() or ""), known[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
-    return joined.select("key", "url", "html", "template").mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)
+    return joined.select("key", "url", "html", "template").mapInArrow(tidy(run), f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)

@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tesserae.llm.wordhash import tidy
+from tesserae.session import text_batches
+
 BLOCK = 1024
 LEVEL = 3
 SHORTEST = 256
@@ -143,6 +146,7 @@ def train(
 def score(documents: DataFrame, model: CompressionModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``key`` and ``score``: the calibrated probability of the good label, for every row. With ``carry`` all columns of
     ``documents`` come along (one named ``score`` is replaced). No exchange: one pass over the texts."""
+    text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.drop("score") if carry else documents.select(key)
     rows = documents.select(*kept.columns, F.col(text).cast("string").alias("_scored"))
@@ -156,4 +160,4 @@ def score(documents: DataFrame, model: CompressionModel, key: str = "doc_id", te
             z = ((x - np.array(m.centre)) / np.array(m.scale)) @ np.array(m.weights[:-1]) + m.weights[-1]
             yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return rows.mapInArrow(tidy(run), StructType([*kept.schema.fields, StructField("score", DoubleType())]))
