@@ -33,6 +33,7 @@ WINDOW = 13
 ANCHOR = 3
 WHOLE = -1  # stands for a span over the whole text
 SHARD_RUNS = 20_000
+HELD_RUNS = 200_000
 
 
 def _mark(text: Column) -> Column:
@@ -75,20 +76,44 @@ def find_runs(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nd
 
 
 def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Runs of all documents. Kind 0: a worker has seen the same words in an earlier document, so this run is repeated whatever
+    the others have; it is filed under a hash of its own, which spreads it. Kind 1: the earliest that the worker has seen.
+    A passage that very many documents share so comes to few rows of kind 1."""
+    most = HELD_RUNS
+
+    def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        a, content, key, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((key, content, a))
+        a, content, key, at = a[order], content[order], key[order], at[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (content[1:] != content[:-1])
+        copied = key > key[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+        spread = mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64))
+        a = np.where(copied, spread, a)
+        return pa.RecordBatch.from_arrays([pa.array((~copied).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key), pa.array(at)], names=["kind", "a", "c", "key", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             key, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = buffers(batch.column(2))
             for i, j in slices(offsets):
                 a, content, text, first, windows = find_runs(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), window, anchor)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key[i:j][text]), pa.array(mark[i:j][text] << 39 | span(first, windows))], names=["a", "c", "key", "at"])
+                if not len(a):
+                    continue
+                held.append([a, content, key[i:j][text], mark[i:j][text] << 39 | span(first, windows)])
+                size += len(a)
+                if size > most:
+                    yield settle(held)
+                    held, size = [], 0
+        if held:
+            yield settle(held)
 
-    return rows.select("key", "mark", "text").mapInArrow(tidy(run), "a long, c long, key long, at long")
+    return rows.select("key", "mark", "text").mapInArrow(tidy(run), "kind int, a long, c long, key long, at long")
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
-    """Kind 0: runs whose words an earlier document has. Kind 1: the first of their kind, where others of their anchor are in
+    """Kind 0: runs whose words an earlier document has. Kind 1: the first with their words, where others of their anchor are in
     other documents. Streams over the runs in the order of anchor, words and key; of a group it holds the first rows only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +134,12 @@ def _repeated(runs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, c, key, at = (batch.column(i).to_numpy() for i in range(4))
+            kind, a, c, key, at = (batch.column(i).to_numpy() for i in range(5))
+            known = int(np.searchsorted(kind, 1))
+            yield batch_of(0, a[:known], key[:known], at[:known])
+            if known == len(kind):
+                continue
+            a, c, key, at = (x[known:] for x in (a, c, key, at))
             new = np.ones(len(a), dtype=bool)
             new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
             if last is not None:
@@ -125,7 +155,7 @@ def _repeated(runs: DataFrame) -> DataFrame:
             wait = [x[done:] for x in own]
         yield mixed(*wait)
 
-    return runs.repartition("a").sortWithinPartitions("a", "c", "key", "at").mapInArrow(tidy(run), "kind int, a long, key long, at long")
+    return runs.repartition("a").sortWithinPartitions("kind", "a", "c", "key", "at").mapInArrow(tidy(run), "kind int, a long, key long, at long")
 
 
 def _words_of(rows: DataFrame, window: int) -> DataFrame:
@@ -168,8 +198,10 @@ def shard_spans(words: list[bytes] | pa.Array, key: np.ndarray, window: int) ->
 
 
 def _shards(words: DataFrame, window: int) -> DataFrame:
+    least = SHARD_RUNS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, SHARD_RUNS):
+        for table in whole_groups(batches, least):
             key, at = table.column(1).to_numpy(), table.column(2).to_numpy()
             which, offset = shard_spans(table.column(3).combine_chunks(), key, window)
             if not len(which):
