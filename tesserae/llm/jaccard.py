@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
-from tesserae.llm.wordhash import Words, buffers, slices, tidy
+from tesserae.llm.wordhash import Words, buffers, mix, slices, tidy
 from tesserae.operators.skew import lookup_join
 from tesserae.session import stored, text_batches
 
@@ -203,9 +203,9 @@ def _shared_columns(entries: DataFrame) -> DataFrame:
     return entries.repartition("s").sortWithinPartitions("s", "a", "b").mapInArrow(tidy(run), "s long, a long, b long")
 
 
-def _pairs(columns: DataFrame, percent: int, star: bool) -> DataFrame:
+def _pairs(columns: DataFrame, percent: int, star: int | None) -> DataFrame:
     """Pairs that may be alike enough, of rows (s, key, n, label, profile, head) in one column and with unlike labels. ``star``: only
-    with the column's first row by hash of the key. A pair whose heads share an earlier shingle is left to that column."""
+    with one row of the column, chosen by a hash of the key, the column and the number of the round. A pair whose heads share an earlier shingle is left to that column."""
 
     def block(x: dict, y: dict, s: np.uint64, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low, high = np.minimum(x["n"][:, None], y["n"][None, :]), np.maximum(x["n"][:, None], y["n"][None, :])
@@ -238,8 +238,8 @@ def _pairs(columns: DataFrame, percent: int, star: bool) -> DataFrame:
                 if b - a < 2 or (label[a:b] == label[a]).all():
                     continue
                 one = np.int64(s[a]).view(np.uint64)
-                if star:
-                    spread = (key[a:b].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+                if star is not None:
+                    spread = mix(key[a:b].astype(np.uint64) ^ (one * np.uint64(star)))
                     p = a + int(np.argmin(spread))
                     todo = [(p, p + 1, c, min(c + 4096, b), False) for c in range(a, b, 4096)]
                 else:
@@ -281,9 +281,17 @@ def _linked(documents: DataFrame, pairs: DataFrame, words: int, percent: int) ->
     return joined.select("u", "v", "tu", "tv").mapInArrow(tidy(run), "u long, v long")
 
 
-def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+def _labelled(rows: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Rows with ``label``: their component as far as it is known, else their key."""
+    if components is None:
+        return rows.withColumn("label", F.col("key"))
+    return rows.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
+
+
+def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90, stars: int = 1) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row. Documents link when 100
-    times the intersection of their shingle sets is at least ``percent`` times the union."""
+    times the intersection of their shingle sets is at least ``percent`` times the union. ``stars`` is the number of products
+    with one row of each column before the full one: more of them pay where groups of near copies are large and loose."""
     spark: SparkSession = documents.sparkSession
     text_batches(spark)
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -297,18 +305,20 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     wanted = stored(columns.select("key").distinct(), "wanted")
     described = stored(_described(rows_of(rows.filter("key is not null"), wanted), order, words, percent).dropDuplicates(["key"]), "described")
     full = columns.join(described, "key")
-    first = stored(_linked(rows, _pairs(full.withColumn("label", F.col("key")), percent, star=True), words, percent), "links")
-    joined = stored(connected_components(first), "components")
-    labelled = full.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-    second = stored(_linked(rows, _pairs(labelled, percent, star=False), words, percent), "links")
-    roots = connected_components(first.unionByName(second)) if second.head(1) else joined
+    first, joined = None, None
+    for turn in range(stars):
+        found = stored(_linked(rows, _pairs(_labelled(full, joined), percent, star=turn), words, percent), "links")
+        first = found if first is None else first.unionByName(found)
+        joined = stored(connected_components(first), "components")
+    second = stored(_linked(rows, _pairs(_labelled(full, joined), percent, star=None), words, percent), "links")
+    roots = connected_components(second if first is None else first.unionByName(second))
     known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(F.struct("a", "b").alias("set"), "copies", F.coalesce("root", "rep").alias("component_id"))
     answered = lookup_join(signed.withColumn("set", F.when(F.col("n") > 0, F.struct("a", "b"))), known, "set", "copies", spread=F.xxhash64("key", "a"))
     return answered.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
     """The rows of ``documents`` whose key is the smallest of its component. Only the keys to drop are joined with the rows."""
-    found = jaccard_components(documents, key, text, words, percent)
+    found = jaccard_components(documents, key, text, words, percent, stars)
     gone = stored(found.filter(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
     return documents.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, key, "left_anti")
