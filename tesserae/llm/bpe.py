@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.lexicon import Lexicon, build
-from tesserae.session import scratch_path
+from tesserae.llm.wordhash import Words, buffers, slices, tidy
+from tesserae.session import scratch_path, text_batches
 
 # White space and the word pattern as the vocabulary file states them.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-MEMO = 300_000
+MEMO = 250_000
+STRETCH = 4 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -59,9 +62,13 @@ class Vocabulary:
         self.id_of: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in raw["added_tokens"]}
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {p: (r, p[0] + p[1]) for r, p in reversed(list(enumerate(pairs)))}
+        # Ids of a pair -> rank and id of what it merges to, each packed into one number: the least number is the next merge.
+        ids = self.id_of
+        self.next = {ids[a] << 20 | ids[b]: r << 20 | ids[a + b] for r, (a, b) in reversed(list(enumerate(pairs)))}
         self.token_of = {i: t for t, i in (*self.id_of.items(), *self.special.items())}
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.inner = [ids[c] for c in letters]
+        self.final = [ids[c + self.end] for c in letters]
 
     @cached_property
     def _special_pattern(self):
@@ -69,45 +76,47 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """Token ids of one word, by the lowest rank first and the leftmost of equal ranks."""
-        parts = [self.letters[b] for b in word.encode("utf-8")]
-        if not parts:
+        data = word.encode("utf-8")
+        if not data:
             return []
-        parts[-1] += self.end
-        parts = self._merge_long(parts) if len(parts) > 48 else self._merge_short(parts)
-        return [self.id_of[p] for p in parts]
-
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        rank = self.rank
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = rank.get((parts[i], parts[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.final[data[-1]]
+        return self._merge_long(ids) if len(ids) > 64 else self._merge_short(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get, none = self.next.get, 1 << 62
+        wait = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while wait:
+            best = min(wait)
+            if best == none:
                 break
-            parts[at : at + 2] = [best[1]]
-        return parts
-
-    def _merge_long(self, parts: list[str]) -> list[str]:
-        n = len(parts)
+            i = wait.index(best)
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], wait[i]
+            if i < len(wait):
+                wait[i] = get(ids[i] << 20 | ids[i + 1], none)
+            if i:
+                wait[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        n, get = len(ids), self.next.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1])))]
+        heap = [(m >> 20, i, ids[i], ids[i + 1], m) for i in range(n - 1) if (m := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            _, i, left, right, merged = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != left or j >= n or parts[j] != right:
+            if ids[i] != left or j >= n or ids[j] != right:
                 continue
-            parts[i], parts[j] = left + right, ""
+            ids[i], ids[j] = merged & 0xFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if r := self.rank.get((parts[i], parts[after[i]])):
-                    heapq.heappush(heap, (r[0], i, parts[i], parts[after[i]]))
-            if before[i] >= 0 and (r := self.rank.get((parts[before[i]], parts[i]))):
-                heapq.heappush(heap, (r[0], before[i], parts[before[i]], parts[i]))
-        return [p for p in parts if p]
+            for a, b in ((i, after[i]), (before[i], i)):
+                if a >= 0 and b < n and (m := get(ids[a] << 20 | ids[b])) is not None:
+                    heapq.heappush(heap, (m >> 20, a, ids[a], ids[b], m))
+        return [i for i in ids if i >= 0]
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """Special tokens (True) and the stretches between them (False)."""
@@ -130,70 +139,120 @@ class Vocabulary:
 
 
 class Encoder:
-    """One process' encoder: the lexicon, the merges behind it, and a bounded memo of finished words."""
+    """One process' encoder: the lexicon, the merges behind it, and a bounded memo of finished words in two generations: when
+    the young one is full it becomes the old one, and words still in use move on from there."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocabulary, self.lexicon, self.memo = vocabulary, lexicon, {}
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.memo: dict[str, tuple[list[int], str, str]] = {}
+        self.old: dict[str, tuple[list[int], str, str]] = {}
         self.hits = self.merges = 0
 
-    def word(self, word: str) -> tuple[list[int], str, str]:
-        """Ids, the ids as text, the decoded text."""
-        ids = self.lexicon.ids(word.encode("utf-8")) if self.lexicon else None
-        if ids is None:
-            self.merges += 1
-            ids = self.vocabulary.merge(word)
-        else:
-            self.hits += 1
-        return self._keep(word, ids)
-
-    def _keep(self, word: str, ids: list[int]) -> tuple[list[int], str, str]:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        entry = (ids, " ".join(map(str, ids)), self.vocabulary.decode(ids))
-        if len(word) <= 64:
-            self.memo[word] = entry
-        return entry
-
-    def entries(self, text: str) -> list[tuple[list[int], str, str]]:
-        out, memo = [], self.memo
-        for special, part in self.vocabulary.pieces(text):
-            if special:
-                i = self.vocabulary.special[part]
-                out.append(([i], str(i), part))
-                continue
-            for w in self.vocabulary.words(part):
-                out.append(memo.get(w) or self.word(w))
-        return out
+    def learn(self, words: list[str]) -> None:
+        """Finishes unknown words: all at once in the lexicon, then one by one by merging."""
+        fresh = [w for w in words if w not in self.old]
+        numbers = self.lexicon.numbers([w.encode("utf-8") for w in fresh]).tolist() if self.lexicon and fresh else [-1] * len(fresh)
+        for w, n in zip(fresh, numbers):
+            if n < 0:
+                self.merges += 1
+                ids = self.vocabulary.merge(w)
+            else:
+                self.hits += 1
+                ids = self.lexicon.ids_at(n)
+            self.memo[w] = (ids, " ".join(map(str, ids)), self.vocabulary.decode(ids))
+        for w in words:
+            if w not in self.memo:
+                self.memo[w] = self.old[w]
+
+    def entries(self, texts: list[str]) -> Iterator[list[tuple[list[int], str, str]]]:
+        """For each text the ids, the ids as text and the decoded text of each of its words and special tokens."""
+        at = 0
+        while at < len(texts):
+            parts, unknown, size = [], {}, 0
+            while at < len(texts) and size < 2_000_000:
+                size += len(texts[at]) + 1
+                found: list[str | int] = []
+                for special, part in self.vocabulary.pieces(texts[at]):
+                    if special:
+                        found.append(self.vocabulary.special[part])
+                    else:
+                        found += self.vocabulary.words(part)
+                parts.append(found)
+                memo = self.memo
+                unknown |= {w: None for w in found if w not in memo and type(w) is str}
+                at += 1
+            if len(self.memo) + len(unknown) > MEMO and self.memo:
+                # What is known and needed now would go with the young generation: it is learned again from the old one.
+                self.old, self.memo = self.memo, {}
+                unknown = dict.fromkeys(w for found in parts for w in found if type(w) is str)
+            self.learn(list(unknown))
+            memo, special = self.memo, {i: ([i], str(i), t) for t, i in self.vocabulary.special.items()}
+            for found in parts:
+                yield [memo[w] if type(w) is str else special[w] for w in found]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.entries(text) for i in ids]
+        return [i for found in self.entries([text]) for ids, _, _ in found for i in ids]
+
 
+_ENCODERS: dict[str | None, Encoder] = {}
 
-def frequent_words(documents: DataFrame, vocabulary: Vocabulary, limit: int = 100_000, text: str = "text") -> list[str]:
-    """At most ``limit`` of the corpus' most frequent words, from counts over all texts. A worker's own counter stays
-    bounded by letting go of what it has seen once; a frequent word loses next to nothing by that."""
+
+def _encoder(vocabulary: Vocabulary, lexicon: str | None) -> Encoder:
+    """The process' encoder for a lexicon; a worker that is used again keeps its memo."""
+    known = _ENCODERS.get(lexicon)
+    if known is None or known.vocabulary.next != vocabulary.next:
+        _ENCODERS.clear()
+        known = _ENCODERS[lexicon] = Encoder(vocabulary, Lexicon.open(lexicon) if lexicon else None)
+    return known
+
+
+def frequent_words(documents: DataFrame, vocabulary: Vocabulary, limit: int = 200_000, text: str = "text") -> list[str]:
+    """At most ``limit`` of the corpus' most frequent words, from counts over all texts. Words apart by white space are counted
+    by their hashes, some megabytes at a time, and cut into the vocabulary's words at the end. What a stretch has less than
+    three times, and the rarest when a worker's counter is full, is let go; a frequent word loses next to nothing by that."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def count(held: list[tuple[np.ndarray, np.ndarray]], counter: Counter) -> None:
+        sizes = np.cumsum([0, *(len(d) for d, _ in held)])
+        offsets = np.concatenate([[0], *(o[1:] + at for (_, o), at in zip(held, sizes))])
+        words = Words(np.concatenate([d for d, _ in held]), offsets)
+        _, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+        often = n > 2
+        raw = words.data.tobytes()
+        for k, m in zip(first[often].tolist(), n[often].tolist()):
+            counter[raw[words.start[k] : words.end[k]]] += m
+        if len(counter) > 400_000:
+            low = sorted(counter.values())[200_000]
+            for w in [w for w, m in counter.items() if m <= low]:
+                del counter[w]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, counter = shared.value, Counter()
+        counter: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for t in batch.column(0):
-                for special, part in v.pieces(t.as_py() or ""):
-                    if not special:
-                        counter.update(v.words(part))
-                if len(counter) > 400_000:
-                    low = sorted(counter.values())[200_000]
-                    counter = Counter({w: n for w, n in counter.items() if n > low})
-        kept = [(w, n) for w, n in counter.items() if n > 2 and len(w) <= 64]
+            data, offsets = buffers(batch.column(0))
+            for i, j in slices(offsets, STRETCH):
+                held.append((data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                size += len(held[-1][0])
+                if size >= STRETCH:
+                    count(held, counter)
+                    held, size = [], 0
+        if held:
+            count(held, counter)
+        own: Counter = Counter()
+        for w, m in counter.items():
+            for x in shared.value.words(w.decode("utf-8", "replace")):
+                own[x] += m
+        kept = [(w, m) for w, m in own.items() if len(w) <= 64]
         kept.sort(key=lambda x: -x[1])
         kept = kept[: 2 * limit]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([m for _, m in kept], pa.int64())], names=["w", "n"])
 
-    counted = documents.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counted = documents.select(F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(limit).select("w").collect()]
 
 
-def compile_lexicon(documents: DataFrame, vocabulary: Vocabulary, limit: int = 100_000, text: str = "text") -> str:
+def compile_lexicon(documents: DataFrame, vocabulary: Vocabulary, limit: int = 200_000, text: str = "text") -> str:
     """Writes the transducer of the frequent words to the shared folder; its address."""
     words = sorted(w.encode("utf-8") for w in frequent_words(documents, vocabulary, limit, text))
     data = build((w, vocabulary.merge(w.decode("utf-8"))) for w in words)
@@ -216,26 +275,27 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, lexicon: str | None = N
     - output "ids": ``ids``, an array of token ids;
     - output "digest": ``n_tokens``, ``ids_sha256`` (decimal ids joined by one space) and ``decoded_sha256`` (decoded text).
     """
+    text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
     kind = documents.schema[key].dataType.simpleString()
     fields = {"ids": "ids array<int>", "digest": "n_tokens long, ids_sha256 string, decoded_sha256 string"}[output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, Lexicon.open(lexicon) if lexicon else None)
+        encoder = _encoder(shared.value, lexicon)
         for batch in batches:
+            every = encoder.entries([t or "" for t in batch.column(1).to_pylist()])
             if output == "ids":
-                made = [pa.array([encoder.encode(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))]
+                made = [pa.array([[i for e in found for i in e[0]] for found in every], pa.list_(pa.int32()))]
             else:
                 counts, coded, decoded = [], [], []
-                for t in batch.column(1):
-                    found = encoder.entries(t.as_py() or "")
+                for found in every:
                     counts.append(sum([len(e[0]) for e in found]))
                     coded.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(" ".join([e[2] for e in found]).encode("utf-8")).hexdigest())
                 made = [pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", *(f.split()[0] for f in fields.split(", "))])
 
-    return documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, {fields}").withColumnRenamed("key", key)
+    return documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"key {kind}, {fields}").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:

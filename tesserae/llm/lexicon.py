@@ -101,6 +101,7 @@ class Lexicon:
             at += -at % 8
             arrays.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
             at += n * np.dtype(kind).itemsize
+        self.arrays = arrays
         self._first, self._final, self._labels, self._targets, self._before, self._offsets, self._ids = map(memoryview, arrays)
         self.states, self.arcs, self.words = len(self._final), len(self._labels), len(self._offsets) - 1
 
@@ -131,6 +132,37 @@ class Lexicon:
             state = self._targets[low]
         return total if self._final[state] else -1
 
+    def ids_at(self, number: int) -> list[int]:
+        return self._ids[self._offsets[number] : self._offsets[number + 1]].tolist()
+
     def ids(self, word: bytes) -> list[int] | None:
         n = self.number(word)
-        return None if n < 0 else self._ids[self._offsets[n] : self._offsets[n + 1]].tolist()
+        return None if n < 0 else self.ids_at(n)
+
+    def numbers(self, words: Sequence[bytes]) -> np.ndarray:
+        """The same for many words, all of them a byte further at each step."""
+        first, final, labels, targets, before = self.arrays[:5]
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        text = np.frombuffer(b"".join(words), dtype=np.uint8)
+        start = np.cumsum(size) - size
+        state, total = np.full(len(words), self.states - 1, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        live = np.arange(len(words))
+        for step in range(int(size.max(initial=0))):
+            live = live[size[live] > step]
+            if not len(live):
+                break
+            byte = text[start[live] + step]
+            low, high = first[state[live]].astype(np.int64), first[state[live] + 1].astype(np.int64)
+            stop = high
+            while (open_ := low < high).any():
+                mid = (low + high) >> 1
+                less = open_ & (labels[np.minimum(mid, self.arcs - 1)] < byte)
+                low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+            found = low < stop
+            found &= labels[np.minimum(low, self.arcs - 1)] == byte
+            state[live[~found]] = -1
+            live, low = live[found], low[found]
+            total[live] += before[low]
+            state[live] = targets[low]
+        known = (state >= 0) & (final[np.maximum(state, 0)] == 1)
+        return np.where(known, total, -1)
