@@ -198,3 +198,39 @@ def test_radius_search_is_complete(spark, radius, blocks):
     df = spark.createDataFrame([half(x) for x in marks], "hi long, lo long")
     got = {(r["hi"], r["lo"], r["other_hi"], r["other_lo"]) for r in simhash.within_radius(df, df, radius, blocks).collect()}
     assert got == {(*half(x), *half(y)) for x in marks for y in marks if 1 <= bin(x ^ y).count("1") <= radius}
+
+
+def test_near_copies_are_counted(docs):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    rows = []
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        copy = list(words)
+        spots = rng.sample(range(300), 60)
+        while True:  # as many words are replaced as similarity 0.8 lets
+            changed = list(copy)
+            changed[spots.pop()] = "changed"
+            a, b = shingles(" ".join(words), 5), shingles(" ".join(changed), 5)
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            copy = changed
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    marked = simhash.fingerprints(docs(rows), ["doc_id"], "text")
+    got = {r["doc_id"]: r["n_near"] for r in simhash.near_counts(marked, F.col("doc_id") % 2 == 0).collect()}
+    assert all(got[k] is None for k in range(1, 300, 2)) and all(got[k] <= 1 for k in range(0, 300, 2))
+    assert sum(got[k] for k in range(0, 300, 2)) >= 0.9 * 150
+
+
+def test_near_counts_against_brute_force(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    marks = base + base[:5]
+    for _ in range(200):
+        x = rng.choice(base)
+        for b in rng.sample(range(128), rng.choice([1, 3, 8, 12, 40])):
+            x ^= 1 << b
+        marks.append(x)
+    marked = spark.createDataFrame([(k, *simhash._halves(x)) for k, x in enumerate(marks)], "doc_id long, hi long, lo long")
+    got = {r["doc_id"]: r["n_near"] for r in simhash.near_counts(marked, F.lit(True), radius=11).collect()}
+    assert got == {k: sum(bin(x ^ y).count("1") <= 11 for y in marks) - 1 for k, x in enumerate(marks)}  # up to 11 of 128 bits, one of six bands differs in one bit at most
