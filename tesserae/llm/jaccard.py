@@ -9,7 +9,8 @@ the overlaps of the others are counted in full, from the texts.
 
 Groups of near copies don't expand into all their pairs: a first product pairs each column's rows with one row only,
 what is linked by then is joined, and the second product pairs only rows of unlike components. No link between different
-components is lost that way, and components are what is asked for.
+components is lost that way. This shortcut is for components only: ``jaccard_links`` makes the full product, and returns
+every link between unlike sets and the number of links of each document.
 
 Defined results: sets are empty for null texts and texts without words, and link with nothing; a text of fewer words than
 ``n`` is its whole sequence; rows that repeat a key take the key's smallest component; rows without a key are dropped from
@@ -288,10 +289,8 @@ def _labelled(rows: DataFrame, components: DataFrame | None) -> DataFrame:
     return rows.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
 
 
-def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90, stars: int = 1) -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row. Documents link when 100
-    times the intersection of their shingle sets is at least ``percent`` times the union. ``stars`` is the number of products
-    with one row of each column before the full one: more of them pay where groups of near copies are large and loose."""
+def _matrix(documents: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows (key, text); their set sizes and identities; the classes of equal sets; the entries of the matrix with their rows' descriptions."""
     spark: SparkSession = documents.sparkSession
     text_batches(spark)
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -305,6 +304,14 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     wanted = stored(columns.select("key").distinct(), "wanted")
     described = stored(_described(rows_of(rows.filter("key is not null"), wanted), order, words, percent).dropDuplicates(["key"]), "described")
     full = columns.join(described, "key")
+    return rows, signed, classes, full
+
+
+def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90, stars: int = 1) -> DataFrame:
+    """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row. Documents link when 100
+    times the intersection of their shingle sets is at least ``percent`` times the union. ``stars`` is the number of products
+    with one row of each column before the full one: more of them pay where groups of near copies are large and loose."""
+    rows, signed, classes, full = _matrix(documents, key, text, words, percent)
     first, joined = None, None
     for turn in range(stars):
         found = stored(_linked(rows, _pairs(_labelled(full, joined), percent, star=turn), words, percent), "links")
@@ -317,6 +324,21 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     return answered.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
+def jaccard_links(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """The whole join. Pairs: ``class_id`` and ``other_id`` (the smaller first) of all classes of equal sets that link. Members: ``key``,
+    ``n_shingles``, ``class_id`` (the smallest key with the same set; a row that links with nothing has its own) and ``n_links``,
+    how many other rows a row links with, those of equal sets included. Keys must name one text each."""
+    rows, signed, classes, full = _matrix(documents, key, text, words, percent)
+    pairs = stored(_linked(rows, _pairs(_labelled(full, None), percent, star=None), words, percent), "links")
+    ends = pairs.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("u").alias("other")))
+    around = ends.join(classes.select(F.col("rep").alias("other"), F.col("copies").alias("m")), "other").groupBy("rep").agg(F.sum("m").alias("around"))
+    known = classes.join(around, "rep", "left").select(F.struct("a", "b").alias("set"), "copies", F.col("rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
+    linking = F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.struct("a", "b"))
+    answered = lookup_join(signed.withColumn("set", linking), known, "set", "copies", spread=F.xxhash64("key", "a"))
+    members = answered.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return pairs.select(F.col("u").alias("class_id"), F.col("v").alias("other_id")), members
+
+
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
     """The rows of ``documents`` whose key is the smallest of its component. Only the keys to drop are joined with the rows."""
     found = jaccard_components(documents, key, text, words, percent, stars)

@@ -128,6 +128,11 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_i
 """
 
 
+@query
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(table(spark, sf_dir, "documents"))[1]
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -89,6 +89,26 @@ def test_pairs_of_a_large_group_are_not_all_made(docs):
     assert {r["component_id"] for r in jaccard.jaccard_components(docs(rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_jaccard_links_are_all_there(docs, n, percent):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    group = []
+    for k in range(12):  # all link with all
+        words = list(base)
+        words[rng.randrange(200)] = f"x{k}"
+        group.append((1000 + k, " ".join(words)))
+    rows = corpus(n, 80) + group + [(2000, group[0][1]), (2001, ""), (None, group[0][1])]
+    sets = {k: shingles(t, n) for k, t in rows if k is not None}
+    linked = {(x, y) for x in sets for y in sets if x != y and len(sets[x] & sets[y]) and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])}
+    least = {k: min([k, *(y for y in sets if sets[y] == s and s)]) for k, s in sets.items()}
+    pairs, members = jaccard.jaccard_links(docs(rows), words=n, percent=percent)
+    got = [(r["doc_id"], r["n_shingles"], r["class_id"], r["n_links"]) for r in members.collect()]
+    assert len(got) == len(rows) and [r[3] for r in got if r[0] is None] == [0]
+    assert {r for r in got if r[0] is not None} == {(k, len(s), least[k], sum(x == k for x, _ in linked)) for k, s in sets.items()}
+    assert sorted((r["class_id"], r["other_id"]) for r in pairs.collect()) == sorted({(least[x], least[y]) for x, y in linked if least[x] < least[y]})
+
+
 def brute_removed(rows, window):
     first = {}
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
