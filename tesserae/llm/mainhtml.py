@@ -1,13 +1,14 @@
 """Main text of web pages, by removal of site templates.
 
 Every page is parsed once to hash its element subtrees (tag, class, id, text and the hashes of the children). Spark
-counts, per host, on how many pages each hash occurs; subtrees that recur on many pages of their host are that site's
-template. A second pass deletes them, together with what HTML itself marks as not being the article (navigation,
+counts, per host, on how many unlike pages each hash occurs (pages with the same text, templates included, are one page:
+copies of a page don't make its text a template); subtrees that recur on many pages of their host are that site's template. A second pass deletes them, together with what HTML itself marks as not being the article (navigation,
 footers, forms, scripts, adverts, comments, ... by element, role, class or id), and writes out the blocks of what is left:
 of the page's ``article`` (or ``main``) if it has one, else of its body.
 
-A paragraph, heading or list item inside the article is never part of the template, however often it recurs: text that
-the pages of a host share in their articles is text.
+Inside the article only blocks that hold nothing but links can be part of the template. Inline elements, paragraphs, and
+blocks with any text outside of links are never part of it, however often they recur: text that the pages of a host share
+in their articles is text.
 
 Defined results: a null or empty page has the empty text; pages without a host are a host of their own; unclosed and
 misnested elements end where an ancestor does (a block ends an open paragraph); a page cut off in a tag ends there.
@@ -39,6 +40,7 @@ _BLOCK = frozenset(
 )
 _DROPPED = frozenset("head nav aside footer form button select input label menu dialog canvas audio video map datalist option optgroup fieldset".split()) | _RAW
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd a b i em strong span br small sub sup u s code q cite abbr time mark font img figcaption caption tr tbody thead table ol ul dl".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share sharing social related newsletter subscribe subscription widget pagination pager toolbar skip login signup".split()
@@ -50,12 +52,13 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "children", "key", "digest", "inside")
+    __slots__ = ("tag", "dropped", "children", "key", "digest", "inside", "prose")
 
     def __init__(self, tag: str, dropped: bool, key: str, inside: bool):
         self.tag, self.dropped, self.key, self.inside = tag, dropped, key, inside
         self.children: list[_Element | str] = []
         self.digest = 0
+        self.prose = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -89,6 +92,7 @@ def parse(page: str) -> _Element:
     def close(depth: int) -> None:
         while len(stack) > depth:
             e = stack.pop()
+            e.prose = e.tag in _PROSE or any(e.tag != "a" and not c.isspace() if type(c) is str else c.prose and not c.dropped for c in e.children)
             e.digest = xxhash.xxh64_intdigest("\x00".join([e.key, *(c if type(c) is str else f"\x01{c.digest}" for c in e.children)])) >> 1
 
     while at < n:
@@ -140,6 +144,11 @@ def parse(page: str) -> _Element:
     return root
 
 
+def _kept(e: _Element) -> bool:
+    """Whether an element is text of the article, or holds some: it is never part of a template."""
+    return e.tag in ("html", "body", "article", "main") or e.inside and (e.tag in _TEXT or e.tag not in _BLOCK or e.prose)
+
+
 def template_candidates(root: _Element) -> set[int]:
     """Hashes of the subtrees that may be a site's template: what isn't dropped anyway and isn't text of the article."""
     found, todo = set(), list(root.children)
@@ -147,7 +156,7 @@ def template_candidates(root: _Element) -> set[int]:
         e = todo.pop()
         if type(e) is str or e.dropped:
             continue
-        if e.tag not in ("html", "body", "article", "main", "br") and not (e.inside and e.tag in _TEXT):
+        if e.tag != "br" and not _kept(e):
             found.add(e.digest)
         todo.extend(e.children)
     return found
@@ -166,7 +175,7 @@ def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset())
             words.clear()
 
     def gone(e: _Element) -> bool:
-        return e.dropped or e.digest in template and e.tag not in ("html", "body", "article", "main") and not (e.inside and e.tag in _TEXT)
+        return e.dropped or e.digest in template and not _kept(e)
 
     def articles(e: _Element, tags: tuple[str, ...]) -> Iterator[_Element]:
         todo = [e]
@@ -212,22 +221,25 @@ def host(url: Column) -> Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``host``, ``pages`` and ``template``, the hashes of subtrees on at least ``min_pages`` pages and a ``share`` of the
-    host's. A host has at most 1/``share`` times as many of these as one of its pages has subtrees, on average."""
+    """``host``, ``pages`` and ``template``, the hashes of subtrees on at least ``min_pages`` unlike pages and a ``share`` of the
+    host's; ``pages`` are all of its pages. A host has at most 1/``share`` times as many of these as one of its pages has subtrees, on average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, texts = [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = [0, *template_candidates(parse(page.as_py() or ""))]  # 0 stands for the page
+                root = parse(page.as_py() or "")
+                found = [0, *(template_candidates(root) - {0})]  # 0 stands for the page
                 hosts += [h] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                texts += [xxhash.xxh64_intdigest(main_text(root)) >> 1] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], names=["host", "hash", "text"])
 
-    counted = pages.select("host", "html").mapInArrow(tidy(run), "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    unlike = pages.select("host", "html").mapInArrow(tidy(run), "host string, hash long, text long").groupBy("host", "hash", "text").agg(F.count("*").alias("copies"))
+    counted = unlike.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
     kept = stored(counted.filter((F.col("hash") == 0) | (F.col("n") >= min_pages)), "subtrees")
-    hosts = kept.filter("hash = 0").select("host", F.col("n").alias("pages"), F.col("n").alias("weight"))
-    common = lookup_join(kept.filter("hash <> 0"), hosts, "host", "weight", spread=F.col("hash")).filter(F.col("n") >= share * F.col("pages"))
+    hosts = kept.filter("hash = 0").select("host", F.col("n").alias("unlike"), F.col("rows").alias("pages"), F.col("rows").alias("weight"))
+    common = lookup_join(kept.filter("hash <> 0").drop("rows"), hosts, "host", "weight", spread=F.col("hash")).filter(F.col("n") >= share * F.col("unlike"))
     return common.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list("hash")).alias("template"))
 
 

@@ -97,6 +97,20 @@ def test_text_shared_by_articles_stays(spark):
     assert all("quoted by all" in r["text"] and "on every page" not in r["text"] for r in got)
 
 
+def test_copied_pages_keep_their_text(spark):
+    links = "<div class='x'><a href='/a'>more</a> <a href='/b'>news</a></div>"
+    article = "<body><div class='top'>Site</div><article><div class='body'>{text} with <kbd>Ctrl</kbd> and <ins>new</ins></div><section><p>{text} again</p></section><details>quoted by all</details>" + links + "</article></body>"
+    plain = "<body><div class='top'>Site</div><div><p>{text}</p><p>{text} again</p></div></body>"
+    rows = []
+    for h, page in (("a.com", article), ("b.com", plain)):
+        rows += [(h, page.format(text="copied")) for _ in range(20)] + [(h, page.format(text=f"own {k}")) for k in range(20)]
+    pages = [(k, f"http://{h}/{k}", page) for k, (h, page) in enumerate(rows)]
+    got = {r["page_id"]: r["text"] for r in mainhtml.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(40):
+        text = "copied" if k < 20 else f"own {k - 20}"
+        assert got[k] == f"{text} with Ctrl and new\n{text} again\nquoted by all" and got[40 + k] == f"{text}\n{text} again"
+
+
 def brute(vectors, queries, k):
     out = []
     for q, v in queries:
