@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import batched, chain
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import strip
+from tesserae.session import scratch_path
 
 DEFAULT_K, MAX_K, MIN_SCORE = 5, 20, 0.0
+QUERY_BLOCK = 20_000
 # Wording of answers and prompts.
 NO_ANSWER = "知识库中没有找到相关内容。"
 PROMPT = """你是一个专业知识库助手。
@@ -75,18 +79,35 @@ def search(index: DataFrame, query: list[float], k: int = DEFAULT_K, min_score:
     return best.filter(strip(F.col("text")) != "") if "text" in index.columns else best
 
 
-def search_many(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_score: float = MIN_SCORE, vector: str = "vector", key: str = "id", most_queries: int = 20_000) -> DataFrame:
-    """``query_id``, ``rank``, ``id`` and ``score`` for a stated set of queries (query_id, query_vector), at most ``most_queries`` of
-    them at a time (checked): their matrix is broadcast, each task multiplies it with its rows block by block and keeps the
-    best ``k`` per query, and only these are exchanged. Vectors without length score 0."""
-    asked = queries.select("query_id", "query_vector").limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
+def search_many(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_score: float = MIN_SCORE, vector: str = "vector", key: str = "id", most_queries: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id``, ``rank``, ``id`` and ``score`` for any number of queries (query_id, query_vector), ``query_block`` of them at a
+    time: their matrix is broadcast, each task multiplies it with its rows block by block and keeps the best ``k`` per query,
+    and only these are exchanged. The driver reads the queries partition by partition and holds two blocks at most; the results of
+    more blocks than one are stored. A caller can refuse more than ``most_queries``. Vectors without length score 0."""
+    asked = queries.select("query_id", "query_vector")
+    if most_queries is not None and asked.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} queries at once; split them into sets")
-    if not asked:
+    blocks = batched(asked.toLocalIterator(), query_block)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         return index.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("rank"), F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    if second is None:
+        return _search_block(index, first, kind, k, min_score, vector, key)[0]
+    path, schema = scratch_path(index.sparkSession, "hits"), None
+    for block in chain((first, second), blocks):
+        found, shared = _search_block(index, block, kind, k, min_score, vector, key)
+        found.write.mode("append").parquet(path)
+        shared.destroy()
+        schema = found.schema
+    return index.sparkSession.read.schema(schema).parquet(path)
+
+
+def _search_block(index: DataFrame, asked: Sequence[Row], kind: str, k: int, min_score: float, vector: str, key: str) -> tuple[DataFrame, Broadcast]:
+    """Hits of some queries, whose ids have the type ``kind``, and the broadcast that they are made with."""
     matrix = np.array([r["query_vector"] for r in asked], dtype=np.float64)
     shared = index.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in asked]), _rows_of_length_one(matrix)))
-    types = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {index.schema[key].dataType.simpleString()}", "score double"]
+    types = [f"query_id {kind}", f"id {index.schema[key].dataType.simpleString()}", "score double"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
@@ -115,7 +136,8 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_sc
 
     found = index.select(F.col(key).alias("id"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, ", ".join(types))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("score") >= min_score).select("query_id", "rank", "id", "score")
+    hits = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("score") >= min_score).select("query_id", "rank", "id", "score")
+    return hits, shared
 
 
 BLOCK = 4096

@@ -50,6 +50,20 @@ def test_search_many(spark):
         search_many(index, queries, most_queries=1)
 
 
+def test_search_many_in_blocks(spark):
+    index = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(70)], "id long, vector array<float>").repartition(3)
+    queries = index.selectExpr("id AS query_id", "vector AS query_vector")
+    rows = lambda **options: sorted(map(tuple, search_many(index, queries, 3, 0.5, **options).collect()))
+    assert rows() == rows(query_block=30) and len(rows(query_block=35)) == 210
+
+
+def test_search_many_beyond_20_000_queries(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<float>")
+    queries = spark.range(20_001).selectExpr("id AS query_id", "array(1.0F, float(id % 2) * 2) AS query_vector")
+    got = search_many(index, queries, 1)
+    assert got.count() == 20_001 == got.filter("id = 1 + query_id % 2").count()
+
+
 def test_stored_rows_can_be_discarded(spark):
     rows = stored(spark.range(3), "numbers")
     assert rows.count() == 3
