@@ -560,7 +560,7 @@ def markdown_line_blocks(spark, sf_dir):
 @query()
 def table_captions(spark, sf_dir):
     kind = F.when(F.length("content") % 3 == 0, "table").otherwise("paragraph")
-    rows = _elements(spark, sf_dir).withColumns({"element_type": kind, "content": F.when(F.col("element_idx") % 2 == 0, F.concat(F.lit("Table 1: "), F.substring("content", 1, 80))).otherwise(F.col("content"))})
+    rows = _elements(spark, sf_dir).withColumns({"element_type": kind, "content": F.when(F.col("element_idx") % 2 == 0, F.concat(F.lit("Table 1: "), "content")).otherwise(F.col("content"))})
     return attach_captions(rows).select("file_id", "element_idx", "element_type", "content")
 
 
