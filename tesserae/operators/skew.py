@@ -10,7 +10,7 @@ TOP = 1000
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, top: int = TOP, rows: int | None = None) -> DataFrame:
     """Left join of ``left`` with the columns of ``right``, which has one row per ``key`` and, in ``weight``, about how
-    many rows of ``left`` hold that key.
+    many rows of ``left`` hold that key. The columns of ``left`` may have any names; a column of ``right`` replaces none of them.
 
     The ``top`` heaviest keys are broadcast (never more than ``top`` rows); no other key can then hold more than
     1/``top`` of the rows. Rows answered by the broadcast go through the second join with a salt from ``spread`` (an
@@ -18,12 +18,14 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread
     rows of ``right``, is known and no more than ``top``, the broadcast answers everything and ``left`` isn't shuffled.
     """
     values = [c for c in right.columns if c not in (key, weight)]
-    heavy = right.orderBy(F.desc(weight), key).limit(top).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
+    heavy = right.orderBy(F.desc(weight), key).limit(top).select(F.col(key).alias("hk"), F.struct(*values).alias("hv"))
+    packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), F.col(key).alias("k"), F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long")).alias("x"))
+    met = packed.join(F.broadcast(heavy), F.col("k") == F.col("hk"), "left")
+    own = [F.col("l")[c].alias(c) for c in left.columns]
     if rows is not None and rows <= top:
-        joined = left.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-        return joined.select(*(left[c] for c in left.columns), *(F.col("_hv")[c].alias(c) for c in values))
-    rest = right.select(F.col(key).alias("_rk"), F.lit(0).cast("long").alias("_rs"), F.struct(*values).alias("_rv"))
-    salted = left.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left").withColumn("_ls", F.when(F.col("_hv").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))))
-    joined = salted.join(rest, (F.col(key) == F.col("_rk")) & (F.col("_ls") == F.col("_rs")), "left")
-    found = F.coalesce("_hv", "_rv")
-    return joined.select(*(left[c] for c in left.columns), *(found[c].alias(c) for c in values))
+        return met.select(*own, *(F.col("hv")[c].alias(c) for c in values))
+    rest = right.select(F.col(key).alias("rk"), F.lit(0).cast("long").alias("rs"), F.struct(*values).alias("rv"))
+    salted = met.withColumn("ls", F.when(F.col("hv").isNull(), F.lit(0).cast("long")).otherwise(F.col("x")))
+    joined = salted.join(rest, (F.col("k") == F.col("rk")) & (F.col("ls") == F.col("rs")), "left")
+    found = F.coalesce("hv", "rv")
+    return joined.select(*own, *(found[c].alias(c) for c in values))
