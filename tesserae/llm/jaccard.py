@@ -1,20 +1,26 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
-Documents are rows and word n-grams (shingles) columns of an incidence matrix; the overlap counts are its product with
-its own transpose. Columns are dealt into blocks by hash, and in each block only those entries take part that the size
-bounds require: two sets alike enough must share one of the first ``n - ceil(t * n) + 1`` shingles of either in any common
-order, and the order puts frequent shingles last, so the columns that are left are short. Rows with equal sets are one
-row. A pair is let go where its sizes, or a lower bound of the sets' difference from 64 counts, rule the threshold out;
-the overlaps of the others are counted in full, from the texts.
-
-Groups of near copies don't expand into all their pairs: a first product pairs each column's rows with one row only,
-what is linked by then is joined, and the second product pairs only rows of unlike components. No link between different
-components is lost that way. This shortcut is for components only: ``jaccard_links`` makes the full product, and returns
-every link between unlike sets and the number of links of each document.
+Documents are rows and word n-grams (shingles) columns of an incidence matrix; overlap counts are its product with its own
+transpose. Rows with equal sets are one row, the *class*; everything below works on classes.
+
+1. Two sets alike enough share one of the first ``n - ceil(t * n) + 1`` shingles of either in any common order. Only these
+   entries are exchanged; the order puts frequent shingles last, so the columns that are left are short. Entries whose
+   column has no other row of a fitting size, or none whose counts of shingles in 64 ranges leave the threshold possible, go.
+2. The rows that are left come with their whole sets into blocks: a block gathers the rows that agree on the least of their
+   columns by some hash (and, for one of the blocks of each row, on its longest column), so near copies meet whatever
+   columns they lost. A block's product accumulates the overlap count of every two of its rows over all columns, short
+   columns by their pairs and long ones as dense tiles; counts below the bound that the two sizes give are discarded. The
+   links that remain are joined in the worker, which emits one row for each row of the block at most: a spanning forest.
+3. Rows of one column that met in no block and aren't connected yet are gathered again, in more blocks, and at last column by
+   column. So no link is lost, groups of near copies cost about their size, and nothing is emitted by pairs.
+
+Blocks hold about ``UNIT_ENTRIES`` entries at most: larger ones are split by a salt, and a long column of step 3 into
+blocks for every two of its parts. ``jaccard_links`` runs the same product but emits all links between classes.
 
 Defined results: sets are empty for null texts and texts without words, and link with nothing; a text of fewer words than
-``n`` is its whole sequence; rows that repeat a key take the key's smallest component; rows without a key are dropped from
-links but keep their row.
+``n`` is its whole sequence. Rows that repeat a key are rows of their own: each links by its own text, and a component's id is
+the smallest key of any of its rows. Rows without a key have the component of their set, which only rows with keys make
+(null if there is none).
 """
 
 from __future__ import annotations
@@ -24,18 +30,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
 from tesserae.llm.wordhash import Words, buffers, mix, slices, tidy
 from tesserae.operators.skew import lookup_join
-from tesserae.session import stored, text_batches
+from tesserae.session import discard, stored, text_batches
 
 COMMON = 65_536
-HEAD = 8
-COUNTS = 64
-SMALL_IDS = 1_000_000
+RANGES = 64
+PROFILE = [f"p{i}" for i in range(RANGES // 8)]
+#: Rows of one or two numbers that may be broadcast: 5 MB at most.
+SMALL_IDS = 100_000
+#: A block's entries and rows, about.
+UNIT_ENTRIES = 1_000_000
+UNIT_ROWS = 2_048
+#: Blocks of each row in the first and in the second turn.
+TURNS = (2, 8)
+#: Columns of more rows in a block are multiplied as dense tiles.
+LONG = 24
+TILE = 2_048
+#: Comparisons beyond which a column's rows are all kept instead.
+MOST_TESTS = 50_000_000
+SEEN = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -48,8 +66,8 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
 
 
-def _identity(s: np.ndarray) -> tuple[int, int]:
-    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _identity(s: np.ndarray, salt: int) -> tuple[int, int]:
+    d = hashlib.blake2b(s.tobytes(), digest_size=16, key=salt.to_bytes(4, "little")).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
@@ -74,273 +92,454 @@ class Order:
         return s[:length]
 
 
-def _profile(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes()
+def _profile(s: np.ndarray) -> np.ndarray:
+    """How many shingles lie in each of 64 ranges (255 at most), eight counts a number."""
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).view(np.int64)
 
 
-def _survey(documents: DataFrame, words: int) -> DataFrame:
-    """Kind 0: key, set size and identity of each row. Kind 1: shingles that a worker saw often, with counts (of unlike sets)."""
+def _survey(documents: DataFrame, words: int, salt: int) -> DataFrame:
+    """Kind 0: key, mark, set size, identity and profile of each row. Kind 1: shingles that a worker saw often, with counts (of unlike sets)."""
+    names = ["kind", "key", "mark", "n", "a", "b", *PROFILE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
         def often() -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             keep = count > 2
-            n = int(keep.sum())
-            return _batch(np.ones(n), None, np.zeros(n), value[keep].view(np.int64), count[keep])
-
-        def _batch(kind, key, n, a, b) -> pa.RecordBatch:
-            keys = pa.nulls(len(kind), pa.int64()) if key is None else key
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), keys, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "key", "n", "a", "b"])
+            n, none = int(keep.sum()), pa.nulls(int(keep.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none, none, none, pa.array(value[keep].view(np.int64)), pa.array(count[keep], pa.int64()), *[none] * len(PROFILE)], names=names)
 
         for batch in batches:
-            n, a, b = [], [], []
-            for s in shingle_sets(batch.column(1), words):
-                who = _identity(s)
+            n, who, profiles = [], [], []
+            for s in shingle_sets(batch.column(2), words):
+                own = _identity(s, salt)
                 n.append(len(s))
-                a.append(who[0])
-                b.append(who[1])
-                if len(s) and who not in seen:
-                    if len(seen) > 1_000_000:
+                who.append(own)
+                profiles.append(_profile(s))
+                if len(s) and own[0] not in seen:
+                    if len(seen) > SEEN:
                         seen.clear()
-                    seen.add(who)
+                    seen.add(own[0])
                     # A prefix lies among the lowest hashes, unless many of these are frequent: a quarter of all is counted.
                     held.append(s[: np.searchsorted(s, np.uint64(1 << 62))])
                     size += len(held[-1])
                     if size > 4_000_000:
                         yield often()
                         held, size = [], 0
-            yield _batch(np.zeros(len(n)), batch.column(0), n, a, b)
+            if n:
+                ids, p = np.array(who, dtype=np.int64), np.stack(profiles)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *(pa.array(p[:, i]) for i in range(len(PROFILE)))], names=names)
         yield often()
 
-    return documents.select("key", "text").mapInArrow(tidy(run), "kind int, key long, n long, a long, b long")
+    return documents.select("key", "mark", "text").mapInArrow(tidy(run), "kind int, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
-def _entries(documents: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
-    """The matrix entries within the size bounds: shingle, and the row's identity. Repeated sets of a worker count once."""
+def _entries(documents: DataFrame, order: Order, words: int, percent: int, salt: int) -> DataFrame:
+    """The matrix entries within the size bounds: shingle, the row's class and size. Repeated sets of a worker count once."""
     shared = documents.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
-            parts, who = [], []
+            parts, who, n = [], [], []
             for s in shingle_sets(batch.column(0), words):
-                if not len(s) or (own := _identity(s)) in seen:
+                if not len(s) or (own := _identity(s, salt)[0]) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(own)
                 parts.append(shared.value.prefix(s, percent))
                 who.append(own)
+                n.append(len(s))
             if parts:
                 sizes = [len(p) for p in parts]
-                ids = np.array(who, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids[:, 0], sizes)), pa.array(np.repeat(ids[:, 1], sizes))], names=["s", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(who, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes))], names=["s", "id", "n"])
 
-    return documents.select("text").mapInArrow(tidy(run), "s long, a long, b long")
+    return documents.select("text").mapInArrow(tidy(run), "s long, id long, n int")
 
 
-def _described(documents: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
-    """Per row: key, set size, counts of its shingles in 64 ranges, and the first shingles of its prefix."""
-    shared = documents.sparkSession.sparkContext.broadcast(order)
+def _shared_columns(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries of columns with another row whose size fits, each once. A stream: it holds one row of a column over to the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        fits = False  # whether the row that is held fits the one before it
         for batch in batches:
-            n, profile, head = [], [], []
-            for s in shingle_sets(batch.column(1), words):
-                n.append(len(s))
-                profile.append(_profile(s))
-                h = np.zeros(HEAD, dtype=np.uint64)
-                p = shared.value.prefix(s, percent)[:HEAD]
-                h[: len(p)] = p
-                head.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(profile, pa.binary()), pa.array(head, pa.binary())], names=["key", "n", "profile", "head"])
-
-    return documents.select("key", "text").mapInArrow(tidy(run), "key long, n long, profile binary, head binary")
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Cuts rows sorted by their first column into tables of at least ``rows`` rows that split no group."""
+            s, a, n = (np.concatenate((h, batch.column(i).to_numpy())) for i, h in enumerate(held))
+            if not len(s):
+                continue
+            new = np.ones(len(s), dtype=bool)
+            new[1:] = (s[1:] != s[:-1]) | (a[1:] != a[:-1])
+            s, a, n = s[new], a[new], n[new]
+            link = (s[1:] == s[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            keep = np.concatenate((link, [False])) | np.concatenate(([fits], link))
+            out = np.flatnonzero(keep[:-1])
+            held, fits = [s[-1:], a[-1:], n[-1:]], bool(keep[-1])
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (s, a, n)], names=["s", "id", "n"])
+        if fits:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["s", "id", "n"])
+
+    return entries.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(tidy(run), "s long, id long, n int")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000, weight: int | None = None) -> Iterator[pa.Table]:
+    """Cuts rows sorted by their first column into tables of at least ``rows`` rows (or of so much in the column ``weight``) that split no group."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        size += batch.num_rows
-        if size < rows:
+        size += batch.num_rows if weight is None else int(batch.column(weight).to_numpy().sum())
+        if size < rows or held[0].column(0)[0] == batch.column(0)[batch.num_rows - 1]:
             continue
-        table = pa.Table.from_batches(held).combine_chunks()
+        table = pa.Table.from_batches(held)
         key = table.column(0).to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield table.slice(0, cut)
-            held = table.slice(cut).to_batches()
-            size = table.num_rows - cut
-        else:
-            held = table.to_batches()
-    if size:
+        yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut)
+        held = rest.combine_chunks().to_batches()
+        size = rest.num_rows if weight is None else int(rest.column(weight).to_numpy().sum())
+    if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _shared_columns(entries: DataFrame) -> DataFrame:
-    """Entries of the columns that hold at least two unlike rows, each once."""
+def _near(profile: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and profiles leave the pairs of rows ``x`` and ``y`` a chance. Alike enough means a symmetric
+    difference of at most (100 - t) / (100 + t) of both sizes together, and profiles differ by no more than that."""
+    good = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+    out = np.zeros(len(x), dtype=bool)
+    at = np.flatnonzero(good)
+    for i in range(0, len(at), 65_536):
+        p = at[i : i + 65_536]
+        apart = np.abs(profile[x[p]] - profile[y[p]]).sum(axis=1, dtype=np.int64)
+        out[p] = (100 + percent) * apart <= (100 - percent) * (n[x[p]] + n[y[p]])
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches):
-            s, a, b = (table.column(i).to_numpy() for i in range(3))
-            new = np.ones(len(s), dtype=bool)
-            new[1:] = (s[1:] != s[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            s, a, b = s[new], a[new], b[new]
-            same = s[1:] == s[:-1]
-            keep = np.zeros(len(s), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, a, b)], names=["s", "a", "b"])
-
-    return entries.repartition("s").sortWithinPartitions("s", "a", "b").mapInArrow(tidy(run), "s long, a long, b long")
-
-
-def _pairs(columns: DataFrame, percent: int, star: int | None) -> DataFrame:
-    """Pairs that may be alike enough, of rows (s, key, n, label, profile, head) in one column and with unlike labels. ``star``: only
-    with one row of the column, chosen by a hash of the key, the column and the number of the round. A pair whose heads share an earlier shingle is left to that column."""
-
-    def block(x: dict, y: dict, s: np.uint64, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        low, high = np.minimum(x["n"][:, None], y["n"][None, :]), np.maximum(x["n"][:, None], y["n"][None, :])
-        good = (100 * low >= percent * high) & (x["label"][:, None] != y["label"][None, :])
-        if same:
-            good &= np.arange(len(x["n"]))[:, None] < np.arange(len(y["n"]))[None, :]
-        i, j = np.nonzero(good)
-        for k in range(0, len(i), 65_536):
-            ii, jj = i[k : k + 65_536], j[k : k + 65_536]
-            apart = np.abs(x["profile"][ii] - y["profile"][jj]).sum(axis=1, dtype=np.int64)
-            # alike enough means a symmetric difference of at most (100 - t) / (100 + t) of both sizes together
-            fine = (100 + percent) * apart <= (100 - percent) * (x["n"][ii] + y["n"][jj])
-            ii, jj = ii[fine], jj[fine]
-            hx, hy = x["head"][ii], y["head"][jj]
-            # a common head shingle that stands before s in both heads
-            before_x, before_y = np.cumsum(hx == s, axis=1) == 0, np.cumsum(hy == s, axis=1) == 0
-            met = ((hx[:, :, None] == hy[:, None, :]) & (hx != 0)[:, :, None] & before_x[:, :, None] & before_y[:, None, :]).any(axis=(1, 2))
-            yield x["key"][ii[~met]], y["key"][jj[~met]]
+
+def _profiles(table: pa.Table, at: int) -> np.ndarray:
+    words = np.stack([table.column(at + i).to_numpy() for i in range(len(PROFILE))], axis=1)
+    return np.ascontiguousarray(words).view(np.uint8).astype(np.int16)
+
+
+def _alive(columns: DataFrame, percent: int) -> DataFrame:
+    """The entries whose column has another row with a chance, by size and profile; ``c`` is how many the column has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
-            s, key, n, label = (table.column(i).to_numpy() for i in range(4))
-            rows = {"key": key, "n": n, "label": label}
-            for i, (name, kind) in enumerate((("profile", np.uint8), ("head", np.uint64))):
-                rows[name] = np.frombuffer(b"".join(table.column(4 + i).to_pylist()), dtype=kind).reshape(len(s), -1)
-            rows["profile"] = rows["profile"].astype(np.int16)
+            s, a, size = (table.column(i).to_numpy() for i in range(3))
+            n, profile = size.astype(np.int64), _profiles(table, 3)
+            alive = np.zeros(len(s), dtype=bool)
+            for gap in range(1, 9):  # rows come in the order of their sizes
+                x = np.flatnonzero(s[gap:] == s[:-gap])
+                if not len(x):
+                    break
+                x = x[~(alive[x] & alive[x + gap])]
+                good = _near(profile, n, x, x + gap, percent)
+                alive[x[good]] = alive[x[good] + gap] = True
             cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True])))
-            left, right = [], []
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a < 2 or (label[a:b] == label[a]).all():
+            for k in np.flatnonzero(np.diff(cuts) > 9):
+                i, j = cuts[k], cuts[k + 1]
+                dead = i + np.flatnonzero(~alive[i:j])
+                if len(dead) * int(j - i) > MOST_TESTS:  # an entry too many loses nothing
+                    alive[i:j] = True
                     continue
-                one = np.int64(s[a]).view(np.uint64)
-                if star is not None:
-                    spread = mix(key[a:b].astype(np.uint64) ^ (one * np.uint64(star)))
-                    p = a + int(np.argmin(spread))
-                    todo = [(p, p + 1, c, min(c + 4096, b), False) for c in range(a, b, 4096)]
-                else:
-                    todo = [(c, min(c + 512, b), d, min(d + 512, b), c == d) for c in range(a, b, 512) for d in range(c, b, 512)]
-                for a1, b1, a2, b2, same in todo:
-                    x, y = ({k: v[lo:hi] for k, v in rows.items()} for lo, hi in ((a1, b1), (a2, b2)))
-                    for u, v in block(x, y, one, same):
-                        left.append(np.minimum(u, v))
-                        right.append(np.maximum(u, v))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["u", "v"])
-
-    dealt = columns.select("s", "key", "n", "label", "profile", "head").repartition("s").sortWithinPartitions("s", "n", "key")
-    return dealt.mapInArrow(tidy(run), "u long, v long").filter("u <> v").distinct()
+                for x in dead:
+                    low, high = i + np.searchsorted(n[i:j], [(percent * n[x] + 99) // 100, 100 * n[x] // percent + 1])
+                    y = np.arange(low, high)
+                    y = y[y != x]
+                    if _near(profile, n, np.full(len(y), x), y, percent).any():
+                        alive[x] = True
+            c = np.repeat(np.add.reduceat(alive, cuts[:-1], dtype=np.int64), np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(x[alive]) for x in (s, a, size, c)], names=["s", "id", "n", "c"])
+
+    return columns.select("s", "id", "n", *PROFILE).repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(tidy(run), "s long, id long, n int, c long")
 
 
 def rows_of(documents: DataFrame, ids: DataFrame, column: str = "key") -> DataFrame:
-    """The documents whose key is among ``ids`` (stored). Up to a million ids are broadcast; more are joined by exchange."""
+    """The documents whose key is among ``ids`` (stored). Few ids are broadcast; more are joined by exchange."""
     few = ids.count() <= SMALL_IDS
     return documents.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
-def _linked(documents: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold; overlaps are counted from the texts."""
-    pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "ids")
-    texts = stored(rows_of(documents.select("key", "text").filter("key is not null"), ids), "texts")
+def _sets(documents: DataFrame, words: int, salt: int) -> DataFrame:
+    """``id`` and ``set`` (its shingles as bytes) of each row. Repeated sets of a worker count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    one = texts.groupBy("key").agg(F.min("text").alias("text"))  # a repeated key: any of its rows was described by its smallest text
-    joined = pairs.join(one.select(F.col("key").alias("u"), F.col("text").alias("tu")), "u").join(one.select(F.col("key").alias("v"), F.col("text").alias("tv")), "v")
-    return joined.select("u", "v", "tu", "tv").mapInArrow(tidy(run), "u long, v long")
-
-
-def _labelled(rows: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Rows with ``label``: their component as far as it is known, else their key."""
-    if components is None:
-        return rows.withColumn("label", F.col("key"))
-    return rows.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-
-
-def _matrix(documents: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rows (key, text); their set sizes and identities; the classes of equal sets; the entries of the matrix with their rows' descriptions."""
-    spark: SparkSession = documents.sparkSession
-    text_batches(spark)
-    rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    survey = stored(_survey(rows, words), "survey")
-    signed = survey.filter("kind = 0").select("key", "n", "a", "b")
-    classes = stored(signed.filter("n > 0 and key is not null").groupBy("a", "b").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
-    common = survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(COMMON)
-    order = Order([(r["a"], r["c"]) for r in common.collect()])
-    shared = _shared_columns(_entries(rows.filter("key is not null"), order, words, percent))
-    columns = stored(shared.join(classes.select("a", "b", F.col("rep").alias("key")), ["a", "b"]).select("s", "key"), "columns")
-    wanted = stored(columns.select("key").distinct(), "wanted")
-    described = stored(_described(rows_of(rows.filter("key is not null"), wanted), order, words, percent).dropDuplicates(["key"]), "described")
-    full = columns.join(described, "key")
-    return rows, signed, classes, full
-
-
-def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90, stars: int = 1) -> DataFrame:
+            ids, sets = [], []
+            for s in shingle_sets(batch.column(0), words):
+                own = _identity(s, salt)[0]
+                if own not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add(own)
+                    ids.append(own)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return documents.select("text").mapInArrow(tidy(run), "id long, set binary")
+
+
+def overlaps(first: np.ndarray, n: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The product of blocks with their transposes: pairs of rows with a common shingle, and how many they share. Block i has the
+    rows ``first[i]:first[i + 1]``; ``value`` has their sets, one after the other, of the sizes ``n``."""
+    m = np.diff(first)
+    base = np.concatenate(([0], np.cumsum(m * m)))
+    block = np.repeat(np.arange(len(m)), m)
+    local = np.arange(len(n)) - first[:-1][block]
+    owner = np.repeat(np.arange(len(n)), n)
+    column = value ^ mix(np.arange(1, len(m) + 1, dtype=np.uint64))[block[owner]]
+    by = np.argsort(column)
+    column, owner = column[by], owner[by]
+    start = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1]))) if len(column) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(column)))
+    count = np.zeros(base[-1], dtype=np.int32)
+    for size in range(2, LONG + 1):
+        at = start[length == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, 2_000_000 // len(i))
+        for k in range(0, len(at), step):
+            rows = np.sort(owner[at[k : k + step, None] + np.arange(size)], axis=1)
+            u = block[rows[:, 0]]
+            np.add.at(count, (base[u][:, None] + local[rows[:, i]] * m[u][:, None] + local[rows[:, j]]).ravel(), 1)
+    at = np.flatnonzero(length > LONG)
+    place = block[owner[start[at]]] if len(at) else at
+    for u in np.unique(place):
+        mine = at[place == u]
+        total = np.zeros((m[u], m[u]), dtype=np.float32)
+        for k in range(0, len(mine), TILE):
+            part = mine[k : k + TILE]
+            tile = np.zeros((m[u], len(part)), dtype=np.float32)
+            for c, (a, b) in enumerate(zip(start[part].tolist(), (start[part] + length[part]).tolist())):
+                tile[local[owner[a:b]], c] = 1
+            total += tile @ tile.T
+        count[base[u] : base[u + 1]] += np.triu(total, 1).astype(np.int32).ravel()
+    code = np.flatnonzero(count)
+    u = np.searchsorted(base, code, side="right") - 1
+    return first[u] + (code - base[u]) // m[u], first[u] + (code - base[u]) % m[u], count[code]
+
+
+def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place connected with each of ``size`` places by links i - j."""
+    label = np.arange(size)
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _product(blocks: DataFrame, sets: DataFrame, percent: int, all_links: bool) -> DataFrame:
+    """Links (``u``, ``v``) within blocks (rows ``unit``, ``id``, ``n``): all of them, or a spanning forest of each block's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, UNIT_ENTRIES // 2, weight=2):
+            unit, a, n = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
+            room = np.cumsum(np.diff(cuts) ** 2)
+            k = 0
+            while k < len(cuts) - 1:  # accumulators of some MB at a time
+                stop = max(k + 1, int(np.searchsorted(room, (room[k - 1] if k else 0) + (1 << 23), side="right")))
+                x, y = cuts[k], cuts[stop]
+                value = np.frombuffer(b"".join(table.column(3).slice(x, y - x).to_pylist()), dtype=np.uint64)
+                size = n[x:y]
+                i, j, both = overlaps(cuts[k : stop + 1] - x, size, value)
+                fine = (100 + percent) * both.astype(np.int64) >= percent * (size[i] + size[j])
+                i, j, own = i[fine], j[fine], a[x:y]
+                if not all_links:
+                    root = forest(len(size), i, j)
+                    i = np.flatnonzero(root != np.arange(len(root)))
+                    j = root[i]
+                u, v = own[i], own[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+                k = stop
+
+    whole = blocks.join(sets, "id").select("unit", "id", "n", "set")
+    return whole.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(tidy(run), "u long, v long").filter("u <> v").distinct()
+
+
+def _parts(entries: Column, rows: Column) -> Column:
+    return F.greatest(F.ceil(entries / UNIT_ENTRIES), F.ceil(rows / UNIT_ROWS)).cast("int")
+
+
+def _homes(entries: DataFrame, turn: int, blocks: int) -> DataFrame:
+    """``id``, ``n`` and the row's blocks ``units``: by its least columns by some hashes, the first by its longest column."""
+    by = [F.max(F.least("c", F.lit(1 << 20)) * (1 << 40) + F.shiftrightunsigned(F.xxhash64("s"), 24)).alias("h0")] + [F.min(F.xxhash64(F.lit(turn), F.lit(k), "s")).alias(f"h{k}") for k in range(1, blocks)]
+    homes = entries.groupBy("id").agg(F.max("n").alias("n"), *by)
+    dealt = homes.select("id", "n", F.posexplode(F.array(*(F.col(f"h{k}") for k in range(blocks)))).alias("k", "h")).select("id", "n", "k", F.xxhash64(F.lit(turn), "k", "h").alias("home"))
+    weights = dealt.groupBy("home").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1").select("home", "m", _parts(F.col("w"), F.col("m")).alias("g"))
+    placed = lookup_join(dealt, weights, "home", "m", spread=F.xxhash64("id", "k"))
+    unit = F.when(F.col("g") > 1, F.xxhash64("home", F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("g")))).when(F.col("g") == 1, F.col("home"))
+    return placed.select("id", "n", "k", unit.alias("unit"))
+
+
+def _unmet(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, units: DataFrame, percent: int) -> DataFrame:
+    """The entries whose column has another row with a chance, of another component, that shared no block yet."""
+    own = entries.select("s", "id", "n", "c")
+    if labels is None:
+        marked = own.withColumn("label", F.col("id"))
+    else:
+        marked = own.join(labels.withColumnRenamed("node", "id"), "id", "left").select("s", "id", "n", "c", F.coalesce("root", "id").alias("label"))
+        mixed = marked.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("s")
+        marked = marked.join(mixed, "s", "left_semi")
+    known = classes.select("id", *PROFILE).join(units.groupBy("id").agg(F.array_sort(F.collect_list(F.coalesce("unit", F.xxhash64("id", "k")))).alias("units")), "id")
+    full = marked.join(known, "id").select("s", "id", "n", "c", "label", "units", *PROFILE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            s, a, size, c, label = (table.column(i).to_numpy() for i in range(5))
+            met = np.asarray(table.column(5).combine_chunks().flatten()).reshape(len(s), -1)
+            n, profile = size.astype(np.int64), _profiles(table, 6)
+            keep = np.zeros(len(s), dtype=bool)
+            cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True])))
+            for i, j in zip(cuts, cuts[1:]):
+                if (label[i:j] == label[i]).all():
+                    continue
+                if (j - i) ** 2 > MOST_TESTS:  # entries too many lose nothing
+                    keep[i:j] = True
+                    continue
+                for x0 in range(i, j, 512):
+                    x1 = min(j, x0 + 512)
+                    apart = label[x0:x1, None] != label[None, i:j]
+                    for k in range(met.shape[1]):
+                        apart &= met[x0:x1, k, None] != met[None, i:j, k]
+                    x, y = np.nonzero(apart)
+                    x, y = x + x0, y + i
+                    todo = ~(keep[x] & keep[y])
+                    x, y = x[todo], y[todo]
+                    good = _near(profile, n, x, y, percent)
+                    keep[x[good]] = keep[y[good]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, a, size, c)], names=["s", "id", "n", "c"])
+
+    return full.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(tidy(run), "s long, id long, n int, c long")
+
+
+def _by_column(entries: DataFrame) -> DataFrame:
+    """A block for each column; for a column of several parts, one for every two of its parts."""
+    weights = entries.groupBy("s").agg(F.sum("n").alias("w"), F.count("*").alias("m")).select("s", "m", _parts(F.col("w"), F.col("m")).alias("g"))
+    placed = lookup_join(entries.select("s", "id", "n"), weights, "s", "m", spread=F.xxhash64("id")).withColumn("p", F.pmod(F.xxhash64("id"), F.col("g")))
+    others = placed.select("s", "id", "n", "p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q"))
+    return others.select(F.xxhash64("s", F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "id", "n")
+
+
+class _Matrix:
+    """What both joins start from: the rows, their sets' sizes and identities, and the classes of equal sets."""
+
+    def __init__(self, documents: DataFrame, key: str, text: str, words: int, percent: int):
+        self.spark, self.words, self.percent, self.salt = documents.sparkSession, words, percent, 0
+        text_batches(self.spark)
+        body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        self.rows = documents.select(F.col(key).cast("long").alias("key"), F.xxhash64(body).alias("mark"), body.alias("text"))
+        while True:  # two sets with one hash of 64 bits: never yet, but the second hash shows it, and another salt parts them
+            self.survey = stored(_survey(self.rows, words, self.salt), "survey")
+            self.signed = self.survey.filter("kind = 0").select("key", "mark", "n", "a")
+            profile = [F.max(p).alias(p) for p in PROFILE]
+            grouped = self.survey.filter("kind = 0 and n > 0 and key is not null").groupBy(F.col("a").alias("id"))
+            self.classes = stored(grouped.agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.min("b").alias("x"), F.max("b").alias("y"), *profile), "classes")
+            if self.classes.filter("x <> y").isEmpty():
+                break
+            discard(self.spark, self.survey, self.classes)
+            self.salt += 1
+
+    def links(self, all_links: bool) -> DataFrame:
+        """Links between classes (stored): all, or enough to connect what is linked."""
+        common = self.survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(COMMON)
+        order = Order([(r["a"], r["c"]) for r in common.collect()])
+        keyed = self.rows.filter("key is not null")
+        columns = stored(_shared_columns(_entries(keyed, order, self.words, self.percent, self.salt), self.percent), "columns")
+        entries = stored(_alive(columns.join(self.classes.select("id", *PROFILE), "id"), self.percent), "alive")
+        discard(self.spark, columns)
+        wanted = stored(entries.select("id").distinct().join(self.classes.select("id", "rep"), "id").select(F.col("rep").alias("key")).distinct(), "wanted")
+        sets = stored(_sets(rows_of(keyed, wanted), self.words, self.salt), "sets")
+        links: DataFrame | None = None
+        labels: DataFrame | None = None
+        units: DataFrame | None = None
+        scratch = [wanted, sets, entries]
+        for turn in range(len(TURNS) + 1):
+            last = turn == len(TURNS)
+            if not last:
+                homes = stored(_homes(entries, turn, TURNS[turn]), "homes")
+                scratch.append(homes)
+                blocks = homes.filter("unit is not null").select("unit", "id", "n")
+                met = homes.select("id", (F.col("k") + 100 * turn).alias("k"), "unit")
+                if units is not None:  # of rows that are left, with their earlier blocks
+                    met = met.unionByName(units.join(homes.select("id").distinct(), "id", "left_semi"))
+                units = met
+            else:
+                blocks = _by_column(entries)
+            found = stored(_product(blocks, sets, self.percent, all_links), "links")
+            both = found if links is None else links.unionByName(found)
+            if all_links:
+                links = both
+            else:
+                links = labels = stored(connected_components(both), "components").select(F.col("node").alias("u"), F.col("root").alias("v"))
+                labels = labels.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            if last:
+                break
+            entries = stored(_unmet(entries, self.classes, labels, units, self.percent), "unmet")
+            scratch.append(entries)
+            if entries.isEmpty():
+                break
+        if all_links:
+            links = stored(links.distinct(), "links")
+        discard(self.spark, *scratch)
+        return links
+
+
+def _answered(matrix: _Matrix, known: DataFrame) -> DataFrame:
+    """The rows with what is known of their class (``id``, ``copies`` and more)."""
+    signed = matrix.signed.withColumn("id", F.when(F.col("n") > 0, F.col("a")))
+    return lookup_join(signed, known, "id", "copies", spread=F.xxhash64("key", "mark"))
+
+
+def _components(documents: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """``key``, ``mark``, ``n`` and ``component_id`` of each row."""
+    matrix = _Matrix(documents, key, text, words, percent)
+    roots = matrix.links(all_links=False)
+    members = roots.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    members = stored(members.join(matrix.classes.select("id", "rep"), "id"), "members")
+    least = members.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = matrix.classes.select("id", "rep", "copies").join(members.join(least, "root").select("id", "component_id"), "id", "left").select("id", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    return _answered(matrix, known).select("key", "mark", "n", F.coalesce("component_id", "key").alias("component_id"))
+
+
+def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row. Documents link when 100
-    times the intersection of their shingle sets is at least ``percent`` times the union. ``stars`` is the number of products
-    with one row of each column before the full one: more of them pay where groups of near copies are large and loose."""
-    rows, signed, classes, full = _matrix(documents, key, text, words, percent)
-    first, joined = None, None
-    for turn in range(stars):
-        found = stored(_linked(rows, _pairs(_labelled(full, joined), percent, star=turn), words, percent), "links")
-        first = found if first is None else first.unionByName(found)
-        joined = stored(connected_components(first), "components")
-    second = stored(_linked(rows, _pairs(_labelled(full, joined), percent, star=None), words, percent), "links")
-    roots = connected_components(second if first is None else first.unionByName(second))
-    known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(F.struct("a", "b").alias("set"), "copies", F.coalesce("root", "rep").alias("component_id"))
-    answered = lookup_join(signed.withColumn("set", F.when(F.col("n") > 0, F.struct("a", "b"))), known, "set", "copies", spread=F.xxhash64("key", "a"))
-    return answered.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    times the intersection of their shingle sets is at least ``percent`` times the union."""
+    return _components(documents, key, text, words, percent).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def jaccard_links(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """The whole join. Pairs: ``class_id`` and ``other_id`` (the smaller first) of all classes of equal sets that link. Members: ``key``,
     ``n_shingles``, ``class_id`` (the smallest key with the same set; a row that links with nothing has its own) and ``n_links``,
-    how many other rows a row links with, those of equal sets included. Keys must name one text each."""
-    rows, signed, classes, full = _matrix(documents, key, text, words, percent)
-    pairs = stored(_linked(rows, _pairs(_labelled(full, None), percent, star=None), words, percent), "links")
-    ends = pairs.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("u").alias("other")))
-    around = ends.join(classes.select(F.col("rep").alias("other"), F.col("copies").alias("m")), "other").groupBy("rep").agg(F.sum("m").alias("around"))
-    known = classes.join(around, "rep", "left").select(F.struct("a", "b").alias("set"), "copies", F.col("rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
-    linking = F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.struct("a", "b"))
-    answered = lookup_join(signed.withColumn("set", linking), known, "set", "copies", spread=F.xxhash64("key", "a"))
-    members = answered.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return pairs.select(F.col("u").alias("class_id"), F.col("v").alias("other_id")), members
-
-
-def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
-    """The rows of ``documents`` whose key is the smallest of its component. Only the keys to drop are joined with the rows."""
-    found = jaccard_components(documents, key, text, words, percent, stars)
-    gone = stored(found.filter(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
-    return documents.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, key, "left_anti")
+    how many other rows a row links with, those of equal sets included. Classes whose rows share their smallest key share its id."""
+    matrix = _Matrix(documents, key, text, words, percent)
+    pairs, classes = matrix.links(all_links=True), matrix.classes.select("id", "rep", "copies")
+    ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("id"), F.col("u").alias("other")))
+    around = ends.join(classes.select(F.col("id").alias("other"), F.col("copies").alias("m")), "other").groupBy("id").agg(F.sum("m").alias("around"))
+    known = classes.join(around, "id", "left").select("id", "copies", F.col("rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
+    links = F.when(F.col("key").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
+    members = _answered(matrix, known).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("class_id", "key")).alias("class_id"), links.alias("n_links"))
+    named = classes.select("id", "rep")
+    pairs = pairs.join(named.select(F.col("id").alias("u"), F.col("rep").alias("x")), "u").join(named.select(F.col("id").alias("v"), F.col("rep").alias("y")), "v")
+    return pairs.select(F.least("x", "y").alias("class_id"), F.greatest("x", "y").alias("other_id")), members
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` whose key is the smallest of its component. Only what is to go is joined with the rows. Rows that
+    repeat both key and text stay or go together; rows without a key stay."""
+    found = _components(documents, key, text, words, percent)
+    gone = stored(found.filter("component_id < key").select(F.col("key").alias("_gone_key"), F.col("mark").alias("_gone_mark")).distinct(), "gone")
+    body = F.coalesce(documents[text].cast("string"), F.lit(""))
+    same = (documents[key].cast("long") == F.col("_gone_key")) & (F.xxhash64(body) == F.col("_gone_mark"))
+    return documents.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, same, "left_anti")
