@@ -29,3 +29,55 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread
     joined = salted.join(rest, (F.col("k") == F.col("rk")) & (F.col("ls") == F.col("rs")), "left")
     found = F.coalesce("hv", "rv")
     return joined.select(*own, *(found[c].alias(c) for c in values))
+
+
+#: Keys that are broadcast as they are: rows of a few numbers, 5 MB at most.
+FEW = 100_000
+#: A blocked Bloom filter has so many bitmaps of 4 kB (8 MB in all, whatever the tables' sizes).
+_MAPS = 2048
+_BITS = 32_768
+
+
+def _filtered(left: DataFrame, keys: list[Column], ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``left`` as a struct ``l`` beside its keys, and the same with ``hit``, whether a Bloom filter of ``ids`` may hold the row's keys."""
+
+    def places(own: list[Column]) -> tuple[Column, list[Column]]:
+        return F.pmod(F.xxhash64(F.lit(0), *own), F.lit(_MAPS)), [F.pmod(F.xxhash64(F.lit(i), *own), F.lit(_BITS)) for i in (1, 2, 3)]
+
+    bucket, bits = places([F.col(c) for c in ids.columns])
+    marked = ids.select(bucket.alias("b"), F.explode(F.array(*bits)).alias("bit")).distinct().repartition("b")
+    maps = marked.groupBy("b").agg(F.bitmap_construct_agg("bit").alias("map"))
+    packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    bucket, bits = places([F.col(f"k{i}") for i in range(len(keys))])
+    joined = packed.withColumn("at", bucket).join(F.broadcast(maps), F.col("at") == F.col("b"), "left")
+    hit = F.col("map").isNotNull()
+    for bit in bits:
+        byte = F.conv(F.hex(F.substring("map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = hit & (F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1)
+    return packed, joined.withColumn("hit", F.coalesce(hit, F.lit(False)))
+
+
+def _matched(packed: DataFrame, ids: DataFrame, how: str, small: bool) -> DataFrame:
+    named = ids.select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(ids.columns)))
+    same = F.lit(True)
+    for i in range(len(ids.columns)):
+        same = same & (F.col(f"k{i}") == F.col(f"r{i}"))
+    return packed.join(F.broadcast(named) if small else named, same, how).select("l.*")
+
+
+def semi_join(left: DataFrame, keys: list[Column], ids: DataFrame) -> DataFrame:
+    """Rows of ``left`` whose ``keys`` are a row of ``ids`` (written already; counted here). Up to ``FEW`` ids are broadcast. Beyond,
+    a Bloom filter of fixed size is, and only rows that pass it are exchanged: the long rows of ``left`` mostly stay where they are."""
+    if ids.count() <= FEW:
+        packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+        return _matched(packed, ids, "left_semi", True)
+    return _matched(_filtered(left, keys, ids)[1].filter("hit"), ids, "left_semi", False)
+
+
+def anti_join(left: DataFrame, keys: list[Column], ids: DataFrame) -> DataFrame:
+    """Rows of ``left`` whose ``keys`` are no row of ``ids``, in the way of ``semi_join``."""
+    if ids.count() <= FEW:
+        packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+        return _matched(packed, ids, "left_anti", True)
+    marked = _filtered(left, keys, ids)[1]
+    return _matched(marked.filter("hit"), ids, "left_anti", False).unionByName(marked.filter("not hit").select("l.*"))

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators.retrieve import search_many
-from tesserae.operators.skew import lookup_join
-from tesserae.session import discard, stored, text_batches
+from tesserae.operators import skew
+from tesserae.operators.skew import anti_join, lookup_join, semi_join
+from tesserae.session import discard, free_name, shared_dir, stored, text_batches
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -82,12 +83,73 @@ def test_stored_rows_can_be_discarded(spark):
 
 
 def test_text_batches_only_lowers(spark):
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, "100")
     text_batches(spark)
     assert spark.conf.get(name) == "100"
-    spark.conf.set(name, "10000")
+    spark.conf.set(name, "64m")
     text_batches(spark)
-    assert spark.conf.get(name) == "500"
+    assert spark.conf.get(name) == str(4 << 20)
     spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("few", [100, 3])  # broadcast as they are, and through the filter
+def test_semi_and_anti_join(spark, monkeypatch, few):
+    monkeypatch.setattr(skew, "FEW", few)
+    rows = [(i, None if i % 9 == 0 else f"t{i % 5}", i * 2, "l") for i in range(300)]
+    left = spark.createDataFrame(rows, "k0 int, l string, hit int, at string")
+    ids = stored(spark.createDataFrame([(i, f"t{i % 4}") for i in range(0, 300, 7)] + [(2, None)], "b int, map string"), "ids")
+    known = {(i, f"t{i % 4}") for i in range(0, 300, 7)}
+    got = semi_join(left, [F.col("k0"), F.col("l")], ids)
+    assert got.columns == left.columns and {tuple(r) for r in got.collect()} == {r for r in rows if r[:2] in known}
+    rest = anti_join(left, [F.col("k0"), F.col("l")], ids)
+    assert {tuple(r) for r in rest.collect()} == {r for r in rows if r[:2] not in known}
+    none = stored(ids.limit(0), "none")
+    assert semi_join(left, [F.col("k0"), F.col("l")], none).count() == 0 and anti_join(left, [F.col("k0"), F.col("l")], none).count() == 300
+
+
+def test_lookup_join_with_names_of_its_own(spark):
+    left = spark.createDataFrame([(1, "a", 2, 3), (5, "b", 2, 3)], "hk int, rv string, ls int, l int")
+    right = spark.createDataFrame([(1, 1, "x")], "hk int, n int, hv string")
+    assert sorted(map(tuple, lookup_join(left, right, "hk", "n", spread=F.col("ls")).collect())) == [(1, "a", 2, 3, "x"), (5, "b", 2, 3, None)]
+    assert free_name(left, "L") == "_L" and free_name(left, "x") == "x"
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class Context:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class Option:
+                                @staticmethod
+                                def isDefined():
+                                    return False
+
+                            return Option
+
+                    return Context
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+
+
+def test_entry_works_without_a_package_that_the_optional_parts_need(tmp_path):
+    shutil.copytree(ROOT / "tesserae", tmp_path / "tesserae", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("public_tokenizers", "zstandard"):
+        (tmp_path / f"{name}.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
