@@ -28,7 +28,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new, found = settle(small.unionByName(lower.select("u", F.col("m").alias("v"))))
         done = found == state
-        discard(old.sparkSession, old)
+        discard(old.sparkSession, old, sweep=False)
         old, state = new, found
         if done:
             break

@@ -4,18 +4,20 @@ Documents are rows and word n-grams (shingles) columns of an incidence matrix; o
 transpose. Rows with equal sets are one row, the *class*; everything below works on classes.
 
 1. Two sets alike enough share one of the first ``n - ceil(t * n) + 1`` shingles of either in any common order. Only these
-   entries are exchanged; the order puts frequent shingles last, so the columns that are left are short. Entries whose
+   entries are exchanged. The order puts frequent shingles last, and before them those that turn out, in a first run over the
+   entries, to be in several rows; so unlike rows share few columns, and columns are short. Entries whose
    column has no other row of a fitting size, or none whose counts of shingles in 64 ranges leave the threshold possible, go.
 2. The rows that are left come with their whole sets into blocks: a block gathers the rows that agree on the least of their
    columns by some hash (and, for one of the blocks of each row, on its longest column), so near copies meet whatever
    columns they lost. A block's product accumulates the overlap count of every two of its rows over all columns, short
    columns by their pairs and long ones as dense tiles; counts below the bound that the two sizes give are discarded. The
    links that remain are joined in the worker, which emits one row for each row of the block at most: a spanning forest.
-3. Rows of one column that met in no block and aren't connected yet are gathered again, in more blocks, and at last column by
-   column. So no link is lost, groups of near copies cost about their size, and nothing is emitted by pairs.
+3. What is left are rows of one column that met in no block and aren't connected yet. They are gathered once more, so that each
+   two of them meet: all rows that such columns hold together make one block, or each column does, whichever moves less.
+   So no link is lost, groups of near copies cost about their size, and nothing is emitted by pairs.
 
-Blocks hold about ``UNIT_ENTRIES`` entries at most: larger ones are split by a salt, and a long column of step 3 into
-blocks for every two of its parts. ``jaccard_links`` runs the same product but emits all links between classes.
+Blocks hold about ``UNIT_ENTRIES`` entries at most: larger ones of step 2 are split by a salt, those of step 3 into
+blocks for every two of their parts. ``jaccard_links`` runs the same product but emits all links between classes.
 
 Defined results: sets are empty for null texts and texts without words, and link with nothing; a text of fewer words than
 ``n`` is its whole sequence. Rows that repeat a key are rows of their own: each links by its own text, and a component's id is
@@ -35,19 +37,17 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
 from tesserae.llm.wordhash import Words, buffers, mix, slices, tidy
-from tesserae.operators.skew import lookup_join
+from tesserae.operators.skew import anti_join, lookup_join, semi_join
 from tesserae.session import discard, stored, text_batches
 
 COMMON = 65_536
 RANGES = 64
 PROFILE = [f"p{i}" for i in range(RANGES // 8)]
-#: Rows of one or two numbers that may be broadcast: 5 MB at most.
-SMALL_IDS = 100_000
 #: A block's entries and rows, about.
 UNIT_ENTRIES = 1_000_000
 UNIT_ROWS = 2_048
-#: Blocks of each row in the first and in the second turn.
-TURNS = (2, 8)
+#: Blocks of each row in step 2.
+BLOCKS = 2
 #: Columns of more rows in a block are multiplied as dense tiles.
 LONG = 24
 TILE = 2_048
@@ -72,23 +72,29 @@ def _identity(s: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 class Order:
-    """A common order of shingles: those not known as frequent by hash, then the frequent ones by count and hash."""
+    """A common order of shingles: first those not known to be in several rows, by hash; then those that may be (``shared``, a
+    filter of one bit for a hash); then the frequent ones by count and hash."""
 
-    def __init__(self, common: list[tuple[int, int]]):
+    def __init__(self, common: list[tuple[int, int]], shared: np.ndarray | None = None):
         pairs = sorted(common)
         self.hashes = np.array([h for h, _ in pairs], dtype=np.int64).view(np.uint64)
         by = np.argsort(self.hashes)
-        self.hashes, self.counts = self.hashes[by], np.array([c for _, c in pairs], dtype=np.int64)[by]
+        self.hashes, self.counts = self.hashes[by], np.array([c for _, c in pairs], dtype=np.int64)[by] + 1
+        self.shared = shared
 
     def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
         n = len(s)
         length = n - (percent * n + 99) // 100 + 1
+        count = np.zeros(n, dtype=np.int64)
+        if self.shared is not None:
+            at = s & np.uint64(8 * len(self.shared) - 1)
+            count |= (self.shared[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
         if len(self.hashes):
             at = np.searchsorted(self.hashes, s)
             at[at == len(self.hashes)] = 0
-            count = np.where(self.hashes[at] == s, self.counts[at], 0)
-            if count.any():
-                s = s[np.argsort(count, kind="stable")]
+            count = np.where(self.hashes[at] == s, self.counts[at], count)
+        if count.any():
+            s = s[np.argsort(count, kind="stable")]
         return s[:length]
 
 
@@ -186,6 +192,18 @@ def _shared_columns(entries: DataFrame, percent: int) -> DataFrame:
     return entries.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(tidy(run), "s long, id long, n int")
 
 
+def _shared_bits(columns: DataFrame) -> np.ndarray:
+    """A filter with a bit set for each column: eight bits a column, from 128 kB to 32 MB in all."""
+    found = columns.select("s").distinct()
+    size = min(28, max(20, int(8 * found.count() - 1).bit_length()))
+    place = F.col("s").bitwiseAND(F.lit((1 << size) - 1))
+    parts = found.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit(32_767)).alias("bit")).distinct().repartition("part")
+    out = np.zeros(1 << (size - 3), dtype=np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000, weight: int | None = None) -> Iterator[pa.Table]:
     """Cuts rows sorted by their first column into tables of at least ``rows`` rows (or of so much in the column ``weight``) that split no group."""
     held: list[pa.RecordBatch] = []
@@ -260,12 +278,6 @@ def _alive(columns: DataFrame, percent: int) -> DataFrame:
     return columns.select("s", "id", "n", *PROFILE).repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(tidy(run), "s long, id long, n int, c long")
 
 
-def rows_of(documents: DataFrame, ids: DataFrame, column: str = "key") -> DataFrame:
-    """The documents whose key is among ``ids`` (stored). Few ids are broadcast; more are joined by exchange."""
-    few = ids.count() <= SMALL_IDS
-    return documents.join(F.broadcast(ids) if few else ids, column, "left_semi")
-
-
 def _sets(documents: DataFrame, words: int, salt: int) -> DataFrame:
     """``id`` and ``set`` (its shingles as bytes) of each row. Repeated sets of a worker count once."""
 
@@ -372,14 +384,15 @@ def _parts(entries: Column, rows: Column) -> Column:
     return F.greatest(F.ceil(entries / UNIT_ENTRIES), F.ceil(rows / UNIT_ROWS)).cast("int")
 
 
-def _homes(entries: DataFrame, turn: int, blocks: int) -> DataFrame:
-    """``id``, ``n`` and the row's blocks ``units``: by its least columns by some hashes, the first by its longest column."""
-    by = [F.max(F.least("c", F.lit(1 << 20)) * (1 << 40) + F.shiftrightunsigned(F.xxhash64("s"), 24)).alias("h0")] + [F.min(F.xxhash64(F.lit(turn), F.lit(k), "s")).alias(f"h{k}") for k in range(1, blocks)]
+def _homes(entries: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``k`` and ``unit``, the row's block of kind ``k`` (null if it has that block for itself): by its longest column, and by its
+    least columns by some hashes."""
+    by = [F.max(F.least("c", F.lit(1 << 20)) * (1 << 40) + F.shiftrightunsigned(F.xxhash64("s"), 24)).alias("h0")] + [F.min(F.xxhash64(F.lit(k), "s")).alias(f"h{k}") for k in range(1, BLOCKS)]
     homes = entries.groupBy("id").agg(F.max("n").alias("n"), *by)
-    dealt = homes.select("id", "n", F.posexplode(F.array(*(F.col(f"h{k}") for k in range(blocks)))).alias("k", "h")).select("id", "n", "k", F.xxhash64(F.lit(turn), "k", "h").alias("home"))
+    dealt = homes.select("id", "n", F.posexplode(F.array(*(F.col(f"h{k}") for k in range(BLOCKS)))).alias("k", "h")).select("id", "n", "k", F.xxhash64("k", "h").alias("home"))
     weights = dealt.groupBy("home").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1").select("home", "m", _parts(F.col("w"), F.col("m")).alias("g"))
     placed = lookup_join(dealt, weights, "home", "m", spread=F.xxhash64("id", "k"))
-    unit = F.when(F.col("g") > 1, F.xxhash64("home", F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("g")))).when(F.col("g") == 1, F.col("home"))
+    unit = F.when(F.col("g") > 1, F.xxhash64("home", F.pmod(F.xxhash64("k", "id"), F.col("g")))).when(F.col("g") == 1, F.col("home"))
     return placed.select("id", "n", "k", unit.alias("unit"))
 
 
@@ -424,12 +437,30 @@ def _unmet(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, uni
     return full.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(tidy(run), "s long, id long, n int, c long")
 
 
-def _by_column(entries: DataFrame) -> DataFrame:
-    """A block for each column; for a column of several parts, one for every two of its parts."""
-    weights = entries.groupBy("s").agg(F.sum("n").alias("w"), F.count("*").alias("m")).select("s", "m", _parts(F.col("w"), F.col("m")).alias("g"))
-    placed = lookup_join(entries.select("s", "id", "n"), weights, "s", "m", spread=F.xxhash64("id")).withColumn("p", F.pmod(F.xxhash64("id"), F.col("g")))
-    others = placed.select("s", "id", "n", "p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q"))
-    return others.select(F.xxhash64("s", F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "id", "n")
+def _last_blocks(entries: DataFrame) -> DataFrame:
+    """Blocks in which every two rows of a column meet. Columns that share rows hang together; where all rows of such a cluster, each
+    once, are fewer entries than those of its columns, the cluster is one block (or one for every two of its parts)."""
+    spark = entries.sparkSession
+    heads = entries.groupBy("s").agg(F.min("id").alias("v"))
+    roots = stored(connected_components(entries.select("s", F.col("id").alias("u")).join(heads, "s").select("u", "v").filter("u <> v").distinct()), "roots")
+    placed = stored(entries.join(roots.withColumnRenamed("node", "id"), "id", "left").select("s", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+    rows = stored(placed.select("root", "id", "n").distinct(), "rows")
+    whole = rows.groupBy("root").agg(F.sum("n").alias("w"), F.count("*").alias("m")).select("root", "m", "w", _parts(F.col("w"), F.col("m")).alias("g"))
+    columns = placed.groupBy("s", "root").agg(F.sum("n").alias("w"), F.count("*").alias("m")).select("s", "root", "m", "w", _parts(F.col("w"), F.col("m")).alias("g"))
+    moved = columns.groupBy("root").agg(F.sum(F.col("w") * F.col("g")).alias("moved"))
+    choice = stored(whole.join(moved, "root").select("root", "m", "g", (F.col("w") * F.col("g") <= F.col("moved")).alias("together")), "choice")
+
+    def cut(frame: DataFrame, by: str) -> DataFrame:
+        parted = frame.withColumn("p", F.pmod(F.xxhash64("id"), F.col("g")))
+        each = parted.select(by, "id", "n", "p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q"))
+        return each.select(F.xxhash64(F.lit(by), by, F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "id", "n")
+
+    together = lookup_join(rows, choice.filter("together").drop("together"), "root", "m", spread=F.col("id")).filter("g is not null")
+    apart = columns.join(choice.filter("not together").select("root"), "root", "left_semi").select("s", "m", "g")
+    single = lookup_join(placed.select("s", "id", "n"), apart, "s", "m", spread=F.col("id")).filter("g is not null")
+    blocks = stored(cut(together, "root").unionByName(cut(single, "s")), "blocks")
+    discard(spark, roots, placed, rows, choice, sweep=False)
+    return blocks
 
 
 class _Matrix:
@@ -454,46 +485,32 @@ class _Matrix:
     def links(self, all_links: bool) -> DataFrame:
         """Links between classes (stored): all, or enough to connect what is linked."""
         common = self.survey.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(COMMON)
-        order = Order([(r["a"], r["c"]) for r in common.collect()])
+        frequent = [(r["a"], r["c"]) for r in common.collect()]
         keyed = self.rows.filter("key is not null")
-        columns = stored(_shared_columns(_entries(keyed, order, self.words, self.percent, self.salt), self.percent), "columns")
+        columns, bits = None, None
+        for _ in range(2):  # the columns found first go to the end of the order: unlike rows meet in few of the second
+            if columns is not None:
+                bits = _shared_bits(columns)
+                discard(self.spark, columns)
+            columns = stored(_shared_columns(_entries(keyed, Order(frequent, bits), self.words, self.percent, self.salt), self.percent), "columns")
         entries = stored(_alive(columns.join(self.classes.select("id", *PROFILE), "id"), self.percent), "alive")
         discard(self.spark, columns)
         wanted = stored(entries.select("id").distinct().join(self.classes.select("id", "rep"), "id").select(F.col("rep").alias("key")).distinct(), "wanted")
-        sets = stored(_sets(rows_of(keyed, wanted), self.words, self.salt), "sets")
-        links: DataFrame | None = None
-        labels: DataFrame | None = None
-        units: DataFrame | None = None
-        scratch = [wanted, sets, entries]
-        for turn in range(len(TURNS) + 1):
-            last = turn == len(TURNS)
-            if not last:
-                homes = stored(_homes(entries, turn, TURNS[turn]), "homes")
-                scratch.append(homes)
-                blocks = homes.filter("unit is not null").select("unit", "id", "n")
-                met = homes.select("id", (F.col("k") + 100 * turn).alias("k"), "unit")
-                if units is not None:  # of rows that are left, with their earlier blocks
-                    met = met.unionByName(units.join(homes.select("id").distinct(), "id", "left_semi"))
-                units = met
-            else:
-                blocks = _by_column(entries)
-            found = stored(_product(blocks, sets, self.percent, all_links), "links")
-            both = found if links is None else links.unionByName(found)
+        sets = stored(_sets(semi_join(keyed, [F.col("key")], wanted), self.words, self.salt), "sets")
+        homes = stored(_homes(entries), "homes")
+        links = stored(_product(homes.filter("unit is not null").select("unit", "id", "n"), sets, self.percent, all_links), "links")
+        labels = None if all_links else stored(connected_components(links), "components")
+        left = stored(_unmet(entries, self.classes, labels, homes, self.percent), "unmet")
+        if not left.isEmpty():
+            blocks = _last_blocks(left)
+            more = stored(_product(blocks, sets, self.percent, all_links), "links")
+            discard(self.spark, blocks, sweep=False)
             if all_links:
-                links = both
+                links = stored(links.unionByName(more).distinct(), "links")
             else:
-                links = labels = stored(connected_components(both), "components").select(F.col("node").alias("u"), F.col("root").alias("v"))
-                labels = labels.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            if last:
-                break
-            entries = stored(_unmet(entries, self.classes, labels, units, self.percent), "unmet")
-            scratch.append(entries)
-            if entries.isEmpty():
-                break
-        if all_links:
-            links = stored(links.distinct(), "links")
-        discard(self.spark, *scratch)
-        return links
+                labels = stored(connected_components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "components")
+        discard(self.spark, wanted, sets, entries, homes, left)
+        return links if all_links else labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
 def _answered(matrix: _Matrix, known: DataFrame) -> DataFrame:
@@ -539,7 +556,5 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     """The rows of ``documents`` whose key is the smallest of its component. Only what is to go is joined with the rows. Rows that
     repeat both key and text stay or go together; rows without a key stay."""
     found = _components(documents, key, text, words, percent)
-    gone = stored(found.filter("component_id < key").select(F.col("key").alias("_gone_key"), F.col("mark").alias("_gone_mark")).distinct(), "gone")
-    body = F.coalesce(documents[text].cast("string"), F.lit(""))
-    same = (documents[key].cast("long") == F.col("_gone_key")) & (F.xxhash64(body) == F.col("_gone_mark"))
-    return documents.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, same, "left_anti")
+    gone = stored(found.filter("component_id < key").select("key", "mark").distinct(), "gone")
+    return anti_join(documents, [F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))], gone)
