@@ -1,5 +1,8 @@
-"""A compressed full-text index over sequences of symbols: suffix array, Burrows-Wheeler transform, and a wavelet matrix of
-packed bits with rank directories. All queries of a call advance together, one symbol a step."""
+"""A compressed full-text index over sequences of symbols: the Burrows-Wheeler transform in a wavelet matrix of packed bits with
+rank directories, and for each class of suffixes alike in ``depth`` symbols a bit at its first place and its least owner.
+
+The suffixes are sorted by their first symbols only, somewhat more than ``depth``: intervals of patterns of up to
+``depth`` + 1 symbols are the same as under a full sort. No suffix array is kept. All queries of a call advance together, one symbol a step."""
 
 from __future__ import annotations
 
@@ -24,6 +27,20 @@ class Bits:
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & low)
 
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th one, from 0."""
+        word = np.searchsorted(self.before, k, side="right") - 1
+        rest, bits = (k - self.before[word]).astype(np.int64), self.words[word]
+        place = word.astype(np.int64) * 64
+        for step in (32, 16, 8, 4, 2, 1):
+            low = bits & np.uint64((1 << step) - 1)
+            ones = np.bitwise_count(low).astype(np.int64)
+            far = rest >= ones
+            rest -= np.where(far, ones, 0)
+            place += np.where(far, step, 0)
+            bits = np.where(far, bits >> np.uint64(step), low)
+        return place
+
 
 class WaveletMatrix:
     def __init__(self, values: np.ndarray, symbols: int):
@@ -32,7 +49,7 @@ class WaveletMatrix:
             bit = (values >> shift) & 1 == 1
             self.levels.append((shift, Bits(bit), int(len(values) - bit.sum())))
             values = np.concatenate((values[~bit], values[bit]))
-        self.start = self._walk(np.arange(symbols), np.zeros(symbols, dtype=np.int64))
+        self.start = self._walk(np.arange(symbols), np.zeros(symbols, dtype=np.int64)).astype(np.int32)
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for shift, bits, zeros in self.levels:
@@ -46,10 +63,10 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """``text``: symbols from 1 up; ``first[i]:first[i + 1]`` is sequence i. Sequences end in terminators of their own, so nothing
-    matches across two of them. ``depth``: suffixes alike in so many symbols are one class (``class_of``, by suffix rank)."""
+    """``text``: symbols from 1 to ``symbols`` - 1; ``first[i]:first[i + 1]`` is sequence i, ``owner[i]`` its owner. Sequences end in
+    a terminator that no query holds, so nothing matches across two of them."""
 
-    def __init__(self, text: np.ndarray, first: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, first: np.ndarray, owner: np.ndarray, depth: int, symbols: int):
         count = len(first) - 1
         n = len(text) + count
         ends = first[1:] + np.arange(count)
@@ -57,67 +74,68 @@ class FmIndex:
         body = np.ones(n, dtype=bool)
         body[ends] = False
         joined[body] = text
-        self.first = first[:-1] + np.arange(count)
-        longest = int(np.diff(first).max(initial=0)) + 1
-        rank = joined + count
-        rank[ends] = np.arange(count)
-        span, kept = 1, {1: rank}
-        while span < longest:
+        # Ranks by the first ``span`` symbols: as many as a number holds, then twice as many each time.
+        width = int(symbols).bit_length()
+        span = min(62 // width, depth)
+        key = np.zeros(n, dtype=np.int64)
+        for i in range(span):
+            key[: n - i] |= joined[i:] << (width * (span - 1 - i))
+        half = at = None
+        while True:
+            suffixes = np.argsort(key)
+            ordered = key[suffixes]
+            rank = np.zeros(n, dtype=np.int64)
+            rank[suffixes[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
+            if span <= depth:
+                half, at = rank, span
+            if span > depth:
+                break
             after = np.full(n, -1, dtype=np.int64)
-            after[:-span] = rank[span:]
-            key = rank * (n + count + int(text.max(initial=0)) + 2) + after + 1
-            order = np.argsort(key, kind="stable")
-            new = np.zeros(n, dtype=np.int64)
-            new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-            rank, span = new, 2 * span
-            kept[span] = rank
-        self.suffixes = np.argsort(rank, kind="stable")
-        half = max(s for s in kept if s <= depth)
-        tail = np.minimum(self.suffixes + depth - half, n - 1)
-        a, b = kept[half][self.suffixes], kept[half][tail]
-        new_class = np.ones(n, dtype=bool)
-        new_class[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.class_of = np.cumsum(new_class) - 1
-        self.class_start = np.flatnonzero(new_class)
-        self.class_end = np.append(self.class_start[1:], n)
-        before = joined[self.suffixes - 1]
-        symbols = int(joined.max(initial=0)) + 1
-        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(joined, minlength=symbols))))
-        self.wavelet = WaveletMatrix(before, symbols)
+            after[: max(0, n - span)] = rank[span:]
+            key, span = rank * (n + 1) + after + 1, 2 * span
+        # ``half`` ranks by ``at`` symbols, which is at least half of ``depth`` and no more than it.
+        a, b = half[suffixes], half[np.minimum(suffixes + depth - at, n - 1)]
+        heads = np.ones(n, dtype=bool)
+        heads[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        who = owner[np.searchsorted(ends, suffixes)]
+        self.heads = Bits(heads)
+        self.least = np.minimum.reduceat(who, np.flatnonzero(heads)) if n else who
+        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(joined, minlength=symbols)))).astype(np.int64)
+        self.wavelet = WaveletMatrix(joined[suffixes - 1], symbols)
         self.size = n
+        self.classes = len(self.least)
+        self.depth = depth
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the suffixes that start with the symbol and go on as before."""
-        base = self.smaller[symbol]
-        return base + self.wavelet.rank(symbol, low), base + self.wavelet.rank(symbol, high)
+        k = len(symbol)
+        both = np.concatenate((symbol, symbol))
+        at = self.smaller[both] + self.wavelet.rank(both, np.concatenate((low, high)))
+        return at[:k], at[k:]
+
+    def interval(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a class."""
+        last = k + 1 == self.classes
+        return self.heads.select(k), np.where(last, self.size, self.heads.select(np.where(last, k, k + 1)))
 
-    def matching(self, text: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics cut at ``depth``, streamed from each query's end to its start. For the places where a match of
-        ``depth`` symbols starts, the place in ``text`` and the class of the match. Symbols must be known to the index;
-        a match that fails starts anew at the failing symbol."""
+    def matching(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics cut at ``depth`` of queries that are sequences of the index, streamed from their ends to their starts:
+        one step a symbol, as a sequence always matches itself. For the places where ``depth`` symbols start, the place in
+        ``text`` and the class of the match, that is the interval of its occurrences."""
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
         places, classes = [], []
         low, high = np.zeros(len(size), dtype=np.int64), np.full(len(size), self.size, dtype=np.int64)
-        length = np.zeros(len(size), dtype=np.int64)
         for step in range(int(size.max(initial=0))):
             live = order[: int(np.searchsorted(-size[order], -step, side="left"))]
             at = first[live + 1] - 1 - step
-            symbol = text[at]
-            a, b = self.extend(symbol, low[live], high[live])
-            lost = a >= b
-            if lost.any():
-                c = symbol[lost]
-                a[lost], b[lost] = self.smaller[c], self.smaller[c + 1]
-            grown = np.where(lost, 1, length[live] + 1)
-            full = grown >= depth
-            if full.any():
+            a, b = self.extend(text[at], low[live], high[live])
+            if step + 1 >= self.depth:
                 # Back to ``depth`` symbols: the parent interval is the class of any of its suffixes.
-                k = self.class_of[a[full]]
-                a[full], b[full] = self.class_start[k], self.class_end[k]
-                grown[full] = depth
-                places.append(at[full])
+                k = self.heads.rank(a + 1) - 1
+                a, b = self.interval(k)
+                places.append(at)
                 classes.append(k)
-            low[live], high[live], length[live] = a, b, grown
+            low[live], high[live] = a, b
         empty = np.zeros(0, dtype=np.int64)
         return (np.concatenate(places), np.concatenate(classes)) if places else (empty, empty)

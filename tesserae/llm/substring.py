@@ -1,13 +1,16 @@
 """Removal of passages that an earlier document has, by FM-indexes of shards.
 
 A window is ``window`` consecutive words. To bring equal windows together without comparing documents with each other,
-each window is filed under its anchor, the run of ``ANCHOR`` words in it with the lowest hash: equal windows have equal
-anchors, and consecutive windows mostly share theirs, so a document becomes a few runs of windows (``_runs``). Runs with
-the same words as a run of an earlier document are repeated as a whole. Of the others, only those count whose anchor
-occurs with other words in another document too; their words are gathered into shards of whole anchors, and each shard's
-FM-index gives their matching statistics: for every window the interval of its occurrences, hence their smallest document.
+each window is filed under its anchor, one of the runs of ``ANCHOR`` words in it: a rare one before a frequent one (as counted
+in a sample), then the one with the lowest hash. Equal windows have equal anchors, and consecutive windows mostly share
+theirs, so a document becomes a few runs of windows (``_runs``), and frequent phrases are anchors of frequent passages only.
 
-Documents with equal texts are settled first: all but the one with the smallest key are repeated from end to end.
+Equal rows are folded first: documents with equal texts into the one with the smallest key (the others are repeated from end
+to end), and runs with the same words into the earliest. An anchor that occurs in two documents sends its runs' words to a
+shard of whole anchors. The shard's runs are indexed, and streamed against the index by backward search: their matching
+statistics give for every window the interval of its occurrences, hence their smallest document. The answer holds for every
+run that was folded into the one that was asked. Anchors of more runs than a shard holds are cut into parts, with a shard
+for every two parts.
 
 Defined results: null texts have no words; a text of fewer words than a window keeps all; rows that repeat a key never
 take words from each other; rows without a key keep all their words.
@@ -24,16 +27,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tesserae.llm.fmindex import FmIndex
-from tesserae.llm.jaccard import SMALL_IDS, whole_groups
+from tesserae.llm.jaccard import whole_groups
 from tesserae.llm.wordhash import Words, _powers, buffers, mix, parts, slices, tidy, window_hash
-from tesserae.operators.skew import lookup_join
-from tesserae.session import stored, text_batches
+from tesserae.operators.skew import anti_join, lookup_join, semi_join
+from tesserae.session import discard, free_name, stored, text_batches
 
 WINDOW = 13
-ANCHOR = 3
+ANCHOR = 5
 WHOLE = -1  # stands for a span over the whole text
 SHARD_RUNS = 20_000
 HELD_RUNS = 200_000
+#: Runs of one anchor in a part.
+PART_RUNS = 50_000
+#: Phrases held as frequent, and the share of documents that they are counted in.
+COMMON = 65_536
+SAMPLED = 16
 
 
 def _mark(text: Column) -> Column:
@@ -46,10 +54,15 @@ def span(start, length):
     return start * 64 + length
 
 
-def find_runs(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows with one anchor: its hash, a hash of the run's words, the text, the first word, the windows."""
+def find_runs(words: Words, window: int, anchor: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows with one anchor: its hash, a hash of the run's words, the text, the first word, the windows.
+    ``common``: hashes of frequent phrases, ascending."""
     value = words.hashes()
-    grams = window_hash(value, anchor)
+    grams = window_hash(value, anchor) >> np.uint64(1)
+    if len(common) and len(grams):
+        at = np.searchsorted(common, grams)
+        at[at == len(common)] = 0
+        grams |= (common[at] == grams).astype(np.uint64) << np.uint64(63)
     per = window - anchor + 1
     none = np.zeros(0, dtype=np.int64)
     if len(grams) < per:
@@ -75,11 +88,37 @@ def find_runs(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nd
     return grams[best[head]], content, text, first - words.first[text], windows
 
 
-def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Runs of all documents. Kind 0: a worker has seen the same words in an earlier document, so this run is repeated whatever
-    the others have; it is filed under a hash of its own, which spreads it. Kind 1: the earliest that the worker has seen.
-    A passage that very many documents share so comes to few rows of kind 1."""
+def _common(rows: DataFrame, anchor: int) -> DataFrame:
+    """Hashes of phrases that a worker saw often among the texts ``sample``, with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def often() -> pa.RecordBatch:
+            value, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            keep = count > 2
+            return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep], pa.int64())], names=["h", "n"])
+
+        for batch in batches:
+            data, offsets = buffers(batch.column(0))
+            for i, j in slices(offsets):
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held.append(window_hash(words.hashes(), anchor) >> np.uint64(1))
+                size += len(held[-1])
+                if size > 4_000_000:
+                    yield often()
+                    held, size = [], 0
+        yield often()
+
+    return rows.select("sample").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON)
+
+
+def _runs(rows: DataFrame, window: int, anchor: int, common: np.ndarray) -> DataFrame:
+    """Runs of all documents. Kind 0: a worker has seen the same words in an earlier document, into which this run is folded.
+    Kind 1: the earliest that the worker has seen; ``m`` is how many it has folded into it. A passage that very many
+    documents share so comes to few rows of kind 1."""
     most = HELD_RUNS
+    shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         a, content, key, at = (np.concatenate(x) for x in zip(*held))
@@ -87,10 +126,11 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         a, content, key, at = a[order], content[order], key[order], at[order]
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[1:] != a[:-1]) | (content[1:] != content[:-1])
-        copied = key > key[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-        spread = mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64))
-        a = np.where(copied, spread, a)
-        return pa.RecordBatch.from_arrays([pa.array((~copied).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key), pa.array(at)], names=["kind", "a", "c", "key", "at"])
+        heads = np.flatnonzero(new)
+        copied = key > key[np.repeat(heads, np.diff(np.append(heads, len(a))))]
+        m = np.zeros(len(a), dtype=np.int64)
+        m[heads] = np.add.reduceat(copied, heads, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array((~copied).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key), pa.array(at), pa.array(m.astype(np.int32))], names=["kind", "a", "c", "key", "at", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -98,7 +138,7 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             key, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = buffers(batch.column(2))
             for i, j in slices(offsets):
-                a, content, text, first, windows = find_runs(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), window, anchor)
+                a, content, text, first, windows = find_runs(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), window, anchor, shared.value)
                 if not len(a):
                     continue
                 held.append([a, content, key[i:j][text], mark[i:j][text] << 39 | span(first, windows)])
@@ -109,67 +149,76 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return rows.select("key", "mark", "text").mapInArrow(tidy(run), "kind int, a long, c long, key long, at long")
+    return rows.select("key", "mark", "text").mapInArrow(tidy(run), "kind int, a long, c long, key long, at long, m int")
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
-    """Kind 0: runs whose words an earlier document has. Kind 1: the first with their words, where others of their anchor are in
-    other documents. Streams over the runs in the order of anchor, words and key; of a group it holds the first rows only."""
+    """Kind 0: runs folded into the earliest with their words. Kind 1: the others, where their anchor is in two documents.
+    Streams over the runs in the order of anchor, words and key; of an anchor it holds the runs of kind 1 only."""
+    names = ["kind", "a", "c", "key", "at", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # anchor, words and key of the group at hand
-        wait = [np.zeros(0, dtype=np.int64)] * 3  # first rows of the anchor at hand
+        wait = [np.zeros(0, dtype=np.int64)] * 5  # rows of the anchor at hand
+        folded = False  # whether it has others that were folded
 
-        def batch_of(kind: int, a: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(key), pa.array(at)], names=["kind", "a", "key", "at"])
+        def batch_of(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in columns)], names=names)
 
-        def mixed(a: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        def shared(rows: list[np.ndarray], more: np.ndarray) -> pa.RecordBatch:
+            """Of whole anchors: those with two documents. ``more``: anchors that have folded runs besides."""
+            a, _, key, _, m = rows
             cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, dtype=np.int64)
             if not len(cuts):
-                return batch_of(1, a, key, at)
-            differ = np.minimum.reduceat(key, cuts) < np.maximum.reduceat(key, cuts)
-            keep = np.repeat(differ, np.diff(np.append(cuts, len(a))))
-            return batch_of(1, a[keep], key[keep], at[keep])
+                return batch_of(1, *rows)
+            keep = (np.minimum.reduceat(key, cuts) < np.maximum.reduceat(key, cuts)) | (np.maximum.reduceat(m, cuts) > 0) | np.isin(a[cuts], more)
+            keep = np.repeat(keep, np.diff(np.append(cuts, len(a))))
+            return batch_of(1, *(x[keep] for x in rows))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind, a, c, key, at = (batch.column(i).to_numpy() for i in range(5))
+            kind, a, c, key, at, m = (batch.column(i).to_numpy() for i in range(6))
             known = int(np.searchsorted(kind, 1))
-            yield batch_of(0, a[:known], key[:known], at[:known])
+            yield batch_of(0, a[:known], c[:known], key[:known], at[:known], m[:known])
             if known == len(kind):
                 continue
-            a, c, key, at = (x[known:] for x in (a, c, key, at))
+            a, c, key, at, m = (x[known:] for x in (a, c, key, at, m))
             new = np.ones(len(a), dtype=bool)
             new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
             if last is not None:
                 new[0] = (a[0], c[0]) != last[:2]
             place = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
             earliest = np.where(place >= 0, key[np.maximum(place, 0)], last[2] if last is not None else 0)
-            last = (a[-1], c[-1], earliest[-1])
             copied = key > earliest
-            yield batch_of(0, a[copied], key[copied], at[copied])
-            own = [np.concatenate((w, x[~copied])) for w, x in zip(wait, (a, key, at))]
+            yield batch_of(0, *(x[copied] for x in (a, c, key, at, m)))
+            more = np.unique(a[copied])
+            if folded:
+                more = np.append(more, last[0])
+            last = (a[-1], c[-1], earliest[-1])
+            own = [np.concatenate((w, x[~copied])) for w, x in zip(wait, (a, c, key, at, m))]
             done = int(np.searchsorted(own[0], a[-1])) if len(own[0]) else 0
-            yield mixed(*(x[:done] for x in own))
+            yield shared([x[:done] for x in own], more)
             wait = [x[done:] for x in own]
-        yield mixed(*wait)
+            folded = bool((more == a[-1]).any())
+        yield shared(wait, np.array([last[0]]) if folded else np.zeros(0, dtype=np.int64))
 
-    return runs.repartition("a").sortWithinPartitions("kind", "a", "c", "key", "at").mapInArrow(tidy(run), "kind int, a long, key long, at long")
+    spread = F.when(F.col("kind") == 1, F.col("a")).otherwise(F.xxhash64("key", "at"))
+    return runs.repartition(spread).sortWithinPartitions("kind", "a", "c", "key", "at").mapInArrow(tidy(run), "kind int, a long, c long, key long, at long, m long")
 
 
 def _words_of(rows: DataFrame, window: int) -> DataFrame:
-    """The words of the runs listed in ``spots`` (anchor) and ``ats``: a, key, at, words."""
+    """The words of the runs listed in ``runs``: a, c, key, at, m, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, ats = (batch.column(i) for i in (2, 3))
+            runs = batch.column(2)
             key = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
             for i, j in slices(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sizes = np.asarray(ats[i:j].value_lengths(), dtype=np.int64)
-                at = np.asarray(ats[i:j].flatten())
+                sizes = np.asarray(runs[i:j].value_lengths(), dtype=np.int64)
+                a, c, at, m = (np.asarray(x) for x in runs[i:j].flatten().flatten())
                 if not len(at):
                     continue
                 where = np.repeat(np.arange(j - i), sizes)
@@ -177,70 +226,78 @@ def _words_of(rows: DataFrame, window: int) -> DataFrame:
                 stop = first + (at & 63) + window - 1
                 begin, end = words.start[first], words.end[stop - 1]
                 raw = words.data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a[i:j].flatten())), pa.array(key[i:j][where]), pa.array(at), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())], names=["a", "key", "at", "words"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a, c, key[i:j][where], at, m)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())], names=["a", "c", "key", "at", "m", "words"])
 
-    return rows.select("key", "text", "spots", "ats").mapInArrow(tidy(run), "a long, key long, at long, words binary")
+    return rows.select("key", "text", "runs").mapInArrow(tidy(run), "a long, c long, key long, at long, m long, words binary")
 
 
-def shard_spans(words: list[bytes] | pa.Array, key: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the runs of one shard: which run, and which of its windows, also starts in an earlier document."""
+def shard_spans(words: list[bytes] | pa.Array, key: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of one shard's runs: the run, the window's place in it, and the smallest key of its occurrences."""
     data, offsets = buffers(words if isinstance(words, (pa.Array, pa.ChunkedArray)) else pa.array(words, pa.binary()))
     found = Words(data, offsets)
-    _, symbol = np.unique(found.hashes(), return_inverse=True)
+    known, symbol = np.unique(found.hashes(), return_inverse=True)
     symbol = symbol.astype(np.int64) + 1
-    index = FmIndex(symbol, found.first, window)
-    place, kind = index.matching(symbol, found.first, window)
-    run_of = np.searchsorted(index.first, np.arange(index.size), side="right") - 1
-    earliest = np.minimum.reduceat(key[run_of[index.suffixes]], index.class_start)
+    index = FmIndex(symbol, found.first, key, window, len(known) + 1)
+    place, kind = index.matching(symbol, found.first)
     run = np.searchsorted(found.first, place, side="right") - 1
-    early = earliest[kind] < key[run]
-    return run[early], (place - found.first[run])[early]
+    return run, place - found.first[run], index.least[kind]
 
 
 def _shards(words: DataFrame, window: int) -> DataFrame:
+    """Kind 0: spans to remove (key, mark, span). Kind 1: for each run asked (anchor ``key``, words ``mark``), the smallest key
+    (``span``) that has each of its windows, and ``m``."""
     least = SHARD_RUNS
+    names = ["kind", "key", "mark", "span", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, least):
-            key, at = table.column(1).to_numpy(), table.column(2).to_numpy()
-            which, offset = shard_spans(table.column(3).combine_chunks(), key, window)
-            if not len(which):
-                continue
-            # one span of a whole window's words for each window; neighbours overlap and are merged when applied
-            mark, first = at[which] >> 39, (at[which] & ((1 << 39) - 1)) >> 6
-            yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(mark), pa.array(span(first + offset, window))], names=["key", "mark", "span"])
-
-    return words.repartition("a").sortWithinPartitions("a", "key", "at").mapInArrow(tidy(run), "key long, mark long, span long")
+            a, c, key, at, m = (table.column(i).to_numpy() for i in range(1, 6))
+            which, offset, earliest = shard_spans(table.column(6).combine_chunks(), key, window)
+            early = earliest < key[which]
+            first, k = (at[which] & ((1 << 39) - 1)) >> 6, int(early.sum())
+            # One span of a whole window's words for each window; neighbours overlap and are merged when applied.
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(k, np.int32), key[which][early], (at[which] >> 39)[early], span(first + offset, window)[early], np.zeros(k, np.int64))], names=names)
+            bound = np.full(len(a), np.iinfo(np.int64).min)
+            np.maximum.at(bound, which, earliest)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(len(a), np.int32), a, c, bound, m)], names=names)
+
+    # Anchors of very many runs are cut into parts, with a shard for every two of them.
+    hot = words.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PART_RUNS).select("a", "n", F.ceil(F.col("n") / PART_RUNS).cast("int").alias("g"))
+    split = lookup_join(words, hot, "a", "n", spread=F.xxhash64("key", "at")).withColumn("g", F.coalesce("g", F.lit(1)))
+    split = split.withColumn("p", F.pmod(F.xxhash64("key", "at"), F.col("g"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = split.select(F.xxhash64("a", F.least("p", "q"), F.greatest("p", "q")).alias("shard"), "a", "c", "key", "at", "m", "words")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "a", "key", "at").mapInArrow(tidy(run), "kind int, key long, mark long, span long, m long")
 
 
 def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``key``, ``mark`` and ``spans``, the words to remove, for the documents that have any: numbers as of ``span``, or ``WHOLE``."""
-    text_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    text_batches(spark)
     if not 1 <= anchor <= window < 40:
         raise ValueError("a window must hold an anchor and fewer than 40 words")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = documents.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), body.alias("text"))
-    named = stored(rows.select("key", _mark(F.col("text")).alias("mark"), F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("size")), "texts")
+    named = stored(rows.select("key", _mark(F.col("text")).alias("mark"), F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("size"), F.when(F.pmod(F.xxhash64(F.lit("anchors"), "key"), F.lit(SAMPLED)) == 0, F.col("text")).alias("sample")), "texts")
     copied = stored(named.groupBy("m", "size").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.struct("m", "size").alias("t"), "first", "n"), "copied")
-    copies = stored(lookup_join(named.withColumn("t", F.struct("m", "size")), copied, "t", "n", spread=F.col("key"), rows=copied.count()).filter("first < key").select("key", "mark").distinct(), "copies")
-    few = copies.count() <= SMALL_IDS
+    copies = stored(lookup_join(named.select("key", "mark", F.struct("m", "size").alias("t")), copied, "t", "n", spread=F.col("key"), rows=copied.count()).filter("first < key").select("key", "mark").distinct(), "copies")
     marked = rows.withColumn("mark", _mark(F.col("text")))
-    kept = marked.join(F.broadcast(copies) if few else copies, ["key", "mark"], "left_anti")
-    found = stored(_repeated(_runs(kept, window, anchor)), "runs")
-    place = (F.col("at").bitwiseAND((1 << 39) - 1)).alias("place")
-    direct = found.filter("kind = 0").select("key", F.shiftright("at", 39).alias("mark"), (place + (window - 1)).alias("span"))
-    asked = stored(found.filter("kind = 1").groupBy("key", F.shiftright("at", 39).alias("mark")).agg(F.collect_list(F.struct("a", "at")).alias("l")).select("key", "mark", F.col("l.a").alias("spots"), F.col("l.at").alias("ats")), "asked")
-    texts = _with_rows(marked, asked)
-    inner = _shards(_words_of(texts, window), window)
-    spans = direct.unionByName(inner).unionByName(copies.select("key", "mark", F.lit(WHOLE).cast("long").alias("span")))
-    return stored(spans.groupBy("key", "mark").agg(F.collect_set("span").alias("spans")), "spans")
-
-
-def _with_rows(documents: DataFrame, listed: DataFrame) -> DataFrame:
-    """Join by key and mark. Where the listed keys are few, the other documents are let go before the exchange."""
-    if listed.count() <= SMALL_IDS:
-        documents = documents.join(F.broadcast(listed.select("key", "mark")), ["key", "mark"], "left_semi")
-    return documents.join(listed, ["key", "mark"])
+    names = [F.col("key"), F.col("mark")]
+    common = np.sort(np.array([r["h"] for r in _common(named.filter("sample is not null"), anchor).select("h").collect()], dtype=np.int64)).view(np.uint64)
+    found = stored(_repeated(_runs(anti_join(marked, names, copies), window, anchor, common)), "runs")
+    runs = F.collect_list(F.struct("a", "c", "at", "m")).alias("runs")
+    asked = stored(found.filter("kind = 1").groupBy("key", F.shiftright("at", 39).alias("mark")).agg(runs), "asked")
+    texts = semi_join(marked, names, stored(asked.select("key", "mark"), "ids")).join(asked, ["key", "mark"])
+    words = stored(_words_of(texts, window), "words")
+    answers = stored(_shards(words, window), "answers")
+    discard(spark, named, copied, asked, words)
+    bounds = answers.filter("kind = 1").select(F.struct(F.col("key").alias("a"), F.col("mark").alias("c")).alias("what"), F.col("span").alias("earliest"), "m").groupBy("what").agg(F.min("earliest").alias("earliest"), F.sum("m").alias("m"))
+    others = found.filter("kind = 0").select("key", "at", F.struct("a", "c").alias("what"))
+    direct = lookup_join(others, bounds, "what", "m", spread=F.xxhash64("key", "at")).filter("earliest < key")
+    direct = direct.select("key", F.shiftright("at", 39).alias("mark"), (F.col("at").bitwiseAND((1 << 39) - 1) + (window - 1)).alias("span"))
+    spans = direct.unionByName(answers.filter("kind = 0").select("key", "mark", "span")).unionByName(copies.select("key", "mark", F.lit(WHOLE).cast("long").alias("span")))
+    out = stored(spans.groupBy("key", "mark").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(spark, found, answers, copies)
+    return out
 
 
 def apply_spans(text: bytes, spans: list[int] | None, window: int) -> tuple[list[bytes], int]:
@@ -259,7 +316,10 @@ def apply_spans(text: bytes, spans: list[int] | None, window: int) -> tuple[list
 
 
 def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The rows of ``documents`` with a column ``_kept``: n_words, n_removed and text (the words that stay, joined by one space)."""
+    """The rows of ``documents`` with a column ``_kept``: n_words, n_removed and text (the words that stay, joined by one space).
+    A column of ``documents`` that is named so is replaced."""
+    documents = documents.drop("_kept")
+    listed = free_name(documents, "spans")
     spans = repeated_spans(documents, key, text, window, anchor)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     at = documents.columns.index(text)
@@ -276,15 +336,11 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
             made = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "text"])
             yield pa.RecordBatch.from_arrays([*own, made], names=[*part.schema.names[:-1], "_kept"])
 
-    own = F.struct(F.col(key).cast("long").alias("key"), _mark(body).alias("mark"))
-    rows = documents.withColumn("_own", own)
-    listed = spans.select(F.struct("key", "mark").alias("_own"), F.col("spans").alias("_spans"))
-    if spans.count() <= SMALL_IDS:
-        ids = F.broadcast(listed.select("_own"))
-        touched = rows.join(ids, "_own", "left_semi").join(listed, "_own")
-        clean = rows.join(ids, "_own", "left_anti").withColumn("_spans", F.lit(None).cast("array<bigint>"))
-        listed_rows = touched.select(*documents.columns, "_spans").unionByName(clean.select(*documents.columns, "_spans"))
-    else:
-        listed_rows = rows.join(listed, "_own", "left").select(*documents.columns, "_spans")
+    names = [F.col(key).cast("long"), _mark(body)]
+    ids = stored(spans.select("key", "mark"), "ids")
+    touched = semi_join(documents, names, ids).select(F.struct(*(F.col(c) for c in documents.columns)).alias("row"), *(n.alias(f"k{i}") for i, n in enumerate(names)))
+    touched = touched.join(spans, (F.col("k0") == F.col("key")) & (F.col("k1") == F.col("mark"))).select("row.*", F.col("spans").alias(listed))
+    clean = anti_join(documents, names, ids).withColumn(listed, F.lit(None).cast("array<bigint>"))
+    listed_rows = touched.unionByName(clean)
     kept = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())])
     return listed_rows.mapInArrow(tidy(run), StructType([*documents.schema.fields, StructField("_kept", kept)]))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.llm.fmindex import FmIndex, WaveletMatrix
+from tesserae.llm.fmindex import Bits, FmIndex, WaveletMatrix
 from tesserae.llm.wordhash import Words, buffers, slices
 
 
@@ -42,14 +42,21 @@ def test_fm_index_finds_all_occurrences():
     rng = random.Random(4)
     rows = [[rng.randint(1, 3) for _ in range(rng.randint(1, 12))] for _ in range(60)]
     text, first = np.array([x for r in rows for x in r]), np.cumsum([0, *map(len, rows)])
-    index = FmIndex(text, first, 4)
-    place, kind = index.matching(text, first, 4)
+    index = FmIndex(text, first, np.arange(100, 160), 4, 4)
+    place, kind = index.matching(text, first)
     found = dict(zip(place.tolist(), kind.tolist()))
-    run_of = np.searchsorted(index.first, np.arange(index.size), side="right") - 1
     starts = [(r, i) for r in range(len(rows)) for i in range(len(rows[r]) - 3)]
     assert len(found) == len(starts)
-    for r, i in starts:
-        k = found[first[r] + i]
-        hits = index.suffixes[index.class_start[k] : index.class_end[k]]
-        got = sorted((int(run_of[h]), int(h - index.first[run_of[h]])) for h in hits)
-        assert got == [(a, b) for a, b in starts if rows[a][b : b + 4] == rows[r][i : i + 4]]
+    low, high = index.interval(np.array([found[first[r] + i] for r, i in starts]))
+    for (r, i), n in zip(starts, (high - low).tolist()):
+        hits = [a for a, b in starts if rows[a][b : b + 4] == rows[r][i : i + 4]]
+        assert n == len(hits) and index.least[found[first[r] + i]] == 100 + min(hits)
+
+
+def test_bits_rank_and_select():
+    rng = np.random.default_rng(5)
+    for share in (0.02, 0.5, 0.98):
+        bits = rng.random(1000) < share
+        places, packed = np.flatnonzero(bits), Bits(bits)
+        assert packed.select(np.arange(len(places))).tolist() == places.tolist()
+        assert packed.rank(np.arange(1001)).tolist() == np.concatenate(([0], np.cumsum(bits))).tolist()
