@@ -35,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from tesserae.operators.skew import lookup_join
-from tesserae.session import scratch_path, stored
+from tesserae.session import qualified, scratch_path, stored
 
 SCHEMA = "key long, record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, refers_to_key long, headers map<string,string>, payload binary"
 # Fixed values of the WARC 1.1 format.
@@ -381,17 +381,19 @@ def plan_revisits(pages: DataFrame, key: str = "page_id", uri: str = "url", payl
 
 def write(rows: DataFrame, path: str, **options: object) -> None:
     register(rows.sparkSession)
-    rows.write.format("warc").options(**options).mode("append").save(path)
+    rows.write.format("warc").options(**options).mode("append").save(qualified(rows.sparkSession, path))
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages' archive to the shared folder and reads it, without the payloads."""
+    """Writes the pages' archive to the shared folder and reads it whole. ``payload_digest`` and ``payload_bytes`` of a response are those
+    of the payload that came back; a revisit has none, and keeps what its header says."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(plan_revisits(pages), path)
-    return read(spark, path, payload=False)
+    back = read(spark, path)
+    return back.withColumns({"payload_digest": F.coalesce(F.sha1("payload"), F.col("payload_digest")), "payload_bytes": F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))})
