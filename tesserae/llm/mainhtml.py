@@ -1,14 +1,20 @@
 """Main text of web pages, by removal of site templates.
 
 Every page is parsed once to hash its element subtrees (tag, class, id, text and the hashes of the children). Spark
-counts, per host, on how many unlike pages each hash occurs (pages with the same text, templates included, are one page:
-copies of a page don't make its text a template); subtrees that recur on many pages of their host are that site's template. A second pass deletes them, together with what HTML itself marks as not being the article (navigation,
-footers, forms, scripts, adverts, comments, ... by element, role, class or id), and writes out the blocks of what is left:
-of the page's ``article`` (or ``main``) if it has one, else of its body.
+counts, per host, on how many unlike pages each hash occurs: pages with one main text are one page, so copies of a page don't
+make its text a template. Subtrees on at least ``MIN_PAGES`` unlike pages and a ``SHARE`` of the host's are that site's template.
+A second pass deletes them and writes out the blocks of what is left: of the page's ``article`` (or ``main``) if it has one, else
+of its body.
 
-Inside the article only blocks that hold nothing but links can be part of the template. Inline elements, paragraphs, and
-blocks with any text outside of links are never part of it, however often they recur: text that the pages of a host share
-in their articles is text.
+Only blocks can be part of the template, and inside the article only boxes (``div``, ``section``, lists, ...): never headings,
+paragraphs, list items, table cells by themselves, nor what holds an ``h1``. A box with text outside of links, inside the article,
+must have less than half of the article's text, and the pages that share it must be unlike in their headings too, which
+near copies of a page are not.
+
+What a page says only once can't be found by recurrence. So what HTML itself marks as not being the article goes as well:
+elements that aren't shown or aren't text, ``nav``, ``aside``, ``footer``, ``form``, ``header`` outside of the article, the ARIA roles of
+these, and elements with a class or id that names an advert, notice, sidebar, share bar or reader comments. Such a name never
+removes an element that holds the article, a ``main`` or an ``h1``. ``marks=False`` leaves all this out but for what isn't shown.
 
 Defined results: a null or empty page has the empty text; pages without a host are a host of their own; unclosed and
 misnested elements end where an ancestor does (a block ends an open paragraph); a page cut off in a tag ends there.
@@ -29,7 +35,7 @@ from tesserae.llm.wordhash import tidy
 from tesserae.operators.skew import lookup_join
 from tesserae.session import stored, text_batches
 
-MIN_PAGES = 8
+MIN_PAGES = 3
 SHARE = 0.1
 
 # Elements of HTML by what they are.
@@ -38,27 +44,28 @@ _RAW = frozenset("script style noscript template iframe textarea title svg math
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-_DROPPED = frozenset("head nav aside footer form button select input label menu dialog canvas audio video map datalist option optgroup fieldset".split()) | _RAW
-_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd a b i em strong span br small sub sup u s code q cite abbr time mark font img figcaption caption tr tbody thead table ol ul dl".split())
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption".split())
+_UNSEEN = frozenset("head button select input label canvas audio video map datalist option optgroup".split()) | _RAW
+_OTHER = frozenset("nav aside footer form menu dialog fieldset".split())
+_BOXES = frozenset("aside center details dir div dl fieldset figure footer form header menu nav ol section table ul".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share sharing social related newsletter subscribe subscription widget pagination pager toolbar skip login signup".split()
-)
+_WORDS = "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices popup modal overlay sidebar navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments respond replies share sharing social related newsletter subscribe subscription widget pagination pager".split()
+#: A class or id that is one of these words, or starts or ends with one and a dash: not as a part that says where it is missing or next to.
+_NAMED = re.compile(rf"(?:(?:{'|'.join(_WORDS)})(?:[-_].*)?|(?!(?:no|not|has|have|with|without|is|hide|non|after|before|show)[-_]).*[-_](?:{'|'.join(_WORDS)}))")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z]|!)[^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
-_SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "children", "key", "digest", "inside", "prose")
+    __slots__ = ("tag", "unseen", "marked", "named", "children", "key", "digest", "inside", "size", "prose", "heads")
 
-    def __init__(self, tag: str, dropped: bool, key: str, inside: bool):
-        self.tag, self.dropped, self.key, self.inside = tag, dropped, key, inside
+    def __init__(self, tag: str, unseen: bool, marked: bool, named: bool, key: str, inside: bool):
+        self.tag, self.unseen, self.marked, self.named, self.key, self.inside = tag, unseen, marked, named, key, inside
         self.children: list[_Element | str] = []
         self.digest = 0
-        self.prose = False
+        self.size = 0  # characters of text
+        self.prose = False  # has text outside of links
+        self.heads = tag in ("article", "main", "h1")  # holds what must stay
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -68,31 +75,34 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not inside:
-        return True
+def _kind(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element isn't shown or isn't text; whether HTML marks it as something else than the article; whether its names do."""
+    unseen, marked = tag in _UNSEEN, tag in _OTHER or tag == "header" and not inside
     if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if attributes.get("role", "").lower() in _ROLES:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    names = attributes.get("class", "") + " " + attributes.get("id", "")
-    return not _WORDS.isdisjoint(_SPLIT.split(names.lower()))
+        return unseen, marked, False
+    unseen = unseen or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    marked = marked or attributes.get("role", "").lower() in _ROLES
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return unseen, marked, tag not in ("html", "body", "article", "main") and any(_NAMED.fullmatch(n) for n in names)
 
 
 def parse(page: str) -> _Element:
     """The page's tree, with subtree hashes."""
-    root = _Element("#", False, "#", False)
+    root = _Element("#", False, False, False, "#", False)
     stack = [root]
     at, n = 0, len(page)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             e = stack.pop()
-            e.prose = e.tag in _PROSE or any(e.tag != "a" and not c.isspace() if type(c) is str else c.prose and not c.dropped for c in e.children)
+            for c in e.children:
+                if type(c) is str:
+                    e.size += len(c.strip())
+                    e.prose = e.prose or e.tag != "a" and not c.isspace()
+                elif not c.unseen:
+                    e.size += c.size
+                    e.prose = e.prose or c.prose and e.tag != "a"
+                    e.heads = e.heads or c.heads
             e.digest = xxhash.xxh64_intdigest("\x00".join([e.key, *(c if type(c) is str else f"\x01{c.digest}" for c in e.children)])) >> 1
 
     while at < n:
@@ -131,7 +141,7 @@ def parse(page: str) -> _Element:
                     break
         attributes = _attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
         inside = stack[-1].inside or tag in ("article", "main") or attributes.get("role") == "main"
-        e = _Element(tag, _unwanted(tag, attributes, stack[-1].inside), f"{tag}|{attributes.get('class', '')}|{attributes.get('id', '')}", inside)
+        e = _Element(tag, *_kind(tag, attributes, stack[-1].inside), f"{tag}|{attributes.get('class', '')}|{attributes.get('id', '')}", inside)
         stack[-1].children.append(e)
         if tag in _VOID:
             continue
@@ -144,25 +154,47 @@ def parse(page: str) -> _Element:
     return root
 
 
-def _kept(e: _Element) -> bool:
-    """Whether an element is text of the article, or holds some: it is never part of a template."""
-    return e.tag in ("html", "body", "article", "main") or e.inside and (e.tag in _TEXT or e.tag not in _BLOCK or e.prose)
+def _bounded(e: _Element, whole: int) -> bool:
+    """Whether an element may be part of a template, in an article of ``whole`` characters (0 outside of one)."""
+    if e.heads or e.tag in ("html", "body", "br"):
+        return False
+    return e.tag in (_BOXES if e.inside else _BLOCK) and (not e.inside or not e.prose or 2 * e.size < whole)
 
 
-def template_candidates(root: _Element) -> set[int]:
-    """Hashes of the subtrees that may be a site's template: what isn't dropped anyway and isn't text of the article."""
-    found, todo = set(), list(root.children)
+def template_candidates(root: _Element) -> dict[int, bool]:
+    """Hashes of the subtrees that may be a site's template, and whether they are text inside of an article."""
+    found: dict[int, bool] = {}
+    todo = [(c, 0) for c in root.children]
     while todo:
-        e = todo.pop()
-        if type(e) is str or e.dropped:
+        e, whole = todo.pop()
+        if type(e) is str or e.unseen:
             continue
-        if e.tag != "br" and not _kept(e):
-            found.add(e.digest)
-        todo.extend(e.children)
+        if not whole and e.inside:
+            whole = e.size
+        if _bounded(e, whole):
+            found[e.digest] = found.get(e.digest, False) or e.inside and e.prose
+        if not e.marked:
+            todo.extend((c, whole) for c in e.children)
     return found
 
 
-def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset()) -> str:
+def heading(root: _Element) -> str:
+    """The text of the article's first heading, or else of the first ``h1``."""
+    todo: list = [root]
+    first = ""
+    while todo:
+        e = todo.pop()
+        if type(e) is str or e.unseen:
+            continue
+        if e.tag in ("h1", "h2", "h3") and (e.inside or e.tag == "h1"):
+            if e.inside:
+                return main_text(e)
+            first = first or main_text(e)
+        todo.extend(reversed(e.children))
+    return first
+
+
+def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset(), marks: bool = True) -> str:
     """Blocks of the article in page order, one a line."""
     blocks: list[str] = []
     words: list[str] = []
@@ -174,14 +206,14 @@ def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset())
                 blocks.append(text)
             words.clear()
 
-    def gone(e: _Element) -> bool:
-        return e.dropped or e.digest in template and not _kept(e)
+    def gone(e: _Element, whole: int) -> bool:
+        return e.unseen or marks and (e.marked or e.named and not e.heads) or e.digest in template and _bounded(e, whole)
 
     def articles(e: _Element, tags: tuple[str, ...]) -> Iterator[_Element]:
         todo = [e]
         while todo:
             x = todo.pop()
-            if type(x) is str or gone(x):
+            if type(x) is str or gone(x, 0):
                 continue
             if x.tag in tags:
                 yield x
@@ -189,6 +221,7 @@ def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset())
                 todo.extend(reversed(x.children))
 
     def walk(top: _Element) -> None:
+        whole = top.size if top.inside else 0
         todo: list = [top]
         while todo:
             x = todo.pop()
@@ -198,7 +231,7 @@ def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset())
                 words.append(x)
             elif x.tag == "br":
                 words.append(" ")
-            elif not gone(x):
+            elif not gone(x, whole):
                 block = x.tag in _BLOCK
                 if block:
                     end()
@@ -226,24 +259,30 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, texts = [], [], []
+            hosts, hashes, texts, heads = [], [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 root = parse(page.as_py() or "")
-                found = [0, *(template_candidates(root) - {0})]  # 0 stands for the page
-                hosts += [h] * len(found)
-                hashes += found
-                texts += [xxhash.xxh64_intdigest(main_text(root)) >> 1] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], names=["host", "hash", "text"])
-
-    unlike = pages.select("host", "html").mapInArrow(tidy(run), "host string, hash long, text long").groupBy("host", "hash", "text").agg(F.count("*").alias("copies"))
-    counted = unlike.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
+                found = template_candidates(root)
+                found.pop(0, None)
+                text, head = (xxhash.xxh64_intdigest(x) >> 1 for x in (main_text(root), heading(root)))
+                hosts += [h] * (len(found) + 1)
+                hashes += [0, *found]  # 0 stands for the page
+                texts += [text] * (len(found) + 1)
+                heads += [None, *(head if inside else None for inside in found.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (hashes, texts, heads))], names=["host", "hash", "text", "head"])
+
+    seen = pages.select("host", "html").mapInArrow(tidy(run), "host string, hash long, text long, head long").groupBy("host", "hash", "text", "head").agg(F.count("*").alias("copies"))
+    # A subtree inside of an article counts the headings it occurs with, if they are fewer than the texts.
+    texts = seen.groupBy("host", "hash", "text").agg(F.sum("copies").alias("copies")).groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
+    heads = seen.filter("head is not null").groupBy("host", "hash", "head").agg(F.count("*").alias("_")).groupBy("host", "hash").agg(F.count("*").alias("m"))
+    counted = texts.filter((F.col("hash") == 0) | (F.col("n") >= min_pages)).join(heads, ["host", "hash"], "left").withColumn("n", F.least("n", F.coalesce("m", "n"))).drop("m")
     kept = stored(counted.filter((F.col("hash") == 0) | (F.col("n") >= min_pages)), "subtrees")
     hosts = kept.filter("hash = 0").select("host", F.col("n").alias("unlike"), F.col("rows").alias("pages"), F.col("rows").alias("weight"))
     common = lookup_join(kept.filter("hash <> 0").drop("rows"), hosts, "host", "weight", spread=F.col("hash")).filter(F.col("n") >= share * F.col("unlike"))
     return common.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list("hash")).alias("template"))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, marks: bool = True) -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars``, a row for each row of ``pages``."""
     text_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), host(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
@@ -261,7 +300,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     if len(known) > 256:
                         known.clear()
                     known[name] = frozenset(name)
-                texts.append(main_text(parse(page.as_py() or ""), known[name]))
+                texts.append(main_text(parse(page.as_py() or ""), known[name], marks))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     return joined.select("key", "url", "html", "template").mapInArrow(tidy(run), f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)
