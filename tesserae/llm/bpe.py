@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.lexicon import Lexicon, build
 from tesserae.llm.wordhash import Words, buffers, slices, tidy
-from tesserae.session import scratch_path, text_batches
+from tesserae.session import qualified, scratch_path, text_batches
 
 # White space and the word pattern as the vocabulary file states them.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -60,6 +60,8 @@ class Vocabulary:
             raise ValueError("a BPE vocabulary over bytes with a word end is needed")
         self.end = model["end_of_word_suffix"]
         self.id_of: dict[str, int] = model["vocab"]
+        if odd := [t["content"] for t in raw["added_tokens"] if any(t.get(name) for name in ("normalized", "lstrip", "rstrip", "single_word"))]:
+            raise ValueError(f"special tokens are matched as they are; the file asks for more of {odd[:5]}")
         self.special = {t["content"]: t["id"] for t in raw["added_tokens"]}
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         # Ids of a pair -> rank and id of what it merges to, each packed into one number: the least number is the next merge.
@@ -256,7 +258,7 @@ def compile_lexicon(documents: DataFrame, vocabulary: Vocabulary, limit: int = 2
     """Writes the transducer of the frequent words to the shared folder; its address."""
     words = sorted(w.encode("utf-8") for w in frequent_words(documents, vocabulary, limit, text))
     data = build((w, vocabulary.merge(w.decode("utf-8"))) for w in words)
-    uri = scratch_path(documents.sparkSession, "lexicon") + ".bin"
+    uri = qualified(documents.sparkSession, scratch_path(documents.sparkSession, "lexicon") + ".bin")
     filesystem, path = pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
     filesystem.create_dir(path.rpartition("/")[0], recursive=True)
     with filesystem.open_output_stream(path) as f:

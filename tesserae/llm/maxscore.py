@@ -1,8 +1,9 @@
 """Exact top-k search by inner product with MaxScore.
 
 Dimensions are terms and a vector's values its term weights. Vectors that are equal are one candidate that carries its
-smallest ids, so copies cost nothing; candidates are dealt into shards, query vectors into blocks, and each pair of a
-shard and a block is searched by itself, then the shards' lists are merged.
+smallest ids, so copies cost nothing; equal query vectors are one query too. Candidates are dealt into shards, queries into
+blocks, and each pair of a shard and a block is searched by itself, then the shards' lists are merged. Shards and blocks
+are as large as a worker's memory allows: a candidate is copied once for each block, and a query has a list from each shard.
 
 In a shard, a query's terms are ordered by the spread of their contributions (the upper less the lower bound of weight
 times value over the shard). The terms of least spread whose spreads sum to less than what the current k-th score
@@ -11,7 +12,9 @@ candidates; the others are probed, the widest first, only for candidates whose p
 bounds still competes. Bounds are exact integers, and a candidate that could tie is kept, so the result is exact.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without an id, take no part; a
-shorter vector counts as padded with zeros; rows that repeat both id and vector count once; ties go to the smaller id.
+shorter vector counts as padded with zeros; rows that repeat both id and vector count once, as candidates and as queries; rows
+that share an id and have unlike vectors are candidates and queries of their own, and none of them is a hit of another; ties
+go to the smaller id.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from tesserae.operators.skew import lookup_join
 from tesserae.session import stored
 
-SHARD_ROWS = 4096
-BLOCK_QUERIES = 1024
+SHARD_ROWS = 32_768
+LEAST_ROWS = 4096
+BLOCK_QUERIES = 8192
 SEED_ROWS = 256
 _RESULT = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -114,33 +118,43 @@ def _search(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     width = max(int(pc.max(t["vec"].combine_chunks().value_lengths()).as_py() or 0) for t in (queries, candidates))
     candidates = candidates.sort_by("vid")
     shard = Shard(_dense(candidates["vec"], width))
-    ids = candidates["ids"].to_pylist()
-    weight = np.array([len(i) for i in ids])
+    lists = candidates["ids"].combine_chunks()
+    weight, flat = np.asarray(lists.value_lengths(), dtype=np.int64), np.asarray(lists.flatten())
+    start = np.concatenate(([0], np.cumsum(weight)))
     asked = _dense(queries["vec"], width)
     out: list[tuple[int, int, int]] = []
-    for qid, q in zip(queries["qid"].to_pylist(), asked):
-        place, score = shard.top(q, weight, k)
-        found = sorted(((-int(s), i) for p, s in zip(place.tolist(), score.tolist()) for i in ids[p]))[:k]
+    for qid, own, q in zip(queries["qid"].to_pylist(), queries["own"].to_pylist(), asked):
+        others = weight
+        if own is not None:  # candidates' ids without the query's own
+            others = weight - np.bincount(np.searchsorted(start, np.flatnonzero(flat == own), side="right") - 1, minlength=len(weight))
+        place, score = shard.top(q, others, k)
+        found = sorted((-int(s), i) for p, s in zip(place.tolist(), score.tolist()) for i in flat[start[p] : start[p + 1]].tolist() if i != own)[:k]
         out += [(qid, i, -s) for s, i in found]
     qids, vecs, scores = zip(*out) if out else ((), (), ())
     return pa.table([pa.array(qids, pa.int64()), pa.array(vecs, pa.int64()), pa.array(scores, pa.int64())], schema=_RESULT)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int | None = None, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each row of ``queries`` (``query_id``, ``vec``) its ``k`` best rows of
     ``vectors`` (``vec_id``, ``vec``; arrays of longs), leaving out those with the query's own id."""
+    spark = vectors.sparkSession
     want = k + 1  # one may be the query's own
     alike = Window.partitionBy("vec").orderBy("vec_id")
     usable = vectors.filter("vec is not null and vec_id is not null").select("vec_id", "vec").distinct()
     few = usable.withColumn("r", F.row_number().over(alike)).filter(F.col("r") <= want)
     classes = stored(few.groupBy("vec").agg(F.min("vec_id").alias("vid"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
-    asked = queries.filter("vec is not null and query_id is not null").select("query_id", "vec")
-    kinds = stored(asked.groupBy("vec").agg(F.min("query_id").alias("qid"), F.count("*").alias("n")), "queries")
-    shards = max(1, -(-classes.count() // shard_rows))
-    n_kinds = kinds.count()
-    blocks = max(1, -(-n_kinds // block_queries))
-    spread = classes.select("vec", "vid", "ids", F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dealt = kinds.select("vec", "qid", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    # A query whose id several candidates share is asked by itself: its search must pass over all of them.
+    repeated = stored(usable.groupBy("vec_id").agg(F.count("*").alias("m")).filter("m > 1").withColumn("again", F.lit(True)), "repeated")
+    rows = queries.filter("vec is not null and query_id is not null").select("query_id", "vec").distinct()
+    asked = lookup_join(rows, repeated.withColumnRenamed("vec_id", "query_id"), "query_id", "m", spread=F.xxhash64("vec")).select("query_id", "vec", F.when(F.col("again"), F.col("query_id")).alias("own"))
+    grouped = asked.groupBy("vec", "own").agg(F.count("*").alias("n"))
+    kinds = stored(grouped.withColumn("qid", F.monotonically_increasing_id()), "queries")  # the numbers are those written
+    n_classes, n_kinds = classes.count(), kinds.count()
+    if shard_rows is None:
+        shard_rows = min(SHARD_ROWS, max(LEAST_ROWS, n_classes // (2 * spark.sparkContext.defaultParallelism)))
+    shards, blocks = max(1, -(-n_classes // shard_rows)), max(1, -(-n_kinds // block_queries))
+    spread = classes.select("vec", "vid", "ids", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = kinds.select("vec", "qid", "own", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         return _search(q, c, want)
@@ -148,8 +162,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     found = dealt.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInArrow(run, "qid long, vec_id long, score long")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= want).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("hits"))
-    answers = kinds.join(merged, "qid").select("vec", "n", "hits")
-    answered = lookup_join(asked, answers, "vec", "n", spread=F.col("query_id"), rows=n_kinds)
+    what = F.struct("vec", F.col("own").isNull().alias("free"), F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    answers = kinds.join(merged, "qid").select(what.alias("what"), "n", "hits")
+    answered = lookup_join(asked.select("query_id", what.alias("what")), answers, "what", "n", spread=F.col("query_id"), rows=n_kinds)
     others = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
-    rows = answered.filter("hits is not null").select("query_id", F.posexplode(others).alias("at", "hit"))
-    return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    hits = answered.filter("hits is not null").select("query_id", F.posexplode(others).alias("at", "hit"))
+    return hits.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -8,8 +8,11 @@ items tell how far it could be filled, and the least cost (length plus ``overhea
 each bin is downsized to the shortest permitted length that holds its contents. A shard's last bins are its only loss
 against packing everything at once.
 
-Defined results: an item without tokens (null or empty text) has one row with length 0 and no bin. Rows that repeat a
-key are items of their own. A null key is packed as any other value.
+``pack`` says where each piece of a document goes; ``sequences`` builds the packed token sequences themselves.
+
+Defined results: an item without tokens (null or empty text) has one row with length 0 and no bin, and is in no sequence. Rows
+that repeat a key are items of their own, in bins of their own or beside each other; their key may be null. Items of one length go in the order
+of their keys' hashes, equal keys in the order of their rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.session import stored
+from tesserae.operators.skew import lookup_join
+from tesserae.session import discard, stored
 
 SHARD_ITEMS = 8192
 
@@ -84,45 +88,66 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], overhead: float
     return bin_of, offset, [next(s for s in sizes if s >= u) for u in used]
 
 
-def pack(items: DataFrame, capacities: Sequence[int] = (512, 1024, 2048, 4096), key: str = "doc_id", length: Column | None = None, overhead: float = 8.0, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def mark(text: Column) -> Column:
+    """Tells rows apart that share a key."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def pack(items: DataFrame, capacities: Sequence[int] = (512, 1024, 2048, 4096), key: str = "doc_id", length: Column | None = None, overhead: float = 8.0, shard_items: int = SHARD_ITEMS, text: str = "text") -> DataFrame:
     """One row per piece of a document: ``key``, ``piece`` (from 0), ``start`` and ``length`` (the piece's tokens in the
-    document), ``bin_id``, ``bin_length`` (the permitted length of its bin) and ``position`` (its first token in the bin)."""
+    document), ``bin_id``, ``bin_length`` (the permitted length of its bin), ``position`` (its first token in the bin), and
+    what tells rows apart that share a key: ``mark``, a hash of the column ``text`` (null without one), and the number ``row``."""
     sizes = sorted({int(c) for c in capacities})
     if not sizes or sizes[0] < 1:
         raise ValueError("capacities must be positive")
     top = sizes[-1]
-    measure = word_count(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    lengths = stored(items.select(F.col(key).alias("k"), measure.alias("n")), "lengths")
-    kind = lengths.schema["k"].dataType.simpleString()
+    measure = word_count(F.col(text)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
+    own = mark(F.col(text)) if text in items.columns else F.lit(None).cast("long")
+    numbered = stored(items.select(F.col(key).alias("k"), measure.alias("n"), own.alias("mark"), F.monotonically_increasing_id().alias("row")), "lengths")
+    kind = numbered.schema["k"].dataType.simpleString()
+    # Only rows that share a key are told apart by their number, so names and shards of the others don't depend on how rows come in.
+    repeated = stored(numbered.filter("k is not null").groupBy("k").agg(F.count("*").alias("m")).filter("m > 1"), "repeated")
+    lengths = lookup_join(numbered, repeated.withColumn("again", F.lit(True)), "k", "m", spread=F.col("row")).withColumn("again", F.coalesce("again", F.col("k").isNull()))
+    name = F.when(F.col("again"), F.concat(F.lit("r"), F.col("row").cast("string"))).otherwise(F.concat(F.lit("w"), F.col("k").cast("string")))
+    lengths = stored(lengths.select("k", "n", "mark", "row", name.alias("name"), F.when(F.col("again"), F.xxhash64(F.lit("pack"), "k", "row")).otherwise(F.xxhash64(F.lit("pack"), "k")).alias("h")), "lengths")
+    discard(items.sparkSession, numbered, repeated)
     shards = max(1, -(-lengths.count() // shard_items))
     whole = F.floor(F.col("n") / top).cast("int")
-    name = F.coalesce(F.col("k").cast("string"), F.lit("null"))
     full = (
         lengths.filter(F.col("n") >= top)
-        .select("k", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
-        .select("k", "piece", (F.col("piece").cast("long") * top).alias("start"), F.lit(top).cast("long").alias("length"), F.concat(F.lit("w"), name, F.lit("."), F.col("piece")).alias("bin_id"), F.lit(top).alias("bin_length"), F.lit(0).alias("position"))
+        .select("k", "mark", "row", "name", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
+        .select("k", "piece", (F.col("piece").cast("long") * top).alias("start"), F.lit(top).cast("long").alias("length"), F.concat("name", F.lit("."), F.col("piece")).alias("bin_id"), F.lit(top).alias("bin_length"), F.lit(0).alias("position"), "mark", "row")
     )
-    empty = lengths.filter("n = 0").select("k", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("n").alias("length"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_length"), F.lit(None).cast("int").alias("position"))
-    rest = lengths.filter(F.col("n") % top > 0).select("k", whole.alias("piece"), (F.col("n") % top).cast("int").alias("n"), F.pmod(F.xxhash64(F.lit("pack"), "k"), F.lit(shards)).alias("shard"))
+    empty = lengths.filter("n = 0").select("k", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("n").alias("length"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_length"), F.lit(None).cast("int").alias("position"), "mark", "row")
+    rest = lengths.filter(F.col("n") % top > 0).select(F.col("k").cast("string").alias("k"), whole.alias("piece"), (F.col("n") % top).cast("int").alias("n"), "mark", "row", "h", F.pmod(F.col("h"), F.lit(shards)).alias("shard"))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n", "k", "piece"], kind="stable", ignore_index=True)  # the same whatever order rows came in
+        shard = shard.sort_values(["n", "h", "row", "piece"], kind="stable", ignore_index=True)
         bins, offsets, final = best_fit(shard["n"].tolist(), sizes, overhead)
         return pd.DataFrame({
             "k": shard["k"], "piece": shard["piece"], "start": shard["piece"].astype("int64") * top, "length": shard["n"].astype("int64"),
-            "bin_id": [f"s{s}.{b}" for s, b in zip(shard["shard"], bins)], "bin_length": [final[b] for b in bins], "position": offsets,
+            "bin_id": [f"s{s}.{b}" for s, b in zip(shard["shard"], bins)], "bin_length": [final[b] for b in bins], "position": offsets, "mark": shard["mark"], "row": shard["row"],
         })
 
-    packed = rest.groupBy("shard").applyInPandas(run, f"k {kind}, piece int, start long, length long, bin_id string, bin_length int, position int")
+    packed = rest.groupBy("shard").applyInPandas(run, "k string, piece int, start long, length long, bin_id string, bin_length int, position int, mark long, row long")
+    packed = packed.withColumn("k", F.col("k").cast(kind))  # numbers with nulls among them would be rounded on the way
     return packed.unionByName(full).unionByName(empty).withColumnRenamed("k", key)
 
 
-def bin_texts(documents: DataFrame, packed: DataFrame, key: str = "doc_id", text: str = "text", joint: str = "\n") -> DataFrame:
-    """The packed sequences as texts: ``bin_id``, ``bin_length``, ``keys`` and ``text``. A bin holds no more than its
-    permitted length, so neither array outgrows it. Words keep their order and are joined by one space."""
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = packed.filter("bin_id is not null").join(documents.select(F.col(key), words.alias("_w")), key)
-    part = F.struct("position", F.col(key).alias("key"), F.array_join(F.slice("_w", (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ").alias("text"))
-    grouped = rows.groupBy("bin_id", "bin_length").agg(F.sort_array(F.collect_list(part)).alias("p"))
-    return grouped.select("bin_id", "bin_length", F.col("p.key").alias("keys"), F.array_join(F.col("p.text"), joint).alias("text"))
-
+def sequences(documents: DataFrame, packed: DataFrame, key: str = "doc_id", text: str = "text", tokens: Column | None = None) -> DataFrame:
+    """The packed sequences: ``bin_id``, ``bin_length``, ``keys``, ``lengths`` (each part's tokens) and ``tokens``, in the order of the bin. A bin
+    holds no more than its permitted length, so no array outgrows it. ``tokens`` are the words of the text unless an array
+    column is given, which must have as many items as ``pack`` was told.
+
+    A document's tokens are cut into its pieces in one row and exchanged by bin once. Rows that repeat key and text share
+    their tokens; each has its own pieces."""
+    piece = F.struct("start", "length", "bin_id", "bin_length", "position")
+    wanted = packed.filter("bin_id is not null").select(F.col(key).alias("k"), F.col("mark").alias("m"), "row", piece.alias("p")).groupBy("k", "m", "row").agg(F.collect_list("p").alias("pieces"))
+    rows = documents.select(F.col(key).alias("k"), mark(F.col(text)).alias("m"), F.col(text).alias("x"), *([] if tokens is None else [tokens.alias("t")])).dropDuplicates(["k", "m"])
+    split = F.filter(F.split(F.col("x").cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "") if tokens is None else F.col("t")
+    cut = lambda w: F.transform("pieces", lambda p: F.struct(p["bin_id"].alias("bin_id"), p["bin_length"].alias("bin_length"), p["position"].alias("position"), F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int")).alias("tokens")))
+    met = rows.withColumnsRenamed({"k": "dk", "m": "dm"}).join(wanted, F.col("dk").eqNullSafe(F.col("k")) & (F.col("dm") == F.col("m")))
+    # The outer transform stands for "let": the array of words is made once.
+    parts = met.select(F.col("dk").alias("key"), F.explode(F.flatten(F.transform(F.array(split), cut))).alias("p")).select("key", "p.*")
+    grouped = parts.groupBy("bin_id", "bin_length").agg(F.sort_array(F.collect_list(F.struct("position", "key", "tokens"))).alias("p"))
+    return grouped.select("bin_id", "bin_length", F.col("p.key").alias("keys"), F.transform("p", lambda x: F.size(x["tokens"])).alias("lengths"), F.flatten(F.col("p.tokens")).alias("tokens"))

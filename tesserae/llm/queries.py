@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, jaccard, langid, mainhtml, maxscore, packing, quality, simhash, substring, warc
-from tesserae.session import table
+from tesserae.session import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,7 +52,9 @@ def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    made = packing.sequences(docs, stored(packing.pack(docs), "packed"))
+    return made.select("bin_id", "bin_length", F.col("keys").alias("doc_ids"), "lengths", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " ").cast("binary"), 256).alias("tokens_sha256"))
 
 
 @query

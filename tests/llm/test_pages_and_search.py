@@ -97,6 +97,39 @@ def test_text_shared_by_articles_stays(spark):
     assert all("quoted by all" in r["text"] and "on every page" not in r["text"] for r in got)
 
 
+def test_names_never_remove_the_article():
+    for page in ('<div class="layout has-sidebar"><article><p>text</p></article></div>', '<article><div class="content no-comments"><p>text</p></div></article>', '<div id="sidebar"><main><p>text</p></main></div>', '<article><div class="share"><h1>text</h1></div><ul class="comments"><li>x</li></ul></article>'):
+        assert mainhtml.main_text(mainhtml.parse(page)) == "text", page
+
+
+def test_templates_by_count_alone(spark):
+    """No list decides here: plain elements, recurring on small hosts, inside of articles too. The counts equal brute force."""
+    rng = random.Random(3)
+    box = "<div><p>join our list</p></div>"
+    rows = []
+    for h, n in (("a.com", 3), ("b.com", 25), ("c.com", 2)):
+        for k in range(n):
+            own = " ".join(rng.choice("klmnopq") * 5 for _ in range(30))
+            rows.append((len(rows), f"http://{h}/{k}", f"<body><div><p>menu of {h}</p></div><article><h1>{h} {k}</h1><p>{own}</p>{box if k % 2 == 0 else ''}</article><p>end</p></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_host = df.select("html", mainhtml.host(F.col("url")).alias("host"))
+    found = {r["host"]: set(r["template"]) for r in mainhtml.site_templates(with_host, share=0.3).collect()}
+    expected = {}
+    for h in ("a.com", "b.com", "c.com"):
+        trees = [mainhtml.parse(p) for _, u, p in rows if f"/{h}/" in u]
+        counts = {}
+        for t in trees:
+            for digest in mainhtml.template_candidates(t):
+                counts.setdefault(digest, set()).add(mainhtml.main_text(t))
+        if hits := {d for d, texts in counts.items() if len(texts) >= max(3, 0.3 * len(trees))}:
+            expected[h] = hits
+    assert found == expected and set(found) == {"a.com", "b.com"}
+    plain = {r["page_id"]: r["text"] for r in mainhtml.extract(df, share=0.3, marks=False).collect()}
+    changed = sum(plain[k] != mainhtml.main_text(mainhtml.parse(p)) for k, _, p in rows)
+    assert changed == 13  # the box is on 13 of 25 pages; on 2 of 3 and 1 of 2 it is no template
+    assert all("join our list" not in plain[k] for k, u, _ in rows if "b.com" in u)
+
+
 def test_copied_pages_keep_their_text(spark):
     links = "<div class='x'><a href='/a'>more</a> <a href='/b'>news</a></div>"
     article = "<body><div class='top'>Site</div><article><div class='body'>{text} with <kbd>Ctrl</kbd> and <ins>new</ins></div><section><p>{text} again</p></section><details>quoted by all</details>" + links + "</article></body>"
@@ -142,6 +175,17 @@ def test_maxscore_leaves_out_candidates():
     assert shard.probed < 0.5 * 4000 * 30
 
 
+def test_maxscore_repeated_ids(spark):
+    rng = random.Random(8)
+    vectors = [(50, [rng.randint(-9, 9) for _ in range(6)]) for _ in range(4)] + [(60 + i, [rng.randint(-9, 9) for _ in range(6)]) for i in range(8)]
+    vectors += [(50, vectors[5][1]), (61, vectors[0][1]), vectors[6], vectors[0]]
+    df = spark.createDataFrame(vectors, "vec_id long, vec array<long>")
+    asked = [(i, v) for i, v in vectors if i in (50, 61)]
+    got = sorted(map(tuple, maxscore.top_k(df, spark.createDataFrame(asked, "query_id long, vec array<long>"), 5).collect()))
+    once = [list(x) for x in {(i, tuple(v)) for i, v in vectors}]
+    assert got == brute(once, [list(x) for x in {(i, tuple(v)) for i, v in asked}], 5)
+
+
 def test_maxscore_edges(spark):
     rows = [(1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [0.5, -0.001]), (6, [0.5, 0.5, 1.0]), (7, []), (8, [0.5, -0.001]), (8, [0.5, -0.001]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", maxscore.quantised(F.col("e")).alias("vec"))

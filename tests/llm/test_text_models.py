@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, langid, packing, quality
 from tesserae.llm.lexicon import Lexicon, build
@@ -171,6 +172,35 @@ def test_pack_tables(edge, docs):
         spans.sort()
         assert all(x[1] == y[0] for x, y in zip(spans, spans[1:])) and spans[-1][1] <= spans[0][2]
     assert packing.pack(docs([])).count() == 0
-    unique = docs([(1, "a b c"), (2, "d e")])
-    texts = packing.bin_texts(unique, packing.pack(unique)).collect()
-    assert [(r["keys"], r["text"], r["bin_length"]) for r in texts] == [([1, 2], "a b c\nd e", 512)]
+
+
+def test_packed_rows_that_repeat_a_key(docs):
+    long = " ".join(f"x{i}" for i in range(300))
+    rows = [(5, long), (5, long), (5, long + " more"), (None, long), (None, "y"), (2**53 + 1, "a b c"), (7, "d e")]
+    packed = packing.pack(docs(rows), capacities=(64, 128)).cache()
+    spans = {}
+    for r in packed.collect():
+        spans.setdefault(r["bin_id"], []).append((r["position"], r["position"] + r["length"], r["bin_length"]))
+    for own in spans.values():
+        own.sort()
+        assert all(x[1] <= y[0] for x, y in zip(own, own[1:])) and own[-1][1] <= own[0][2]
+    made = packing.sequences(docs(rows), packed).collect()
+    assert len(made) == len(spans)
+    for r in made:
+        assert sum(r["lengths"]) == len(r["tokens"]) <= r["bin_length"] and len(r["keys"]) == len(r["lengths"])
+    whole = sorted(t for r in made for t in r["tokens"])
+    assert whole == sorted(w for _, t in rows for w in t.split())
+    assert {k for r in made for k in r["keys"]} == {5, None, 2**53 + 1, 7}
+
+
+def test_sequences_are_the_documents_tokens(docs):
+    rng = random.Random(2)
+    rows = [(k, "".join(rng.choice(["a", "bb ", "\n", " ", "\x0b"]) for _ in range(rng.randint(0, 400)))) for k in range(40)]
+    packed = packing.pack(docs(rows), capacities=(16, 32, 64), shard_items=10).cache()
+    tokens = {r["bin_id"]: r["tokens"] for r in packing.sequences(docs(rows), packed).collect()}
+    for k, text in rows:
+        pieces = sorted(packed.filter(F.col("doc_id") == k).collect(), key=lambda r: r["piece"])
+        assert [w for r in pieces if r["length"] for w in tokens[r["bin_id"]][r["position"] : r["position"] + r["length"]]] == text.split()
+    given = docs([(1, "x"), (2, "y")]).withColumn("ids", F.array(F.col("doc_id"), F.lit(9)))  # any token ids
+    own = packing.pack(given, length=F.size("ids"))
+    assert [r["tokens"] for r in packing.sequences(given, own, tokens=F.col("ids")).collect()] in ([[1, 9, 2, 9]], [[2, 9, 1, 9]])
