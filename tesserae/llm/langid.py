@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -155,24 +155,21 @@ def fit(texts: list[str], languages: list[str], features: int = FEATURES, epochs
     return LanguageModel(names, idf, w[:-1].astype(np.float32), w[-1], temperature)
 
 
-def train(documents: DataFrame, per_language: int = 600, languages: int = 256, most: int = 6000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fits on a bounded sample: about ``per_language`` documents of each of the ``languages`` most frequent languages,
-    and no more than ``most`` in all, chosen by the hash of the key against a threshold from the languages' full counts."""
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    known = rows.filter("l is not null and t is not null")
-    count = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages)
+def train(documents: DataFrame, per_language: int = 600, most: int = 6000, least: int = 20, longest: int = 100_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Fits on a bounded sample: about ``per_language`` documents of every language, fewer if they were more than ``most`` in all, but
+    never fewer than ``least`` of a language that has so many; chosen by the hash of the key against a threshold from the
+    languages' full counts. Texts of over ``longest`` characters are not learned from, so the sample is bounded in bytes too."""
+    rows = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
+    known = rows.filter((F.col("l").isNotNull()) & F.col("t").isNotNull() & (F.length("t") <= longest))
+    count = known.groupBy("l").agg(F.count("*").alias("n"))
     found = max(1, count.count())
-    per_language = max(1, min(per_language, most // found))
+    per_language = max(1, least, min(per_language, most // found))
     share = F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1_000_003)) / 1_000_003.0
-    picked = known.join(F.broadcast(count), "l").filter(share < F.least(F.lit(1.0), F.lit(1.25 * per_language) / F.col("n")))
-    got = picked.select("l", "t", share.alias("h")).orderBy("h").limit(2 * per_language * found).collect()
-    seen: dict[str, int] = {}
-    kept = []
-    for r in got:
-        seen[r["l"]] = seen.get(r["l"], 0) + 1
-        if seen[r["l"]] <= per_language:
-            kept.append((r["t"], r["l"]))
-    return fit([t for t, _ in kept], [l for _, l in kept])
+    picked = known.join(count, "l").filter(share < F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n")))
+    order = Window.partitionBy("l").orderBy("h", "t")
+    got = picked.select("l", "t", share.alias("h")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).collect()
+    kept = sorted((r["h"], r["l"], r["t"]) for r in got)
+    return fit([t for _, _, t in kept], [l for _, l, _ in kept])
 
 
 def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:

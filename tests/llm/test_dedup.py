@@ -254,3 +254,48 @@ def test_near_counts_against_brute_force(spark):
     marked = spark.createDataFrame([(k, *simhash._halves(x)) for k, x in enumerate(marks)], "doc_id long, hi long, lo long")
     got = {r["doc_id"]: r["n_near"] for r in simhash.near_counts(marked, F.lit(True), radius=11).collect()}
     assert got == {k: sum(bin(x ^ y).count("1") <= 11 for y in marks) - 1 for k, x in enumerate(marks)}  # up to 11 of 128 bits, one of six bands differs in one bit at most
+
+
+def test_fingerprints_against_brute_force(docs, edge):
+    import struct
+
+    import xxhash
+    from conftest import EDGE
+
+    def mark(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+        terms = []
+        for run in [hashes[i : i + 5] for i in range(len(hashes) - 4)] if len(hashes) >= 5 else []:
+            seed = 42
+            for h in run:
+                seed = xxhash.xxh64_intdigest(struct.pack("<Q", h), seed=seed)
+            terms.append(seed)
+        votes, n = [0] * 128, len(terms)
+        for t in terms:
+            low = xxhash.xxh64_intdigest(struct.pack("<Q", t), seed=xxhash.xxh64_intdigest(struct.pack("<i", 1), seed=42))
+            for i in range(64):
+                votes[i] += t >> i & 1
+                votes[64 + i] += low >> i & 1
+        half = lambda part: sum(1 << i for i, v in enumerate(part) if 2 * v > n)
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        return signed(half(votes[:64])), signed(half(votes[64:]))
+
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choice(["a", "bé", "C\n", "dd", "\x0be"]) for _ in range(rng.randint(5, 60)))) for k in range(30)] + [(100, None), (101, " \t")]
+    got = {r["doc_id"]: (r["hi"], r["lo"]) for r in simhash.fingerprints(docs(rows), ["doc_id"], "text").collect()}
+    assert got == {k: mark(t) for k, t in rows}
+    many = {r["key"]: (r["hi"], r["lo"]) for r in simhash.fingerprints(edge.selectExpr("doc_id AS key", "text").distinct(), ["key"], "text").collect()}
+    assert {many[k] for k, t in EDGE if not (t or "").split()} == {(0, 0)} and many[8] == many[9] == mark(EDGE[8][1])
+
+
+def test_buckets_follow_the_keys_quantiles(docs):
+    rows = [(k, f"text {k}") for k in range(300)] + [(10**15, "far away"), (-(10**15), "before all")]
+    spread, firsts = simhash.in_order(docs(rows), "doc_id")
+    sizes = [r["count"] for r in spread.filter("_guest = 0").groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 302 and len(sizes) > 8 and max(sizes) <= 60
+    got = {r["doc_id"]: r["edited_sha256"] for r in simhash.compare_edited(docs(rows)).collect()}
+    order = sorted(rows)
+    for i, (k, t) in enumerate(order):
+        half = len(t) // 2
+        assert got[k] == hashlib.sha256((t[: len(t) - half] + order[(i + 1) % len(order)][1][:half]).encode()).hexdigest()
