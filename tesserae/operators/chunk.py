@@ -1,4 +1,4 @@
-"""Heading-aware, token-bounded chunks with overlap. One exchange by document; packing is a fold over the document's units.
+"""Heading-aware, token-bounded chunks with overlap. One exchange by document; packing is a fold over the document's units, in a worker that sees their token counts only.
 
 A chunk is opened, filled while its tokens stay within ``most``, and closed when the next unit would not fit; the next
 begins with the units at the end of the last that make up the overlap (always one, if any may overlap). The unit that
@@ -7,8 +7,10 @@ didn't fit is then added without another check, so a chunk may exceed ``most``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,56 +33,50 @@ class Budget:
             raise ValueError("target tokens must not exceed the most tokens")
 
 
-_UNIT = "struct<i:int,t:int,keep:boolean,alone:boolean>"
-_STATE = f"struct<done:array<array<int>>,held:array<{_UNIT}>,tokens:int>"
-
-
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _carry(held: Column, overlap: int) -> Column:
-    """The units at the end of ``held`` that may be kept, while their tokens fit; the first always does."""
-    start = F.struct(F.array().cast(f"array<{_UNIT}>").alias("kept"), F.lit(0).alias("tokens"), F.lit(False).alias("full"))
-
-    def step(acc: Column, u: Column) -> Column:
-        skip = acc["full"] | ~u["keep"]
-        over = (F.size(acc["kept"]) > 0) & (acc["tokens"] + u["t"] > overlap)
-        return (
-            F.when(skip, acc)
-            .when(over, F.struct(acc["kept"].alias("kept"), acc["tokens"].alias("tokens"), F.lit(True).alias("full")))
-            .otherwise(F.struct(F.concat(F.array(u), acc["kept"]).alias("kept"), (acc["tokens"] + u["t"]).alias("tokens"), F.lit(False).alias("full")))
-        )
-
-    return F.aggregate(F.reverse(held), start, step, lambda acc: acc["kept"])
+def pack_units(tokens: Sequence[int], keep: Sequence[bool], alone: Sequence[bool], prefix: int, budget: Budget, flush_at_target: bool = False) -> list[list[int]]:
+    """Numbers of the units of each chunk. ``keep``: a unit may be carried over; ``alone``: it makes a chunk by itself when it exceeds the budget."""
+    done: list[list[int]] = []
+    held: list[int] = []
+    total = prefix
+    for i, t in enumerate(tokens):
+        if held and (total + t > budget.most or flush_at_target and total >= budget.target):
+            done.append(held)
+            kept, shared = [], 0
+            for k in reversed(held):  # units that may be carried, while their tokens fit; the first always does
+                if not keep[k]:
+                    continue
+                if kept and shared + tokens[k] > budget.overlap:
+                    break
+                kept.append(k)
+                shared += tokens[k]
+            held, total = kept[::-1], prefix + shared
+        if alone[i] and t > budget.most:
+            done.append([i])
+            held, total = [], prefix
+        else:
+            held.append(i)
+            total += t
+    return [*done, held] if held else done
 
 
 def pack(units: Column, prefix_tokens: Column, budget: Budget, flush_at_target: bool = False) -> Column:
-    """Arrays of unit numbers, one per chunk, from array<struct<i, t, keep, alone>>: number, tokens, whether it may be carried
-    over, and whether it makes a chunk by itself when it exceeds the budget."""
-    no_units = F.array().cast(f"array<{_UNIT}>")
-    start = F.struct(F.array().cast("array<array<int>>").alias("done"), no_units.alias("held"), prefix_tokens.cast("int").alias("tokens")).cast(_STATE)
-    numbers = lambda held: F.transform(held, lambda u: u["i"])
-    total = lambda held: prefix_tokens.cast("int") + F.aggregate(held, F.lit(0), lambda a, u: a + u["t"])
-
-    def state(done: Column, held: Column, tokens: Column) -> Column:
-        return F.struct(done.alias("done"), held.alias("held"), tokens.alias("tokens")).cast(_STATE)
-
-    def step(acc: Column, u: Column) -> Column:
-        full = acc["tokens"] + u["t"] > budget.most
-        if flush_at_target:
-            full = full | (acc["tokens"] >= budget.target)
-        full = full & (F.size(acc["held"]) > 0)
-        closed = F.when(full, _let(_carry(acc["held"], budget.overlap), lambda kept: state(F.concat(acc["done"], F.array(numbers(acc["held"]))), kept, total(kept)))).otherwise(acc)
+    """Arrays of unit numbers, one per chunk, from an array of structs with ``t``, ``keep`` and ``alone``: tokens, and as of ``pack_units``.
+    The fold is sequential and its state grows, so it is linear in a worker, not in an expression; only numbers are sent there."""
 
-        def add(now: Column) -> Column:
-            big = u["alone"] & (u["t"] > budget.most)
-            own = state(F.concat(now["done"], F.array(F.array(u["i"]))), no_units, prefix_tokens)
-            return F.when(big, own).otherwise(state(now["done"], F.concat(now["held"], F.array(u)), now["tokens"] + u["t"]))
+    def chunks(units: Sequence[int], prefix: int) -> list[list[int]]:
+        return pack_units([u >> 2 for u in units], [u & 2 > 0 for u in units], [u & 1 > 0 for u in units], prefix, budget, flush_at_target)
 
-        return _let(closed, add)
+    @F.pandas_udf("array<array<int>>")
+    def packed(units: pd.Series, prefix: pd.Series) -> pd.Series:
+        return pd.Series([chunks(u.tolist(), int(p)) for u, p in zip(units, prefix)])
 
-    return F.aggregate(units, start, step, lambda acc: F.when(F.size(acc["held"]) > 0, F.concat(acc["done"], F.array(numbers(acc["held"])))).otherwise(acc["done"]))
+    # One number a unit. What isn't deterministic is computed once, where it stands, and not again inside of what reads it.
+    light = F.transform(units, lambda u: u["t"].cast("long") * 4 + u["keep"].cast("long") * 2 + u["alone"].cast("long"))
+    return packed.asNondeterministic()(light, prefix_tokens.cast("int"))
 
 
 def _sections(documents: DataFrame, blocks: str, heading: tuple[str, ...]) -> DataFrame:
@@ -116,7 +112,8 @@ def _emit(sections: DataFrame, budget: Budget, owner: str) -> DataFrame:
     """Chunks of sections with ``units``: numbered through each document, chunks without a body left out."""
     light = F.transform("units", lambda u, i: F.struct(i.alias("i"), u["t"].alias("t"), u["keep"].alias("keep"), u["alone"].alias("alone")))
     prefix = F.array_join("path", "\n")
-    packed = sections.withColumn("_prefix", prefix).select("*", F.posexplode(pack(light, token_count(F.col("_prefix")), budget)).alias("_n", "_numbers"))
+    packed = sections.withColumn("_prefix", prefix).withColumn("_chunks", pack(light, token_count(F.col("_prefix")), budget))
+    packed = packed.select("*", F.posexplode("_chunks").alias("_n", "_numbers")).drop("_chunks")
     members = F.transform("_numbers", lambda i: F.get("units", i))
     rows = packed.withColumn("_m", members).drop("units", "_numbers")
     body = strip(F.array_join(F.filter(F.transform("_m", lambda u: strip(u["content"])), lambda x: x != ""), "\n"))
@@ -138,7 +135,7 @@ def _emit(sections: DataFrame, budget: Budget, owner: str) -> DataFrame:
 def pdf_chunks(blocks: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Chunks of cleaned PDF blocks (file_id, block_idx, block_type, content, page_number, heading_level)."""
     heading = F.col("block_type").isin("title", "heading")
-    parts = blocks.select("file_id", "block_idx", "block_type", "page_number", "heading_level", F.posexplode(F.when(heading, split_numbered(F.col("content"))).otherwise(F.array("content"))).alias("part", "content"))
+    parts = blocks.repartition("file_id").select("file_id", "block_idx", "block_type", "page_number", "heading_level", F.posexplode(F.when(heading, split_numbered(F.col("content"))).otherwise(F.array("content"))).alias("part", "content"))
     level = F.when(heading, positional_level(F.col("content"), F.coalesce(marker_level(F.col("content")), F.col("heading_level"))))
     block = F.struct("block_idx", "part", F.col("block_type").alias("type"), "content", level.cast("int").alias("level"), F.col("page_number").alias("page"), token_count(F.col("content")).alias("tokens"))
     documents = parts.groupBy("file_id").agg(F.sort_array(F.collect_list(block)).alias("_blocks"))
@@ -149,7 +146,7 @@ def pdf_chunks(blocks: DataFrame, budget: Budget = Budget()) -> DataFrame:
 def word_chunks(elements: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Chunks of cleaned Word elements (file_id, file_name, element_idx, element_type, level, content). Ids are of the file's name."""
     block = F.struct("element_idx", F.col("element_type").alias("type"), "content", F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)).cast("int").alias("level"), F.lit(None).cast("int").alias("page"), token_count(F.col("content")).alias("tokens"))
-    documents = elements.groupBy("file_id").agg(F.min("file_name").alias("file_name"), F.sort_array(F.collect_list(block)).alias("_blocks"))
+    documents = elements.repartition("file_id").groupBy("file_id").agg(F.min("file_name").alias("file_name"), F.sort_array(F.collect_list(block)).alias("_blocks"))
     units = _units_of(F.col("blocks"), budget, None, ())
     return _emit(_sections(documents, "_blocks", ("heading",)).withColumn("units", units), budget, "file_name")
 
@@ -179,14 +176,15 @@ def markdown_chunks(elements: DataFrame, budget: Budget = Budget()) -> DataFrame
     """Chunks of cleaned Markdown elements (file_id, element_idx, element_type, content, heading_path and heading_levels arrays,
     line_start, line_end). A chunk never crosses heading paths; headings are units, so a heading alone makes a chunk."""
     parts = F.when(F.col("element_type").isin(*ATOMIC) | (token_count(F.col("content")) <= budget.most), F.array("content")).otherwise(_markdown_parts(F.col("content"), budget.most))
-    pieces = elements.select("file_id", "element_idx", "element_type", "heading_path", "heading_levels", "line_start", "line_end", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("content"))).alias("part", "content"))
+    pieces = elements.repartition("file_id").select("file_id", "element_idx", "element_type", "heading_path", "heading_levels", "line_start", "line_end", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("content"))).alias("part", "content"))
     w = Window.partitionBy("file_id").orderBy("element_idx", "part")
     moved = F.when(F.col("heading_path").eqNullSafe(F.lag("heading_path").over(w)), 0).otherwise(1)
     runs = pieces.withColumn("_moved", moved).withColumn("section", F.sum("_moved").over(w))
     unit = F.struct("element_idx", "part", "content", token_count(F.col("content")).alias("t"), F.col("element_type").alias("type"), "line_start", "line_end")
     grouped = runs.groupBy("file_id", "section").agg(F.min_by("heading_path", "element_idx").alias("path"), F.min_by("heading_levels", "element_idx").alias("levels"), F.sort_array(F.collect_list(unit)).alias("units"))
     light = F.transform("units", lambda u, i: F.struct(i.alias("i"), u["t"].alias("t"), (u["type"] == "paragraph").alias("keep"), F.lit(False).alias("alone")))
-    packed = grouped.select("*", F.posexplode(pack(light, F.lit(0), budget, flush_at_target=True)).alias("_n", "_numbers"))
+    packed = grouped.withColumn("_chunks", pack(light, F.lit(0), budget, flush_at_target=True))
+    packed = packed.select("*", F.posexplode("_chunks").alias("_n", "_numbers")).drop("_chunks")
     rows = packed.withColumn("_m", F.transform("_numbers", lambda i: F.get("units", i))).drop("units", "_numbers")
     level = lambda i: F.greatest(F.coalesce(F.get("levels", i), i + 1), F.lit(1))
     prefix = F.array_join(F.transform("path", lambda title, i: F.concat(F.repeat(F.lit("#"), level(i)), F.lit(" "), title)), "\n")

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import clean_characters, clean_markdown, is_page_number, merge_broken_lines, strip
 
 
-def repeated_noise(blocks: DataFrame, least: int = 3, longest: int = 120) -> DataFrame:
+# How often a short line makes noise, and how long it may be.
+LEAST = 3
+LONGEST = 120
+
+
+def repeated_noise(blocks: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """``file_id`` and ``noise``: short paragraphs and captions that occur at least ``least`` times in a document."""
     short = blocks.filter(F.col("block_type").isin("paragraph", "caption")).select("file_id", strip(F.col("content")).alias("noise"))
     return short.filter(F.length("noise").between(1, longest)).groupBy("file_id", "noise").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("file_id", "noise")
@@ -22,15 +27,27 @@ def drop_adjacent_duplicates(blocks: DataFrame, content: str = "content", docume
 
 def clean_blocks(blocks: DataFrame) -> DataFrame:
     """PDF blocks (file_id, block_idx, block_type, content, ...): characters and broken lines mended; empty blocks, page
-    numbers, noise (counted on the raw text) and adjacent repeats dropped, in this order."""
+    numbers, noise (counted on the raw text) and adjacent repeats dropped, in this order.
+
+    One exchange by document; each text is cleaned once. For the noise a row whose raw text isn't its cleaned one has a second
+    entry, and a window over the document's entries of one text counts the raw ones."""
+    row = F.struct(*(F.col(c) for c in blocks.columns if c not in ("file_id", "content"))).alias("row")
+    noisy = F.col("block_type").isin("paragraph", "caption")
     plain = clean_characters(F.col("content"))
     merged = F.when(F.col("block_type").isin("paragraph", "list", "caption"), merge_broken_lines(plain)).otherwise(plain)
-    kept = blocks.withColumn("content", merged).filter((F.col("content") != "") & ~is_page_number(F.col("content")))
-    noise = repeated_noise(blocks)
-    noisy = F.col("block_type").isin("paragraph", "caption")
-    marked = kept.withColumn("_noise", F.when(noisy, F.col("content")))
-    quiet = marked.join(noise.withColumnRenamed("noise", "_noise"), ["file_id", "_noise"], "left_anti").drop("_noise")
-    return drop_adjacent_duplicates(quiet).select(*blocks.columns)
+    short = F.when(noisy & F.length(strip(F.col("content"))).between(1, LONGEST), strip(F.col("content")))
+    rows = blocks.repartition("file_id").select("file_id", row, merged.alias("content"), short.alias("raw"), noisy.alias("noisy"))
+    entry = lambda kept, text, raw: F.struct(F.lit(kept).alias("kept"), text.alias("text"), raw.cast("int").alias("raw"))
+    same = F.col("raw").isNull() | (F.col("raw") == F.col("content"))
+    own = entry(True, F.col("content"), F.col("raw").isNotNull() & same)
+    entries = rows.select("file_id", "row", "noisy", F.explode(F.when(same, F.array(own)).otherwise(F.array(own, entry(False, F.col("raw"), F.lit(True))))).alias("e"))
+    counted = entries.select("file_id", "row", F.col("row.block_idx").alias("block_idx"), "noisy", "e.*")
+    counted = counted.withColumn("n", F.sum("raw").over(Window.partitionBy("file_id", "text")))
+    content = F.col("text")
+    quiet = counted.filter("kept").filter((content != "") & ~is_page_number(content) & ~(F.col("noisy") & (F.col("n") >= LEAST)))
+    before = F.lag("text").over(Window.partitionBy("file_id").orderBy("block_idx"))
+    left = quiet.withColumn("before", before).filter(~content.eqNullSafe(F.col("before")))
+    return left.select(*(content.alias(c) if c == "content" else F.col(c) if c == "file_id" else F.col("row")[c].alias(c) for c in blocks.columns))
 
 
 def _islands(rows: DataFrame, starts, document: str, order: str) -> DataFrame:
