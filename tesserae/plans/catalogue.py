@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 from tesserae.functions import tables as T
 from tesserae.functions import text as X
 from tesserae.operators import clean, headings, retrieve, review
-from tesserae.operators.chunk import Budget, markdown_chunks, pdf_chunks, word_chunks
-from tesserae.operators.embed import HashEmbedder, embed, unit
+from tesserae.operators.chunk import Budget, pdf_chunks
+from tesserae.operators.embed import unit
 from tesserae.operators.index import index_rows, latest, upserted
 from tesserae.operators.normalize import normalize
 from tesserae.session import table
 from tesserae.sources.files import batch_result, is_done, newest
 from tesserae.sources.items import block_type, page_of
-from tesserae.sources.markdown import attach_captions, line_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -525,46 +524,3 @@ def batch_items(spark, sf_dir):
 def unit_vectors(spark, sf_dir):
     v = unit(F.col("embedding"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
-
-
-# Not expressible as SQL over these tables; tested against fixtures and plain loops.
-
-
-@query()
-def pdf_chunk_rows(spark, sf_dir):
-    """Lines as blocks, every fifth a heading: cleaned, chunked, normalised."""
-    rows = _lines(spark, sf_dir)
-    heading = F.col("block_idx") % 5 == 0
-    blocks = rows.withColumns({"block_type": F.when(heading, "heading").otherwise("paragraph"), "heading_level": F.when(heading, F.length("content") % 3 + 1), "page_number": F.floor(F.col("block_idx") / 10).cast("int") + 1})
-    return pdf_chunks(clean.clean_blocks(blocks))
-
-
-@query()
-def word_chunk_rows(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    heading = F.col("block_idx") % 5 == 0
-    elements = rows.select("file_id", F.col("file_id").cast("string").alias("file_name"), F.col("block_idx").alias("element_idx"), F.when(heading, "heading").otherwise("paragraph").alias("element_type"), F.when(heading, F.length("content") % 3 + 1).alias("level"), "content")
-    return word_chunks(clean.clean_word(elements))
-
-
-@query()
-def markdown_chunk_rows(spark, sf_dir):
-    return markdown_chunks(clean.clean_markdown_elements(_elements(spark, sf_dir)))
-
-
-@query()
-def markdown_line_blocks(spark, sf_dir):
-    return line_blocks(_docs(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "text"))
-
-
-@query()
-def table_captions(spark, sf_dir):
-    kind = F.when(F.length("content") % 3 == 0, "table").otherwise("paragraph")
-    rows = _elements(spark, sf_dir).withColumns({"element_type": kind, "content": F.when(F.col("element_idx") % 2 == 0, F.concat(F.lit("Table 1: "), "content")).otherwise(F.col("content"))})
-    return attach_captions(rows).select("file_id", "element_idx", "element_type", "content")
-
-
-@query()
-def embedded_index(spark, sf_dir):
-    """Unified chunks embedded by a deterministic stand-in, as index rows."""
-    return index_rows(embed(normalize(_raw_chunks(spark, sf_dir), "pdf"), HashEmbedder))

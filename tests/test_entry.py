@@ -66,11 +66,11 @@ def test_search_many_beyond_20_000_queries(spark):
 
 
 def test_caption_lines_are_whole(spark, monkeypatch):
-    from tesserae.plans import catalogue
+    from tesserae.plans import chunk_queries
 
     elements = spark.createDataFrame([("f", 0, "paragraph", "x" * 1000, ["h"]), ("f", 1, "paragraph", "y" * 99, ["h"])], "file_id string, element_idx int, element_type string, content string, heading_path array<string>")
-    monkeypatch.setattr(catalogue, "_elements", lambda *_: elements)
-    got = {r["element_idx"]: (r["element_type"], r["content"]) for r in catalogue.table_captions(spark, "").collect()}
+    monkeypatch.setattr(chunk_queries, "_elements", lambda *_: elements)
+    got = {r["element_idx"]: (r["element_type"], r["content"]) for r in chunk_queries.table_captions(spark, "").collect()}
     assert got == {0: ("paragraph", "Table 1: " + "x" * 1000), 1: ("table", "y" * 99)}  # a line too long for a caption stays a paragraph
 
 
