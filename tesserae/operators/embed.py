@@ -78,6 +78,37 @@ class HttpEmbedder:
         return vectors_of(self.post(self.url, {"model": self.model, "input": list(texts)}, self.timeout), len(texts))
 
 
+class UnitEmbedder(CallableEmbedder):
+    """A local model, its vectors divided by their lengths."""
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        return [[x / size for x in v] if (size := math.sqrt(sum(x * x for x in v))) else v for v in super().embed(texts)]
+
+
+def endpoint(url: str = "", base: str = "") -> str:
+    """Where embeddings are asked for: ``url`` as it is, or else under ``base``."""
+    if not url and not base:
+        raise EmbeddingUnavailable("neither an address nor a base address of the embedding service is given")
+    return url or f"{base.rstrip('/')}/embeddings"
+
+
+# Names of the kinds of providers.
+SERVICES = ("openai", "openai_compatible", "api")
+LOCAL = ("sentence_transformers", "sentence-transformer", "local")
+
+
+def provider(kind: str, *, model: Any, post: Callable[[str, dict, float], Any] | None = None, url: str = "", base: str = "", timeout: float = 60.0) -> Any:
+    """A provider by the name of its kind: a service (``model`` names the model, ``post`` sends), or a ``model`` at hand."""
+    name = kind.strip().lower()
+    if name in SERVICES:
+        if post is None:
+            raise ValueError("a service needs a function that sends")
+        return HttpEmbedder(endpoint(url, base), model, post, timeout)
+    if name in LOCAL:
+        return UnitEmbedder(model)
+    raise ValueError(f"no embedding provider of the kind {kind}")
+
+
 def embed_query(provider: Any, query: str) -> list[float]:
     if not query.strip():
         raise ValueError("texts to embed must not be blank")

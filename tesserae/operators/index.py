@@ -33,6 +33,15 @@ def oversize(rows: DataFrame) -> Column:
     return F.array_compact(F.array(*(F.when(F.octet_length(name) > n, F.lit(name)) for name, n in LIMITS.items() if name in rows.columns)))
 
 
+def checked(rows: DataFrame, dimension: int | None) -> DataFrame:
+    """``rows`` that fail when they are read, if a vector hasn't got ``dimension`` components or a text exceeds its declared length."""
+    long = oversize(rows)
+    problem = F.when(F.size(long) > 0, F.concat(F.lit("too long for the index: "), F.array_join(long, ", "), F.lit(" of "), F.col("id")))
+    if dimension is not None:
+        problem = F.when(F.coalesce(F.size("vector"), F.lit(-1)) != dimension, F.concat(F.lit(f"a vector of other than {dimension} components: "), F.col("id"))).otherwise(problem)
+    return rows.withColumn("id", F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.col("id")))
+
+
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key: the last by ``order``."""
     w = Window.partitionBy(key).orderBy(order.desc())
@@ -82,9 +91,23 @@ class Index:
         how[0] = overwrite
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._at("CURRENT")), how)
 
+    def dimension(self) -> int | None:
+        """Components of the stored vectors; null without an index, or without vectors."""
+        if not self.exists() or "vector" not in (stored := self.read()).columns:
+            return None
+        first = stored.filter("vector is not null").select(F.size("vector").alias("n")).first()
+        return first["n"] if first else None
+
     def upsert(self, rows: DataFrame, key: str = "id", create: bool = True, order: Column | None = None) -> int:
-        """Writes the rows; the number written. No rows: nothing is written. Of rows with one key the last by ``order`` counts."""
-        batch = latest(rows, key, order if order is not None else F.monotonically_increasing_id())
+        """Writes the rows; the number written. No rows: nothing is written. Of rows with one key the last by ``order`` counts, or
+        without one that with the largest hash of its columns: the same whatever order rows come in. Rows with vectors must
+        agree in their components, with the index too, and fit the declared lengths; else nothing is written."""
+        if "vector" in rows.columns and key == "id":
+            known = self.dimension()
+            if known is None and (first := rows.select(F.size("vector").alias("n")).first()):
+                known = first["n"]
+            rows = checked(rows, known)
+        batch = latest(rows, key, order if order is not None else F.xxhash64(*rows.columns))
         count = batch.count()
         if not count:
             return 0

@@ -59,6 +59,12 @@ def pages_of_chunks(chunks: DataFrame, document: str = "file_id") -> DataFrame:
     return chunks.withColumn("page", F.explode(pages)).groupBy(document, "page").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))).alias("chunks"))
 
 
+def pages_of_either(of_blocks: DataFrame, of_chunks: DataFrame, document: str = "file_id") -> DataFrame:
+    """``document``, ``page``, and ``blocks`` or ``chunks``: a document with pages of blocks shows those, any other its chunks'."""
+    has = of_blocks.select(document).distinct()
+    return of_blocks.unionByName(of_chunks.join(has, document, "left_anti"), allowMissingColumns=True)
+
+
 def heading_tree(chunks: DataFrame, document: str = "file_id") -> DataFrame:
     """Nodes of the heading tree as rows (``path``, ``parent``, ``label``, ``node_type``, ``page_number``, ``chunk_id``): a node for every prefix of
     a chunk's heading (cut at ">"), with the page of the first chunk below it, and a leaf for each chunk. ``node_id`` is

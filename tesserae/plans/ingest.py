@@ -5,10 +5,11 @@ Each is a chain of DataFrame transformations; nothing runs before its result is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,21 @@ from tesserae.operators.clean import clean_blocks, clean_markdown_elements, clea
 from tesserae.operators.embed import HashEmbedder, embed, embed_query
 from tesserae.operators.index import Index, index_rows
 from tesserae.operators.normalize import normalize
+from tesserae.operators.skew import lookup_join
 from tesserae.sources import items, markdown
 from tesserae.sources.files import archive_members, file_id, files, latest_artifact, markdown_texts, word_elements
 
 KNOWLEDGE_BASE = "default"
 
 
+class SearchUnavailable(RuntimeError):
+    pass
+
+
+class ModelUnavailable(RuntimeError):
+    pass
+
+
 @dataclass(frozen=True)
 class Settings:
     """Limits of retrieval; values that make no sense are raised to the least that does."""
@@ -39,6 +49,18 @@ class Settings:
         object.__setattr__(self, "min_score", max(0.0, self.min_score))
 
 
+    @classmethod
+    def from_environment(cls, given: Mapping[str, str]) -> Settings:
+        """Settings by name (``RETRIEVAL_DEFAULT_TOP_K``, ...); what is missing or no number keeps its default."""
+        made = {}
+        for name, key, kind in (("default_k", "RETRIEVAL_DEFAULT_TOP_K", int), ("max_k", "RETRIEVAL_MAX_TOP_K", int), ("min_score", "RETRIEVAL_MIN_SCORE", float)):
+            try:
+                made[name] = kind(given[key].strip())
+            except (KeyError, ValueError):
+                continue
+        return cls(**made)
+
+
 def _with_metadata(chunks: DataFrame, documents: DataFrame, *fields: str) -> DataFrame:
     """Parser chunks with their metadata struct, and the fields of their document."""
     own = [c for c in chunks.columns if c not in ("chunk_id", "text", "content_hash", "token_count", "chunk_index", *documents.columns)]
@@ -63,11 +85,24 @@ def word_source(spark: SparkSession, path: str, budget: Budget = Budget()) -> Da
     return normalize(joined.withColumn("metadata", F.col("metadata").dropFields("file_id")), "docx")
 
 
+def newest_archives(pdfs: DataFrame, archives: DataFrame) -> DataFrame:
+    """Each of ``pdfs`` (sha256) with the newest archive made of it, else with the newest that has a content list; reading a
+    file for which there is neither fails."""
+    order, read = F.struct("modified", "path"), F.struct("json", "markdown")
+    keyed = archives.withColumn("key", F.explode(F.array_compact(F.array("origin_sha256", F.when(F.col("content_list").isNotNull(), "")))))
+    newest = keyed.groupBy("key").agg(F.max_by(read, order).alias("found"), F.when(F.col("key") == "", 2).otherwise(1).alias("weight"))
+    asked = pdfs.withColumn("key", F.explode(F.array("sha256", F.lit(""))))
+    met = lookup_join(asked, newest, "key", "weight", spread=F.col("file_id"), top=1)
+    best = met.groupBy(*pdfs.columns).agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.col("key"))).alias("found"))
+    parsed = best.select(*pdfs.columns, F.col("found.json").alias("json"), F.col("found.markdown").alias("markdown"))
+    nothing = F.col("json").isNull() & F.col("markdown").isNull()
+    return parsed.withColumn("file_id", F.when(nothing, F.raise_error(F.concat(F.lit("no parser archive for "), "file_name"))).otherwise(F.col("file_id")))
+
+
 def pdf_source(spark: SparkSession, path: str, archives: str, budget: Budget = Budget()) -> DataFrame:
     """PDF files with the archives that a layout parser left for them: JSON items, or else its Markdown."""
-    found = archive_members(spark, archives)
     pdfs = files(spark, path, "pdf").select(file_id(F.col("file_name"), F.col("sha256")).alias("file_id"), "file_name", F.lit("pdf").alias("file_type"), F.col("path").alias("source_path"), "sha256")
-    parsed = pdfs.join(found.withColumnRenamed("path", "archive").withColumnRenamed("origin_sha256", "sha256"), "sha256")
+    parsed = newest_archives(pdfs, archive_members(spark, archives))
     from_items = items.blocks(items.items(parsed.select("file_id", "json")))
     columns = ["file_id", "block_idx", "block_type", "content", "page_number", "heading_level"]
     rest = parsed.select("file_id", F.col("markdown").alias("text")).filter("text is not null").join(from_items.select("file_id").distinct(), "file_id", "left_anti")
@@ -112,7 +147,20 @@ def search(index: DataFrame, query: str, provider: Any, top_k: Any = None, setti
     """``score``, ``text`` and ``metadata`` of the best rows for a question."""
     vector = embed_query(provider, retrieve.valid_query(query))
     k = retrieve.top_k_of(top_k, settings.default_k, settings.max_k)
-    return retrieve.result_metadata(retrieve.search(index, vector, k, settings.min_score)).select("id", "score", "text", "metadata")
+    hits = retrieve.search(index, vector, k, settings.min_score)
+    return retrieve.result_metadata(hits).select("id", "score", "text", "metadata")
+
+
+def _collected(index: DataFrame, question: str, provider: Any, top_k: Any, settings: Settings) -> list[Any]:
+    """The hits, best first. Where the index can't be read with its JSON metadata, its flat fields have to do."""
+    tries = [index] + ([index.drop("metadata_json")] if "metadata_json" in index.columns else [])
+    for rows in tries:
+        hits = search(rows, question, provider, top_k, settings).orderBy(F.desc("score"), "id")
+        try:
+            return hits.collect()  # at most max_k rows
+        except PySparkException as error:
+            problem = error
+    raise SearchUnavailable("the index can't be searched") from problem
 
 
 def answer(index: DataFrame, query: str, provider: Any, model: Callable[[str], str], top_k: Any = 5, knowledge_base: str | None = None, settings: Settings = Settings()) -> dict[str, Any]:
@@ -120,14 +168,18 @@ def answer(index: DataFrame, query: str, provider: Any, model: Callable[[str], s
     question = retrieve.valid_query(query)
     if (knowledge_base or KNOWLEDGE_BASE).strip() != KNOWLEDGE_BASE:
         raise ValueError(f"only the knowledge base {KNOWLEDGE_BASE!r} is there")
-    hits = search(index, question, provider, top_k, settings).orderBy(F.desc("score"), "id").collect()  # at most max_k rows
+    hits = _collected(index, question, provider, top_k, settings)
     if not hits:
         return {"success": True, "answer": retrieve.NO_ANSWER, "sources": []}
     rows = [(i, h["text"], *(h["metadata"][n] for n in ("file_name", "file_type", "chapter", "section", "chunk_index")), (h["metadata"]["page_numbers"] or [None])[0]) for i, h in enumerate(hits, 1)]
     ranked = index.sparkSession.createDataFrame(rows, "rank int, text string, file_name string, file_type string, chapter string, section string, chunk_index int, page string")
     context = retrieve.context_parts(ranked).first()["context"]
     sources = retrieve.distinct_sources(ranked).orderBy("rank").drop("rank", "text").collect()
-    return {"success": True, "answer": text_of(model(retrieve.prompt(context, question))), "sources": [s.asDict() for s in sources]}
+    try:
+        said = text_of(model(retrieve.prompt(context, question)))
+    except Exception as error:
+        raise ModelUnavailable("the model failed") from error
+    return {"success": True, "answer": said, "sources": [s.asDict() for s in sources]}
 
 
 def text_of(content: Any) -> str:
@@ -139,10 +191,31 @@ def text_of(content: Any) -> str:
     return str(content)
 
 
-def review_document(chunks: DataFrame, state: DataFrame, document: str = "file_id") -> dict[str, DataFrame]:
-    """The parts of a review of flat chunks: ``chunks`` with the state laid over, ``pages``, ``tree``, ``issues`` and ``report``."""
+def review_document(chunks: DataFrame, state: DataFrame, document: str = "file_id", blocks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts of a review of flat chunks: ``chunks`` with the state laid over, ``pages``, ``tree``, ``issues`` and ``report``. Pages
+    show the parser's ``blocks`` where a document has any, else its chunks."""
     seen = review.overlay(chunks, state) if "metadata" in chunks.columns else chunks
-    return {"chunks": seen, "pages": review.pages_of_chunks(seen, document), "tree": review.heading_tree(seen, document), "issues": review.quality_issues(seen, document), "report": review.quality_report(seen, document)}
+    pages = review.pages_of_chunks(seen, document)
+    if blocks is not None:
+        pages = review.pages_of_either(review.pages_of_blocks(blocks, document), pages, document)
+    return {"chunks": seen, "pages": pages, "tree": review.heading_tree(seen, document), "issues": review.quality_issues(seen, document), "report": review.quality_report(seen, document)}
+
+
+def assembled_review(parts: Mapping[str, DataFrame], document: str = "file_id") -> DataFrame:
+    """One row per document of ``review_document``'s parts: its chunks, pages, tree and issues as arrays in order, and its report."""
+    rows = None
+    for name, frame in parts.items():
+        fields = [c for c in frame.columns if c != document]
+        gathered = F.sort_array(F.collect_list(F.struct(*_in_order(frame, fields)))) if name != "report" else F.first(F.struct(*fields))
+        part = frame.groupBy(document).agg(gathered.alias(name))
+        rows = part if rows is None else rows.join(part, document, "full")
+    return rows
+
+
+def _in_order(frame: DataFrame, fields: list[str]) -> list[str]:
+    """Fields with a position first, maps left out: they can't be sorted."""
+    plain = [f for f in fields if not frame.schema[f].dataType.simpleString().startswith(("map", "variant"))]
+    return sorted(plain, key=lambda f: f not in ("chunk_index", "page", "block_idx"))
 
 
 def update_review(index: Index, chunk_id: str, status: str, comment: str = "", text: str | None = None) -> int:
@@ -151,5 +224,13 @@ def update_review(index: Index, chunk_id: str, status: str, comment: str = "", t
     return index.upsert(row.withColumn("updated_time", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")), key="chunk_id")
 
 
+def read_state(index: Index) -> DataFrame:
+    """The reviews written so far; none where nothing can be read."""
+    try:
+        return index.read()
+    except (LookupError, PySparkException):
+        return index.spark.createDataFrame([], "chunk_id string, review_status string, review_comment string, text string, updated_time string")
+
+
 def artifact_for(spark: SparkSession, archives: str, sha256: str | None) -> DataFrame:
     return latest_artifact(archive_members(spark, archives), sha256)

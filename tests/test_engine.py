@@ -141,6 +141,133 @@ def test_sources(spark, tmp_path):
     assert ingest.handler_for("X.MD") is ingest.markdown_source
 
 
+def test_the_newest_archive_counts(spark, tmp_path):
+    import os
+
+    pdf = b"%PDF-2"
+    (tmp_path / "d.pdf").write_bytes(pdf)
+    for n, (name, text, origin) in enumerate((("old.zip", "old body", pdf), ("new.zip", "new body", pdf), ("other.zip", "other body", b"x"))):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("o_origin.pdf", origin)
+            z.writestr("o_content_list.json", json.dumps([{"type": "text", "text": text, "page_idx": 0}]))
+        os.utime(tmp_path / name, (1_000_000 + n, 1_000_000 + n))
+    where = str(tmp_path)
+    assert [r["text"] for r in ingest.pdf_source(spark, where, where).collect()] == ["new body"]
+    (tmp_path / "old.zip").unlink()
+    (tmp_path / "new.zip").unlink()  # none of its own is left: the newest that has a content list
+    assert [r["text"] for r in ingest.pdf_source(spark, where, where).collect()] == ["other body"]
+    (tmp_path / "other.zip").write_bytes(b"broken")
+    with pytest.raises(Exception, match="no parser archive for d.pdf"):
+        ingest.pdf_source(spark, where, where).collect()
+
+
+class FakeParser:
+    """Answers of a parser service: a batch that is done at the third question, an archive that is there at the second try."""
+
+    def __init__(self):
+        self.calls, self.now, self.slept = [], 0.0, []
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("a/x.json", "[1]")
+            z.writestr("a/x_content_list.json", "[2]")
+            z.writestr("a/full.md", "# text")
+        self.zip = out.getvalue()
+
+    def sleep(self, seconds):
+        self.slept.append(seconds)
+        self.now += seconds
+
+    def send(self, method, address, headers, body):
+        self.calls.append((method, address))
+        n = self.calls.count((method, address))
+        if address.endswith("/file-urls/batch"):
+            assert json.loads(body)["files"][0]["name"] == "a.pdf" and json.loads(body)["language"] == "ch" and headers["Authorization"] == "Bearer t"
+            return 200, json.dumps({"code": 0, "data": {"batch_id": "b", "file_urls": ["put://x"]}}).encode()
+        if address == "put://x":
+            return (201, b"") if body == b"%PDF" else (500, b"")
+        if address.endswith("/batch/b"):
+            state = "running" if n < 3 else "done"
+            return 200, json.dumps({"data": {"extract_result": [{"data_id": "other", "state": "failed"}, {"data_id": "me", "state": state}]}}).encode()
+        if address.endswith("/extract/task"):
+            return 200, json.dumps({"code": 0, "data": {"task_id": json.loads(body)["url"]}}).encode()
+        if address.endswith("/failing"):
+            return 200, json.dumps({"data": {"state": "Failed"}}).encode()
+        if address.endswith("/slow"):
+            return 200, json.dumps({"data": {"state": "pending"}}).encode()
+        if address.endswith("/ready"):
+            return 200, json.dumps({"data": {"full_zip_url": "zip://a", "md_content": "inline"}}).encode()
+        if address.endswith("/refused"):
+            return 200, json.dumps({"code": "A1", "msg": "no"}).encode()
+        if address == "zip://a":
+            return (503, b"") if n == 1 else (200, self.zip)
+        raise OSError("no such host")
+
+
+def test_parser_service():
+    from tesserae.sources import parser
+
+    fake = FakeParser()
+    service = parser.ParserService(fake.send, "http://p", "t", {"language": "ch"}, timeout=20, interval=2, clock=lambda: fake.now, sleep=fake.sleep)
+    result = service.wait(service.submit_file("a.pdf", b"%PDF", "me"))
+    assert result == {"data_id": "me", "state": "done"} and fake.slept == [2, 2]
+    ready = service.wait(service.submit_address("ready"))
+    assert service.artifacts(ready) == {"json": [1], "markdown": "inline"} and fake.slept[-1] == 2
+    with pytest.raises(parser.ParserError):
+        service.wait(service.submit_address("failing"))
+    with pytest.raises(TimeoutError):
+        service.wait(service.submit_address("slow"))
+    with pytest.raises(parser.ParserError, match="A1"):
+        service.wait(service.submit_address("refused"))
+    before = len(fake.slept)
+    with pytest.raises(parser.ParserError):
+        service.fetch("gone://x")
+    assert fake.slept[before:] == [2, 4] and fake.calls.count(("GET", "gone://x")) == 3
+    for name, content, error in (("a.txt", b"%PDF", ValueError), ("a.pdf", b"other", parser.ParserError)):
+        with pytest.raises(error):
+            service.submit_file(name, content)
+    assert service.artifacts({"content_list": [], "md": "x", "full_zip_url": "never://"}) == {"json": [], "markdown": "x"}
+    with pytest.raises(zipfile.BadZipFile):
+        parser.archive(b"no")
+    assert [parser.state_of(x) for x in ({"status": "SUCCESS"}, {"md_url": "u"}, {"state": "error"}, {})] == ["done", "done", "failed", "running"]
+
+
+def test_index_checks_vectors_and_lengths(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "index"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, vector array<float>, text string")
+    assert index.dimension() is None and index.upsert(rows(("a", [1.0, 2.0], "x"), ("a", [1.0, 3.0], "y"))) == 1 and index.dimension() == 2
+    kept = index.read().first()["text"]
+    assert index.upsert(rows(("a", [1.0, 3.0], "y"), ("a", [1.0, 2.0], "x"))) == 1 and index.read().first()["text"] == kept
+    for bad in (("b", [1.0], "x"), ("b", None, "x"), ("b", [1.0, 2.0], "x" * 8193)):
+        with pytest.raises(Exception, match="components|too long"):
+            index.upsert(rows(("c", [0.0, 1.0], "fine"), bad))
+    assert [r["id"] for r in index.read().collect()] == ["a"]
+
+
+def test_providers_by_name():
+    from tesserae.operators import embed as E
+
+    sent = []
+    service = E.provider(" OpenAI ", model="m", base="http://e/", post=lambda *a: sent.append(a) or {"data": [{"index": 0, "embedding": [1]}]})
+    assert service.embed(["t"]) == [[1.0]] and sent == [("http://e/embeddings", {"model": "m", "input": ["t"]}, 60.0)]
+    assert E.provider("local", model=lambda texts: [[3.0, 4.0] for _ in texts]).embed(["t"]) == [[0.6, 0.8]]
+    assert E.endpoint(url="u", base="b") == "u"
+    for kind, options, error in (("x", {}, ValueError), ("api", {"post": print}, E.EmbeddingUnavailable), ("api", {}, ValueError)):
+        with pytest.raises(error):
+            E.provider(kind, model="m", **options)
+
+
+def test_reviews_are_assembled(spark, tmp_path):
+    chunks = spark.createDataFrame([("f", "c1", 0, "t1", "h", "a", "b", [1], 1, 3, "x"), ("g", "c2", 0, "t2", "h", "a", "b", [2], 2, 3, "y")], "file_id string, chunk_id string, chunk_index int, text string, heading string, chapter string, section string, page_numbers array<int>, page_number int, token_count int, content_hash string")
+    blocks = spark.createDataFrame([("f", 0, "paragraph", "block", 7)], "file_id string, block_idx int, block_type string, content string, page_number int")
+    parts = ingest.review_document(chunks, ingest.read_state(Index(spark, str(tmp_path / "none"))), blocks=blocks)
+    assert sorted((r["file_id"], r["page"], r["blocks"] is not None) for r in parts["pages"].collect()) == [("f", 7, True), ("g", 2, False)]
+    rows = {r["file_id"]: r for r in ingest.assembled_review(parts).collect()}
+    assert set(rows) == {"f", "g"} and rows["g"]["chunks"][0]["text"] == "t2" and rows["f"]["pages"][0]["page"] == 7
+    assert ingest.Settings.from_environment({"RETRIEVAL_DEFAULT_TOP_K": "7", "RETRIEVAL_MAX_TOP_K": "x", "RETRIEVAL_MIN_SCORE": " 0.5 "}) == ingest.Settings(7, 20, 0.5)
+    sizes = spark.createDataFrame([(5,), (2048,), (3 << 20,)], "n long").select(api.size_text(F.col("n")).alias("t")).collect()
+    assert [r["t"] for r in sizes] == ["5 B", "2.0 KB", "3.0 MB"]
+
+
 def test_previews(spark, tmp_path):
     (tmp_path / "x_chunks_preview.json").write_text(json.dumps({"chunks": [{"chunk_id": "1", "chunk_index": 0, "text": "t", "metadata": {"file_id": "F", "file_name": "n"}}]}))
     (tmp_path / "y_chunks_preview.json").write_text("{")
@@ -166,7 +293,17 @@ def test_service(spark, tmp_path):
     got = service.upload(io.BytesIO(b"# A\n\nalpha body"), "C:/x/a?.md", str(tmp_path / "up"))
     assert got["upsert_count"] == 1 and got["file_size"] == 15 and got["path"].endswith("a_.md")
     assert [r["text"] for r in service.search("alpha", 3).collect()] in (["# A\n\nalpha body"], [])
-    assert api.KnowledgeSearch(service).invoke({"query": "# A\n\nalpha body"})[0]["metadata"]["file_name"] == "a_.md"
+    tool = api.search_tool(service)
+    assert tool["call"]({"query": "# A\n\nalpha body"})[0]["metadata"]["file_name"] == "a_.md" == tool["call"]("# A\n\nalpha body")[0]["metadata"]["file_name"]
+    assert service.respond_chat("# A\n\nalpha body") == (200, service.chat("# A\n\nalpha body"))
+    assert service.respond_chat(" ")[0] == 400 and service.respond_chat("x", knowledge_base="other")[0] == 400
+
+    def broken(_):
+        raise OSError("secret")
+
+    assert api.Service(spark, service.index, model=broken).respond_chat("# A\n\nalpha body") == (502, {"success": False, "message": "the model failed"})
+    assert api.Service(spark, Index(spark, str(tmp_path / "none"))).respond_chat("q")[0] == 503
+    assert api.respond(lambda: 1 / 0) == (500, {"success": False, "message": "the request failed"})
     assert service.chat("# A\n\nalpha body")["answer"] == "answer" and service.health()["index"]
     assert [(r["file_name"], r["chunk_count"]) for r in api.recent(service.records.read()).collect()] == [("a_.md", 1)]
     for stream, name, error in ((io.BytesIO(b""), "e.md", ValueError), (io.StringIO("x"), "e.md", TypeError), (io.BytesIO(b"x"), "..", ValueError), (io.BytesIO(b"x"), "e.exe", ValueError)):
