@@ -1,6 +1,7 @@
 """Classifiers, BPE and packing."""
 
 import hashlib
+import os
 import random
 
 import public_tokenizers
@@ -204,3 +205,36 @@ def test_sequences_are_the_documents_tokens(docs):
     given = docs([(1, "x"), (2, "y")]).withColumn("ids", F.array(F.col("doc_id"), F.lit(9)))  # any token ids
     own = packing.pack(given, length=F.size("ids"))
     assert [r["tokens"] for r in packing.sequences(given, own, tokens=F.col("ids")).collect()] in ([[1, 9, 2, 9]], [[2, 9, 1, 9]])
+
+
+@pytest.fixture(scope="module")
+def given():
+    where = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{where}/documents.parquet"):
+        pytest.skip("the given tables aren't here")
+    return where
+
+
+def test_quality_on_documents_held_out(spark, given):
+    from tesserae.llm import queries
+
+    labels = spark.read.parquet(f"{given}/labels.parquet").filter("quality is not null")
+    rows = queries.op9_compression_quality(spark, given).filter("held_out").join(labels, "doc_id").select("quality", "predicted").collect()
+    good, bad = ([r["predicted"] == q for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(rows) > 1000 and sum(good) >= 0.99 * len(good) and sum(bad) >= 0.95 * len(bad)
+
+
+def test_language_on_documents_held_out(spark, given):
+    from tesserae.llm import queries
+
+    docs = spark.read.parquet(f"{given}/documents.parquet").filter("lang is not null").select("doc_id", "lang")
+    rows = queries.op10_language_id(spark, given).filter("held_out and lang_pred <> 'und'").join(docs, "doc_id").collect()
+    assert len(rows) > 1500 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.99 * len(rows)
+
+
+def test_every_language_is_learned(docs):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[i % 26]}{letters[i // 26 % 12]}{letters[i % 26]} " * 12, f"l{i % 312}") for i in range(312 * 6)]
+    df = docs([(k, t) for k, t, _ in rows]).drop("lang").join(docs([]).sparkSession.createDataFrame([(k, l) for k, _, l in rows], "doc_id long, lang string"), "doc_id")
+    model = langid.train(df, per_language=4, most=300, least=3)
+    assert len(model.languages) == 312
