@@ -24,7 +24,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread
     own = [F.col("l")[c].alias(c) for c in left.columns]
     if rows is not None and rows <= top:
         return met.select(*own, *(F.col("hv")[c].alias(c) for c in values))
-    rest = right.select(F.col(key).alias("rk"), F.lit(0).cast("long").alias("rs"), F.struct(*values).alias("rv"))
+    # The salt of the right side is 0, but not as a constant: the optimizer would take it out of the join's keys.
+    rest = right.select(F.col(key).alias("rk"), F.pmod(F.xxhash64(F.col(key)), F.lit(1).cast("long")).alias("rs"), F.struct(*values).alias("rv"))
     salted = met.withColumn("ls", F.when(F.col("hv").isNull(), F.lit(0).cast("long")).otherwise(F.col("x")))
     joined = salted.join(rest, (F.col("k") == F.col("rk")) & (F.col("ls") == F.col("rs")), "left")
     found = F.coalesce("hv", "rv")

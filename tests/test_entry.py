@@ -36,6 +36,14 @@ def test_lookup_join(spark, top, rows):
     assert got == {(r["i"], r["k"], known.get(r["k"])) for r in left.collect()}
 
 
+def test_lookup_join_spreads_hot_keys(spark):
+    left = spark.range(5000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS k")
+    right = spark.range(2000).selectExpr("id AS k", "CASE WHEN id = 7 THEN 9999 ELSE 1 END AS n", "'v' AS v")
+    plan = lookup_join(left, right, "k", "n", spread=F.col("id"), top=1).hint("merge")._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "LeftOuter" in line and "rs#" in line]
+    assert keys and all("ls#" in line.partition("LeftOuter")[0] for line in keys)
+
+
 def test_search_many(spark):
     vectors = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(60)] + [(99, [0.0, 0.0, 0.0])]
     index = spark.createDataFrame(vectors, "id long, vector array<float>").repartition(5)
