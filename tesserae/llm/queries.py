@@ -135,6 +135,15 @@ def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, sf_dir, "documents"))[1]
 
 
+ORACLE["op4_jaccard_links"] = ORACLE["op4_jaccard_components"].partition("r AS (")[0].replace("WITH RECURSIVE", "WITH").rstrip().rstrip(",") + r""",
+h AS (SELECT doc_id, md5(array_to_string(list_sort(list(g)), chr(1))) AS h FROM s GROUP BY doc_id),
+e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM h),
+k AS (SELECT u AS doc_id, count(*) AS k FROM l GROUP BY u)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(e.class_id, w.doc_id) AS class_id, coalesce(k.k, 0)::BIGINT AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
