@@ -507,7 +507,7 @@ def quality_report(spark, sf_dir):
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'click' DESC, ts DESC, event_id) = 1")
-def latest_artifact(spark, sf_dir):
+def newest_by_key(spark, sf_dir):
     return newest(table(spark, sf_dir, "events"), ["user_id"], [(F.col("event_type") == "click").desc(), F.desc("ts"), F.col("event_id")]).select("user_id", "event_id")
 
 

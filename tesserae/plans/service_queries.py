@@ -170,3 +170,18 @@ def recent_records(spark, sf_dir):
     rows = _docs(spark, sf_dir).select((F.col("doc_id") % 50).cast("string").alias("file_id"), F.struct((F.col("doc_id") % 13).alias("d"), F.col("doc_id").alias("i")).alias("stamp"), "doc_id", X.token_count(F.col("text")).alias("t"))
     newest = files.newest(rows, ["file_id"], [F.desc("stamp")]).withColumn("updated_at", F.format_string("%02d", F.col("stamp.d")))
     return api.recent(newest).select("file_id", "doc_id", "t")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 = 0 AS lists, o_orderdate FROM orders),
+own AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey::VARCHAR DESC) AS r FROM a),
+other AS (SELECT o_orderkey FROM a WHERE lists ORDER BY o_orderdate DESC, o_orderkey::VARCHAR DESC LIMIT 1)
+SELECT c_custkey, coalesce(own.o_orderkey, (SELECT o_orderkey FROM other)) AS archive FROM customer LEFT JOIN own ON o_custkey = c_custkey AND r = 1""")
+def newest_archives(spark, sf_dir):
+    """Of each file (customers stand for files, orders for archives) the newest archive made of it, else the newest with a content list."""
+    pdfs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_id"), F.col("c_name").alias("file_name"), F.col("c_custkey").cast("string").alias("sha256"))
+    archives = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").cast("timestamp").alias("modified"), F.col("o_orderkey").cast("string").alias("json"), F.lit(None).cast("string").alias("markdown"),
+        F.when(F.col("o_orderkey") % 3 == 0, "[]").alias("content_list"), F.col("o_custkey").cast("string").alias("origin_sha256"),
+    )
+    return ingest.newest_archives(pdfs, archives).select(F.col("file_id").cast("long").alias("c_custkey"), F.col("json").cast("long").alias("archive"))
