@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,13 @@ def _filtered(left: DataFrame, keys: list[Column], ids: DataFrame) -> tuple[Data
     return packed, joined.withColumn("hit", F.coalesce(hit, F.lit(False)))
 
 
+def _same(n: int) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"k{i}") == F.col(f"r{i}") for i in range(n)))
+
+
 def _matched(packed: DataFrame, ids: DataFrame, how: str, small: bool) -> DataFrame:
     named = ids.select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(ids.columns)))
-    same = F.lit(True)
-    for i in range(len(ids.columns)):
-        same = same & (F.col(f"k{i}") == F.col(f"r{i}"))
-    return packed.join(F.broadcast(named) if small else named, same, how).select("l.*")
+    return packed.join(F.broadcast(named) if small else named, _same(len(ids.columns)), how).select("l.*")
 
 
 def semi_join(left: DataFrame, keys: list[Column], ids: DataFrame) -> DataFrame:
@@ -82,3 +85,20 @@ def anti_join(left: DataFrame, keys: list[Column], ids: DataFrame) -> DataFrame:
         return _matched(packed, ids, "left_anti", True)
     marked = _filtered(left, keys, ids)[1]
     return _matched(marked.filter("hit"), ids, "left_anti", False).unionByName(marked.filter("not hit").select("l.*"))
+
+
+def some_join(left: DataFrame, keys: list[Column], right: DataFrame, names: list[str]) -> DataFrame:
+    """Left join of ``left`` with the other columns of ``right`` (written already; one row per ``names``). Where most rows of ``left`` have
+    no match these aren't exchanged: the ids, or beyond ``FEW`` a Bloom filter of them, tell before. ``right`` brings columns
+    that ``left`` hasn't got."""
+    ids, values = right.select(*names), [c for c in right.columns if c not in names]
+    if ids.count() <= FEW:
+        packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+        known = ids.select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(names)), F.lit(True).alias("there"))
+        marked = packed.join(F.broadcast(known), _same(len(names)), "left").select("l", *(f"k{i}" for i in range(len(names))), F.col("there").isNotNull().alias("hit"))
+    else:
+        marked = _filtered(left, keys, ids)[1]
+    found = right.select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(names)), *values)
+    hits = marked.filter("hit").join(found, _same(len(names)), "left").select("l.*", *values)
+    misses = marked.filter("not hit").select("l.*", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in values))
+    return hits.unionByName(misses)

@@ -113,6 +113,9 @@ def test_semi_and_anti_join(spark, monkeypatch, few):
     assert got.columns == left.columns and {tuple(r) for r in got.collect()} == {r for r in rows if r[:2] in known}
     rest = anti_join(left, [F.col("k0"), F.col("l")], ids)
     assert {tuple(r) for r in rest.collect()} == {r for r in rows if r[:2] not in known}
+    values = stored(ids.filter("map is not null").withColumn("v", F.col("b") + 1), "values")
+    joined = skew.some_join(left, [F.col("k0"), F.col("l")], values, ["b", "map"])
+    assert joined.columns == [*left.columns, "v"] and {tuple(r) for r in joined.collect()} == {(*r, r[0] + 1 if r[:2] in known else None) for r in rows}
     none = stored(ids.limit(0), "none")
     assert semi_join(left, [F.col("k0"), F.col("l")], none).count() == 0 and anti_join(left, [F.col("k0"), F.col("l")], none).count() == 300
 
