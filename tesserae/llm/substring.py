@@ -9,7 +9,9 @@ Equal rows are folded first: documents with equal texts into the one with the sm
 to end), and runs with the same words into the earliest. An anchor that occurs in two documents sends its runs' words to a
 shard of whole anchors. The shard's runs are indexed, and streamed against the index by backward search: their matching
 statistics give for every window the interval of its occurrences, hence their smallest document. The answer holds for every
-run that was folded into the one that was asked. Anchors of more runs than a shard holds are cut into parts, with a shard
+run that was folded into the one that was asked. Runs that share their anchor by chance aren't asked: a window that two of
+them have in common reaches half of the other words to the left or to the right of the anchor, and two short hashes of
+these words tell. Anchors of more runs than a shard holds are cut into parts, with a shard
 for every two parts.
 
 Defined results: null texts have no words; a text of fewer words than a window keeps all; rows that repeat a key never
@@ -29,11 +31,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tesserae.llm.fmindex import FmIndex
 from tesserae.llm.jaccard import whole_groups
 from tesserae.llm.wordhash import Words, _powers, buffers, mix, parts, slices, tidy, window_hash
-from tesserae.operators.skew import anti_join, lookup_join, semi_join
+from tesserae.operators.skew import anti_join, lookup_join, semi_join, some_join
 from tesserae.session import discard, free_name, stored, text_batches
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 3
 WHOLE = -1  # stands for a span over the whole text
 SHARD_RUNS = 20_000
 HELD_RUNS = 200_000
@@ -54,9 +56,10 @@ def span(start, length):
     return start * 64 + length
 
 
-def find_runs(words: Words, window: int, anchor: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows with one anchor: its hash, a hash of the run's words, the text, the first word, the windows.
-    ``common``: hashes of frequent phrases, ascending."""
+def find_runs(words: Words, window: int, anchor: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive windows with one anchor: its hash, a hash of the run's words, the text, the first word, the windows, and
+    hashes of the words beside the anchor to the left and to the right, as many as one side of a common window must
+    reach (0 where the run doesn't). ``common``: hashes of frequent phrases, ascending."""
     value = words.hashes()
     grams = window_hash(value, anchor) >> np.uint64(1)
     if len(common) and len(grams):
@@ -65,15 +68,16 @@ def find_runs(words: Words, window: int, anchor: int, common: np.ndarray) -> tup
         grams |= (common[at] == grams).astype(np.uint64) << np.uint64(63)
     per = window - anchor + 1
     none = np.zeros(0, dtype=np.int64)
+    empty = (none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.int32), none.astype(np.int32))
     if len(grams) < per:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return empty
     start = np.arange(len(grams) - per + 1)
     best = start + np.lib.stride_tricks.sliding_window_view(grams, per).argmin(axis=1)
     owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     inside = owner[start] == owner[start + window - 1]
     start, best = start[inside], best[inside]
     if not len(start):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return empty
     new = np.ones(len(start), dtype=bool)
     new[1:] = (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1) | (owner[start[1:]] != owner[start[:-1]])
     head = np.flatnonzero(new)
@@ -85,7 +89,11 @@ def find_runs(words: Words, window: int, anchor: int, common: np.ndarray) -> tup
     np.cumsum(value * p[: len(value)], out=total[1:])
     content = mix((total[end] - total[first]) * q[first] + (end - first).astype(np.uint64))
     text = owner[first]
-    return grams[best[head]], content, text, first - words.first[text], windows
+    side, at = -(-(window - anchor) // 2), best[head]
+    near = (window_hash(value, side) if side else np.zeros(len(value) + 1, dtype=np.uint64)) | np.uint64(1)
+    beside = lambda place, inside: np.where(inside, near[np.clip(place, 0, len(near) - 1)] & np.uint64(0xFFFF), np.uint64(0)).astype(np.int32)
+    left, right = beside(at - side, at - side >= first), beside(at + anchor, at + anchor + side <= end)
+    return grams[at], content, text, first - words.first[text], windows, left, right
 
 
 def _common(rows: DataFrame, anchor: int) -> DataFrame:
@@ -121,16 +129,16 @@ def _runs(rows: DataFrame, window: int, anchor: int, common: np.ndarray) -> Data
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        a, content, key, at = (np.concatenate(x) for x in zip(*held))
+        a, content, key, at, left, right = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((key, content, a))
-        a, content, key, at = a[order], content[order], key[order], at[order]
+        a, content, key, at, left, right = (x[order] for x in (a, content, key, at, left, right))
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[1:] != a[:-1]) | (content[1:] != content[:-1])
         heads = np.flatnonzero(new)
         copied = key > key[np.repeat(heads, np.diff(np.append(heads, len(a))))]
         m = np.zeros(len(a), dtype=np.int64)
         m[heads] = np.add.reduceat(copied, heads, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array((~copied).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key), pa.array(at), pa.array(m.astype(np.int32))], names=["kind", "a", "c", "key", "at", "m"])
+        return pa.RecordBatch.from_arrays([pa.array((~copied).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key), pa.array(at), pa.array(m.astype(np.int32)), pa.array(left | right << 16)], names=["kind", "a", "c", "key", "at", "m", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -138,10 +146,10 @@ def _runs(rows: DataFrame, window: int, anchor: int, common: np.ndarray) -> Data
             key, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = buffers(batch.column(2))
             for i, j in slices(offsets):
-                a, content, text, first, windows = find_runs(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), window, anchor, shared.value)
+                a, content, text, first, windows, left, right = find_runs(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), window, anchor, shared.value)
                 if not len(a):
                     continue
-                held.append([a, content, key[i:j][text], mark[i:j][text] << 39 | span(first, windows)])
+                held.append([a, content, key[i:j][text], mark[i:j][text] << 39 | span(first, windows), left, right])
                 size += len(a)
                 if size > most:
                     yield settle(held)
@@ -149,41 +157,49 @@ def _runs(rows: DataFrame, window: int, anchor: int, common: np.ndarray) -> Data
         if held:
             yield settle(held)
 
-    return rows.select("key", "mark", "text").mapInArrow(tidy(run), "kind int, a long, c long, key long, at long, m int")
+    return rows.select("key", "mark", "text").mapInArrow(tidy(run), "kind int, a long, c long, key long, at long, m int, b int")
+
+
+def _alike(a: np.ndarray, beside: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Rows that share the anchor and the hash ``beside`` it (not 0) with a row of another document."""
+    order = np.lexsort((beside, a))
+    x, y, k = a[order], beside[order], key[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, dtype=np.int64)
+    out = np.zeros(len(a), dtype=bool)
+    if len(cuts):
+        two = (np.minimum.reduceat(k, cuts) < np.maximum.reduceat(k, cuts)) & (y[cuts] != 0)
+        out[order] = np.repeat(two, np.diff(np.append(cuts, len(x))))
+    return out
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
-    """Kind 0: runs folded into the earliest with their words. Kind 1: the others, where their anchor is in two documents.
-    Streams over the runs in the order of anchor, words and key; of an anchor it holds the runs of kind 1 only."""
+    """Kind 0: runs folded into the earliest with their words. Kind 1: the others, where some were folded into them, or another
+    document's run may have a window with them. Streams over the runs in the order of anchor, words and key; of an anchor
+    it holds the runs of kind 1 only."""
     names = ["kind", "a", "c", "key", "at", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # anchor, words and key of the group at hand
-        wait = [np.zeros(0, dtype=np.int64)] * 5  # rows of the anchor at hand
-        folded = False  # whether it has others that were folded
+        wait = [np.zeros(0, dtype=np.int64)] * 6 + [np.zeros(0, dtype=bool)]  # rows of the anchor at hand, and whether others were folded into them
 
         def batch_of(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in columns)], names=names)
 
-        def shared(rows: list[np.ndarray], more: np.ndarray) -> pa.RecordBatch:
-            """Of whole anchors: those with two documents. ``more``: anchors that have folded runs besides."""
-            a, _, key, _, m = rows
-            cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, dtype=np.int64)
-            if not len(cuts):
-                return batch_of(1, *rows)
-            keep = (np.minimum.reduceat(key, cuts) < np.maximum.reduceat(key, cuts)) | (np.maximum.reduceat(m, cuts) > 0) | np.isin(a[cuts], more)
-            keep = np.repeat(keep, np.diff(np.append(cuts, len(a))))
-            return batch_of(1, *(x[keep] for x in rows))
+        def asked(rows: list[np.ndarray]) -> pa.RecordBatch:
+            a, c, key, at, m, beside, folded = rows
+            keep = folded | _alike(a, beside & 0xFFFF, key) | _alike(a, beside >> 16 & 0xFFFF, key)
+            return batch_of(1, *(x[keep] for x in (a, c, key, at, m)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind, a, c, key, at, m = (batch.column(i).to_numpy() for i in range(6))
+            kind, *columns = (batch.column(i).to_numpy() for i in range(7))
             known = int(np.searchsorted(kind, 1))
-            yield batch_of(0, a[:known], c[:known], key[:known], at[:known], m[:known])
+            yield batch_of(0, *(x[:known] for x in columns[:5]))
             if known == len(kind):
                 continue
-            a, c, key, at, m = (x[known:] for x in (a, c, key, at, m))
+            columns = [x[known:] for x in columns]
+            a, c, key, _, m, _ = columns
             new = np.ones(len(a), dtype=bool)
             new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
             if last is not None:
@@ -191,17 +207,20 @@ def _repeated(runs: DataFrame) -> DataFrame:
             place = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
             earliest = np.where(place >= 0, key[np.maximum(place, 0)], last[2] if last is not None else 0)
             copied = key > earliest
-            yield batch_of(0, *(x[copied] for x in (a, c, key, at, m)))
-            more = np.unique(a[copied])
-            if folded:
-                more = np.append(more, last[0])
+            yield batch_of(0, *(x[copied] for x in columns[:5]))
+            group = np.cumsum(new)  # 0: the group that goes on from the batch before
+            folded = (np.bincount(group, weights=copied, minlength=int(group[-1]) + 1) > 0)[group] | (m > 0)
+            if place[0] < 0:
+                before = (wait[0] == last[0]) & (wait[1] == last[1])
+                going_on = bool(copied[group == 0].any() or wait[6][before].any())
+                wait[6] = wait[6] | before & going_on
+                folded |= (group == 0) & going_on
             last = (a[-1], c[-1], earliest[-1])
-            own = [np.concatenate((w, x[~copied])) for w, x in zip(wait, (a, c, key, at, m))]
+            own = [np.concatenate((w, x[~copied])) for w, x in zip(wait, (*columns, folded))]
             done = int(np.searchsorted(own[0], a[-1])) if len(own[0]) else 0
-            yield shared([x[:done] for x in own], more)
+            yield asked([x[:done] for x in own])
             wait = [x[done:] for x in own]
-            folded = bool((more == a[-1]).any())
-        yield shared(wait, np.array([last[0]]) if folded else np.zeros(0, dtype=np.int64))
+        yield asked(wait)
 
     spread = F.when(F.col("kind") == 1, F.col("a")).otherwise(F.xxhash64("key", "at"))
     return runs.repartition(spread).sortWithinPartitions("kind", "a", "c", "key", "at").mapInArrow(tidy(run), "kind int, a long, c long, key long, at long, m long")
@@ -262,8 +281,8 @@ def _shards(words: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(len(a), np.int32), a, c, bound, m)], names=names)
 
     # Anchors of very many runs are cut into parts, with a shard for every two of them.
-    hot = words.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PART_RUNS).select("a", "n", F.ceil(F.col("n") / PART_RUNS).cast("int").alias("g"))
-    split = lookup_join(words, hot, "a", "n", spread=F.xxhash64("key", "at")).withColumn("g", F.coalesce("g", F.lit(1)))
+    hot = stored(words.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PART_RUNS).select("a", "n", F.ceil(F.col("n") / PART_RUNS).cast("int").alias("g")), "hot")
+    split = lookup_join(words, hot, "a", "n", spread=F.xxhash64("key", "at"), rows=hot.count()).withColumn("g", F.coalesce("g", F.lit(1)))
     split = split.withColumn("p", F.pmod(F.xxhash64("key", "at"), F.col("g"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = split.select(F.xxhash64("a", F.least("p", "q"), F.greatest("p", "q")).alias("shard"), "a", "c", "key", "at", "m", "words")
     return dealt.repartition("shard").sortWithinPartitions("shard", "a", "key", "at").mapInArrow(tidy(run), "kind int, key long, mark long, span long, m long")
@@ -284,12 +303,13 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     names = [F.col("key"), F.col("mark")]
     common = np.sort(np.array([r["h"] for r in _common(named.filter("sample is not null"), anchor).select("h").collect()], dtype=np.int64)).view(np.uint64)
     found = stored(_repeated(_runs(anti_join(marked, names, copies), window, anchor, common)), "runs")
+    discard(spark, named, copied)
     runs = F.collect_list(F.struct("a", "c", "at", "m")).alias("runs")
     asked = stored(found.filter("kind = 1").groupBy("key", F.shiftright("at", 39).alias("mark")).agg(runs), "asked")
     texts = semi_join(marked, names, stored(asked.select("key", "mark"), "ids")).join(asked, ["key", "mark"])
     words = stored(_words_of(texts, window), "words")
     answers = stored(_shards(words, window), "answers")
-    discard(spark, named, copied, asked, words)
+    discard(spark, asked, words)
     bounds = answers.filter("kind = 1").select(F.struct(F.col("key").alias("a"), F.col("mark").alias("c")).alias("what"), F.col("span").alias("earliest"), "m").groupBy("what").agg(F.min("earliest").alias("earliest"), F.sum("m").alias("m"))
     others = found.filter("kind = 0").select("key", "at", F.struct("a", "c").alias("what"))
     direct = lookup_join(others, bounds, "what", "m", spread=F.xxhash64("key", "at")).filter("earliest < key")
@@ -337,10 +357,6 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([*own, made], names=[*part.schema.names[:-1], "_kept"])
 
     names = [F.col(key).cast("long"), _mark(body)]
-    ids = stored(spans.select("key", "mark"), "ids")
-    touched = semi_join(documents, names, ids).select(F.struct(*(F.col(c) for c in documents.columns)).alias("row"), *(n.alias(f"k{i}") for i, n in enumerate(names)))
-    touched = touched.join(spans, (F.col("k0") == F.col("key")) & (F.col("k1") == F.col("mark"))).select("row.*", F.col("spans").alias(listed))
-    clean = anti_join(documents, names, ids).withColumn(listed, F.lit(None).cast("array<bigint>"))
-    listed_rows = touched.unionByName(clean)
+    listed_rows = some_join(documents, names, spans.select("key", "mark", F.col("spans").alias(listed)), ["key", "mark"])
     kept = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())])
     return listed_rows.mapInArrow(tidy(run), StructType([*documents.schema.fields, StructField("_kept", kept)]))
