@@ -132,7 +132,7 @@ def _survey(documents: DataFrame, words: int, salt: int) -> DataFrame:
                     # A prefix lies among the lowest hashes, unless many of these are frequent: a quarter of all is counted.
                     held.append(s[: np.searchsorted(s, np.uint64(1 << 62))])
                     size += len(held[-1])
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         yield often()
                         held, size = [], 0
             if n:
