@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tesserae.llm.wordhash import tidy
-from tesserae.session import text_batches
+from tesserae.operators.skew import lookup_join, semi_join
+from tesserae.session import stored, text_batches
 
 UNDETERMINED = "und"
 FEATURES = 1 << 14
@@ -165,11 +166,18 @@ def train(documents: DataFrame, per_language: int = 600, most: int = 6000, least
     found = max(1, count.count())
     per_language = max(1, least, min(per_language, most // found))
     share = F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1_000_003)) / 1_000_003.0
-    picked = known.join(count, "l").filter(share < F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n")))
-    order = Window.partitionBy("l").orderBy("h", "t")
-    got = picked.select("l", "t", share.alias("h")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).collect()
-    kept = sorted((r["h"], r["l"], r["t"]) for r in got)
-    return fit([t for _, _, t in kept], [l for _, l, _ in kept])
+    light = lookup_join(known.select("k", "l"), count.withColumn("w", F.col("n")), "l", "w", spread=F.xxhash64("k"), rows=found)
+    order = Window.partitionBy("l").orderBy(share, "k")
+    ranked = light.filter(share < F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n"))).withColumn("r", F.row_number().over(order))
+    picked = stored(ranked.filter(F.col("r") <= per_language).select("k").distinct(), "picked")  # the texts stay where they are
+    got = semi_join(known, [F.col("k")], picked).select("l", "t", share.alias("h")).orderBy("h", "l", "t").limit(2 * per_language * found).collect()
+    seen: dict[str, int] = {}
+    kept = []
+    for r in got:
+        seen[r["l"]] = seen.get(r["l"], 0) + 1
+        if seen[r["l"]] <= per_language:
+            kept.append((r["t"], r["l"]))
+    return fit([t for t, _ in kept], [l for _, l in kept])
 
 
 def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
