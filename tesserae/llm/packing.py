@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.skew import lookup_join
+from tesserae.operators.skew import anti_join, lookup_join, semi_join
 from tesserae.session import discard, stored
 
 SHARD_ITEMS = 8192
@@ -139,15 +139,22 @@ def sequences(documents: DataFrame, packed: DataFrame, key: str = "doc_id", text
     holds no more than its permitted length, so no array outgrows it. ``tokens`` are the words of the text unless an array
     column is given, which must have as many items as ``pack`` was told.
 
-    A document's tokens are cut into its pieces in one row and exchanged by bin once. Rows that repeat key and text share
-    their tokens; each has its own pieces."""
+    A document's tokens are cut into its pieces in one row and exchanged by bin once, words as one text. Rows that repeat key and
+    text share their tokens; each has its own pieces."""
     piece = F.struct("start", "length", "bin_id", "bin_length", "position")
-    wanted = packed.filter("bin_id is not null").select(F.col(key).alias("k"), F.col("mark").alias("m"), "row", piece.alias("p")).groupBy("k", "m", "row").agg(F.collect_list("p").alias("pieces"))
-    rows = documents.select(F.col(key).alias("k"), mark(F.col(text)).alias("m"), F.col(text).alias("x"), *([] if tokens is None else [tokens.alias("t")])).dropDuplicates(["k", "m"])
+    who = lambda k, m: F.struct(k.alias("k"), m.alias("m")).alias("d")  # noqa: E731  one column: the rows are exchanged by it once, for both steps
+    wanted = packed.filter("bin_id is not null").select(who(F.col(key), F.col("mark")), "row", piece.alias("p")).groupBy("d", "row").agg(F.collect_list("p").alias("pieces"))
+    rows = documents.select(who(F.col(key), mark(F.col(text))), F.col(text).alias("x"), *([] if tokens is None else [tokens.alias("t")]))
+    plain = lambda d: [F.coalesce(d["k"].cast("string"), F.lit("")).alias("k"), d["k"].isNull().alias("none"), d["m"].alias("m")]
+    again = stored(wanted.groupBy("d").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b").select(*plain(F.col("d"))), "again")
+    # Only what is repeated is looked through for repeats: the texts of all others are exchanged for the join alone.
+    rows = anti_join(rows, plain(F.col("d")), again).unionByName(semi_join(rows, plain(F.col("d")), again).dropDuplicates(["d"]))
     split = F.filter(F.split(F.col("x").cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "") if tokens is None else F.col("t")
-    cut = lambda w: F.transform("pieces", lambda p: F.struct(p["bin_id"].alias("bin_id"), p["bin_length"].alias("bin_length"), p["position"].alias("position"), F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int")).alias("tokens")))
-    met = rows.withColumnsRenamed({"k": "dk", "m": "dm"}).join(wanted, F.col("dk").eqNullSafe(F.col("k")) & (F.col("dm") == F.col("m")))
+    joined = lambda part: F.array_join(part, " ") if tokens is None else part
+    cut = lambda w: F.transform("pieces", lambda p: F.struct(p["bin_id"].alias("bin_id"), p["bin_length"].alias("bin_length"), p["position"].alias("position"), p["length"].cast("int").alias("length"), joined(F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int"))).alias("tokens")))
+    met = rows.join(wanted, "d")
     # The outer transform stands for "let": the array of words is made once.
-    parts = met.select(F.col("dk").alias("key"), F.explode(F.flatten(F.transform(F.array(split), cut))).alias("p")).select("key", "p.*")
-    grouped = parts.groupBy("bin_id", "bin_length").agg(F.sort_array(F.collect_list(F.struct("position", "key", "tokens"))).alias("p"))
-    return grouped.select("bin_id", "bin_length", F.col("p.key").alias("keys"), F.transform("p", lambda x: F.size(x["tokens"])).alias("lengths"), F.flatten(F.col("p.tokens")).alias("tokens"))
+    parts = met.select(F.col("d.k").alias("key"), F.explode(F.flatten(F.transform(F.array(split), cut))).alias("p")).select("key", "p.*")
+    grouped = parts.groupBy("bin_id", "bin_length").agg(F.sort_array(F.collect_list(F.struct("position", "key", "length", "tokens"))).alias("p"))
+    whole = F.split(F.array_join(F.col("p.tokens"), " "), " ") if tokens is None else F.flatten(F.col("p.tokens"))
+    return grouped.select("bin_id", "bin_length", F.col("p.key").alias("keys"), F.col("p.length").alias("lengths"), whole.alias("tokens"))
