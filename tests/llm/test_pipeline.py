@@ -103,4 +103,3 @@ def test_every_stage_on_odd_tables(spark, tables, tmp_path):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "language_id", "near_duplicates", "repeated_passages", "best_fit_packing"]
-    assert corpus("x", 5) == corpus("x", 5)
