@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, jaccard, langid, mainhtml, maxscore, packing, quality, simhash, substring, warc
+from tesserae.llm import bpe, decontaminate, jaccard, langid, mainhtml, maxscore, packing, periodicity, quality, simhash, substring, warc, whitening
 from tesserae.session import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,97 @@ r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
 k AS (SELECT w.doc_id, len(ws) AS n, [ws[i] FOR i IN range(1, len(ws) + 1) IF NOT list_contains(coalesce(gone, []), i)] AS kept FROM w LEFT JOIN r USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    hit, items = F.col("_found.n_hit"), F.col("_found.items")
+    listed = F.sha2(F.array_join(items, ",").cast("binary"), 256)
+    return found.select("doc_id", "_found.n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), listed.alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+ORACLE["op13_decontamination"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark),
+p AS (
+    SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[i:i + 9], ' ') AS g
+    FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+k AS (SELECT DISTINCT k FROM p),
+g AS (SELECT r, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, k WHERE len(ws) >= k)),
+h AS (SELECT r, i, k, item_id FROM g JOIN p USING (k, g)),
+c AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS w FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # One document in ten repeats a stretch of its words to its end.
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("ws"))
+    n = F.size("ws").cast("long")
+    a = F.col("g") % n
+    p = (F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8)) + 1).cast("int")
+    planned = split.withColumn("a", F.when(n > 0, a).cast("int")).withColumn("p", F.when(F.col("a").isNotNull(), p))
+    rest = (n - F.col("a")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    repeated = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), again), " ")
+    found = periodicity.periodic_runs(planned.select("doc_id", F.when(F.col("p").isNotNull(), repeated).otherwise(F.col("text")).alias("text")), keep=["doc_id"])
+    runs = F.col("_periodic.runs")
+    # The greatest exact length / period; of two the one that starts first, then that of the shorter period.
+    ratio = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    best = F.aggregate(runs, F.try_element_at(runs, F.lit(1)), lambda s, r: F.when(ratio(r, s) > 0, r).otherwise(s))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), F.col("_periodic.text").alias("kept"))
+    return found.select(
+        "doc_id", "n_runs", *(F.col("best")[c].alias(c) for c in ("start", "length", "period")), F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLE["op12_periodic_runs"] = r"""
+WITH z AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+        xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || [ascii(x)::UBIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, k: xor(e >> 1, 3988292384::UBIGINT * (e & 1)))))::BIGINT AS h
+    FROM documents),
+y AS (SELECT *, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS changed, (h // 10) % greatest(len(ws), 1) AS a FROM z),
+x AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS q FROM y),
+d AS (SELECT r, doc_id, n, CASE WHEN changed THEN [ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % q END] FOR i IN range(n)] ELSE ws END AS ws FROM x),
+w AS (SELECT r, n, unnest(range(n)) AS i, unnest(ws) AS v FROM d),
+g AS (SELECT r, unnest([array_to_string(ws[i:i + 15], ' ') FOR i IN range(1, len(ws) - 14)]) AS g FROM d WHERE n >= 24),
+m AS (SELECT DISTINCT r FROM (SELECT r FROM g GROUP BY r, g HAVING count(*) > 1)),
+k AS (SELECT * FROM w SEMI JOIN m USING (r)),
+e AS (SELECT a.r, b.i - a.i AS p, a.i FROM k a JOIN k b ON a.r = b.r AND a.v = b.v AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+l AS (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS g FROM e),
+o AS (SELECT r, p, min(i) AS s, count(*) + p AS z FROM l GROUP BY r, p, g HAVING count(*) + p >= greatest(24, 3 * p)),
+u AS (SELECT r, s, z, min(p) AS p FROM o GROUP BY r, s, z),
+t AS (
+    SELECT r, count(*) AS n_runs, string_agg(s || ',' || z || ',' || p || chr(10), '' ORDER BY s, p) AS lines,
+        first({'s': s, 'z': z, 'p': p} ORDER BY z / p DESC, s, p) AS best FROM u GROUP BY r),
+c AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(s + p, s + z)) AS i FROM u) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.z::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.z // best.p)::BIGINT AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256,
+    sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE [ws[i + 1] FOR i IN range(n) IF NOT list_contains(gone, i)] END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN c USING (r)
+"""
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select(F.col("key").alias("vec_id"), "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*(F.lit(float(e)) for e in model.explained)).cast("array<double>")
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )

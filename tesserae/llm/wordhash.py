@@ -101,12 +101,13 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 class Words:
-    """The words of some texts. ``start`` and ``end`` are byte places in ``data``; ``first[i]:first[i + 1]`` are those of text i."""
+    """The words of some texts. ``start`` and ``end`` are byte places in ``data``; ``first[i]:first[i + 1]`` are those of text i.
+    ``space`` marks the bytes that are in no word (after ``lower``)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        solid = ~_SPACE[data]
+        solid = ~space[self.data]
         n = len(data)
         before = np.zeros(n, dtype=bool)
         before[1:] = solid[:-1]
