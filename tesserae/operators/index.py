@@ -1,15 +1,31 @@
-"""The chunk index: flat rows keyed by chunk id, kept as versions of a Parquet table.
+"""The chunk index: flat rows keyed by chunk id, in buckets by a hash of the key.
 
-A version is a folder; ``CURRENT`` names the one that counts and is replaced last, by an overwriting rename, so readers see the old
-rows or the new ones, and a failed write leaves nothing that is read. One writer at a time is meant. Upserts never delete: rows with other ids stay.
+``_log`` holds a manifest for each version: the base folder of every bucket, and the upserts since, with their rows per bucket. An upsert
+writes its own rows only; a reader takes the base rows whose keys no later upsert has, and of the upserts the last row of each
+key. Where upserts come to more than ``COMPACT`` of the base, the buckets that they touch (and no others) are written anew; where
+there are many small ones, they are made one. A version is published by creating its manifest, which fails if it is there: of two writers the
+second takes up the first's version and tries again, so neither is lost. A failed write leaves nothing that is read.
+Upserts never delete: rows with other keys stay.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import time
 import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
+from typing import Any
+from urllib.parse import urlparse
+
+from py4j.protocol import Py4JJavaError
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tesserae.operators.skew import FEW
 
 #: Declared lengths of the stored texts, in bytes.
 LIMITS = {"id": 64, "text": 8192, "file_name": 512, "file_type": 32, "chapter": 512, "section": 512, "content_hash": 64}
@@ -53,65 +69,243 @@ def upserted(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return existing.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+#: Buckets of a new index, and the share of the base from which upserts are merged into it; upserts that are kept apart at most.
+BUCKETS, COMPACT, PARTS = 64, 0.25, 16
+
+
+@dataclass
+class Manifest:
+    """``base``: folder and rows of each bucket. ``upserts``: in order, the folder of each with its rows by bucket."""
+
+    key: str
+    buckets: int
+    schema: dict[str, Any]
+    dimension: int | None = None
+    base: dict[str, tuple[str, int]] = field(default_factory=dict)
+    upserts: list[tuple[str, dict[str, int]]] = field(default_factory=list)
+
+
+def _joined(a: StructType, b: StructType) -> StructType:
+    """The fields of both; one that both have must have one type."""
+    for f in b.fields:
+        if f.name in a.names and a[f.name].dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"the index has {f.name} as {a[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return StructType([*a.fields, *(f for f in b.fields if f.name not in a.names)])
+
+
 class Index:
-    """A versioned table at ``path``, on any file system that Spark knows."""
+    """A table at ``path``, on any file system that Spark knows, with one row per key. Any number of writers may upsert."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._hadoop.Path(self.path).getFileSystem(self._conf)
 
     def _at(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}")
 
-    def version(self) -> str | None:
-        if not self._fs.exists(self._at("CURRENT")):
+    def version(self) -> int | None:
+        """The number of the last version."""
+        if not self._fs.exists(self._at("_log")):
+            return None
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._at("_log")))
+        return max((int(n.partition(".")[0]) for n in names if n.endswith(".json") and not n.startswith(".")), default=None)
+
+    def manifest(self, version: int | None = None) -> Manifest | None:
+        number = self.version() if version is None else version
+        if number is None:
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()["value"]
+        stream = self._fs.open(self._at(f"_log/{number:020d}.json"))
+        try:
+            return Manifest(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+
+    def _published(self, number: int, manifest: Manifest) -> bool:
+        """Whether the manifest became version ``number``: not if there is one already."""
+        draft, final = self._at(f"_log/.{uuid.uuid4().hex}"), self._at(f"_log/{number:020d}.json")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(asdict(manifest)).encode()))
+        out.close()
+        local = urlparse(str(self._fs.makeQualified(final).toUri()))
+        try:
+            if local.scheme == "file":  # its rename replaces files; a link doesn't
+                os.link(urlparse(str(self._fs.makeQualified(draft).toUri())).path, local.path)
+            else:
+                context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                none = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
+                context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), none)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception.getClass().getName()):
+                raise
+            return False
+        finally:
+            self._fs.delete(draft, False)
+
+    def _commit(self, change: Callable[[Manifest | None], Manifest | None]) -> int | None:
+        """Publishes what ``change`` makes of the last version, again if another writer came first. The version; None if there is no change."""
+        while True:
+            last = self.version()
+            made = change(None if last is None else self.manifest(last))
+            if made is None:
+                return None
+            if self._published((last or 0) + 1, made):
+                return (last or 0) + 1
 
     def exists(self) -> bool:
         return self.version() is not None
 
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version is None:
+    def _rows(self, folders: list[str], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
+
+    def _read(self, m: Manifest, buckets: set[str] | None = None) -> DataFrame:
+        """The rows of a version (of some buckets)."""
+        schema = StructType.fromJson(m.schema)
+        wanted = lambda b: buckets is None or b in buckets
+        touched = {b for _, rows in m.upserts for b in rows if wanted(b)}
+        still = [f for b, (f, _) in m.base.items() if wanted(b) and b not in touched]
+        under = [f for b, (f, _) in m.base.items() if b in touched]
+        parts = [self._rows(still, schema)] if still else []
+        if touched:
+            newest = self._upserted(m, touched)
+            parts.append(newest)
+            if under:
+                size = sum(rows.get(b, 0) for _, rows in m.upserts for b in touched)
+                keys = newest.select(m.key)
+                parts.append(self._rows(under, schema).join(F.broadcast(keys) if size <= FEW else keys, m.key, "left_anti").select(*schema.names))
+        out = parts[0] if parts else self.spark.createDataFrame([], schema)
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def _upserted(self, m: Manifest, touched: set[str]) -> DataFrame:
+        """The last row of each key in the upserts."""
+        schema = StructType.fromJson(m.schema)
+        each = [self._rows([f"{folder}/_b={b}" for b in rows if b in touched], schema).withColumn("_at", F.lit(i)) for i, (folder, rows) in enumerate(m.upserts) if touched & set(rows)]
+        rows = each[0]
+        for more in each[1:]:
+            rows = rows.unionByName(more)
+        return (latest(rows, m.key, F.col("_at")) if len(each) > 1 else rows).drop("_at")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        m = self.manifest(version)
+        if m is None:
             raise LookupError(f"there is no index at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{version}")
-
-    def _publish(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        draft = self._at(f"CURRENT-{version}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
-        overwrite = getattr(self._hadoop, "Options$Rename").OVERWRITE
-        how = context._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
-        how[0] = overwrite
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._at("CURRENT")), how)
+        return self._read(m)
+
+    def bucket_of(self, key: str, buckets: int | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets or self.buckets)).cast("int")
 
     def dimension(self) -> int | None:
         """Components of the stored vectors; null without an index, or without vectors."""
-        if not self.exists() or "vector" not in (stored := self.read()).columns:
-            return None
-        first = stored.filter("vector is not null").select(F.size("vector").alias("n")).first()
-        return first["n"] if first else None
+        m = self.manifest()
+        return m.dimension if m else None
+
+    def _write(self, rows: DataFrame, key: str, buckets: int) -> tuple[str, dict[str, int]]:
+        """Writes the rows by bucket; the folder, and the rows of each bucket. ``rows`` is evaluated once."""
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.withColumn("_b", self.bucket_of(key, buckets)).repartition("_b").write.partitionBy("_b").parquet(f"{self.path}/{folder}")
+        found = self.spark.read.schema("_b int").option("basePath", f"{self.path}/{folder}").parquet(f"{self.path}/{folder}")
+        return folder, {str(r["_b"]): r["count"] for r in found.groupBy("_b").count().collect()}  # a row for each bucket
 
     def upsert(self, rows: DataFrame, key: str = "id", create: bool = True, order: Column | None = None) -> int:
         """Writes the rows; the number written. No rows: nothing is written. Of rows with one key the last by ``order`` counts, or
         without one that with the largest hash of its columns: the same whatever order rows come in. Rows with vectors must
-        agree in their components, with the index too, and fit the declared lengths; else nothing is written."""
-        if "vector" in rows.columns and key == "id":
-            known = self.dimension()
-            if known is None and (first := rows.select(F.size("vector").alias("n")).first()):
-                known = first["n"]
-            rows = checked(rows, known)
-        batch = latest(rows, key, order if order is not None else F.xxhash64(*rows.columns))
-        count = batch.count()
-        if not count:
+        agree in their components, with the index too, and fit the declared lengths; a key must not be null; else nothing is
+        written. The input is evaluated once, however dear it is, and the rows of the index aren't read."""
+        m = self.manifest()
+        if m is not None and m.key != key:
+            raise ValueError(f"the key of this index is {m.key}")
+        vectors = "vector" in rows.columns and key == "id"
+        ranked = latest(rows, key, order if order is not None else F.xxhash64(*rows.columns))
+        named = F.when(F.col(key).isNull(), F.raise_error(F.lit("a key of the index is null"))).otherwise(F.col(key))
+        batch = (checked(ranked, m.dimension if m else None) if vectors else ranked).withColumn(key, named.cast(rows.schema[key].dataType))
+        buckets = m.buckets if m else self.buckets
+        folder, counts = self._write(batch.select(*rows.columns), key, buckets)
+        try:
+            size = sum(counts.values())
+            if not size:
+                self._fs.delete(self._at(folder), True)
+                return 0
+            if m is None and not create:
+                raise LookupError(f"there is no index at {self.path}, and it may not be created")
+            known = self._dimension_of(folder, rows.schema) if vectors else None
+
+            def change(last: Manifest | None) -> Manifest:
+                last = last or Manifest(key, buckets, rows.schema.jsonValue())
+                if last.buckets != buckets or known is not None and last.dimension not in (None, known):
+                    raise ValueError(f"the index at {self.path} was made with another number of buckets or vectors of other than {known} components")
+                schema = _joined(StructType.fromJson(last.schema), StructType.fromJson(rows.schema.jsonValue()))
+                made = Manifest(key, buckets, schema.jsonValue(), known if last.dimension is None else last.dimension, dict(last.base), list(last.upserts))
+                if made.base or made.upserts:
+                    made.upserts.append((folder, counts))
+                else:
+                    made.base = {b: (f"{folder}/_b={b}", n) for b, n in counts.items()}
+                return made
+
+            self._commit(change)
+        except BaseException:
+            self._fs.delete(self._at(folder), True)
+            raise
+        self._tidy()
+        return size
+
+    def _dimension_of(self, folder: str, schema: StructType) -> int | None:
+        n = F.coalesce(F.size("vector"), F.lit(-1))
+        least, most = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").agg(F.min(n), F.max(n)).first()
+        if least != most:
+            raise ValueError(f"the vectors of one index must have the same number of components, not {least} and {most}")
+        return None if most < 0 else most
+
+    def _tidy(self) -> None:
+        m = self.manifest()
+        late, base = sum(sum(rows.values()) for _, rows in m.upserts), sum(n for _, n in m.base.values())
+        if late > COMPACT * base:
+            self.compact()
+        elif len(m.upserts) > PARTS:
+            self.compact(base=False)
+
+    def compact(self, base: bool = True) -> bool:
+        """Merges the upserts so far into the buckets that they touch, or (not ``base``) into one upsert. Upserts that come meanwhile stay as
+        they are. Whether it was published: not if another writer has merged them."""
+        m = self.manifest()
+        if m is None or not m.upserts:
+            return False
+        merged = [f for f, _ in m.upserts]
+        touched = {b for _, rows in m.upserts for b in rows}
+        folder, counts = self._write(self._read(m, touched) if base else self._upserted(m, touched), m.key, m.buckets)
+
+        def change(last: Manifest | None) -> Manifest | None:
+            if last is None or [f for f, _ in last.upserts][: len(merged)] != merged:
+                return None
+            rest = [tuple(u) for u in last.upserts[len(merged) :]]
+            if base:
+                rewritten = {b: (f"{folder}/_b={b}", n) for b, n in counts.items()}
+                return Manifest(last.key, last.buckets, last.schema, last.dimension, {**last.base, **rewritten}, rest)
+            return Manifest(last.key, last.buckets, last.schema, last.dimension, last.base, [(folder, counts), *rest])
+
+        if self._commit(change) is None:
+            self._fs.delete(self._at(folder), True)
+            return False
+        return True
+
+    def vacuum(self, keep_seconds: float = 7 * 86_400) -> int:
+        """Deletes folders that the last version doesn't name, and manifests before it, if they are older than ``keep_seconds``: longer than any
+        reader or writer takes. How many folders went."""
+        last = self.version()
+        if last is None:
             return 0
-        if not self.exists() and not create:
-            raise LookupError(f"there is no index at {self.path}, and it may not be created")
-        self._publish(upserted(self.read(), batch, key) if self.exists() else batch)
-        return count
+        m, before, gone = self.manifest(last), (time.time() - keep_seconds) * 1000, 0
+        used = {f.split("/")[1] for f, _ in [*m.base.values(), *m.upserts]}
+        for status in self._fs.listStatus(self._at("data")):
+            if status.getPath().getName() not in used and status.getModificationTime() < before:
+                gone += bool(self._fs.delete(status.getPath(), True))
+        for status in self._fs.listStatus(self._at("_log")):
+            name = status.getPath().getName()
+            if name.endswith(".json") and int(name.partition(".")[0]) < last and status.getModificationTime() < before:
+                self._fs.delete(status.getPath(), False)
+        return gone

@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import is_blank
+from tesserae.functions.text import content_hash, is_blank
 from tesserae.operators import retrieve, review
 from tesserae.operators.chunk import Budget, markdown_chunks, pdf_chunks, word_chunks
 from tesserae.operators.clean import clean_blocks, clean_markdown_elements, clean_word
@@ -21,6 +21,7 @@ from tesserae.operators.embed import HashEmbedder, embed, embed_query
 from tesserae.operators.index import Index, index_rows
 from tesserae.operators.normalize import normalize
 from tesserae.operators.skew import lookup_join
+from tesserae.session import stored
 from tesserae.sources import items, markdown
 from tesserae.sources.files import archive_members, file_id, files, latest_artifact, markdown_texts, word_elements
 
@@ -128,10 +129,26 @@ def handler_for(name: str) -> Callable[..., DataFrame]:
     return HANDLERS[suffix]
 
 
-def ingest(chunks: DataFrame, index: Index, make_provider: Callable[[], Any] = HashEmbedder) -> dict[str, Any]:
+def with_vectors(chunks: DataFrame, index: Index, make_provider: Callable[[], Any], reuse: bool = True) -> DataFrame:
+    """Unified chunks with ``vector``, stored. The provider is asked for each distinct text once, and (``reuse``) for none whose hash is in the
+    index with a vector already: an index has the vectors of one model. Chunks whose ``content_hash`` isn't that of their text are
+    asked for by their text."""
+    rows = stored(chunks.filter(~is_blank(F.col("text"))).withColumn("_hash", content_hash(F.col("text"))), "chunks")
+    asked = rows.groupBy("_hash").agg(F.min("text").alias("text"), F.count("*").alias("weight"))
+    known = None
+    if reuse and index.exists() and {"content_hash", "vector"} <= set((old := index.read()).columns):
+        mine = old.select(F.col("content_hash").alias("_hash"), "vector").filter("vector is not null").join(asked.select("_hash"), "_hash", "left_semi")
+        known = stored(mine.groupBy("_hash").agg(F.min("vector").alias("vector")), "known")
+        asked = asked.join(known.select("_hash"), "_hash", "left_anti")
+    made = stored(embed(asked.select("_hash", "text"), make_provider).select("_hash", "vector"), "vectors")
+    vectors = made if known is None else made.unionByName(known)
+    weighed = vectors.join(rows.groupBy("_hash").agg(F.count("*").alias("weight")), "_hash")
+    return lookup_join(rows, weighed, "_hash", "weight", spread=F.col("chunk_id")).drop("_hash")
+
+
+def ingest(chunks: DataFrame, index: Index, make_provider: Callable[[], Any] = HashEmbedder, reuse: bool = True) -> dict[str, Any]:
     """Embeds unified chunks and upserts them; a summary. Without a chunk it fails, as nothing could be found later."""
-    rows = index_rows(embed(chunks.filter(~is_blank(F.col("text"))), make_provider))
-    written = index.upsert(rows)
+    written = index.upsert(index_rows(with_vectors(chunks, index, make_provider, reuse)))
     if not written:
         raise ValueError("no chunks were made")
     return {"upsert_count": written}

@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tesserae.functions.text import detect_language
 from tesserae.operators.chunk import Budget, markdown_chunks
 from tesserae.operators.clean import clean_markdown_elements
-from tesserae.operators.embed import HashEmbedder, embed
+from tesserae.operators.embed import HashEmbedder
 from tesserae.operators.index import Index, index_rows
 from tesserae.operators.normalize import normalize
+from tesserae.plans.ingest import with_vectors
 from tesserae.sources import markdown
 from tesserae.sources.files import file_id
 
@@ -29,7 +30,6 @@ def watch_markdown(spark: SparkSession, path: str, index: Index, checkpoint: str
         texts = texts.withColumn("file_id", file_id(F.col("file_name"), F.sha2(F.col("text").cast("binary"), 256)))
         chunks = markdown_chunks(clean_markdown_elements(markdown.elements(texts)), budget)
         named = chunks.join(texts.select("file_id", "file_name", "source_path", detect_language(F.col("text")).alias("language")), "file_id")
-        unified = normalize(named, "markdown").filter("trim(text) <> ''")
-        index.upsert(index_rows(embed(unified, make_provider)))
+        index.upsert(index_rows(with_vectors(normalize(named, "markdown"), index, make_provider)))
 
     return arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
