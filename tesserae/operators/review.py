@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.tables import described_table, rows_as_lines, table_text
 from tesserae.functions.text import strip
+from tesserae.sources.items import BODIES, CAPTIONS, NOTES
 
 STATUSES = ("PENDING", "APPROVED", "REJECTED", "MODIFIED")
 REQUIRED = ("chapter", "section", "page_number")
@@ -109,14 +111,43 @@ def quality_report(chunks: DataFrame, document: str = "file_id") -> DataFrame:
     return rows.withColumn("score", F.greatest(F.lit(0), 100 - ERROR_COST * F.col("errors") - WARNING_COST * F.col("warnings")))
 
 
+# Keys of a parser's item whose texts are its content, in this order.
+CONTENT = ("text", "content", "table_body", "image_caption", "image_footnote", "chart_caption", "chart_footnote", "table_caption", "table_footnote")
+
+
+def parser_items(artifacts: DataFrame) -> DataFrame:
+    """The items of content lists (document_id, json) as ``review_blocks`` takes them: texts under the nine keys in order, and of
+    tables ``table``, their described text. JSON that can't be read, or is no list, has no items."""
+    found = artifacts.select("document_id", F.posexplode(F.try_variant_get(F.try_parse_json("json"), "$", "array<variant>")).alias("item_idx", "v"))
+    at = lambda key, kind: F.try_variant_get("v", f"$.{key}", kind)
+    is_a = lambda value, kind: F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+    string = lambda value: F.try_variant_get(value, "$", "string")
+    # A part of a list counts if it is a text that isn't empty, or another value that isn't zero, false or empty.
+    counts = lambda p: F.coalesce(F.when(is_a(p, "STRING"), string(p) != "").otherwise(~string(p).isin("0", "0.0", "false", "[]", "{}")), F.lit(False))
+    parts = lambda key: F.transform(F.filter(at(key, "array<variant>"), counts), string)
+    texts = lambda key: F.coalesce(F.when(is_a(at(key, "variant"), "STRING"), F.array(at(key, "string"))).when(is_a(at(key, "variant"), "ARRAY"), parts(key)), F.array().cast("array<string>"))
+    body = lambda key: F.when(is_a(at(key, "variant"), "STRING"), table_text(F.nullif(at(key, "string"), F.lit("")))).when(is_a(at(key, "variant"), "ARRAY") & (F.size(at(key, "array<variant>")) > 0), rows_as_lines(at(key, "array<array<string>>")))
+    gathered = lambda keys: F.flatten(F.array(*map(texts, keys)))
+    table = described_table(gathered(CAPTIONS), F.coalesce(*map(body, BODIES), F.lit("")), gathered(NOTES))
+    return found.select(
+        "document_id", "item_idx", at("type", "string").alias("type"), at("text_level", "int").alias("text_level"), at("level", "int").alias("level"), at("page_idx", "int").alias("page_idx"), at("bbox", "array<double>").alias("bbox"),
+        gathered(CONTENT).alias("texts"), F.when(at("type", "string") == "table", table).alias("table"),
+    )
+
+
 def review_blocks(items: DataFrame) -> DataFrame:
-    """Parser items (document_id, item_idx, type, text_level, page_idx, bbox, texts: the texts of the item in order) as review
-    blocks; page numbers and items without text are left out."""
-    kind = F.coalesce("type", F.lit("paragraph"))
+    """Parser items (document_id, item_idx, type, text_level, page_idx, bbox, texts: the texts of the item in order; and perhaps level and
+    ``table``, which is a table's content) as review blocks; page numbers and items without text are left out."""
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("paragraph"))
     block_type = (
         F.when(kind.isin("title", "heading") | (F.coalesce("text_level", F.lit(0)) != 0), "heading").when(kind.isin("image", "chart"), "image").when(kind == "equation", "formula")
         .when(kind.isin("table", "ref_text", "page_footnote", "aside_text"), kind).otherwise("paragraph")
     )
     content = F.array_join(F.filter(F.transform("texts", strip), lambda x: x != ""), "\n")
-    rows = items.withColumns({"block_type": block_type, "content": content, "page_number": F.col("page_idx") + 1, "level": F.nullif("text_level", F.lit(0))})
+    if "table" in items.columns:
+        content = F.when(kind == "table", F.coalesce("table", F.lit(""))).otherwise(content)
+    level = F.nullif("text_level", F.lit(0))
+    if "level" in items.columns:
+        level = F.coalesce(level, F.nullif("level", F.lit(0)))
+    rows = items.withColumns({"block_type": block_type, "content": content, "page_number": F.col("page_idx") + 1, "level": level})
     return rows.filter((kind != "page_number") & (F.col("content") != "")).select(F.concat_ws(":block:", "document_id", F.col("item_idx").cast("string")).alias("id"), "document_id", "block_type", "level", "content", "page_number", "bbox")

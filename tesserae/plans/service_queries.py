@@ -13,7 +13,7 @@ from tesserae.plans import api, ingest
 from tesserae.plans.catalogue import CHUNKS, LINES, STRIP, TOKENS, _docs, _lines, _raw_chunks, query
 from tesserae.plans.chunk_queries import _NAMESPACE, _UUID
 from tesserae.session import table
-from tesserae.sources import files, items
+from tesserae.sources import files, items, markdown
 
 
 @query("""
@@ -73,27 +73,61 @@ def word_heading_levels(spark, sf_dir):
     return _lines(spark, sf_dir).select("file_id", "block_idx", F.coalesce(level, F.lit(0)).cast("int").alias("level"))
 
 
+MARKS = ["# w ", "> w ", "lazy ", "- w ", "  > w ", "1. w "]
+
+
+@query(rf"""
+WITH {LINES}, i AS (SELECT file_id, block_idx AS n, block_idx // 6 AS g, block_idx % 6 AS k, trim(regexp_replace(content, '[\p{{Cc}}\p{{Z}}]+', ' ', 'g')) AS t, count(*) OVER (PARTITION BY file_id) AS size FROM blocks),
+e AS (SELECT file_id, n, k, size, trim('w ' || t) AS t, lead(CASE WHEN k = 2 THEN trim('lazy ' || t) END) OVER (PARTITION BY file_id ORDER BY n) AS lazy FROM i)
+SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY n) - 1)::INTEGER AS element_idx, ['heading', 'blockquote', NULL, 'list', NULL, 'list'][k + 1] AS element_type, k = 5 AS ordered,
+    sha256(CASE k WHEN 0 THEN t WHEN 1 THEN '> ' || t || coalesce(chr(10) || '> ' || lazy, '') WHEN 3 THEN '- ' || t ELSE '1. ' || t END) AS sha256,
+    (n + 1)::INTEGER AS line_start, least(n + CASE WHEN k IN (1, 3) THEN 2 ELSE 1 END, size)::INTEGER AS line_end
+FROM e WHERE k NOT IN (2, 4)""")
+def markdown_containers(spark, sf_dir):
+    """The lines of a document under the marks of headings, quotes with lazy lines, and lists with quotes inside."""
+    clean = F.trim(F.regexp_replace("content", r"[\p{Cc}\p{Z}]+", " "))
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("block_idx") % 6 + 1).cast("int"))
+    marked = _lines(spark, sf_dir).select("file_id", F.struct("block_idx", F.concat(mark, clean).alias("line")).alias("l"))
+    texts = marked.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+    found = markdown.elements(texts.select(F.col("file_id").cast("string").alias("file_id"), "text"))
+    return found.select(F.col("file_id").cast("long").alias("file_id"), "element_idx", "element_type", "ordered", X.content_hash(F.col("content")).alias("sha256"), "line_start", "line_end")
+
+
 @query(rf"""
-WITH {LINES}, p AS (SELECT file_id, block_idx, CASE block_idx % 3 WHEN 0 THEN '1. one ' || content || ' 2.1; two' WHEN 1 THEN 'intro 3 three 4 four' ELSE 'plain ' || 'title' END AS text FROM blocks),
-m AS (SELECT *, regexp_extract_all(' ' || text, '\s[Aa]?\d+(?:\.\d+)*\.?\s*[;；、.]?\s*') AS marks FROM p)
-SELECT file_id, block_idx::INTEGER AS block_idx, CASE WHEN block_idx % 3 = 1 THEN 2 ELSE 1 END::INTEGER AS n, CASE WHEN block_idx % 3 = 1 THEN '3 three|4 four' ELSE 'plain title' END AS parts FROM m WHERE block_idx % 3 <> 0""")
+WITH {LINES}, w AS (SELECT file_id, block_idx, regexp_extract_all(content, '[\p{{L}}]+') AS ws FROM blocks),
+p AS (SELECT *, [n || '.' || (block_idx % 3) || ['', '.', ' ;'][n % 3 + 1] || ' ' || array_to_string(ws[4 * n - 3:4 * n], ' ') FOR n IN range(1, (len(ws) + 3) // 4 + 1)] AS ps, CASE WHEN block_idx % 2 = 1 THEN 'lead ' ELSE '' END AS lead FROM w)
+SELECT file_id, block_idx::INTEGER AS block_idx, greatest(len(ps), 1)::INTEGER AS n, CASE WHEN len(ps) > 1 THEN array_to_string(ps, '|') ELSE lead || array_to_string(ps, ' ') END AS parts FROM p""")
 def split_headings(spark, sf_dir):
-    """Headings that hold several numbers, as several."""
-    text = F.when(F.col("block_idx") % 3 == 1, "intro 3 three 4 four").otherwise("plain title")
-    parts = headings.split_numbered(text)
-    return _lines(spark, sf_dir).filter("block_idx % 3 <> 0").select("file_id", "block_idx", F.size(parts).alias("n"), F.array_join(parts, "|").alias("parts"))
+    """Lines whose words come under numbers, four to each, as the headings that they hold; a line of one number or none stays."""
+    words = F.regexp_extract_all("content", F.lit(r"\p{L}+"), F.lit(0))
+    rows = _lines(spark, sf_dir).select("file_id", "block_idx", words.alias("ws")).withColumn("m", F.ceil(F.size("ws") / 4).cast("int"))
+    mark = lambda n: F.concat(n.cast("string"), F.lit("."), (F.col("block_idx") % 3).cast("string"), F.element_at(F.array(F.lit(""), F.lit("."), F.lit(" ;")), n % 3 + 1))
+    pieces = F.when(F.col("m") > 0, F.transform(F.sequence(F.lit(1), F.greatest("m", F.lit(1))), lambda n: F.concat(mark(n), F.lit(" "), F.array_join(F.slice("ws", 4 * n - 3, F.lit(4)), " "))))
+    text = F.concat(F.when(F.col("block_idx") % 2 == 1, "lead ").otherwise(""), F.coalesce(F.array_join(pieces, " "), F.lit("")))
+    parts = rows.select("file_id", "block_idx", headings.split_numbered(text).alias("p"))
+    return parts.select("file_id", "block_idx", F.size("p").alias("n"), F.array_join("p", "|").alias("parts"))
 
 
 @query(rf"""
-WITH d AS (SELECT doc_id, regexp_replace({STRIP.format("split_part(text, chr(10), 1)")}, '\s+', ' ', 'g') AS line FROM documents WHERE {STRIP.format("split_part(text, chr(10), 1)")} <> '')
-SELECT doc_id, 'Table caption: Table 1: a' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Table caption: Table 2: b' ELSE '' END || chr(10) || chr(10) || 'x | y' || chr(10) || chr(10) || 'Table note: ' || {STRIP.format("split_part(text, chr(10), 1)")} AS described
-FROM documents JOIN d USING (doc_id)""")
+WITH {LINES}, c AS (SELECT file_id, block_idx, trim(regexp_replace(content, '[^0-9\p{{L}}]+', ' ', 'g')) AS t FROM blocks),
+d AS (SELECT file_id, 'Table 1: ' || first(t ORDER BY block_idx) AS cap, first(t ORDER BY block_idx) <> '' AND length(first(t ORDER BY block_idx)) <= 211 AS short, last(t ORDER BY block_idx) AS note,
+    list('r' || split_part(t, ' ', 1) || ' | ' || substr(t, length(split_part(t, ' ', 1)) + 2) ORDER BY block_idx) FILTER (block_idx > 0 AND contains(t, ' ')) AS rows FROM c GROUP BY file_id),
+f AS (SELECT *, array_to_string(CASE WHEN short THEN coalesce(rows, []) ELSE list_prepend(trim(cap), coalesce(rows, [])) END, chr(10)) AS body FROM d)
+SELECT file_id AS doc_id, sha256(array_to_string([x FOR x IN ['Table caption: ' || trim(cap), nullif(body, ''), 'Table note: ' || nullif(note, '')] IF x IS NOT NULL], chr(10) || chr(10))) AS described FROM f""")
 def described_tables(spark, sf_dir):
-    """Captions, HTML rows and notes of a table as one text, each once."""
-    docs = _docs(spark, sf_dir).withColumn("line", X.strip(F.element_at(F.split("text", "\n"), 1))).filter("line <> ''")
-    captions = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("Table 1: a\nTable 2: b"), F.lit("Table 1: a"))).otherwise(F.array(F.lit(" Table 1: a ")))
-    body = F.lit("<table><tr><td>Table 1: a</td></tr><tr><td>x</td><td> y </td></tr></table>")
-    return docs.select("doc_id", T.described_table(captions, body, F.array(F.col("line"), F.col("line"))).alias("described"))
+    """A document's lines as the rows of an HTML table under its first line as caption (given twice, and at the top of the table), with
+    its last line as note (given twice)."""
+    clean = F.trim(F.regexp_replace("content", r"[^0-9\p{L}]+", " "))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("block_idx", clean.alias("t")))), lambda x: x["t"])
+    docs = _lines(spark, sf_dir).groupBy("file_id").agg(lines.alias("ls"))
+    caption = F.concat(F.lit("Table 1: "), F.element_at("ls", 1))
+    first = lambda t: F.substring_index(t, " ", 1)
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = lambda *cs: F.concat(F.lit("<tr>"), *map(cell, cs), F.lit("</tr>"))
+    rows = F.transform(F.filter(F.slice("ls", F.lit(2), F.size("ls")), lambda t: t.contains(" ")), lambda t: row(F.concat(F.lit("r"), first(t)), F.substr(t, F.length(first(t)) + 2)))
+    body = F.concat(F.lit("<table>"), row(caption), F.array_join(rows, ""), F.lit("</table>"))
+    note = F.element_at("ls", -1)
+    return docs.select(F.col("file_id").alias("doc_id"), X.content_hash(T.described_table(F.array(caption, caption), body, F.array(note, note))).alias("described"))
 
 
 @query(f"""
@@ -185,3 +219,30 @@ def newest_archives(spark, sf_dir):
         F.when(F.col("o_orderkey") % 3 == 0, "[]").alias("content_list"), F.col("o_custkey").cast("string").alias("origin_sha256"),
     )
     return ingest.newest_archives(pdfs, archives).select(F.col("file_id").cast("long").alias("c_custkey"), F.col("json").cast("long").alias("archive"))
+
+
+@query(rf"""
+WITH {LINES}, i AS (SELECT file_id, block_idx, ['title', 'text', 'table', 'image', 'page_number', 'aside_text', NULL][block_idx % 7 + 1] AS kind, trim(regexp_replace(content, '[^0-9\p{{L}}]+', ' ', 'g')) AS t FROM blocks),
+c AS (SELECT *, CASE WHEN kind = 'table' THEN array_to_string([x FOR x IN ['Table caption: ' || t, 'x | ' || t, 'Table note: ' || t] IF t <> '' OR x = 'x | '], chr(10) || chr(10))
+    ELSE array_to_string([x FOR x IN [t, CASE WHEN block_idx % 2 = 0 THEN 'c ' || t END, 'b', 'i1', 'i2 ' || t, 'f', 'cc', 'cf ' || t, '7', 'tf'] IF x IS NOT NULL AND x <> ''], chr(10)) END AS content FROM i WHERE kind IS DISTINCT FROM 'page_number')
+SELECT file_id || ':block:' || block_idx AS id, CASE WHEN kind = 'title' OR block_idx % 3 = 1 THEN 'heading' WHEN kind IN ('image', 'table', 'aside_text') THEN kind ELSE 'paragraph' END AS block_type,
+    CASE WHEN block_idx % 3 = 1 THEN 1 WHEN block_idx % 5 = 2 THEN 4 ELSE 0 END AS level, (block_idx // 10 + 1)::INTEGER AS page_number, sha256(CASE WHEN kind = 'table' AND t = '' THEN 'x' ELSE trim(content) END) AS sha256 FROM c""")
+def review_items(spark, sf_dir):
+    """Raw items of a parser's content list (lines stand for items), with texts under all nine keys and tables, as review blocks."""
+    t, n = F.trim(F.regexp_replace("content", r"[^0-9\p{L}]+", " ")), F.col("block_idx")
+    kind = F.element_at(F.array(*map(F.lit, ("title", "text", "table", "image", "page_number", "aside_text", None))), (n % 7 + 1).cast("int"))
+    with_t = lambda word: F.concat(F.lit(word), t)
+    plain = F.struct(
+        kind.alias("type"), t.alias("text"), F.when(n % 2 == 0, with_t("c ")).alias("content"), F.lit("b").alias("table_body"), F.array(F.lit("i1"), F.lit(""), with_t("i2 ")).alias("image_caption"), F.lit(" f ").alias("image_footnote"),
+        F.array(F.lit("cc")).alias("chart_caption"), F.array(F.lit(None), with_t("cf ")).alias("chart_footnote"), F.array(F.lit(7), F.lit(0)).alias("table_caption"), F.lit("tf").alias("table_footnote"),
+        F.when(n % 3 == 1, 1).alias("text_level"), F.when(n % 5 == 2, 4).alias("level"), F.floor(n / 10).cast("int").alias("page_idx"),
+    )
+    table_item = F.struct(
+        kind.alias("type"), F.concat(F.lit("<table><tr><td>x</td><td>"), t, F.lit("</td></tr></table>")).alias("table_body"), F.array(t).alias("table_caption"), F.array(t, t).alias("table_footnote"),
+        F.when(n % 3 == 1, 1).alias("text_level"), F.when(n % 5 == 2, 4).alias("level"), F.floor(n / 10).cast("int").alias("page_idx"),
+    )
+    item = F.when(kind == "table", F.to_json(table_item)).otherwise(F.to_json(plain))
+    rows = _lines(spark, sf_dir).select(F.col("file_id").cast("string").alias("document_id"), F.struct("block_idx", item.alias("item")).alias("i"))
+    lists = rows.groupBy("document_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("i")), lambda x: x["item"]), ","), F.lit("]")).alias("json"))
+    made = review.review_blocks(review.parser_items(lists))
+    return made.select("id", "block_type", F.coalesce("level", F.lit(0)).cast("int").alias("level"), F.col("page_number").cast("int").alias("page_number"), X.content_hash(F.col("content")).alias("sha256"))

@@ -1,9 +1,8 @@
 """Markdown texts as ordered elements.
 
-``line_blocks`` is native: fences, ATX headings, table lines and text by windows over the lines. ``elements`` parses the
-block structure that a heading-aware chunker needs (ATX and setext headings, paragraphs, images, nested lists, fenced and
-indented code, pipe tables, quotes, HTML blocks) in one pass over the lines of each text. It keeps to CommonMark's block
-rules except: link definitions stay paragraphs, a list item's further paragraphs are not rendered, and nested quotes are flat.
+``line_blocks`` is native: fences, ATX headings, table lines and text by windows over the lines. ``elements`` makes elements of
+the blocks that ``commonmark.read`` finds outside any container, in one pass over the lines of each text: of a list the first text of
+each item is shown, of a quote the texts of all that it holds.
 """
 
 from __future__ import annotations
@@ -18,13 +17,9 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.tables import is_caption
 from tesserae.functions.text import LINE_BREAK, is_list_item, strip, uuid5_url
+from tesserae.sources import commonmark
+from tesserae.sources.commonmark import Block
 
-_ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_FENCE = re.compile(r"^( {0,3})(`{3,}|~{3,})(.*)$")
-_ITEM = re.compile(r"^(\s*)([-*+]|(\d{1,9})[.)])(?:[ \t]+(.*)|[ \t]*)$")
-_RULE = re.compile(r"^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-_HTML = re.compile(r"^ {0,3}<(?:!--|[?!]|/?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$))")
-_DELIMITER = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _IMAGE = re.compile(r"\s*!\[[^\]]*\]\([^)]+\)\s*")
 
 
@@ -52,148 +47,37 @@ def line_blocks(texts: DataFrame) -> DataFrame:
     return named.withColumn("block_id", uuid5_url(F.concat_ws(":", F.lit("md-block"), "block_idx", F.substring("content", 1, 80))))
 
 
-def _cells(line: str) -> list[str]:
-    body = line.strip()
-    body = body[1:] if body.startswith("|") else body
-    body = body[:-1] if body.endswith("|") and not body.endswith("\\|") else body
-    return [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", body)]
-
-
-def _starts_block(line: str) -> bool:
-    return bool(_ATX.match(line) or _FENCE.match(line) or _RULE.match(line) or line.lstrip().startswith(">") or _HTML.match(line) or ((m := _ITEM.match(line)) and m[4] and m[3] in (None, "1")))
-
-
-def _list(lines: list[str], at: int) -> tuple[int, list[str], bool]:
-    """Past the list that starts at a line; its rendered items; whether it is ordered."""
-    out: list[str] = []
-    levels: list[list] = []  # indent of content, ordered, next number
-    ordered = _ITEM.match(lines[at])[3] is not None
-    n, blank, open_item = at, False, False
-    while n < len(lines):
-        line = lines[n]
-        if not line.strip():
-            blank = True
-            n += 1
-            continue
-        m = _ITEM.match(line)
-        indent = len(line) - len(line.lstrip())
-        if m and not _RULE.match(line):
-            while len(levels) > 1 and indent < levels[-1][3]:
-                levels.pop()
-            kind = m[3] is not None
-            if levels and indent < levels[-1][0] and kind != levels[-1][1]:
-                if len(levels) == 1:
-                    break
-                levels.pop()
-            if not levels or indent >= levels[-1][0]:
-                levels.append([indent + len(m[2]) + 1, kind, int(m[3] or 1), indent])
-            prefix = f"{levels[-1][2]}." if levels[-1][1] else "-"
-            levels[-1][2] += 1
-            open_item = bool(m[4])
-            if m[4]:
-                out.append("  " * (len(levels) - 1) + f"{prefix} {m[4].strip()}")
-        elif blank and levels and indent < levels[0][0]:
-            break
-        elif not blank and open_item and not _starts_block(line.lstrip()):
-            out[-1] += "\n" + line.strip()
-        elif levels and indent >= levels[0][0]:
-            open_item = False
-        else:
-            break
-        blank = False
-        n += 1
-    while n > at and not lines[n - 1].strip():
-        n -= 1
-    return n, out, ordered
-
-
 def parse(text: str) -> Iterator[dict]:
     """Elements of a text: element_type, content, level, heading_path, heading_levels, language, ordered, table_rows, line_start, line_end."""
-    lines = text.split("\n")
     path: list[tuple[int, str]] = []
-    n = 0
-
-    def element(kind: str, content: str, start: int, end: int, **more) -> dict:
-        return {"element_type": kind, "content": content, "level": None, "language": None, "ordered": False, "table_rows": None, "heading_path": [t for _, t in path], "heading_levels": [v for v, _ in path], "line_start": start + 1, "line_end": end} | more
-
-    while n < len(lines):
-        line = lines[n]
-        if not line.strip():
-            n += 1
-        elif m := _ATX.match(line):
-            level, title = len(m[1]), (m[2] or "").strip()
-            path = [p for p in path if p[0] < level] + [(level, title)]
-            n += 1
-            yield element("heading", title, n - 1, n, level=level)
-        elif (m := _FENCE.match(line)) and not ("`" in m[3] and m[2][0] == "`"):
-            end = next((i for i in range(n + 1, len(lines)) if re.match(rf"^ {{0,3}}{re.escape(m[2][0])}{{{len(m[2])},}}[ \t]*$", lines[i])), len(lines))
-            code = "\n".join(x[min(len(m[1]), len(x) - len(x.lstrip(" "))) :] for x in lines[n + 1 : end]).rstrip("\n")
-            info = html.unescape(m[3]).split()
-            language = info[0] if info else ""
-            yield element("code", f"```{language}\n{code}\n```", n, min(end + 1, len(lines)), language=language or None)
-            n = end + 1
-        elif line.startswith(("    ", "\t")):
-            end = n
-            while end < len(lines) and (not lines[end].strip() or lines[end].startswith(("    ", "\t"))):
-                end += 1
-            while not lines[end - 1].strip():
-                end -= 1
-            code = "\n".join(x[1:] if x.startswith("\t") else x[4:] for x in lines[n:end]).rstrip("\n")
-            yield element("code", f"```\n{code}\n```", n, end)
-            n = end
-        elif _RULE.match(line):
-            n += 1
-        elif line.lstrip().startswith(">") and len(line) - len(line.lstrip()) < 4:
-            end = n
-            while end < len(lines) and lines[end].strip() and (lines[end].lstrip().startswith(">") or not _starts_block(lines[end])):
-                end += 1
-            inner = [re.sub(r"^\s*(?:>\s?)+", "", x).strip() for x in lines[n:end]]
-            content = "\n".join(f"> {x}" for x in inner if x)
-            if content:
-                yield element("blockquote", content, n, end)
-            n = end
-        elif _ITEM.match(line):
-            end, items, ordered = _list(lines, n)
-            if items:
-                yield element("list", "\n".join(items).strip(), n, end, ordered=ordered)
-            n = max(end, n + 1)
-        elif _HTML.match(line):
-            end = n
-            if line.lstrip().startswith("<!--"):
-                while end < len(lines) and "-->" not in lines[end]:
-                    end += 1
-                end = min(end + 1, len(lines))
-            else:
-                while end < len(lines) and lines[end].strip():
-                    end += 1
-            content = html.unescape("\n".join(lines[n:end]).strip())
-            if content:
-                yield element("html", content, n, end)
-            n = end
-        elif "|" in line and n + 1 < len(lines) and _DELIMITER.match(lines[n + 1]) and len(_cells(line)) == len(_cells(lines[n + 1])):
-            end, rows = n + 2, [_cells(line)]
-            while end < len(lines) and lines[end].strip() and not _starts_block(lines[end]):
-                row = _cells(lines[end])[: len(rows[0])]
-                rows.append(row + [""] * (len(rows[0]) - len(row)))
-                end += 1
-            rows = [r for r in rows if any(r)]
+
+    def element(block: Block, kind: str, content: str, **more) -> dict:
+        return {"element_type": kind, "content": content, "level": None, "language": None, "ordered": False, "table_rows": None, "heading_path": [t for _, t in path], "heading_levels": [v for v, _ in path], "line_start": block.start + 1, "line_end": block.end} | more
+
+    for block in commonmark.read(text):
+        if block.kind == "heading":
+            path = [p for p in path if p[0] < block.level] + [(block.level, block.text)]
+            yield element(block, "heading", block.text, level=block.level)
+        elif block.kind == "code":
+            language = block.info.split()[0] if block.info else ""
+            code = "\n".join(block.lines).rstrip("\n")
+            yield element(block, "code", f"```{language}\n{code}\n```", language=language or None)
+        elif block.kind == "table":
+            rows = [r for r in block.lines if any(r)]
             if rows:
                 shown = [f"| {' | '.join(r)} |" for r in rows]
-                yield element("table", "\n".join([shown[0], f"| {' | '.join(['---'] * len(rows[0]))} |", *shown[1:]]), n, end, table_rows=rows)
-            n = end
-        else:
-            end = n + 1
-            while end < len(lines) and lines[end].strip() and not _starts_block(lines[end]) and not re.match(r"^ {0,3}(=+|-+)[ \t]*$", lines[end]):
-                end += 1
-            content = "\n".join(x.strip() for x in lines[n:end]).strip()
-            if end < len(lines) and (m := re.match(r"^ {0,3}(=+|-+)[ \t]*$", lines[end])):
-                level = 1 if m[1][0] == "=" else 2
-                path = [p for p in path if p[0] < level] + [(level, content)]
-                end += 1
-                yield element("heading", content, n, end, level=level)
-            elif content:
-                yield element("image" if _IMAGE.fullmatch(content) else "paragraph", content, n, end)
-            n = end
+                yield element(block, "table", "\n".join([shown[0], f"| {' | '.join(['---'] * len(rows[0]))} |", *shown[1:]]), table_rows=rows)
+        elif block.kind == "list":
+            if content := commonmark.rendered_list(block):
+                yield element(block, "list", content, ordered=block.number is not None)
+        elif block.kind == "quote":
+            if content := commonmark.quoted(block):
+                yield element(block, "blockquote", content)
+        elif block.kind == "html":
+            if content := html.unescape(block.text):
+                yield element(block, "html", content)
+        elif block.kind == "paragraph" and block.text:
+            yield element(block, "image" if _IMAGE.fullmatch(block.text) else "paragraph", block.text)
 
 
 FIELDS = (
