@@ -23,7 +23,7 @@ from tesserae.operators.normalize import normalize
 from tesserae.operators.skew import lookup_join
 from tesserae.session import stored
 from tesserae.sources import items, markdown
-from tesserae.sources.files import archive_members, file_id, files, latest_artifact, markdown_texts, word_elements
+from tesserae.sources.files import archive_members, file_digests, file_id, latest_artifact, markdown_texts, word_elements
 
 KNOWLEDGE_BASE = "default"
 
@@ -102,7 +102,7 @@ def newest_archives(pdfs: DataFrame, archives: DataFrame) -> DataFrame:
 
 def pdf_source(spark: SparkSession, path: str, archives: str, budget: Budget = Budget()) -> DataFrame:
     """PDF files with the archives that a layout parser left for them: JSON items, or else its Markdown."""
-    pdfs = files(spark, path, "pdf").select(file_id(F.col("file_name"), F.col("sha256")).alias("file_id"), "file_name", F.lit("pdf").alias("file_type"), F.col("path").alias("source_path"), "sha256")
+    pdfs = file_digests(spark, path, "pdf").select(file_id(F.col("file_name"), F.col("sha256")).alias("file_id"), "file_name", F.lit("pdf").alias("file_type"), F.col("path").alias("source_path"), "sha256")
     parsed = newest_archives(pdfs, archive_members(spark, archives))
     from_items = items.blocks(items.items(parsed.select("file_id", "json")))
     columns = ["file_id", "block_idx", "block_type", "content", "page_number", "heading_level"]

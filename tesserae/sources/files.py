@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tesserae.functions.tables import word_table_sentences
 from tesserae.functions.text import collapse, detect_language, is_list_item, strip, uuid5_url
 from tesserae.operators.headings import word_level
+from tesserae.session import qualified
+from tesserae.sources import archive
 
 SUFFIXES = {"markdown": (".md", ".markdown"), "word": (".docx",), "pdf": (".pdf",), "text": (".txt",)}
 # Namespace of word processor XML.
@@ -40,6 +42,16 @@ def files(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     return named.filter(F.col("kind") == kind) if kind else named
 
 
+def file_digests(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """As ``files`` of one kind, without the content: files of any size are hashed block by block, where the store is one that the
+    Arrow file systems know."""
+    if not archive.reachable(qualified(spark, path)):
+        return files(spark, path, kind).drop("content")
+    rows = archive.digests(spark, path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.select("path", name.alias("file_name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), kind_of(F.col("path")).alias("kind"), "modified", "length", "sha256").filter(F.col("kind") == kind)
+
+
 def file_id(name: Column, digest: Column) -> Column:
     return uuid5_url(F.concat_ws(":", name, digest))
 
@@ -105,9 +117,23 @@ def word_elements(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """Of each parser archive (ZIP) under ``path``: the first content list (or other JSON) in archive order, the first Markdown
-    text, the member that a review reads, and the hash of the original file inside."""
+    text, the member that a review reads, and the hash of the original file inside. Only these members are read, of archives of
+    any size; where the store is one that only Spark reads, whole archives of up to 2 GB are loaded."""
+    if not archive.reachable(qualified(spark, path)):
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+        return loaded_archives(rows.select("path", "modificationTime", "content"))
+    found = archive.members(spark, path, wanted=".json,.md,_origin.pdf", content=".json,.md", digest="_origin.pdf")
+    member, lists = F.col("member"), ("_content_list.json", "_content_list_v2.json")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    first = lambda value, *ends: F.min_by(F.when(member.endswith(ends[0]), value), F.when(member.endswith(ends[0]), F.col("position")))
+    return found.groupBy("path", "modified").agg(
+        first(text, ".json").alias("json"), first(text, ".md").alias("markdown"), F.coalesce(first(text, lists[0]), first(text, lists[1])).alias("content_list"), first(F.col("sha256"), "_origin.pdf").alias("origin_sha256"),
+    )
+
+
+def loaded_archives(rows: DataFrame) -> DataFrame:
+    """The same of archives (path, modificationTime, content), of a table or a stream."""
     fields = "path string, modified timestamp, json string, markdown string, content_list string, origin_sha256 string"
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -128,7 +154,7 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*found)) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.timestamp("us", tz="UTC")), *(pa.array(c, pa.string()) for c in cols[2:])], names=[f.split()[0] for f in fields.split(", ")])
 
-    return rows.select("path", "modificationTime", "content").mapInArrow(run, fields)
+    return rows.mapInArrow(run, fields)
 
 
 def latest_artifact(archives: DataFrame, sha256: str | None) -> DataFrame:

@@ -1,12 +1,13 @@
 """A client for a layout parser's service: jobs for files or addresses, waiting, and the artifacts of a finished job.
 
 Nothing here opens a connection: ``send`` does, a function of (method, address, headers, body) that returns (status, body),
-as bytes. Time is given too, so waiting can be tested. The bytes of ``archive`` are what ``archive_members`` reads, which keeps
-the parser out of the plans: a driver or a worker fetches archives to a folder, and plans read the folder.
+as bytes. Time is given too, so waiting can be tested. For one file ``ParserService`` submits and waits; for files that arrive
+``tesserae.streaming.jobs`` keeps each job's state in a stream.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import time
@@ -38,6 +39,11 @@ class Job:
     data_id: str | None = None
 
 
+def data_id_of(name: str, content: bytes) -> str:
+    """The same for the same file whenever it is sent."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}:{hashlib.sha256(content).hexdigest()}"))
+
+
 def _first(record: Mapping[str, Any], names: Iterable[str]) -> Any:
     return next((record[n] for n in names if record.get(n)), None)
 
@@ -70,6 +76,7 @@ class ParserService:
     attempts: int = 3
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
+    other: Callable[[str], bytes] | None = None  # fetches what ``send`` couldn't, by another way
 
     def call(self, method: str, address: str, body: Mapping[str, Any] | None = None) -> dict:
         """The JSON answer; an HTTP error or a code other than 0 fails."""
@@ -86,7 +93,7 @@ class ParserService:
         """Asks for an address to upload to, and uploads the file there."""
         if not name.lower().endswith(".pdf"):
             raise ValueError("only PDF files are parsed")
-        data_id = data_id or str(uuid.uuid4())
+        data_id = data_id or data_id_of(name, content)
         given = self.call("POST", f"{self.root}/file-urls/batch", {**self.options, "files": [{"name": name, "data_id": data_id}]}).get("data") or {}
         if not given.get("batch_id") or not given.get("file_urls"):
             raise ParserError(f"no address to upload to: {given}")
@@ -106,16 +113,21 @@ class ParserService:
         """The result of a job once it is done; asks every ``interval`` seconds, for ``timeout`` seconds."""
         end, answer = self.clock() + self.timeout, None
         while self.clock() < end:
-            answer = self.call("GET", job.address)
-            result = own_result(answer, job.data_id)
-            state = state_of(result) if result else "running"
+            state, answer = self.ask(job)
             if state == "done":
-                return result
-            if state == "failed":
-                raise ParserError(f"the job failed: {answer}")
+                return answer
             self.sleep(self.interval)
         raise TimeoutError(f"the job wasn't done in {self.timeout} s: {answer}")
 
+    def ask(self, job: Job) -> tuple[str, dict]:
+        """``done`` with the job's result, or ``running`` with the answer. A failed job raises."""
+        answer = self.call("GET", job.address)
+        result = own_result(answer, job.data_id)
+        state = state_of(result) if result else "running"
+        if state == "failed":
+            raise ParserError(f"the job failed: {answer}")
+        return state, result if state == "done" else answer
+
     def fetch(self, address: str) -> bytes:
         """The bytes at an address, with longer and longer breaks between ``attempts``."""
         for attempt in range(1, self.attempts + 1):
@@ -128,6 +140,8 @@ class ParserService:
                 problem = error
             if attempt < self.attempts:
                 self.sleep(self.interval * attempt)
+        if self.other is not None:
+            return self.other(address)
         raise ParserError(f"{address} can't be fetched") from problem
 
     def artifacts(self, result: Mapping[str, Any]) -> dict[str, Any]:
