@@ -13,17 +13,22 @@ near copies of a page are not.
 
 What a page says only once can't be found by recurrence. So what HTML itself marks as not being the article goes as well:
 elements that aren't shown or aren't text, ``nav``, ``aside``, ``footer``, ``form``, ``header`` outside of the article, the ARIA roles of
-these, and elements with a class or id that names an advert, notice, sidebar, share bar or reader comments. Such a name never
-removes an element that holds the article, a ``main`` or an ``h1``. ``marks=False`` leaves all this out but for what isn't shown.
+these, and elements with a class or id that names an advert, notice, sidebar, share bar or reader comments: inside the article
+by that word alone, outside of it also by one that starts or ends so. Such a name never removes an element that holds the article, a
+``main`` or an ``h1``. An ``article`` that is named a comment is no article where there is another. ``marks=False`` leaves all this
+out but for what isn't shown.
 
 Defined results: a null or empty page has the empty text; pages without a host are a host of their own; unclosed and
-misnested elements end where an ancestor does (a block ends an open paragraph); a page cut off in a tag ends there.
+misnested elements end where an ancestor does (a block ends an open paragraph); a page cut off in a tag ends there. From a tag whose
+quotes never close on, tags end at the next ``>``. Columns other than the three that are named aren't looked at. A page takes time in
+proportion to its length, however broken.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,21 +56,24 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert ale
 _WORDS = "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices popup modal overlay sidebar navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments respond replies share sharing social related newsletter subscribe subscription widget pagination pager".split()
 #: A class or id that is one of these words, or starts or ends with one and a dash: not as a part that says where it is missing or next to.
 _NAMED = re.compile(rf"(?:(?:{'|'.join(_WORDS)})(?:[-_].*)?|(?!(?:no|not|has|have|with|without|is|hide|non|after|before|show)[-_]).*[-_](?:{'|'.join(_WORDS)}))")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z]|!)[^<>]*\Z", re.S)
+_NAMES = frozenset(_WORDS)
+_COMMENT = frozenset("comment comments reply replies".split())
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "unseen", "marked", "named", "children", "key", "digest", "inside", "size", "prose", "heads")
+    __slots__ = ("tag", "unseen", "marked", "named", "comment", "children", "key", "digest", "inside", "size", "prose", "heads")
 
-    def __init__(self, tag: str, unseen: bool, marked: bool, named: bool, key: str, inside: bool):
-        self.tag, self.unseen, self.marked, self.named, self.key, self.inside = tag, unseen, marked, named, key, inside
+    def __init__(self, tag: str, unseen: bool, marked: bool, named: bool, comment: bool, key: str, inside: bool):
+        self.tag, self.unseen, self.marked, self.named, self.comment, self.key, self.inside = tag, unseen, marked, named, comment, key, inside
         self.children: list[_Element | str] = []
         self.digest = 0
         self.size = 0  # characters of text
         self.prose = False  # has text outside of links
-        self.heads = tag in ("article", "main", "h1")  # holds what must stay
+        self.heads = tag in ("article", "main", "h1") and not comment  # holds what must stay
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -75,26 +83,33 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _kind(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool, bool]:
-    """Whether an element isn't shown or isn't text; whether HTML marks it as something else than the article; whether its names do."""
+def _kind(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element isn't shown or isn't text; whether HTML marks it as something else than the article; whether its names do; and whether
+    it is an ``article`` that is named a comment."""
     unseen, marked = tag in _UNSEEN, tag in _OTHER or tag == "header" and not inside
     if not attributes:
-        return unseen, marked, False
+        return unseen, marked, False, False
     unseen = unseen or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     marked = marked or attributes.get("role", "").lower() in _ROLES
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
-    return unseen, marked, tag not in ("html", "body", "article", "main") and any(_NAMED.fullmatch(n) for n in names)
+    if tag == "article":
+        return unseen, marked, False, not _COMMENT.isdisjoint(names)
+    return unseen, marked, tag not in ("html", "body", "main") and (not _NAMES.isdisjoint(names) if inside else any(_NAMED.fullmatch(n) for n in names)), False
 
 
 def parse(page: str) -> _Element:
     """The page's tree, with subtree hashes."""
-    root = _Element("#", False, False, False, "#", False)
+    root = _Element("#", False, False, False, False, "#", False)
     stack = [root]
-    at, n = 0, len(page)
+    #: For each open element the depth of the innermost block and of the innermost list or item around it, itself included; open tags by name.
+    blocks, lists, opened = [0], [0], Counter()
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             e = stack.pop()
+            blocks.pop()
+            lists.pop()
+            opened[e.tag] -= 1
             for c in e.children:
                 if type(c) is str:
                     e.size += len(c.strip())
@@ -105,41 +120,43 @@ def parse(page: str) -> _Element:
                     e.heads = e.heads or c.heads
             e.digest = xxhash.xxh64_intdigest("\x00".join([e.key, *(c if type(c) is str else f"\x01{c.digest}" for c in e.children)])) >> 1
 
+    at, n, quotes = 0, len(page), True
     while at < n:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
+        start = m.start() if m else n
+        if start > at:
+            stack[-1].children.append(page[at:start])
         if m is None:
-            stack[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
         at = m.end()
-        tag = m[2]
+        slash, tag = m.groups()
         if tag is None:
+            end = page.find("-->", start + 2) + 2 if m[0] == "<!--" else page.find(">", at)
+            if end < at - 1:
+                break  # a comment or declaration that never ends
+            at = end + 1
             continue
+        # Once the quotes of a tag aren't closed, quotes no longer count: else each tag after it would be looked for to the page's end.
+        rest = _REST.match(page, at) if quotes else None
+        if rest:
+            text, at = rest[1], rest.end()
+        else:
+            quotes = False
+            end = page.find(">", at)
+            if end < 0:
+                break
+            text, at = page[at:end], end + 1
         tag = tag.lower()
-        if m[1]:
-            if tag in _VOID:
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
+        if slash:
+            if tag not in _VOID and opened[tag]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag))
             continue
         if tag in _BLOCK:
-            if tag == "li":
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in ("ul", "ol", "menu"):
-                        break
-                    if stack[depth].tag == "li":
-                        close(depth)
-                        break
-            for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, and the inline elements in it
-                if stack[depth].tag == "p":
-                    close(depth)
-                    break
-                if stack[depth].tag in _BLOCK:
-                    break
-        attributes = _attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
+            if tag == "li" and stack[lists[-1]].tag == "li":
+                close(lists[-1])
+            if stack[blocks[-1]].tag == "p":  # a block ends an open paragraph, and the inline elements in it
+                close(blocks[-1])
+        attributes = _attributes(text) if text and text.strip(" /\n\t\r") else {}
         inside = stack[-1].inside or tag in ("article", "main") or attributes.get("role") == "main"
         e = _Element(tag, *_kind(tag, attributes, stack[-1].inside), f"{tag}|{attributes.get('class', '')}|{attributes.get('id', '')}", inside)
         stack[-1].children.append(e)
@@ -149,7 +166,11 @@ def parse(page: str) -> _Element:
             end = re.compile(rf"</{re.escape(tag)}(?:\s[^>]*)?>", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        depth = len(stack)
         stack.append(e)
+        opened[tag] += 1
+        blocks.append(depth if tag in _BLOCK else blocks[-1])
+        lists.append(depth if tag in ("li", "ul", "ol", "menu") else lists[-1])
     close(0)
     return root
 
@@ -206,7 +227,7 @@ def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset(),
             words.clear()
 
     def gone(e: _Element, whole: int) -> bool:
-        return e.unseen or marks and (e.marked or e.named and not e.heads) or e.digest in template and _bounded(e, whole)
+        return e.unseen or marks and (e.marked or e.named and not e.heads or e.comment and whole > 0) or e.digest in template and _bounded(e, whole)
 
     def articles(e: _Element, tags: tuple[str, ...]) -> Iterator[_Element]:
         todo = [e]
@@ -230,7 +251,7 @@ def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset(),
                 words.append(x)
             elif x.tag == "br":
                 words.append(" ")
-            elif not gone(x, whole):
+            elif x is top or not gone(x, whole):
                 block = x.tag in _BLOCK
                 if block:
                     end()
@@ -241,6 +262,7 @@ def main_text(root: _Element, template: frozenset[int] | set[int] = frozenset(),
         end()
 
     for tops in (list(articles(root, ("article",))), list(articles(root, ("main",))), [root]):
+        tops = [t for t in tops if not (marks and t.comment)] or tops
         if tops:
             for top in tops:
                 walk(top)

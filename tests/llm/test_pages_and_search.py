@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -102,6 +103,28 @@ def test_names_never_remove_the_article():
         assert mainhtml.main_text(mainhtml.parse(page)) == "text", page
 
 
+def test_names_remove_no_article_text_but_comments():
+    for page, text in (
+        ('<main><div class="ad-hoc"><p>Ad hoc networks</p></div></main>', "Ad hoc networks"), ('<article><section id="comments-on-the-proof"><p>x</p></section><div class="related-work">y</div></article>', "x\ny"),
+        ('<article><p>a</p></article><article class="comment">c</article>', "a"), ('<article><p>a</p><section><article class="Comment reply">c</article></section></article>', "a"), ('<article class="comment">only</article>', "only"),
+        ('<div class="comments"><article class="comment">c</article></div><main>m</main>', "m"),
+    ):
+        assert mainhtml.main_text(mainhtml.parse(page)) == text, page
+
+
+def test_broken_pages_take_time_in_proportion():
+    for unit in ('<a "', "<b>", "</i>", "<b></i>", "<p><div><b><hr>", "<ul><li><b>", "<a '\"", '<x y="', "<!-- ", "<!", "<script>", "&amp;<"):
+        page = unit * (200_000 // len(unit))
+        began = time.time()
+        mainhtml.main_text(mainhtml.parse(page))
+        assert time.time() - began < 4, unit
+    page = "<b>" * 30_000 + "</i>" * 30_000 + "<hr>" * 30_000
+    began = time.time()
+    assert mainhtml.main_text(mainhtml.parse(page)) == "" and time.time() - began < 4
+    # Once a tag's quotes don't close, tags end at the next ">".
+    assert mainhtml.main_text(mainhtml.parse('<p title="a>b">c<p x="d>e<p y="f">g')) == "c\ne\ng"
+
+
 def test_templates_by_count_alone(spark):
     """No list decides here: plain elements, recurring on small hosts, inside of articles too. The counts equal brute force."""
     rng = random.Random(3)
