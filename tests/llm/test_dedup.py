@@ -256,6 +256,21 @@ def test_near_counts_against_brute_force(spark):
     assert got == {k: sum(bin(x ^ y).count("1") <= 11 for y in marks) - 1 for k, x in enumerate(marks)}  # up to 11 of 128 bits, one of six bands differs in one bit at most
 
 
+def test_nearly_all_fingerprints_in_the_radius_are_found(spark):
+    """At every distance up to the radius, with the parameters of the query."""
+    rng = random.Random(9)
+    pairs = []
+    for d in (12, 18, 20, 22, 24, 25, 26, 27):
+        for _ in range(300):
+            x = rng.getrandbits(128)
+            pairs.append((d, x, x ^ sum(1 << b for b in rng.sample(range(128), d))))
+    halves = lambda i: spark.createDataFrame([(*simhash._halves(p[i]), 1) for p in pairs], "hi long, lo long, n long")
+    found = {(r["hi"], r["lo"]) for r in simhash.near_classes(halves(1), halves(2)).collect()}
+    for d in (12, 18, 20, 22, 24, 25, 26, 27):
+        share = sum(simhash._halves(x) in found for e, x, _ in pairs if e == d) / 300
+        assert share >= 0.9 if d <= simhash.RADIUS else share == 0, (d, share)
+
+
 def test_fingerprints_against_brute_force(docs, edge):
     import struct
 
