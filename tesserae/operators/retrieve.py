@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from tesserae.functions.text import strip
 from tesserae.session import scratch_path
@@ -66,14 +68,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def search(index: DataFrame, query: list[float], k: int = DEFAULT_K, min_score: float = MIN_SCORE, vector: str = "vector", key: str = "id") -> DataFrame:
     """The ``k`` rows most alike to the query, with ``score``; equal scores by key. Rows below ``min_score`` or without text are
-    dropped after the limit, so fewer than ``k`` may be left. The query is a literal: one scan, a bounded heap per task."""
+    dropped after the limit, so fewer than ``k`` may be left. Vectors that are null, of another length than the query, without length
+    or not finite score 0. The query is a literal: one scan, a bounded heap per task."""
     size = sum(float(x) * float(x) for x in query) ** 0.5
     if not query or size == 0:
         raise ValueError("the query vector has no length")
     given = F.array(*(F.lit(float(x) / size) for x in query))
     dot = F.aggregate(F.zip_with(vector, given, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    scored = index.withColumn("score", F.coalesce(F.try_divide(dot, norm), F.lit(0.0)))
+    scored = index.withColumn("score", F.nanvl(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)), F.lit(0.0)))
     best = scored.orderBy(F.desc("score"), key).limit(k)
     best = best.filter(F.col("score") >= min_score)
     return best.filter(strip(F.col("text")) != "") if "text" in index.columns else best
@@ -83,15 +86,16 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_sc
     """``query_id``, ``rank``, ``id`` and ``score`` for any number of queries (query_id, query_vector), ``query_block`` of them at a
     time: their matrix is broadcast, each task multiplies it with its rows block by block and keeps the best ``k`` per query,
     and only these are exchanged. The driver reads the queries partition by partition and holds two blocks at most; the results of
-    more blocks than one are stored. A caller can refuse more than ``most_queries``. Vectors without length score 0."""
-    asked = queries.select("query_id", "query_vector")
+    more blocks than one are stored. A caller can refuse more than ``most_queries``. Null vectors of the index, and queries with a null or
+    empty vector, take no part; vectors of another length than the query, without length or not finite score 0."""
+    asked = queries.select("query_id", "query_vector").filter(F.size("query_vector") > 0)
     if most_queries is not None and asked.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} queries at once; split them into sets")
     blocks = batched(asked.toLocalIterator(), query_block)
     first, second = next(blocks, None), next(blocks, None)
     if first is None:
         return index.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("rank"), F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind = queries.schema["query_id"].dataType
     if second is None:
         return _search_block(index, first, kind, k, min_score, vector, key)[0]
     path, schema = scratch_path(index.sparkSession, "hits"), None
@@ -103,21 +107,21 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_sc
     return index.sparkSession.read.schema(schema).parquet(path)
 
 
-def _search_block(index: DataFrame, asked: Sequence[Row], kind: str, k: int, min_score: float, vector: str, key: str) -> tuple[DataFrame, Broadcast]:
+def _search_block(index: DataFrame, asked: Sequence[Row], kind: DataType, k: int, min_score: float, vector: str, key: str) -> tuple[DataFrame, Broadcast]:
     """Hits of some queries, whose ids have the type ``kind``, and the broadcast that they are made with."""
-    matrix = np.array([r["query_vector"] for r in asked], dtype=np.float64)
-    shared = index.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in asked]), _rows_of_length_one(matrix)))
-    types = [f"query_id {kind}", f"id {index.schema[key].dataType.simpleString()}", "score double"]
+    lists = pa.array([r["query_vector"] for r in asked], pa.list_(pa.float64()))
+    shared = index.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in asked], to_arrow_type(kind)), *_units(lists, int(lists.value_lengths().to_numpy(zero_copy_only=False).max()))))
+    types = [f"query_id {kind.simpleString()}", f"id {index.schema[key].dataType.simpleString()}", "score double"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
+        names, q, sizes = shared.value
         ids, best = None, None  # candidates so far: ids, and for each query places in them with scores
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                lists = part.column(1)
-                x = _rows_of_length_one(np.asarray(lists.flatten(), dtype=np.float64).reshape(part.num_rows, -1)) if len(lists.flatten()) else np.zeros((part.num_rows, q.shape[1]))
-                fresh = [_best(np.round(q[i : i + 256] @ x.T, 12), part.column(0), k) for i in range(0, len(q), 256)]
+                x, own = _units(part.column(1), q.shape[1])
+                like = lambda i: np.where(sizes[i : i + 256, None] == own, q[i : i + 256] @ x.T, 0.0)  # noqa: B023, E731
+                fresh = [_best(np.round(like(i), 12), part.column(0), k) for i in range(0, len(q), 256)]
                 places, scores = (np.concatenate([f[n] for f in fresh]) for n in (0, 1)) if fresh else (np.zeros((0, 0), int), np.zeros((0, 0)))
                 if ids is None:
                     ids, best = part.column(0), (places, scores)
@@ -148,6 +152,19 @@ def _rows_of_length_one(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def _units(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors divided by their lengths, in rows of ``width`` numbers, and how many components they have. Rows that are longer, or hold what
+    is no finite number, are zeros."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lists), width))
+    fit = np.repeat(sizes <= width, sizes)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(lists)), sizes)[fit], at[fit]] = flat[fit]
+    out[~np.isfinite(out).all(axis=1)] = 0
+    return _rows_of_length_one(out), sizes
+
+
 def _ranks(ids: pa.Array) -> np.ndarray:
     """Places of ids in ascending order."""
     order = pc.sort_indices(ids).to_numpy(zero_copy_only=False)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.session import bundled
+
 TOP = 1000
 
 
@@ -21,7 +23,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread
     """
     values = [c for c in right.columns if c not in (key, weight)]
     heavy = right.orderBy(F.desc(weight), key).limit(top).select(F.col(key).alias("hk"), F.struct(*values).alias("hv"))
-    packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), F.col(key).alias("k"), F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long")).alias("x"))
+    packed = left.select(bundled(left, left.columns).alias("l"), F.col(key).alias("k"), F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long")).alias("x"))
     met = packed.join(F.broadcast(heavy), F.col("k") == F.col("hk"), "left")
     own = [F.col("l")[c].alias(c) for c in left.columns]
     if rows is not None and rows <= top:
@@ -50,7 +52,7 @@ def _filtered(left: DataFrame, keys: list[Column], ids: DataFrame) -> tuple[Data
     bucket, bits = places([F.col(c) for c in ids.columns])
     marked = ids.select(bucket.alias("b"), F.explode(F.array(*bits)).alias("bit")).distinct().repartition("b")
     maps = marked.groupBy("b").agg(F.bitmap_construct_agg("bit").alias("map"))
-    packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    packed = left.select(bundled(left, left.columns).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
     bucket, bits = places([F.col(f"k{i}") for i in range(len(keys))])
     joined = packed.withColumn("at", bucket).join(F.broadcast(maps), F.col("at") == F.col("b"), "left")
     hit = F.col("map").isNotNull()
@@ -73,7 +75,7 @@ def semi_join(left: DataFrame, keys: list[Column], ids: DataFrame) -> DataFrame:
     """Rows of ``left`` whose ``keys`` are a row of ``ids`` (written already; counted here). Up to ``FEW`` ids are broadcast. Beyond,
     a Bloom filter of fixed size is, and only rows that pass it are exchanged: the long rows of ``left`` mostly stay where they are."""
     if ids.count() <= FEW:
-        packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+        packed = left.select(bundled(left, left.columns).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
         return _matched(packed, ids, "left_semi", True)
     return _matched(_filtered(left, keys, ids)[1].filter("hit"), ids, "left_semi", False)
 
@@ -81,7 +83,7 @@ def semi_join(left: DataFrame, keys: list[Column], ids: DataFrame) -> DataFrame:
 def anti_join(left: DataFrame, keys: list[Column], ids: DataFrame) -> DataFrame:
     """Rows of ``left`` whose ``keys`` are no row of ``ids``, in the way of ``semi_join``."""
     if ids.count() <= FEW:
-        packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+        packed = left.select(bundled(left, left.columns).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
         return _matched(packed, ids, "left_anti", True)
     marked = _filtered(left, keys, ids)[1]
     return _matched(marked.filter("hit"), ids, "left_anti", False).unionByName(marked.filter("not hit").select("l.*"))
@@ -93,7 +95,7 @@ def some_join(left: DataFrame, keys: list[Column], right: DataFrame, names: list
     that ``left`` hasn't got."""
     ids, values = right.select(*names), [c for c in right.columns if c not in names]
     if ids.count() <= FEW:
-        packed = left.select(F.struct(*(left[c] for c in left.columns)).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+        packed = left.select(bundled(left, left.columns).alias("l"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
         known = ids.select(*(F.col(c).alias(f"r{i}") for i, c in enumerate(names)), F.lit(True).alias("there"))
         marked = packed.join(F.broadcast(known), _same(len(names)), "left").select("l", *(f"k{i}" for i in range(len(names))), F.col("there").isNotNull().alias("hit"))
     else:

@@ -22,6 +22,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from tesserae.operators.index import Index, Manifest
@@ -257,7 +258,7 @@ class VectorIndex(Index):
         near = made.nearest(q)[:, : probes or made.probes]
         wanted = np.zeros((len(made.centroids), len(rows)), dtype=bool)
         wanted[near, np.arange(len(rows))[:, None]] = True
-        shared = self.spark.sparkContext.broadcast((made, q, wanted, pa.array([r["query_id"] for r in rows])))
+        shared = self.spark.sparkContext.broadcast((made, q, wanted, pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))))
         top = per_hit * k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

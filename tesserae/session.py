@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bundled(rows: DataFrame, names: list[str]) -> Column:
+    """Columns of any names as one struct, in which they can go through a worker; ``unbundled`` has them back."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in names)) if names else F.lit(None).cast("int")
+
+
+def unbundled(struct: str, names: list[str]) -> list[Column]:
+    return [F.col(struct)[c].alias(c) for c in names]
+
+
 def discard(spark: SparkSession, *frames: DataFrame, sweep: bool = True) -> None:
     """Deletes the files behind frames returned by ``stored``. Only for frames that nothing reads any more. Spark deletes the
     shuffle files of finished steps when the driver's memory is cleared of their plans, which ``sweep`` asks for."""

@@ -164,3 +164,28 @@ def test_entry_works_without_a_package_that_the_optional_parts_need(tmp_path):
         (tmp_path / f"{name}.py").write_text("raise ImportError('not here')")
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_odd_vectors(spark):
+    """Null, ragged, empty and non-finite vectors on either side."""
+    nan = float("nan")
+    kind = "id int, vector array<double>"
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, []), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [0.0, 1.0]), (8, [1.0, 0.0, 0.0]), (9, [0.0, 0.0])], kind)
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, []), (4, [1.0]), (5, [nan, nan]), (6, [3.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
+    got = {}
+    for r in search_many(index, queries, 3, 0.5).collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    assert got == {1: [(1, 1.0)], 4: [(3, 1.0)], 6: [(8, 1.0)]}
+    assert {(r["query_id"], r["id"]) for r in search_many(index, queries.filter("query_id = 5"), 20, 0.0).collect()} == {(5, i) for i in (1, 3, 4, 5, 6, 7, 8, 9)}
+    from tesserae.operators.retrieve import search
+
+    assert [(r["id"], r["score"]) for r in search(index, [1.0, 0.0], 3).collect()] == [(1, 1.0), (2, 0.0), (3, 0.0)]
+
+
+def test_joins_carry_columns_of_any_name(spark):
+    left = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "k int, `a.b` string, `c``d` double")
+    right = spark.createDataFrame([(1, 1, "v")], "k int, n int, v string")
+    assert sorted(tuple(r) for r in lookup_join(left, right, "k", "n", spread=F.col("k")).collect()) == [(1, "a", 2.0, "v"), (2, "b", 3.0, None)]
+    ids = stored(right.select("k"), "ids")
+    assert semi_join(left, [F.col("k")], ids).columns == left.columns and anti_join(left, [F.col("k")], ids).count() == 1
+    assert skew.some_join(left, [F.col("k")], stored(right.select("k", "v"), "some"), ["k"]).columns == [*left.columns, "v"]
