@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tesserae.llm.wordhash import tidy
 from tesserae.operators.skew import lookup_join, semi_join
-from tesserae.session import stored, text_batches
+from tesserae.session import bundled, stored, text_batches, unbundled
 
 UNDETERMINED = "und"
 FEATURES = 1 << 14
@@ -182,11 +182,11 @@ def train(documents: DataFrame, per_language: int = 600, most: int = 6000, least
 
 def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` (the calibrated probability of that language), for every row; no exchange. With
-    ``carry`` all columns of ``documents`` come along (those named ``lang_pred`` or ``score`` are replaced)."""
+    ``carry`` all columns of ``documents`` come along, under any names (those named ``lang_pred`` or ``score`` are replaced)."""
     text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.drop("lang_pred", "score") if carry else documents.select(key)
-    rows = documents.select(*kept.columns, F.col(text).cast("string").alias("_read"))
+    kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")] if carry else [key]
+    rows = documents.select(bundled(documents, kept).alias("own"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -205,6 +205,7 @@ def predict(documents: DataFrame, model: LanguageModel, key: str = "doc_id", tex
                     best[i:j] = np.where(letters, p.argmax(axis=1), len(m.languages))
                     sure[i:j] = np.where(letters, p.max(axis=1), 0.0)
                 i = j
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(sure)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(sure)], names=["own", "lang_pred", "score"])
 
-    return rows.mapInArrow(tidy(run), StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    found = rows.mapInArrow(tidy(run), StructType([rows.schema["own"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return found.select(*unbundled("own", kept), "lang_pred", "score")

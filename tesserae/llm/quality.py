@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tesserae.llm.wordhash import tidy
-from tesserae.session import text_batches
+from tesserae.session import bundled, text_batches, unbundled
 
 BLOCK = 1024
 LEVEL = 3
@@ -147,19 +147,20 @@ def train(
 
 def score(documents: DataFrame, model: CompressionModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``key`` and ``score``: the calibrated probability of the good label, for every row. With ``carry`` all columns of
-    ``documents`` come along (one named ``score`` is replaced). No exchange: one pass over the texts."""
+    ``documents`` come along, under any names (one named ``score`` is replaced). No exchange: one pass over the texts."""
     text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.drop("score") if carry else documents.select(key)
-    rows = documents.select(*kept.columns, F.col(text).cast("string").alias("_scored"))
+    kept = [c for c in documents.columns if c.lower() != "score"] if carry else [key]
+    rows = documents.select(bundled(documents, kept).alias("own"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         read = _Reader(m.good, m.bad, m.block, m.level)
         for batch in batches:
-            *own, texts = batch.columns
+            own, texts = batch.columns
             x = _expand(np.array([read(t.as_py()) for t in texts]).reshape(-1, 4))
             z = ((x - np.array(m.centre)) / np.array(m.scale)) @ np.array(m.weights[:-1]) + m.weights[-1]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([own, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["own", "score"])
 
-    return rows.mapInArrow(tidy(run), StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    scored = rows.mapInArrow(tidy(run), StructType([rows.schema["own"], StructField("score", DoubleType())]))
+    return scored.select(*unbundled("own", kept), "score")

@@ -32,7 +32,7 @@ from tesserae.llm.fmindex import FmIndex
 from tesserae.llm.jaccard import whole_groups
 from tesserae.llm.wordhash import Words, _powers, buffers, mix, parts, slices, tidy, window_hash
 from tesserae.operators.skew import anti_join, lookup_join, semi_join, some_join
-from tesserae.session import discard, free_name, stored, text_batches
+from tesserae.session import bundled, discard, free_name, stored, text_batches
 
 WINDOW = 13
 ANCHOR = 3
@@ -342,21 +342,23 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     listed = free_name(documents, "spans")
     spans = repeated_spans(documents, key, text, window, anchor)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    at = documents.columns.index(text)
+    others = [c for c in documents.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, at):
-            *own, lists = part.columns
+        for part in parts(batches, 1):
+            own, texts, lists = part.columns
             counts, lost, kept = [], [], []
-            for t, s in zip(part.column(at), lists):
+            for t, s in zip(texts, lists):
                 words, n = apply_spans((t.as_py() or "").encode("utf-8"), s.as_py(), window)
                 counts.append(n)
                 lost.append(n - len(words))
                 kept.append(b" ".join(words).decode("utf-8"))
             made = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "text"])
-            yield pa.RecordBatch.from_arrays([*own, made], names=[*part.schema.names[:-1], "_kept"])
+            yield pa.RecordBatch.from_arrays([own, texts, made], names=["own", "text", "kept"])
 
     names = [F.col(key).cast("long"), _mark(body)]
     listed_rows = some_join(documents, names, spans.select("key", "mark", F.col("spans").alias(listed)), ["key", "mark"])
     kept = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())])
-    return listed_rows.mapInArrow(tidy(run), StructType([*documents.schema.fields, StructField("_kept", kept)]))
+    rows = listed_rows.select(bundled(documents, others).alias("own"), F.col(f"`{text}`").alias("text"), F.col(f"`{listed}`").alias("spans"))
+    done = rows.mapInArrow(tidy(run), StructType([rows.schema["own"], rows.schema["text"], StructField("kept", kept)]))
+    return done.select(*(F.col("text").alias(c) if c == text else F.col("own")[c].alias(c) for c in documents.columns), F.col("kept").alias("_kept"))

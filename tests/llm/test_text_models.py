@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, langid, packing, quality
+from tesserae.llm import bpe, jaccard, langid, packing, quality, substring
 from tesserae.llm.lexicon import Lexicon, build
 
 GOOD = "the quick brown fox and the lazy dog walk along a river of the town"
@@ -238,3 +238,15 @@ def test_every_language_is_learned(docs):
     df = docs([(k, t) for k, t, _ in rows]).drop("lang").join(docs([]).sparkSession.createDataFrame([(k, l) for k, _, l in rows], "doc_id long, lang string"), "doc_id")
     model = langid.train(df, per_language=4, most=300, least=3)
     assert len(model.languages) == 312
+
+
+def test_rows_are_carried_under_any_names(spark, docs):
+    """Columns named as operators name their own, and names with dots."""
+    rows, labels = labelled(spark, docs, 60)
+    odd = rows.select("*", F.lit(1).alias("_scored"), F.lit(2).alias("_read"), F.lit("x").alias("a.b"), F.lit("y").alias("__scored"))
+    scored = quality.score(odd, quality.train(rows, labels), carry=True)
+    assert scored.columns == [*(c for c in odd.columns if c != "score"), "score"] and scored.count() == 60 and scored.first()["_scored"] == 1
+    found = langid.predict(odd, langid.train(rows.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))), carry=True)
+    assert found.columns[-2:] == ["lang_pred", "score"] and found.first()["a.b"] == "x" and found.first()["_read"] == 2
+    assert [c for c in substring.without_repeats(odd).columns if c != "_kept"] == odd.columns
+    assert jaccard.one_of_each(odd).columns == odd.columns
