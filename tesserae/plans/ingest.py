@@ -104,6 +104,11 @@ def pdf_source(spark: SparkSession, path: str, archives: str, budget: Budget = B
     """PDF files with the archives that a layout parser left for them: JSON items, or else its Markdown."""
     pdfs = file_digests(spark, path, "pdf").select(file_id(F.col("file_name"), F.col("sha256")).alias("file_id"), "file_name", F.lit("pdf").alias("file_type"), F.col("path").alias("source_path"), "sha256")
     parsed = newest_archives(pdfs, archive_members(spark, archives))
+    return pdf_units(pdfs, parsed, budget)
+
+
+def pdf_units(pdfs: DataFrame, parsed: DataFrame, budget: Budget = Budget()) -> DataFrame:
+    """Unified chunks of PDF files (file_id, file_name, file_type, source_path) from what a layout parser made of them (file_id, json, markdown)."""
     from_items = items.blocks(items.items(parsed.select("file_id", "json")))
     columns = ["file_id", "block_idx", "block_type", "content", "page_number", "heading_level"]
     rest = parsed.select("file_id", F.col("markdown").alias("text")).filter("text is not null").join(from_items.select("file_id").distinct(), "file_id", "left_anti")

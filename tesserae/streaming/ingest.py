@@ -1,5 +1,5 @@
-"""Files that arrive: each micro-batch of Markdown becomes chunks and is upserted. Batches that run again change nothing,
-because chunk ids are made of their content."""
+"""Files that arrive: each micro-batch of Markdown, or of PDFs with a parser's archives, becomes chunks and is upserted. Batches that run
+again change nothing, because chunk ids are made of their content."""
 
 from __future__ import annotations
 
@@ -14,11 +14,13 @@ from tesserae.functions.text import detect_language
 from tesserae.operators.chunk import Budget, markdown_chunks
 from tesserae.operators.clean import clean_markdown_elements
 from tesserae.operators.embed import HashEmbedder
-from tesserae.operators.index import Index, index_rows
+from tesserae.operators.index import Index, index_rows, latest
 from tesserae.operators.normalize import normalize
-from tesserae.plans.ingest import with_vectors
+from tesserae.plans.ingest import pdf_units, with_vectors
+from tesserae.session import stored
 from tesserae.sources import markdown
-from tesserae.sources.files import file_id
+from tesserae.sources.files import file_id, loaded_archives
+from tesserae.streaming.jobs import arriving_files, with_artifacts
 
 
 def watch_markdown(spark: SparkSession, path: str, index: Index, checkpoint: str, make_provider: Callable[[], Any] = HashEmbedder, budget: Budget = Budget()) -> StreamingQuery:
@@ -33,3 +35,22 @@ def watch_markdown(spark: SparkSession, path: str, index: Index, checkpoint: str
         index.upsert(index_rows(with_vectors(normalize(named, "markdown"), index, make_provider)))
 
     return arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch_pdfs(
+    spark: SparkSession, path: str, archives: str, index: Index, checkpoint: str, missing: str | None = None, wait: str = "1 hour", make_provider: Callable[[], Any] = HashEmbedder, budget: Budget = Budget()
+) -> StreamingQuery:
+    """As ``watch_markdown`` for PDFs: each is taken once an archive made of it is there, whichever of them comes first. Those for which none
+    comes within ``wait`` are appended to the Parquet table ``missing``, if it is named."""
+    found = arriving_files(spark, path).select(file_id(F.col("file_name"), F.col("sha256")).alias("file_id"), "file_name", F.lit("pdf").alias("file_type"), F.col("path").alias("source_path"), "sha256", F.col("modified").alias("arrived"))
+    made = loaded_archives(arriving_files(spark, archives, "*.zip").select("path", F.col("modified").alias("modificationTime"), "content"))
+
+    def store(batch: DataFrame, _: int) -> None:
+        rows = stored(batch, "arrived")
+        nothing = F.col("json").isNull() & F.col("markdown").isNull()
+        if missing is not None:
+            rows.filter(nothing).select("file_id", "file_name", "source_path", "sha256", "arrived").write.mode("append").parquet(missing)
+        parsed = latest(rows.filter(~nothing), "file_id", F.col("_made"))  # of several archives the newest
+        index.upsert(index_rows(with_vectors(pdf_units(parsed, parsed, budget), index, make_provider)))
+
+    return with_artifacts(found, made, wait).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

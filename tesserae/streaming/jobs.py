@@ -1,7 +1,7 @@
 """Files that arrive, sent to a parser's service, and what comes of them.
 
 Each file is a job, keyed by a name-based id of its name and hash, with a state in the stream's checkpoint: a file that is sent again, or a
-stream that starts again, finds the job that there is. Timers ask for jobs that run, until their deadline; submissions and downloads that
+stream that starts again, finds the job that there is. Timers ask for jobs that run, until their deadline (counted from when the service has the file); submissions and downloads that
 fail are tried again, later each time. A job ends in one row. Nothing waits in a worker.
 
 What is asked of the service in a micro-batch that fails is asked again when it is repeated: with the same id, by which the service can tell.
@@ -45,7 +45,7 @@ class ParserJobs(StatefulProcessor):
         if first is None or self.job.exists():
             return iter(())
         now = timerValues.getCurrentProcessingTimeInMs()
-        job = {"phase": "submit", "file_name": first["file_name"], "content": bytes(first["content"]), "address": None, "answer": None, "attempts": 0, "deadline": now + int(1000 * self.service.timeout)}
+        job = {"phase": "submit", "file_name": first["file_name"], "content": bytes(first["content"]), "address": None, "answer": None, "attempts": 0, "deadline": None}
         return self._step(key[0], job, now)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
@@ -58,7 +58,7 @@ class ParserJobs(StatefulProcessor):
         try:
             if job["phase"] == "submit":
                 sent = self.service.submit_file(job["file_name"], job["content"], data_id)
-                job |= {"phase": "wait", "address": sent.address, "content": None, "attempts": 0}
+                job |= {"phase": "wait", "address": sent.address, "content": None, "attempts": 0, "deadline": now + int(1000 * self.service.timeout)}
             elif job["phase"] == "wait":
                 if now >= job["deadline"]:
                     return self._over(data_id, job, "timeout", error=f"the job wasn't done in {self.service.timeout} s")

@@ -22,15 +22,15 @@ def service_of(folder, timeout=60.0, interval=0.2):
         root = Path(folder)
 
         def count(what):
-            (root / f"{what}.{uuid.uuid4().hex}").touch()
-            return len(list(root.glob(f"{what}.*")))
+            (root / what).mkdir(exist_ok=True)
+            (root / what / uuid.uuid4().hex).touch()
+            return len(list((root / what).iterdir()))
 
         def send(method, address, headers, body):
             if address.endswith("/file-urls/batch"):
                 asked = json.loads(body)["files"][0]
                 n = int(asked["name"][1:-4])
-                count(f"ask-{n}")
-                if n % 50 == 3 and len(list(root.glob(f"ask-{n}.*"))) < 2:
+                if count(f"ask-{n}") < 2 and n % 50 == 3:
                     return 503, b""
                 return 200, json.dumps({"code": 0, "data": {"batch_id": f"{n}~{asked['data_id']}", "file_urls": [f"put://{n}"]}}).encode()
             if address.startswith("put://"):
@@ -64,7 +64,7 @@ def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def until(query, done, seconds=150):
+def until(query, done, seconds=240):
     end = time.time() + seconds
     while time.time() < end and not done():
         assert query.exception() is None, query.exception()
@@ -79,9 +79,9 @@ def test_jobs_survive_a_restart(rocks, tmp_path):
     total = 1000
     for n in range(total // 2):
         (tmp_path / "in" / f"f{n}.pdf").write_bytes(b"%PDF" + str(n).encode())
-    start = lambda: parse_arriving(spark, str(tmp_path / "in"), service_of(str(calls), timeout=25.0), str(tmp_path / "out"), str(tmp_path / "state"), "1 second")
+    start = lambda: parse_arriving(spark, str(tmp_path / "in"), service_of(str(calls), timeout=40.0), str(tmp_path / "out"), str(tmp_path / "state"), "1 second")
     query = start()
-    until(query, lambda: len(list(calls.glob("put-*"))) >= total // 2)
+    until(query, lambda: sum(p["numInputRows"] for p in query.recentProgress) >= total // 2)
     query.stop()
     for n in range(total // 2, total):
         (tmp_path / "in" / f"f{n}.pdf").write_bytes(b"%PDF" + str(n).encode())
@@ -99,7 +99,7 @@ def test_jobs_survive_a_restart(rocks, tmp_path):
         assert r["status"] == {1: "failed", 2: "timeout"}.get(n % 50, "done"), (n, r)
         if r["status"] == "done":
             assert json.loads(r["json"]) == [{"text": f"body {n}"}] and r["markdown"] == f"# {n}"
-        assert len(list(calls.glob(f"put-{n}.*"))) == 1, f"job {n} was sent twice"
+        assert len(list((calls / f"put-{n}").iterdir())) == 1, f"job {n} was sent twice"
 
 
 def test_fetching_goes_another_way_last():
@@ -138,3 +138,29 @@ def test_artifacts_before_after_and_never(spark, tmp_path):
     assert {("before", "[1]"), ("after", "[2]"), ("never", None)} <= got and ("never", "[3]") not in got and ("latest", "[5]") in got
 
 
+
+
+def test_arriving_pdfs_wait_for_their_archives(spark, tmp_path):
+    from tesserae.operators.index import Index
+    from tesserae.streaming.ingest import watch_pdfs
+
+    for d in ("in", "zips"):
+        (tmp_path / d).mkdir()
+    index = Index(spark, str(tmp_path / "index"), buckets=2)
+
+    def archive(name, origin, text):
+        with zipfile.ZipFile(tmp_path / "zips" / name, "w") as z:
+            z.writestr("o_origin.pdf", origin)
+            z.writestr("o_content_list.json", json.dumps([{"type": "text", "text": text, "page_idx": 0}]))
+
+    def run():
+        watch_pdfs(spark, str(tmp_path / "in"), str(tmp_path / "zips"), index, str(tmp_path / "state"), str(tmp_path / "missing")).awaitTermination()
+        return sorted(r["text"] for r in index.read().collect()) if index.exists() else []
+
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDFa")
+    archive("b.zip", b"%PDFb", "body of b")
+    assert run() == []
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDFb")
+    archive("a.zip", b"%PDFa", "body of a")
+    assert run() == ["body of a", "body of b"]
+    assert {r["file_name"] for r in index.read().collect()} == {"a.pdf", "b.pdf"}
