@@ -69,13 +69,15 @@ class CallableEmbedder:
 
 
 class HttpEmbedder:
-    """A service that answers POST ``{"model", "input"}``. The session must be given; nothing is fetched on import."""
+    """A service that answers POST ``{"model", "input"}``. ``post`` sends (address, body, timeout), and the headers where a ``key`` is given;
+    nothing is fetched on import."""
 
-    def __init__(self, url: str, model: str, post: Callable[[str, dict, float], Any], timeout: float = 60.0):
-        self.url, self.model, self.post, self.timeout = url, model, post, timeout
+    def __init__(self, url: str, model: str, post: Callable[..., Any], timeout: float = 60.0, key: str | None = None):
+        self.url, self.model, self.post, self.timeout, self.key = url, model, post, timeout, key
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        return vectors_of(self.post(self.url, {"model": self.model, "input": list(texts)}, self.timeout), len(texts))
+        headers = [{"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}] if self.key else []
+        return vectors_of(self.post(self.url, {"model": self.model, "input": list(texts)}, self.timeout, *headers), len(texts))
 
 
 class UnitEmbedder(CallableEmbedder):
@@ -97,15 +99,15 @@ SERVICES = ("openai", "openai_compatible", "api")
 LOCAL = ("sentence_transformers", "sentence-transformer", "local")
 
 
-def provider(kind: str, *, model: Any, post: Callable[[str, dict, float], Any] | None = None, url: str = "", base: str = "", timeout: float = 60.0) -> Any:
+def provider(kind: str, *, model: Any, post: Callable[..., Any] | None = None, url: str = "", base: str = "", timeout: float = 60.0, key: str | None = None, normalise: bool = True) -> Any:
     """A provider by the name of its kind: a service (``model`` names the model, ``post`` sends), or a ``model`` at hand."""
     name = kind.strip().lower()
     if name in SERVICES:
         if post is None:
             raise ValueError("a service needs a function that sends")
-        return HttpEmbedder(endpoint(url, base), model, post, timeout)
+        return HttpEmbedder(endpoint(url, base), model, post, timeout, key)
     if name in LOCAL:
-        return UnitEmbedder(model)
+        return UnitEmbedder(model) if normalise else CallableEmbedder(model)
     raise ValueError(f"no embedding provider of the kind {kind}")
 
 

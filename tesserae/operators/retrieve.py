@@ -206,6 +206,32 @@ def result_metadata(hits: DataFrame) -> DataFrame:
     )
 
 
+def hit_rows(raw: DataFrame) -> DataFrame:
+    """Hits as a vector store tells them (``hit``: JSON), as rows for ``result_metadata``: ``id``, ``score`` and the fields of its entity. The entity is
+    the member ``entity``, or else the hit itself without its id and scores. The score is the first of ``score`` and ``distance`` that is there and
+    not empty, 0 if it is no number. What isn't JSON is a hit without fields."""
+    hit = F.try_parse_json("hit")
+    at = lambda v, path: F.try_variant_get(v, f"$.{path}", "string")
+    inner = F.try_variant_get(hit, "$.entity", "variant")
+    filled = F.coalesce(F.schema_of_variant(inner).startswith("OBJECT<") & (F.schema_of_variant(inner) != "OBJECT<>"), F.lit(False))
+    entity = F.when(filled, inner).otherwise(hit)
+    score = F.coalesce(_first(at(hit, "score"), at(hit, "distance")).try_cast("double"), F.lit(0.0))
+    names = ("text", "file_name", "file_type", "chapter", "section", "chunk_index", "page_numbers", "page_number", "line_start", "line_end", "metadata_json")
+    rows = raw.select(*raw.columns, hit.alias("_hit"), entity.alias("_entity"), score.alias("score"))
+    return rows.select(*(c for c in raw.columns if c != "hit"), at(F.col("_hit"), "id").alias("id"), "score", *(at(F.col("_entity"), n).alias(n) for n in names))
+
+
+def retrieved_documents(hits: DataFrame) -> DataFrame:
+    """Results with ``text``, ``score`` and ``metadata`` as a retriever hands them on: ``page_content``, and ``metadata`` with the score and the first of the
+    page numbers as ``page``. Those with blank texts are left out."""
+    m = lambda name: F.col(f"metadata.{name}")
+    text = lambda name: F.coalesce(m(name).cast("string"), F.lit("")).alias(name)
+    pages = F.when(F.size(m("page_numbers")) > 0, m("page_numbers"))
+    made = F.struct(*map(text, ("file_name", "file_type", "chapter", "section")), m("chunk_index").alias("chunk_index"), F.coalesce("score", F.lit(0.0)).alias("score"), F.get(pages, F.lit(0)).alias("page"), pages.alias("page_numbers"), m("line_range").alias("line_range"))
+    content = strip(F.col("text"))
+    return hits.filter(F.coalesce(content, F.lit("")) != "").select(*(c for c in hits.columns if c not in ("text", "score", "metadata")), content.alias("page_content"), made.alias("metadata"))
+
+
 def context_parts(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Ranked documents (rank, text, file_name, chapter, section, page) as numbered references, one text per group of ``by``."""
     page = F.when(_first(F.col("page")).isNotNull(), F.concat(F.lit("第"), F.col("page").cast("string"), F.lit("页")))

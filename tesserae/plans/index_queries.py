@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import vectors
+from tesserae.operators import retrieve, vectors
 from tesserae.operators.index import Index
 from tesserae.plans.catalogue import query
 from tesserae.session import scratch_path, table
@@ -56,3 +56,24 @@ def rerank_candidates(spark, sf_dir):
     found = asked.select(F.col("id").alias("query_id"), "label").join(rows.select("id", "label"), "label").select("query_id", "id")
     best = vectors.rerank(found, rows, asked.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
     return best.withColumn("score", F.round("score", 6))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, doc_id % 5 AS k, doc_id % 4 AS p FROM documents)
+SELECT doc_id, sha256(t) AS sha256, coalesce(source, '') AS file_name, CASE WHEN k = 1 THEN '' ELSE coalesce(lang, '') END AS chapter,
+    (CASE k WHEN 0 THEN doc_id / 8.0 WHEN 1 THEN doc_id / 4.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score,
+    CASE WHEN p = 0 THEN '' ELSE p::VARCHAR END AS page, CASE WHEN p = 0 THEN '' WHEN p = 3 THEN '3,9' ELSE p::VARCHAR END AS pages
+FROM d WHERE t <> ''""")
+def retrieved_hits(spark, sf_dir):
+    """Hits as a vector store tells them, a document each, as what a retriever hands on: with and without an entity, with a score, a distance, neither, or one
+    that is no number."""
+    docs = table(spark, sf_dir, "documents")
+    k, p = F.col("doc_id") % 5, F.col("doc_id") % 4
+    pages = F.when(p == 3, "3,9").when(p > 0, p.cast("string"))
+    fields = [F.col("text").alias("text"), F.col("source").alias("file_name"), F.when(k != 1, F.col("lang")).alias("chapter"), pages.alias("page_numbers")]
+    nested = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.when(k == 0, F.col("doc_id") / 8.0).alias("score"), F.when(k == 0, F.lit(9.0)).when(k == 1, F.col("doc_id") / 4.0).alias("distance"), F.struct(*fields).alias("entity")))
+    flat = F.to_json(F.struct(F.when(k == 3, "0.5").otherwise("none").alias("score"), F.lit(7.0).alias("distance"), *fields))
+    raw = docs.select("doc_id", F.when(k <= 2, nested).otherwise(flat).alias("hit"))
+    made = retrieve.retrieved_documents(retrieve.result_metadata(retrieve.hit_rows(raw)))
+    m = lambda name: F.col(f"metadata.{name}")
+    return made.select("doc_id", X.content_hash(F.col("page_content")).alias("sha256"), m("file_name").alias("file_name"), m("chapter").alias("chapter"), m("score").alias("score"), F.coalesce(m("page"), F.lit("")).alias("page"), F.coalesce(F.array_join(m("page_numbers"), ","), F.lit("")).alias("pages"))
