@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from tesserae.functions.text import strip
 from tesserae.operators.index import Index, Manifest
 from tesserae.operators.retrieve import DEFAULT_K, QUERY_BLOCK, cosine, search_many
 from tesserae.operators.skew import FEW
@@ -210,7 +211,13 @@ class VectorIndex(Index):
         return F.col("cell")
 
     def upsert(self, rows: DataFrame, key: str = "id", create: bool = True, order: Column | None = None) -> int:
+        """As of any index. The first rows are what the cells are fitted on."""
         plain = rows.drop("cell", "code")
+        if self._cells is None and not self.exists():
+            if not create:
+                raise LookupError(f"there is no index at {self.path}, and it may not be created")
+            first = stored(plain, "rows")
+            return self.create(first) if first.limit(1).count() else 0
         ranking = order if order is not None else F.xxhash64(*plain.columns)
         return super().upsert(encoded(plain, self.cells), key, create, ranking)
 
@@ -288,11 +295,23 @@ class VectorIndex(Index):
     def search(self, queries: DataFrame, k: int = DEFAULT_K, min_score: float = 0.0, probes: int | None = None, per_hit: int = RERANK) -> DataFrame:
         """``query_id``, ``rank``, ``id``, ``score`` of the best rows of each query: exact scores of the candidates. Vectors are read of the cells
         that hold a candidate. Queries without a direction find nothing."""
+        return self._reranked(queries, k, probes, per_hit)[0].filter(F.col("score") >= min_score)
+
+    def _reranked(self, queries: DataFrame, k: int, probes: int | None = None, per_hit: int = RERANK) -> tuple[DataFrame, set[str]]:
+        """The best rows of each query, and the cells that they are in."""
         asked = queries.filter(usable(F.col("query_vector")))
         found = stored(self.candidates(asked, k, probes, per_hit), "candidates")
         cells = {str(r["cell"]) for r in found.select("cell").distinct().collect()}  # no more than there are cells
         vectors = self._read(self.manifest(), cells).select("id", "vector")
-        return rerank(found.select("query_id", "id"), vectors, asked, k).filter(F.col("score") >= min_score)
+        return rerank(found.select("query_id", "id"), vectors, asked, k), cells
+
+    def best(self, query: list[float], k: int = DEFAULT_K, min_score: float = 0.0) -> DataFrame:
+        """As ``retrieve.search`` of one query: the whole rows with ``score``, read of the cells that hold candidates."""
+        asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id int, query_vector array<double>")
+        hits, cells = self._reranked(asked, k)
+        named = stored(hits.filter(F.col("score") >= min_score).select("id", "score"), "hits")
+        rows = self._read(self.manifest(), cells).drop("cell", "code").join(F.broadcast(named), "id")  # k rows
+        return rows.filter(strip(F.col("text")) != "") if "text" in rows.columns else rows
 
 
 def scratch_index(spark: SparkSession) -> VectorIndex:

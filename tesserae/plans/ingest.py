@@ -21,6 +21,7 @@ from tesserae.operators.embed import HashEmbedder, embed, embed_query
 from tesserae.operators.index import Index, index_rows
 from tesserae.operators.normalize import normalize
 from tesserae.operators.skew import lookup_join
+from tesserae.operators.vectors import VectorIndex
 from tesserae.session import stored
 from tesserae.sources import items, markdown
 from tesserae.sources.files import archive_members, file_digests, file_id, latest_artifact, markdown_texts, word_elements
@@ -165,17 +166,22 @@ def summaries(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(F.col("metadata.document.file_id").alias("file_id"), F.col("metadata.document.file_name").alias("file_name")).agg(F.count("*").alias("chunk_count"), ids.alias("chunk_ids"))
 
 
-def search(index: DataFrame, query: str, provider: Any, top_k: Any = None, settings: Settings = Settings()) -> DataFrame:
-    """``score``, ``text`` and ``metadata`` of the best rows for a question."""
+def searchable(index: Index) -> DataFrame | VectorIndex:
+    """What ``search`` takes: a vector index as it is, of any other its rows."""
+    return index if isinstance(index, VectorIndex) and index.exists() else index.read()
+
+
+def search(index: DataFrame | VectorIndex, query: str, provider: Any, top_k: Any = None, settings: Settings = Settings()) -> DataFrame:
+    """``score``, ``text`` and ``metadata`` of the best rows for a question: exact over rows, by cells in a vector index."""
     vector = embed_query(provider, retrieve.valid_query(query))
     k = retrieve.top_k_of(top_k, settings.default_k, settings.max_k)
-    hits = retrieve.search(index, vector, k, settings.min_score)
+    hits = index.best(vector, k, settings.min_score) if isinstance(index, VectorIndex) else retrieve.search(index, vector, k, settings.min_score)
     return retrieve.result_metadata(hits).select("id", "score", "text", "metadata")
 
 
-def _collected(index: DataFrame, question: str, provider: Any, top_k: Any, settings: Settings) -> list[Any]:
+def _collected(index: DataFrame | VectorIndex, question: str, provider: Any, top_k: Any, settings: Settings) -> list[Any]:
     """The hits, best first. Where the index can't be read with its JSON metadata, its flat fields have to do."""
-    tries = [index] + ([index.drop("metadata_json")] if "metadata_json" in index.columns else [])
+    tries = [index] + ([index.drop("metadata_json")] if isinstance(index, DataFrame) and "metadata_json" in index.columns else [])
     for rows in tries:
         hits = search(rows, question, provider, top_k, settings).orderBy(F.desc("score"), "id")
         try:
@@ -185,7 +191,7 @@ def _collected(index: DataFrame, question: str, provider: Any, top_k: Any, setti
     raise SearchUnavailable("the index can't be searched") from problem
 
 
-def answer(index: DataFrame, query: str, provider: Any, model: Callable[[str], str], top_k: Any = 5, knowledge_base: str | None = None, settings: Settings = Settings()) -> dict[str, Any]:
+def answer(index: DataFrame | VectorIndex, query: str, provider: Any, model: Callable[[str], str], top_k: Any = 5, knowledge_base: str | None = None, settings: Settings = Settings()) -> dict[str, Any]:
     """An answer from the best rows, with the distinct sources. Without any row the model isn't asked."""
     question = retrieve.valid_query(query)
     if (knowledge_base or KNOWLEDGE_BASE).strip() != KNOWLEDGE_BASE:
@@ -194,7 +200,8 @@ def answer(index: DataFrame, query: str, provider: Any, model: Callable[[str], s
     if not hits:
         return {"success": True, "answer": retrieve.NO_ANSWER, "sources": []}
     rows = [(i, h["text"], *(h["metadata"][n] for n in ("file_name", "file_type", "chapter", "section", "chunk_index")), (h["metadata"]["page_numbers"] or [None])[0]) for i, h in enumerate(hits, 1)]
-    ranked = index.sparkSession.createDataFrame(rows, "rank int, text string, file_name string, file_type string, chapter string, section string, chunk_index int, page string")
+    spark = index.spark if isinstance(index, VectorIndex) else index.sparkSession
+    ranked = spark.createDataFrame(rows, "rank int, text string, file_name string, file_type string, chapter string, section string, chunk_index int, page string")
     context = retrieve.context_parts(ranked).first()["context"]
     sources = retrieve.distinct_sources(ranked).orderBy("rank").drop("rank", "text").collect()
     try:

@@ -200,3 +200,18 @@ def test_codes_are_near_their_vectors(spark, clustered):
     got = {r["id"]: (r["cell"], r["code"]) for r in encoded(rows, made).collect()}
     assert all(got[f"v{i}"] == (c, bytes(k)) for i, (c, k) in enumerate(zip(cell.tolist(), code)))
     assert Cells(made.centroids, made.words).nearest(x)[:, 0].tolist() == cell.tolist()
+
+
+def test_a_service_searches_by_cells(spark, tmp_path):
+    from tesserae.plans import api
+
+    kind = "chunk_id string, chunk_index int, text string, token_count int, content_hash string"
+    chunks = normalize(spark.createDataFrame([(f"c{i}", i, f"text {i}", 1, "") for i in range(60)], kind), "md")
+    service = api.Service(spark, VectorIndex(spark, str(tmp_path / "v")), model=lambda p: p)
+    assert service.index.upsert(index_rows(ingest.with_vectors(chunks.limit(0), service.index, HashEmbedder))) == 0 and not service.index.exists()
+    assert ingest.ingest(chunks, service.index) == {"upsert_count": 60}
+    best = service.search("text 7", 3).orderBy(F.desc("score")).collect()
+    assert best[0]["text"] == "text 7" and abs(best[0]["score"] - 1) < 1e-6 and len(best) <= 3
+    assert "text 7" in service.chat("text 7", 2)["answer"]
+    more = normalize(spark.createDataFrame([("n", 0, "text new", 1, "")], kind), "md")
+    assert ingest.ingest(more, service.index) == {"upsert_count": 1} and service.search("text new", 1).first()["text"] == "text new"
