@@ -11,7 +11,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, FloatType, StructField, StructType
 
 BATCH = 16
 
@@ -122,8 +123,8 @@ def embed_query(provider: Any, query: str) -> list[float]:
         raise EmbeddingUnavailable("the embedding provider failed") from error
 
 
-def embed(chunks: DataFrame, make: Callable[[], Any], text: str = "text", batch: int = BATCH) -> DataFrame:
-    """``chunks`` with ``vector``. ``make`` builds the provider once per task; a blank text fails. Texts are stripped for it only."""
+def embed(chunks: DataFrame, make: Callable[[], Any], text: str = "text", batch: int = BATCH, component: DataType = FloatType()) -> DataFrame:
+    """``chunks`` with ``vector``, whose components are kept as ``component``. ``make`` builds the provider once per task; a blank text fails. Texts are stripped for it only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
@@ -138,10 +139,10 @@ def embed(chunks: DataFrame, make: Callable[[], Any], text: str = "text", batch:
                 if len(vectors) != len(part):
                     raise EmbeddingUnavailable("the provider returned another number of vectors than texts")
                 found += map(valid_vector, vectors)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.list_(pa.float32()))], names=[*rows.schema.names, "vector"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.list_(to_arrow_type(component)))], names=[*rows.schema.names, "vector"])
 
     rows = chunks.drop("vector")
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType()))]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("vector", ArrayType(component))]))
 
 
 def unit(vector: Column) -> Column:
