@@ -96,14 +96,15 @@ def _sections(documents: DataFrame, blocks: str, heading: tuple[str, ...]) -> Da
     return exploded.drop("_at", "_paths", blocks).select("*", "_s.path", "_s.blocks").drop("_s").filter(F.size("blocks") > 0)
 
 
-def _units_of(blocks: Column, budget: Budget, splits: tuple[str, ...] | None, sticky: tuple[str, ...]) -> Column:
-    """Blocks as units: those over the target are cut into sentences (only types in ``splits``; None: all)."""
+def _units_of(blocks: Column, budget: Budget, splits: tuple[str, ...] | None, sticky: tuple[str, ...], alone: bool = True) -> Column:
+    """Blocks as units: those over the target are cut into sentences (only types in ``splits``; None: all). ``alone``: a unit of them that exceeds
+    the budget makes a chunk by itself."""
     may_split = lambda b: F.lit(True) if splits is None else b["type"].isin(*splits)
     cut = lambda b: F.when(may_split(b) & (b["tokens"] > budget.target), sentences(b["content"])).otherwise(F.array(b["content"]))
     return F.flatten(
         F.transform(
             blocks,
-            lambda b: F.transform(cut(b), lambda c: F.struct(c.alias("content"), token_count(c).alias("t"), (~b["type"].isin(*sticky)).alias("keep"), may_split(b).alias("alone"), b["type"].alias("type"), b["page"].alias("page"))),
+            lambda b: F.transform(cut(b), lambda c: F.struct(c.alias("content"), token_count(c).alias("t"), (~b["type"].isin(*sticky)).alias("keep"), (may_split(b) & alone).alias("alone"), b["type"].alias("type"), b["page"].alias("page"))),
         )
     )
 
@@ -132,14 +133,15 @@ def _emit(sections: DataFrame, budget: Budget, owner: str) -> DataFrame:
     )
 
 
-def pdf_chunks(blocks: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """Chunks of cleaned PDF blocks (file_id, block_idx, block_type, content, page_number, heading_level)."""
+def pdf_chunks(blocks: DataFrame, budget: Budget = Budget(), alone: bool = True) -> DataFrame:
+    """Chunks of cleaned PDF blocks (file_id, block_idx, block_type, content, page_number, heading_level). A sentence that exceeds the budget
+    makes a chunk by itself, or (not ``alone``) stands with its neighbours as any other."""
     heading = F.col("block_type").isin("title", "heading")
     parts = blocks.repartition("file_id").select("file_id", "block_idx", "block_type", "page_number", "heading_level", F.posexplode(F.when(heading, split_numbered(F.col("content"))).otherwise(F.array("content"))).alias("part", "content"))
     level = F.when(heading, positional_level(F.col("content"), F.coalesce(marker_level(F.col("content")), F.col("heading_level"))))
     block = F.struct("block_idx", "part", F.col("block_type").alias("type"), "content", level.cast("int").alias("level"), F.col("page_number").alias("page"), token_count(F.col("content")).alias("tokens"))
     documents = parts.groupBy("file_id").agg(F.sort_array(F.collect_list(block)).alias("_blocks"))
-    units = _units_of(F.col("blocks"), budget, ("paragraph",), ("table", "image", "formula", "code"))
+    units = _units_of(F.col("blocks"), budget, ("paragraph",), ("table", "image", "formula", "code"), alone)
     return _emit(_sections(documents, "_blocks", ("title", "heading")).withColumn("units", units), budget, "file_id")
 
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tesserae.functions import text as X
 from tesserae.operators import retrieve, review
+from tesserae.operators.chunk import Budget, pdf_chunks
 from tesserae.operators.embed import EmbeddingUnavailable, HashEmbedder, embed, vectors_of
 from tesserae.operators.index import Index, index_rows
 from tesserae.operators.normalize import normalize
@@ -312,3 +314,31 @@ def test_service(spark, tmp_path):
     assert api.source_text(spark, str(tmp_path / "up")).filter("text like '# A%'").count() == 1
     marked = spark.createDataFrame([(3, 5), (3, None), (3, 1), (0, 2), (None, 2)], "a int, b int").select(api.lines_to_mark(F.col("a"), F.col("b")).alias("m")).collect()
     assert [r["m"] for r in marked] == [[3, 5], [3, 3], [3, 3], None, None]
+
+
+def test_vectors_keep_the_precision_that_is_asked_for(spark):
+    from pyspark.sql.types import DoubleType
+
+    texts = [f"text {i}" for i in range(50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r["text"]: r["vector"] for r in embed(rows, HashEmbedder, component=DoubleType()).collect()}
+    assert found == dict(zip(texts, HashEmbedder().embed(texts)))
+
+
+def test_a_sentence_beyond_the_budget_may_stand_with_its_neighbours(spark):
+    text = "one two. " + "word " * 900 + "end. three four."
+    rows = spark.createDataFrame([(1, 0, "paragraph", text, None, None)], "file_id long, block_idx int, block_type string, content string, page_number int, heading_level int")
+    told = lambda alone: [r["text"] for r in pdf_chunks(rows, Budget(), alone=alone).orderBy("chunk_index").collect()]
+    long = "word " * 900 + "end."
+    assert told(True) == ["one two.", long, "three four."]
+    assert told(False) == ["one two.", f"one two.\n{long}", f"{long}\nthree four."]
+
+
+def test_tokens_are_counted_as_their_pattern_matches(spark):
+    import re
+
+    texts = ["", " 　", "a b_1  c", "中文 abc中 d.e,, f  g", "é\U0001f600 x9é_y \x85\x1c.", "...", "x", " x ", None]
+    pattern = X.TOKEN.replace(r"\x{", r"\u").replace("}", "")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", X.token_count(F.col("text")).alias("n"), X.strip(F.col("text")).alias("s"))
+    for r in rows.collect():
+        assert r["n"] == len(re.findall(pattern, r["text"] or "", re.ASCII)) and r["s"] == (r["text"] if r["text"] is None else r["text"].strip())
