@@ -46,34 +46,47 @@ def table_text(table: Column) -> Column:
     return F.when(strip(table).startswith("|"), strip(table)).otherwise(html_rows(table))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is made once however often ``body`` reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def is_caption(line: Column, collapsed: bool = False) -> Column:
     """A short line such as "Table 1: results". ``collapsed``: white space in it is collapsed first."""
-    line = collapse(line) if collapsed else strip(line)
-    pipes = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    return (line != "") & (F.length(line) <= 220) & (pipes < 2) & reduce(lambda a, b: a | b, (line.rlike(p) for p in CAPTION))
+
+    def fits(line: Column) -> Column:
+        pipes = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+        return (line != "") & (F.length(line) <= 220) & (pipes < 2) & reduce(lambda a, b: a | b, (line.rlike(p) for p in CAPTION))
+
+    return _let(collapse(line) if collapsed else strip(line), fits)
 
 
 def leading_captions(text: Column) -> Column:
     """``captions`` (the caption lines at the top) and ``body`` (the lines after them)."""
 
-    def split(found: Column) -> Column:
-        at = F.array_position(F.transform(found, lambda x: ~is_caption(x)), True).cast("int")
-        n = F.when(at > 0, at - 1).otherwise(F.size(found))
+    def cut(found: Column, n: Column) -> Column:
         return F.struct(F.slice(found, F.lit(1), n).alias("captions"), F.array_join(F.slice(found, n + 1, F.size(found)), "\n").alias("body"))
 
-    return F.element_at(F.transform(F.array(lines(text)), split), 1)
+    def split(found: Column) -> Column:
+        # The lines are looked at as far as the first that is no caption.
+        n = F.aggregate(found, F.struct(F.lit(0).alias("n"), F.lit(True).alias("top")), lambda a, x: F.when(a["top"], F.when(is_caption(x), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("top"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("top")))).otherwise(a), lambda a: a["n"])
+        return _let(n, lambda k: cut(found, k))
+
+    return _let(lines(text), split)
 
 
 def described_table(captions: Column, body: Column, notes: Column) -> Column:
     """Captions, body and notes as paragraphs; captions found at the top of the body join the others, each kept once."""
-    top = leading_captions(F.coalesce(table_text(body), F.lit("")))
-    all_captions = F.array_distinct(F.concat(_lines_of(captions), top["captions"]))
-    parts = F.concat(
-        F.transform(all_captions, lambda c: F.concat(F.lit("Table caption: "), c)),
-        F.filter(F.array(top["body"]), lambda x: x != ""),
-        F.transform(F.array_distinct(_lines_of(notes)), lambda c: F.concat(F.lit("Table note: "), c)),
-    )
-    return strip(F.array_join(parts, "\n\n"))
+
+    def told(top: Column) -> Column:
+        parts = F.concat(
+            F.transform(F.array_distinct(F.concat(_lines_of(captions), top["captions"])), lambda c: F.concat(F.lit("Table caption: "), c)),
+            F.filter(F.array(top["body"]), lambda x: x != ""),
+            F.transform(F.array_distinct(_lines_of(notes)), lambda c: F.concat(F.lit("Table note: "), c)),
+        )
+        return strip(F.array_join(parts, "\n\n"))
+
+    return _let(leading_captions(F.coalesce(_let(body, table_text), F.lit(""))), told)
 
 
 def _lines_of(values: Column) -> Column:

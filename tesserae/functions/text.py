@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # What counts as white space (also U+001C to U+001F), tokens and sentence ends.
 SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^{SPACE}]"
 SENTENCE_ENDS = "。！？!?；;."
 OPEN_ENDED = "。！？.:：;；)）`"
@@ -18,7 +19,7 @@ NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -26,8 +27,10 @@ def is_blank(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """CJK characters, words of letters, digits and underscores, and any other visible character. Null counts as empty."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
+    """CJK characters, words of letters, digits and underscores, and any other visible character. Null counts as empty. What ``TOKEN``
+    matches is counted without taking it out: a word with the white space behind it becomes one character, other white space goes."""
+    marks = F.regexp_replace(F.regexp_replace(text, rf"[A-Za-z0-9_]++[{SPACE}]*+", "x"), rf"[{SPACE}]++", "")
+    return F.coalesce(F.length(marks), F.lit(0))
 
 
 def lines(text: Column) -> Column:
@@ -49,7 +52,7 @@ def sentences_spaced(text: Column) -> Column:
 
 def clean_characters(text: Column) -> Column:
     """No-break spaces become spaces; zero-width spaces and control characters go; runs of blanks and of newlines shrink."""
-    text = F.translate(F.translate(text, "\u00a0", " "), "\u200b", "")
+    text = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
