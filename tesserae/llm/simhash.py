@@ -5,11 +5,11 @@ A text's terms are its runs of five words (its whole sequence, if shorter); each
 the sums are taken next to where the terms are made, without an exchange: the rows keep the partitioning of the step before.
 
 Near copies are texts whose sets of terms have a Jaccard similarity of 0.8 or more. Their fingerprints differ in about 19
-bits at 0.8 and at most 26 in the test data, hence ``RADIUS``. ``near_counts`` deals the 128 bits in ``ROUNDS`` random orders
-into ``BANDS`` bands each, a table per band; a query is looked up under its own band and under those that differ in one bit. A
-pair is counted in the first table where it meets, after its whole distance is checked, so no pair counts twice and none is
-beyond the radius. A pair in reach can be missed only if every band of it differs in two bits or more: of pairs 26 bits apart 0.07 are, of
-those 24 and 22 apart 0.02 and 0.001.
+bits at 0.8 and at most 26 in the test data, hence ``RADIUS``. ``near_counts`` is complete: the 128 bits are cut into ``BANDS`` bands, a table
+per band, and of a pair within the radius some band differs in no more than its share of it (26 bits over nine bands: two bits in one of
+them, or else there were 27). A query is looked up under its own band and under those that differ in so many bits; a pair is
+counted in the first table where it meets, after its whole distance is checked, so no pair counts twice, none is beyond the radius and
+none is missed. A query meets 6 % of the fingerprints by chance; what leaves the join is a sum per query.
 
 For small radii ``within_radius`` is complete: it cuts fingerprints into ``blocks``; within ``radius`` differing bits at least
 ``blocks - radius`` blocks agree, so two fingerprints in reach meet in one of the tables keyed by that many chosen blocks.
@@ -21,7 +21,6 @@ equal fingerprints; rows that repeat a key follow each other by text; a null key
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 from itertools import combinations
 
@@ -34,8 +33,7 @@ from tesserae.session import stored
 BITS = 128
 WORDS = 5
 RADIUS = 26
-ROUNDS = 11
-BANDS = 6
+BANDS = 9
 CLOSE = 4
 BLOCKS = 6
 CELLS = 4096
@@ -185,50 +183,42 @@ def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = CLOSE, bl
     return asked.join(there, "block_key").withColumn("distance", apart).filter(F.col("distance").between(1, radius)).select("hi", "lo", "other_hi", "other_lo", "distance").distinct()
 
 
-def band_bits(rounds: int = ROUNDS, bands: int = BANDS) -> list[list[int]]:
-    """The bits of each table: every round cuts all bits, in an order of its own, into ``bands``."""
-    tables = []
-    for turn in range(rounds):
-        order = list(range(BITS))
-        random.Random(turn).shuffle(order)
-        tables += [order[BITS * b // bands : BITS * (b + 1) // bands] for b in range(bands)]
-    return tables
+def band_shares(radius: int = RADIUS, bands: int = BANDS) -> list[tuple[list[int], int]]:
+    """The bits of each band, and in how many of them a pair may differ to meet there. Shares of s bits exclude pairs of fewer than s + 1 bits in a
+    band, so the shares plus one make up ``radius + 1`` between them."""
+    bands = min(bands, radius + 1)
+    return [(list(range(BITS * b // bands, BITS * (b + 1) // bands)), (radius + 1) // bands + (b < (radius + 1) % bands) - 1) for b in range(bands)]
 
 
-def _band_keys(tables: list[list[int]], probe: bool) -> Column:
-    """``t`` and ``band_key`` of a fingerprint (``hi``, ``lo``) in each table; with ``probe`` also those after a change of any one bit."""
+def _band_key(hi: Column, lo: Column) -> Column:
+    return F.xxhash64("t", hi.bitwiseAND(F.col("h")), lo.bitwiseAND(F.col("l")))
 
-    def row(t: int, flip: int) -> Column:
-        (h, low), (fh, fl) = _halves(sum(1 << b for b in tables[t])), _halves(flip)
-        return F.struct(F.lit(t).alias("t"), *(F.lit(x).cast("long").alias(name) for name, x in (("h", h), ("l", low), ("fh", fh), ("fl", fl))))
 
-    known = F.array(*(row(t, flip) for t, bits in enumerate(tables) for flip in [0, *(1 << b for b in bits if probe)]))
-    key = lambda r: F.xxhash64(r["t"], F.col("hi").bitwiseXOR(r["fh"]).bitwiseAND(r["h"]), F.col("lo").bitwiseXOR(r["fl"]).bitwiseAND(r["l"]))
-    return F.transform(known, lambda r: F.struct(r["t"].alias("t"), key(r).alias("band_key")))
-
-
-def near_classes(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS, bands: int = BANDS) -> DataFrame:
+def near_classes(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """For each query fingerprint (``hi``, ``lo``) with others of the corpus (``hi``, ``lo``, ``n``) within the radius: the sum ``around`` of
-    their ``n``. Both must have each fingerprint once. Pairs are found by the bands, hence nearly all."""
-    tables = band_bits(rounds, bands)
-    asked = queries.select("hi", "lo", F.explode(_band_keys(tables, probe=True)).alias("k")).select("hi", "lo", "k.t", "k.band_key")
-    there = corpus.select(F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"), F.col("n").alias("other_n"), F.explode(_band_keys(tables, probe=False)).alias("k")).select("other_hi", "other_lo", "other_n", "k.band_key")
+    their ``n``. Both must have each fingerprint once. All pairs are found."""
+    spark, shares = queries.sparkSession, band_shares(radius, bands)
+    masks = [_halves(sum(1 << b for b in bits)) for bits, _ in shares]
+    flips = [(t, *masks[t], *_halves(sum(1 << b for b in c))) for t, (bits, most) in enumerate(shares) for k in range(most + 1) for c in combinations(bits, k)]
+    probes = F.broadcast(spark.createDataFrame(flips, "t int, h long, l long, fh long, fl long"))
+    tables = F.broadcast(spark.createDataFrame([(t, *m) for t, m in enumerate(masks)], "t int, h long, l long"))
+    asked = queries.select("hi", "lo").crossJoin(probes).select("hi", "lo", "t", _band_key(F.col("hi").bitwiseXOR(F.col("fh")), F.col("lo").bitwiseXOR(F.col("fl"))).alias("band_key"))
+    there = corpus.select(F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"), F.col("n").alias("other_n")).crossJoin(tables).select("other_hi", "other_lo", "other_n", _band_key(F.col("other_hi"), F.col("other_lo")).alias("band_key"))
     apart = distance((F.col("hi"), F.col("lo")), (F.col("other_hi"), F.col("other_lo")))
     first = F
-    for t, bits in enumerate(tables):
-        h, low = _halves(sum(1 << b for b in bits))
+    for t, ((h, low), (_, most)) in enumerate(zip(masks, shares)):
         differ = F.bit_count(F.col("hi").bitwiseXOR(F.col("other_hi")).bitwiseAND(F.lit(h))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("other_lo")).bitwiseAND(F.lit(low)))
-        first = first.when(differ <= 1, t)
+        first = first.when(differ <= most, t)
     met = asked.join(there, "band_key").filter(apart.between(1, radius)).filter(first == F.col("t"))
     return met.groupBy("hi", "lo").agg(F.sum("other_n").alias("around"))
 
 
-def near_counts(marked: DataFrame, asked: Column, radius: int = RADIUS, rounds: int = ROUNDS, bands: int = BANDS) -> DataFrame:
+def near_counts(marked: DataFrame, asked: Column, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """``marked`` (with ``hi`` and ``lo``) and ``n_near``: for rows where ``asked`` holds, how many other rows have a
     fingerprint within the radius, equal ones included; null for the rest."""
     marked = stored(marked, "fingerprints")
     classes = stored(marked.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max(asked.cast("int")).alias("asked")), "classes")
-    around = near_classes(classes.filter("asked = 1"), classes, radius, rounds, bands)
+    around = near_classes(classes.filter("asked = 1"), classes, radius, bands)
     totals = classes.filter("asked = 1").join(around, ["hi", "lo"], "left").select(F.struct("hi", "lo").alias("mark"), "n", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("n_near"))
     joined = lookup_join(marked.withColumn("mark", F.when(asked, F.struct("hi", "lo"))), totals, "mark", "n", spread=F.xxhash64(*marked.columns))
     return joined.drop("mark")

@@ -271,6 +271,20 @@ def test_nearly_all_fingerprints_in_the_radius_are_found(spark):
         assert share >= 0.9 if d <= simhash.RADIUS else share == 0, (d, share)
 
 
+def test_no_pair_in_the_radius_is_missed(spark):
+    """Also those whose bits lie as evenly over the bands as can be."""
+    rng = random.Random(12)
+    pairs = []
+    for d in (1, 2, 25, 26, 27):
+        for _ in range(500):
+            x = rng.getrandbits(128)
+            y, start = rng.getrandbits(128), rng.randrange(128)
+            pairs += [(d, x, x ^ sum(1 << (start + 128 * k // d) % 128 for k in range(d))), (d, y, y ^ sum(1 << b for b in rng.sample(range(128), d)))]
+    halves = lambda i: spark.createDataFrame([(*simhash._halves(p[i]), 1) for p in pairs], "hi long, lo long, n long")
+    found = {(r["hi"], r["lo"]): r["around"] for r in simhash.near_classes(halves(1), halves(2)).collect()}
+    assert found == {simhash._halves(x): 1 for d, x, _ in pairs if d <= simhash.RADIUS}
+
+
 def test_fingerprints_against_brute_force(docs, edge):
     import struct
 
