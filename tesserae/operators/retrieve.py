@@ -174,9 +174,17 @@ def _ranks(ids: pa.Array) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the best ``k`` columns of each row, equal scores by id."""
-    order = np.lexsort((np.broadcast_to(_ranks(ids), scores.shape), -scores), axis=1)[:, :k]
-    return order, np.take_along_axis(scores, order, 1)
+    """Places and scores of the best ``k`` columns of each row, equal scores by id. Only columns that score no less than the row's k-th are
+    ordered, and nothing of the size of ``scores`` is held by what is returned."""
+    rows, width = len(scores), min(k, scores.shape[1])
+    if not rows or not width:
+        return np.zeros((rows, 0), int), np.zeros((rows, 0))
+    least = np.partition(scores, -width, axis=1)[:, -width, None]
+    row, place = np.nonzero(scores >= least)
+    order = np.lexsort((_ranks(ids)[place], -scores[row, place], row))
+    first = np.searchsorted(row, np.arange(rows))  # the rows ascend, before and after
+    places = place[order][first[:, None] + np.arange(width)]
+    return places, np.take_along_axis(scores, places, 1)
 
 
 def _first(*values: Column) -> Column:
