@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from tesserae.functions.text import strip
 from tesserae.operators.index import Index, Manifest
-from tesserae.operators.retrieve import DEFAULT_K, QUERY_BLOCK, cosine, search_many
+from tesserae.operators.retrieve import BLOCK, DEFAULT_K, QUERY_BLOCK, _best, cosine, search_many
 from tesserae.operators.skew import FEW
 from tesserae.session import scratch_path, stored
 
@@ -182,6 +182,60 @@ def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+#: Rows and queries of one product of ``rerank_groups``, about: a block of either is dealt by a hash of its ids.
+GROUP_ROWS, GROUP_QUERIES = 8192, 4096
+
+
+def rerank_groups(queries: DataFrame, vectors: DataFrame, group: str, k: int = DEFAULT_K, key: str = "id", digits: int = 12) -> DataFrame:
+    """As ``rerank``, where the candidates of a query (query_id, query_vector, ``group``) are all rows of its group: pairs aren't listed. A group's
+    rows and queries are dealt into blocks, every two of them meet in one product, and only the best ``k`` of a query in a block leave it.
+    Scores are compared at ``digits`` digits. Null groups meet nothing; a score that is no number comes first, as in ``rerank``."""
+    many = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    rows = vectors.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v"))
+    asked = queries.select(F.col(group).alias("g"), "query_id", F.col("query_vector").cast("array<double>").alias("q"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n")).join(asked.groupBy("g").agg(F.count("*").alias("m")), "g").select("g", many("n", GROUP_ROWS).alias("rb"), many("m", GROUP_QUERIES).alias("qb"))
+    own = lambda name, blocks: F.pmod(F.xxhash64(name), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = asked.join(sizes, "g").select("g", own("query_id", "qb").alias("qb"), every("rb").alias("rb"), "query_id", "q")
+    right = rows.join(sizes, "g").select("g", every("qb").alias("qb"), own("id", "rb").alias("rb"), "id", "v")
+
+    def best(asked: pa.Table, there: pa.Table) -> pa.Table:
+        names, ids = asked["query_id"].combine_chunks(), there["id"].combine_chunks()
+        q, x = asked["q"].combine_chunks(), there["v"].combine_chunks()
+        width = max((int(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).max()) for c in (q, x) if len(c)), default=0)
+        (q, q_sizes), (x, x_sizes) = _padded(q, width), _padded(x, width)
+        held = []
+        for a in range(0, len(q), 256):
+            for b in range(0, len(x), BLOCK):
+                with np.errstate(invalid="ignore"):
+                    scores = np.round(np.where(q_sizes[a : a + 256, None] == x_sizes[b : b + BLOCK], q[a : a + 256] @ x[b : b + BLOCK].T, 0.0), 12)
+                ranked = np.nan_to_num(np.round(scores, digits), nan=np.inf) if digits < 12 else np.nan_to_num(scores, nan=np.inf)
+                places, _ = _best(ranked, ids.slice(b, BLOCK), k)
+                held.append((np.repeat(np.arange(a, a + len(places)), places.shape[1]), places.ravel() + b, np.take_along_axis(scores, places, 1).ravel()))
+        row, place, score = (np.concatenate([h[i] for h in held]) for i in range(3)) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"query_id": names.take(pa.array(row)), "id": ids.take(pa.array(place)), "score": pa.array(score)})
+
+    kinds = (f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {vectors.schema[key].dataType.simpleString()}", "score double")
+    met = left.groupBy("g", "qb", "rb").cogroup(right.groupBy("g", "qb", "rb")).applyInArrow(best, ", ".join(kinds))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _padded(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over their lengths in rows of ``width`` numbers, and how many components each has. Vectors that are null, hold null or have no
+    length are zeros; what is not finite stays."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    row, start = np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes) - sizes
+    out = np.zeros((len(lists), width))
+    out[row, np.arange(sizes.sum()) - np.repeat(start, sizes)] = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        out[row[flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+    with np.errstate(invalid="ignore"):
+        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, size, out=np.zeros_like(out), where=size != 0), sizes
+
+
 class VectorIndex(Index):
     """Rows with ``id``, ``vector`` and any others at ``path``, filed by cells."""
 
