@@ -17,6 +17,11 @@ PAGE_NUMBER = rf"^[{SPACE}]*(第[{SPACE}]*)?\d+[{SPACE}]*(页|/[{SPACE}]*\d+)?[{
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.btrim(text, F.lit(SPACES))

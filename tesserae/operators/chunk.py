@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import chunk_id, content_hash, sentences, sentences_spaced, strip, token_count
+from tesserae.functions.text import chunk_id, content_hash, let, sentences, sentences_spaced, strip, token_count
 from tesserae.operators.headings import marker_level, positional_level, positional_paths, split_numbered
 
 
@@ -33,10 +33,6 @@ class Budget:
             raise ValueError("target tokens must not exceed the most tokens")
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def pack_units(tokens: Sequence[int], keep: Sequence[bool], alone: Sequence[bool], prefix: int, budget: Budget, flush_at_target: bool = False) -> list[list[int]]:
     """Numbers of the units of each chunk. ``keep``: a unit may be carried over; ``alone``: it makes a chunk by itself when it exceeds the budget."""
     done: list[list[int]] = []
@@ -169,7 +165,7 @@ def _markdown_parts(content: Column, most: int) -> Column:
         t = token_count(s)
         closed = F.when((F.size(acc["held"]) > 0) & (acc["tokens"] + t > most), state(gathered(acc), F.array().cast("array<string>"), F.lit(0))).otherwise(acc)
         slices = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(2 * most)), lambda o: strip(F.substring(s, o + 1, F.lit(2 * most)))), lambda x: x != "")
-        return _let(closed, lambda c: F.when(t > most, state(F.concat(c["done"], slices), c["held"], c["tokens"])).otherwise(state(c["done"], F.concat(c["held"], F.array(s)), c["tokens"] + t)))
+        return let(closed, lambda c: F.when(t > most, state(F.concat(c["done"], slices), c["held"], c["tokens"])).otherwise(state(c["done"], F.concat(c["held"], F.array(s)), c["tokens"] + t)))
 
     return F.aggregate(sentences_spaced(content), start, step, gathered)
 

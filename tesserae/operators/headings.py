@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import SPACE, strip
+from tesserae.functions.text import SPACE, let, strip
 
 # How headings are numbered.
-MARKER = rf"(?<![^{SPACE}])[Aa]?\d+(?:\.\d+)*\.?[{SPACE}]*[;；、.]?[{SPACE}]*"
+# What a marker begins with; the dear look behind is taken only at digits and letters A. A marker holds no beginning but its own.
+BEGINS = rf"(?=[Aa0-9])(?<![^{SPACE}])[Aa]?\d"
+MARKER = rf"{BEGINS}+(?:\.\d+)*\.?[{SPACE}]*[;；、.]?[{SPACE}]*"
 NUMBERED = rf"^[{SPACE}]*(\d+(?:\.\d+)*)[.、{SPACE}]+"
 CHAPTER = rf"^[{SPACE}]*第[一二三四五六七八九十百千万0-9]+[章节篇部分]"
 _PATHS = "array<array<struct<level:int,title:string>>>"
@@ -40,9 +42,14 @@ def word_level(text: Column, style: Column, outline: Column) -> Column:
 def split_numbered(text: Column) -> Column:
     """A heading that holds several numbers becomes as many headings; one with fewer stays. What stands before the first
     number of several is lost."""
-    clean = strip(text)
-    parts = F.filter(F.transform(F.regexp_extract_all(clean, F.lit(rf"{MARKER}(?:(?!{MARKER})[\s\S])*"), F.lit(0)), strip), lambda x: x != "")
-    return F.when(F.regexp_count(clean, F.lit(MARKER)) > 1, parts).otherwise(F.array(text))
+    parts = lambda own: F.filter(F.transform(own, strip), lambda x: x != "")
+    # As lambda variables the text and its parts are made once; columns that are named twice would be made twice.
+    return let(text, lambda whole: let(_numbered(whole), lambda own: F.when(F.size(own) > 1, parts(own)).otherwise(F.array(whole))))
+
+
+def _numbered(text: Column) -> Column:
+    """The pieces of the text that begin with a marker, one for each. What follows a marker is passed in strides to where another may begin."""
+    return F.regexp_extract_all(strip(text), F.lit(rf"{MARKER}(?:(?!{BEGINS})[\s\S][^Aa0-9]*+)*+"), F.lit(0))
 
 
 def positional_paths(headings: Column) -> Column:
