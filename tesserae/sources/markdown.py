@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.tables import is_caption
 from tesserae.functions.text import LINE_BREAK, is_list_item, strip, uuid5_url
+from tesserae.session import text_batches
 from tesserae.sources import commonmark
 from tesserae.sources.commonmark import Block
 
@@ -87,17 +88,33 @@ _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "arra
 
 
 def elements(texts: DataFrame) -> DataFrame:
-    """Elements of Markdown texts (file_id, text), with table captions attached."""
-    fields = [f.split(" ", 1) for f in FIELDS.split(", ")]
+    """Elements of Markdown texts (file_id, text), with table captions attached. A worker holds a few megabytes of texts and the elements of about
+    ``GATHERED`` characters of them, or of one longer text."""
+    text_batches(texts.sparkSession)
+    return attach_captions(texts.select("file_id", "text").mapInArrow(_element_batches, FIELDS))
+
+
+#: Characters of texts whose elements a worker gathers before it sends them.
+GATHERED = 1 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for file_id, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                rows += [e | {"file_id": file_id, "element_idx": i} for i, e in enumerate(parse(text or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields], names=[n for n, _ in fields])
 
-    return attach_captions(texts.select("file_id", "text").mapInArrow(run, FIELDS))
+def _element_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [f.split(" ", 1) for f in FIELDS.split(", ")]
+
+    def sent(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _TYPES[t]) for n, t in fields], names=[n for n, _ in fields])
+
+    for batch in batches:
+        rows, size = [], 0
+        for file_id, text in zip(batch.column(0), batch.column(1)):  # one text at a time becomes a Python string
+            text = text.as_py() or ""
+            rows += [e | {"file_id": file_id.as_py(), "element_idx": i} for i, e in enumerate(parse(text))]
+            size += len(text)
+            if size >= GATHERED:
+                yield sent(rows)
+                rows, size = [], 0
+        if rows:
+            yield sent(rows)
 
 
 def attach_captions(rows: DataFrame) -> DataFrame:
