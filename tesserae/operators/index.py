@@ -16,6 +16,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 from urllib.parse import urlparse
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tesserae.operators.skew import FEW
+from tesserae.operators.skew import anti_join
 
 #: Declared lengths of the stored texts, in bytes.
 LIMITS = {"id": 64, "text": 8192, "file_name": 512, "file_type": 32, "chapter": 512, "section": 512, "content_hash": 64}
@@ -58,8 +59,8 @@ def checked(rows: DataFrame, dimension: int | None) -> DataFrame:
     return rows.withColumn("id", F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.col("id")))
 
 
-def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row per key: the last by ``order``."""
+def latest(rows: DataFrame, key: str | list[str], order: Column) -> DataFrame:
+    """One row per key (one column or several): the last by ``order``."""
     w = Window.partitionBy(key).orderBy(order.desc())
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
@@ -96,6 +97,8 @@ def _joined(a: StructType, b: StructType) -> StructType:
 class Index:
     """A table at ``path``, on any file system that Spark knows, with one row per key. Any number of writers may upsert."""
 
+    HOMED = True  # a key names its bucket
+
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -168,20 +171,21 @@ class Index:
         wanted = lambda b: buckets is None or b in buckets
         touched = {b for _, rows in m.upserts for b in rows if wanted(b)}
         still = [f for b, (f, _) in m.base.items() if wanted(b) and b not in touched]
-        under = [f for b, (f, _) in m.base.items() if b in touched]
         parts = [self._rows(still, schema)] if still else []
         if touched:
-            newest = self._upserted(m, touched)
-            parts.append(newest)
-            if under:
-                size = sum(rows.get(b, 0) for _, rows in m.upserts for b in touched)
-                keys = newest.select(m.key)
-                parts.append(self._rows(under, schema).join(F.broadcast(keys) if size <= FEW else keys, m.key, "left_anti").select(*schema.names))
+            parts += self._merged(m, touched)
         out = parts[0] if parts else self.spark.createDataFrame([], schema)
         for part in parts[1:]:
             out = out.unionByName(part)
         return out
 
+    def _merged(self, m: Manifest, touched: set[str]) -> list[DataFrame]:
+        """The last row of each key in the upserts, and the base rows of other keys, in some buckets. Base rows stay where they are read: only those
+        that a filter of the upserts' keys lets pass are exchanged."""
+        schema = StructType.fromJson(m.schema)
+        newest, under = self._upserted(m, touched), [f for b, (f, _) in m.base.items() if b in touched]
+        return [newest, anti_join(self._rows(under, schema), [F.col(m.key)], newest.select(m.key))] if under else [newest]
+
     def _upserted(self, m: Manifest, touched: set[str]) -> DataFrame:
         """The last row of each key in the upserts."""
         schema = StructType.fromJson(m.schema)
@@ -205,10 +209,16 @@ class Index:
         m = self.manifest()
         return m.dimension if m else None
 
-    def _write(self, rows: DataFrame, key: str, buckets: int) -> tuple[str, dict[str, int]]:
-        """Writes the rows by bucket; the folder, and the rows of each bucket. ``rows`` is evaluated once."""
+    def _dealt(self, rows: DataFrame, key: str, buckets: int) -> DataFrame:
+        """The rows by bucket (``_b``) and slice of it (``_s``): the one exchange of a write. What follows by bucket, slice and key needs no other."""
+        slices = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        part = F.pmod(F.xxhash64(F.lit("slice"), F.col(key).cast("string")), F.lit(slices)).cast("int")
+        return rows.withColumns({"_b": self.bucket_of(key, buckets), "_s": part}).repartition("_b", "_s")
+
+    def _write(self, dealt: DataFrame) -> tuple[str, dict[str, int]]:
+        """Writes dealt rows by bucket; the folder, and the rows of each bucket. ``dealt`` is evaluated once."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("_b", self.bucket_of(key, buckets)).repartition("_b").write.partitionBy("_b").parquet(f"{self.path}/{folder}")
+        dealt.drop("_s").write.partitionBy("_b").parquet(f"{self.path}/{folder}")
         found = self.spark.read.schema("_b int").option("basePath", f"{self.path}/{folder}").parquet(f"{self.path}/{folder}")
         return folder, {str(r["_b"]): r["count"] for r in found.groupBy("_b").count().collect()}  # a row for each bucket
 
@@ -221,11 +231,12 @@ class Index:
         if m is not None and m.key != key:
             raise ValueError(f"the key of this index is {m.key}")
         vectors = "vector" in rows.columns and key == "id"
-        ranked = latest(rows, key, order if order is not None else F.xxhash64(*rows.columns))
+        buckets = m.buckets if m else self.buckets
+        ranking = order if order is not None else F.xxhash64(*rows.columns)
+        ranked = latest(self._dealt(rows, key, buckets), ["_b", "_s", key], ranking) if self.HOMED else self._dealt(latest(rows, key, ranking), key, buckets)
         named = F.when(F.col(key).isNull(), F.raise_error(F.lit("a key of the index is null"))).otherwise(F.col(key))
         batch = (checked(ranked, m.dimension if m else None) if vectors else ranked).withColumn(key, named.cast(rows.schema[key].dataType))
-        buckets = m.buckets if m else self.buckets
-        folder, counts = self._write(batch.select(*rows.columns), key, buckets)
+        folder, counts = self._write(batch.select(*rows.columns, "_b", "_s"))
         try:
             size = sum(counts.values())
             if not size:
@@ -277,7 +288,11 @@ class Index:
             return False
         merged = [f for f, _ in m.upserts]
         touched = {b for _, rows in m.upserts for b in rows}
-        folder, counts = self._write(self._read(m, touched) if base else self._upserted(m, touched), m.key, m.buckets)
+        if base:  # files hold a bucket each, so rows are written from where they are read
+            merged_rows = reduce(DataFrame.unionByName, self._merged(m, touched)).withColumn("_b", self.bucket_of(m.key, m.buckets))
+        else:
+            merged_rows = self._dealt(self._upserted(m, touched), m.key, m.buckets)
+        folder, counts = self._write(merged_rows)
 
         def change(last: Manifest | None) -> Manifest | None:
             if last is None or [f for f, _ in last.upserts][: len(merged)] != merged:

@@ -239,6 +239,8 @@ def _padded(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 class VectorIndex(Index):
     """Rows with ``id``, ``vector`` and any others at ``path``, filed by cells."""
 
+    HOMED = False  # a row's cell does, and it may move
+
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path, buckets=MOST_CELLS)
         self._cells: Cells | None = None
@@ -293,7 +295,7 @@ class VectorIndex(Index):
         if m is None or not m.upserts or not base:
             return super().compact(base)
         merged = [f for f, _ in m.upserts]
-        folder, counts = self._write(self._read(m), m.key, m.buckets)
+        folder, counts = self._write(self._dealt(self._read(m), m.key, m.buckets))
 
         def change(last: Manifest | None) -> Manifest | None:
             if last is None or [f for f, _ in last.upserts][: len(merged)] != merged:
