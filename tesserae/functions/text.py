@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 # What counts as white space (also U+001C to U+001F), tokens and sentence ends.
 SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# The same inside of brackets; visible ASCII characters are told first.
+_SPACE = rf"[^!-~]&&[{SPACE}]"
 TOKEN = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^{SPACE}]"
 SENTENCE_ENDS = "。！？!?；;."
 OPEN_ENDED = "。！？.:：;；)）`"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 LIST_ITEM = r"^([-*+]|\d+[.)、])[" + SPACE + "]+"
 PAGE_NUMBER = rf"^[{SPACE}]*(第[{SPACE}]*)?\d+[{SPACE}]*(页|/[{SPACE}]*\d+)?[{SPACE}]*$"
+# Runs of blanks that aren't one space already.
+BLANKS = r"[ \t](?:[ \t]+|(?<=\t))"
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -34,7 +38,7 @@ def is_blank(text: Column) -> Column:
 def token_count(text: Column) -> Column:
     """CJK characters, words of letters, digits and underscores, and any other visible character. Null counts as empty. What ``TOKEN``
     matches is counted without taking it out: a word with the white space behind it becomes one character, other white space goes."""
-    marks = F.regexp_replace(F.regexp_replace(text, rf"[A-Za-z0-9_]++[{SPACE}]*+", "x"), rf"[{SPACE}]++", "")
+    marks = F.regexp_replace(F.regexp_replace(text, r"\w++\s*+", "x"), rf"[{_SPACE}]++", "")
     return F.coalesce(F.length(marks), F.lit(0))
 
 
@@ -58,15 +62,15 @@ def sentences_spaced(text: Column) -> Column:
 def clean_characters(text: Column) -> Column:
     """No-break spaces become spaces; zero-width spaces and control characters go; runs of blanks and of newlines shrink."""
     text = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
-    text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"[\x00-\x1f&&[^\t\n\r]]", "")
+    text = F.regexp_replace(text, BLANKS, " ")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def clean_markdown(text: Column, element_type: Column, kept: tuple[str, ...] = ("code", "table", "list", "blockquote", "html")) -> Column:
     """Elements whose layout matters lose only long gaps; others also extra blanks and HTML comments."""
     text = strip(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n"))
-    loose = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    loose = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), r"\n{3,}", "\n\n")
     loose = strip(F.regexp_replace(loose, r"(?s)<!--.*?-->", ""))
     return F.when(element_type.isin(*kept), F.regexp_replace(text, r"\n{4,}", "\n\n\n")).otherwise(loose)
 

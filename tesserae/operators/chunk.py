@@ -94,32 +94,38 @@ def _sections(documents: DataFrame, blocks: str, heading: tuple[str, ...]) -> Da
 
 def _units_of(blocks: Column, budget: Budget, splits: tuple[str, ...] | None, sticky: tuple[str, ...], alone: bool = True) -> Column:
     """Blocks as units: those over the target are cut into sentences (only types in ``splits``; None: all). ``alone``: a unit of them that exceeds
-    the budget makes a chunk by itself."""
+    the budget makes a chunk by itself. Tokens are counted again only where a block is cut."""
     may_split = lambda b: F.lit(True) if splits is None else b["type"].isin(*splits)
-    cut = lambda b: F.when(may_split(b) & (b["tokens"] > budget.target), sentences(b["content"])).otherwise(F.array(b["content"]))
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(cut(b), lambda c: F.struct(c.alias("content"), token_count(c).alias("t"), (~b["type"].isin(*sticky)).alias("keep"), (may_split(b) & alone).alias("alone"), b["type"].alias("type"), b["page"].alias("page"))),
-        )
-    )
+    unit = lambda b, c, t: F.struct(c.alias("content"), t.alias("t"), (~b["type"].isin(*sticky)).alias("keep"), (may_split(b) & alone).alias("alone"), b["type"].alias("type"), b["page"].alias("page"))
+    cut = lambda b: F.transform(sentences(b["content"]), lambda c: unit(b, c, token_count(c)))
+    return F.flatten(F.transform(blocks, lambda b: F.when(may_split(b) & (b["tokens"] > budget.target), cut(b)).otherwise(F.array(unit(b, b["content"], b["tokens"])))))
+
+
+def _members(packed: DataFrame) -> DataFrame:
+    """A row for each of ``_chunks``: its number ``_n`` and its units ``_m``. It holds no others of the section's ``units``."""
+    members = F.transform("_chunks", lambda numbers: F.transform(numbers, lambda i: F.get("units", i)))
+    return packed.select(*(c for c in packed.columns if c not in ("units", "_chunks")), F.posexplode(members).alias("_n", "_m"))
+
+
+def _tokens(units: Column) -> Column:
+    """Tokens of the units together: no token reaches over the white space between them."""
+    return F.aggregate(units, F.lit(0), lambda n, u: n + u["t"])
 
 
 def _emit(sections: DataFrame, budget: Budget, owner: str) -> DataFrame:
-    """Chunks of sections with ``units``: numbered through each document, chunks without a body left out."""
+    """Chunks of sections with ``units``: numbered through each document, chunks without a body left out. Only what the chunks show is exchanged."""
     light = F.transform("units", lambda u, i: F.struct(i.alias("i"), u["t"].alias("t"), u["keep"].alias("keep"), u["alone"].alias("alone")))
-    prefix = F.array_join("path", "\n")
-    packed = sections.withColumn("_prefix", prefix).withColumn("_chunks", pack(light, token_count(F.col("_prefix")), budget))
-    packed = packed.select("*", F.posexplode("_chunks").alias("_n", "_numbers")).drop("_chunks")
-    members = F.transform("_numbers", lambda i: F.get("units", i))
-    rows = packed.withColumn("_m", members).drop("units", "_numbers")
+    titled = sections.withColumn("_prefix", F.array_join("path", "\n")).withColumn("_prefix_tokens", token_count(F.col("_prefix")))
+    rows = _members(titled.withColumn("_chunks", pack(light, F.col("_prefix_tokens"), budget)))
     body = strip(F.array_join(F.filter(F.transform("_m", lambda u: strip(u["content"])), lambda x: x != ""), "\n"))
     text = F.when(F.col("_prefix") != "", strip(F.concat("_prefix", F.lit("\n\n"), "_body"))).otherwise(F.col("_body"))
-    rows = rows.withColumn("_body", body).filter("_body <> ''").withColumn("text", text)
-    index = (F.row_number().over(Window.partitionBy("file_id").orderBy("section", "_n")) - 1).alias("chunk_index")
     pages = F.array_sort(F.array_distinct(F.filter(F.transform("_m", lambda u: u["page"]), lambda p: p.isNotNull() & (p != 0))))
     types = F.array_sort(F.array_distinct(F.transform("_m", lambda u: u["type"])))
-    made = rows.select("*", index).withColumns({"content_hash": content_hash(F.col("text")), "token_count": token_count(F.col("text")), "page_numbers": pages, "block_types": types})
+    # No filter moves below a generator, so the body is made once.
+    rows = rows.withColumn("_body", F.explode(F.filter(F.array(body), lambda x: x != "")))
+    rows = rows.withColumns({"text": text, "token_count": F.col("_prefix_tokens") + _tokens(F.col("_m")), "page_numbers": pages, "block_types": types}).drop("_m", "_prefix", "_body")
+    index = (F.row_number().over(Window.partitionBy("file_id").orderBy("section", "_n")) - 1).alias("chunk_index")
+    made = rows.select("*", index).withColumn("content_hash", content_hash(F.col("text")))
     made = made.withColumn("chunk_id", chunk_id(F.col(owner), F.col("chunk_index"), F.col("content_hash")))
     extras = [c for c in sections.columns if c not in ("file_id", "section", "path", "blocks", "units")]
     return made.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import clean_characters, clean_markdown, is_page_number, merge_broken_lines, strip
@@ -56,10 +56,15 @@ def _islands(rows: DataFrame, starts, document: str, order: str) -> DataFrame:
     return rows.withColumn("_run", F.sum(F.when(starts(w), 1).otherwise(0)).over(w))
 
 
+def _with_text(elements: DataFrame, content: Column) -> DataFrame:
+    """The rows with this content, without empty ones. No filter moves below a generator, so the content is made once."""
+    return elements.withColumn("content", F.explode(F.filter(F.array(content), lambda c: c != "")))
+
+
 def clean_word(elements: DataFrame) -> DataFrame:
     """Word elements (file_id, element_idx, element_type, level, content): consecutive paragraphs and list items become one
     paragraph; headings and tables stay."""
-    rows = elements.withColumn("content", clean_characters(F.col("content"))).filter("content <> ''")
+    rows = _with_text(elements, clean_characters(F.col("content")))
     text = lambda c: c.isin("paragraph", "list")
 
     def starts(w):

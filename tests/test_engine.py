@@ -349,3 +349,29 @@ def test_blank_lines_are_no_items(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = [(r["file_id"], r["block_idx"], r["block_type"]) for r in catalogue.QUERIES["parser_item_blocks"](spark, str(tmp_path)).orderBy("file_id", "block_idx").collect()]
     assert [f for f in found if f[2] == "table"] == [(2, 7, "table")] and [f[1] for f in found] == [*range(8), *range(8)]
+
+
+def _plan(spark, query, sf_dir):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return catalogue.QUERIES[query](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def _small(spark, tmp_path):
+    spark.createDataFrame([(1, "T\n\na b.\nc; d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def _texts_are_handled_once(plan):
+    """No text of a chunk is counted again, and no unit goes into the exchange where chunks are numbered."""
+    assert "regexp_replace(text#" not in plan
+    numbered = plan.partition("Window [row_number()")[2].split("\n+- ")[0]
+    assert numbered and " _m#" not in next(line for line in numbered.splitlines() if "+- Project" in line).partition("[")[2].partition("CASE WHEN")[0]
+
+
+def test_word_chunks_clean_and_count_once(spark, tmp_path):
+    plan = _plan(spark, "word_chunk_rows", _small(spark, tmp_path))
+    _texts_are_handled_once(plan)
+    assert plan.count(r"\n{3,}") == 1
