@@ -55,7 +55,7 @@ def sentences(text: Column) -> Column:
 
 def sentences_spaced(text: Column) -> Column:
     """Cut where white space follows a sentence end, and after newlines: for text whose dots may be inside words."""
-    parts = F.split(text, rf"(?<=[{SENTENCE_ENDS}])[{SPACE}]+|(?<=\n)[{SPACE}]*")
+    parts = F.split(text, rf"[{_SPACE}](?:(?<=\n)|(?<=[{SENTENCE_ENDS}][\s\S]))[{SPACE}]*")
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 

@@ -179,29 +179,32 @@ def _markdown_parts(content: Column, most: int) -> Column:
 def markdown_chunks(elements: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Chunks of cleaned Markdown elements (file_id, element_idx, element_type, content, heading_path and heading_levels arrays,
     line_start, line_end). A chunk never crosses heading paths; headings are units, so a heading alone makes a chunk."""
-    parts = F.when(F.col("element_type").isin(*ATOMIC) | (token_count(F.col("content")) <= budget.most), F.array("content")).otherwise(_markdown_parts(F.col("content"), budget.most))
-    pieces = elements.repartition("file_id").select("file_id", "element_idx", "element_type", "heading_path", "heading_levels", "line_start", "line_end", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("content"))).alias("part", "content"))
+    piece = lambda content, t: F.struct(content.alias("content"), t.alias("t"))
+    cut = let(_markdown_parts(F.col("content"), budget.most), lambda parts: F.transform(F.when(F.size(parts) > 0, parts).otherwise(F.array("content")), lambda c: piece(c, token_count(c))))
+    parts = let(token_count(F.col("content")), lambda t: F.when(F.col("element_type").isin(*ATOMIC) | (t <= budget.most), F.array(piece(F.col("content"), t))).otherwise(cut))
+    pieces = elements.repartition("file_id").select("file_id", "element_idx", "element_type", "heading_path", "heading_levels", "line_start", "line_end", F.posexplode(parts).alias("part", "_p")).select("*", "_p.content", "_p.t").drop("_p")
     w = Window.partitionBy("file_id").orderBy("element_idx", "part")
     moved = F.when(F.col("heading_path").eqNullSafe(F.lag("heading_path").over(w)), 0).otherwise(1)
     runs = pieces.withColumn("_moved", moved).withColumn("section", F.sum("_moved").over(w))
-    unit = F.struct("element_idx", "part", "content", token_count(F.col("content")).alias("t"), F.col("element_type").alias("type"), "line_start", "line_end")
+    unit = F.struct("element_idx", "part", "content", "t", F.col("element_type").alias("type"), "line_start", "line_end")
     grouped = runs.groupBy("file_id", "section").agg(F.min_by("heading_path", "element_idx").alias("path"), F.min_by("heading_levels", "element_idx").alias("levels"), F.sort_array(F.collect_list(unit)).alias("units"))
     light = F.transform("units", lambda u, i: F.struct(i.alias("i"), u["t"].alias("t"), (u["type"] == "paragraph").alias("keep"), F.lit(False).alias("alone")))
-    packed = grouped.withColumn("_chunks", pack(light, F.lit(0), budget, flush_at_target=True))
-    packed = packed.select("*", F.posexplode("_chunks").alias("_n", "_numbers")).drop("_chunks")
-    rows = packed.withColumn("_m", F.transform("_numbers", lambda i: F.get("units", i))).drop("units", "_numbers")
+    rows = _members(grouped.withColumn("_chunks", pack(light, F.lit(0), budget, flush_at_target=True)))
     level = lambda i: F.greatest(F.coalesce(F.get("levels", i), i + 1), F.lit(1))
     prefix = F.array_join(F.transform("path", lambda title, i: F.concat(F.repeat(F.lit("#"), level(i)), F.lit(" "), title)), "\n")
-    body = strip(F.array_join(F.transform(F.filter("_m", lambda u: (u["type"] != "heading") & (strip(u["content"]) != "")), lambda u: u["content"]), "\n\n"))
-    rows = rows.withColumns({"_prefix": prefix, "_body": body})
+    shown = F.filter("_m", lambda u: (u["type"] != "heading") & (strip(u["content"]) != ""))
+    rows = rows.withColumns({"_prefix": prefix, "_shown": shown}).withColumn("_body", strip(F.array_join(F.transform("_shown", lambda u: u["content"]), "\n\n")))
     text = F.when((F.col("_body") != "") & (F.col("_prefix") != ""), strip(F.concat("_prefix", F.lit("\n\n"), "_body"))).when(F.col("_body") != "", F.col("_body")).otherwise(F.col("_prefix"))
     index = (F.row_number().over(Window.partitionBy("file_id").orderBy("section", "_n")) - 1).alias("chunk_index")
-    made = rows.withColumn("text", text).select("*", index).withColumns({"content_hash": content_hash(F.col("text")), "token_count": token_count(F.col("text"))})
+    found = {
+        "text": text, "token_count": token_count(F.col("_prefix")) + _tokens(F.col("_shown")), "block_types": F.array_sort(F.array_distinct(F.transform("_m", lambda u: u["type"]))),
+        "line_start": F.array_min(F.transform("_m", lambda u: u["line_start"])), "line_end": F.array_max(F.transform("_m", lambda u: u["line_end"])),
+    }
+    made = rows.withColumns(found).drop("_m", "_shown", "_prefix", "_body").select("*", index).withColumn("content_hash", content_hash(F.col("text")))
     made = made.withColumn("chunk_id", chunk_id(F.col("file_id"), F.col("chunk_index"), F.col("content_hash")))
     return made.select(
         "file_id", "chunk_id", "chunk_index", "text", "token_count", "content_hash",
         F.get("path", F.lit(0)).alias("chapter"), F.when(F.size("path") > 1, F.element_at("path", -1)).otherwise("").alias("section"),
         F.array_join("path", " > ").alias("heading"), F.array_join("path", " > ").alias("heading_path"), F.col("levels").alias("heading_levels"),
-        F.array_sort(F.array_distinct(F.transform("_m", lambda u: u["type"]))).alias("block_types"),
-        F.array_min(F.transform("_m", lambda u: u["line_start"])).alias("line_start"), F.array_max(F.transform("_m", lambda u: u["line_end"])).alias("line_end"),
+        "block_types", "line_start", "line_end",
     )

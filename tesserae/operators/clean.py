@@ -84,7 +84,7 @@ def clean_word(elements: DataFrame) -> DataFrame:
 def clean_markdown_elements(elements: DataFrame) -> DataFrame:
     """Markdown elements (file_id, element_idx, element_type, content, heading_path, line_start, line_end, ...): adjacent
     paragraphs under the same heading path become one, apart by a blank line."""
-    rows = elements.withColumn("content", clean_markdown(F.col("content"), F.col("element_type"))).filter("content <> ''")
+    rows = _with_text(elements, clean_markdown(F.col("content"), F.col("element_type")))
 
     def starts(w):
         alike = (F.lag("element_type").over(w) == "paragraph") & F.lag("heading_path").over(w).eqNullSafe(F.col("heading_path"))

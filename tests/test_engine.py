@@ -375,3 +375,9 @@ def test_word_chunks_clean_and_count_once(spark, tmp_path):
     plan = _plan(spark, "word_chunk_rows", _small(spark, tmp_path))
     _texts_are_handled_once(plan)
     assert plan.count(r"\n{3,}") == 1
+
+
+def test_markdown_chunks_clean_and_count_once(spark, tmp_path):
+    plan = _plan(spark, "markdown_chunk_rows", _small(spark, tmp_path))
+    _texts_are_handled_once(plan)
+    assert plan.count(r"\n{3,}") == 1
