@@ -13,7 +13,7 @@ _SPACE = rf"[^!-~]&&[{SPACE}]"
 TOKEN = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^{SPACE}]"
 SENTENCE_ENDS = "。！？!?；;."
 OPEN_ENDED = "。！？.:：;；)）`"
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
+LINE_BREAK = r"[[^ -~]&&[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]](?:(?<=\r)\n)?"
 LIST_ITEM = r"^([-*+]|\d+[.)、])[" + SPACE + "]+"
 PAGE_NUMBER = rf"^[{SPACE}]*(第[{SPACE}]*)?\d+[{SPACE}]*(页|/[{SPACE}]*\d+)?[{SPACE}]*$"
 # Runs of blanks that aren't one space already.

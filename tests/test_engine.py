@@ -381,3 +381,19 @@ def test_markdown_chunks_clean_and_count_once(spark, tmp_path):
     plan = _plan(spark, "markdown_chunk_rows", _small(spark, tmp_path))
     _texts_are_handled_once(plan)
     assert plan.count(r"\n{3,}") == 1
+
+
+def test_pdf_chunks_count_once(spark, tmp_path):
+    _texts_are_handled_once(_plan(spark, "pdf_chunk_rows", _small(spark, tmp_path)))
+
+
+def test_chunk_tokens_are_those_of_the_text(spark):
+    content = [(1, 0, "heading", "1 T-1"), (1, 1, "paragraph", "a_1 b.　中 文;\x85" * 400), (1, 2, "table", "| x | \n"), (1, 3, "paragraph", "end"), (2, 0, "paragraph", "x. " * 900)]
+    blocks = spark.createDataFrame([(*r, 1, 1) for r in content], "file_id long, block_idx int, block_type string, content string, page_number int, heading_level int")
+    made = pdf_chunks(blocks).select("token_count", X.token_count(F.col("text")).alias("again")).collect()
+    assert len(made) > 3 and all(r["token_count"] == r["again"] for r in made)
+
+
+def test_line_breaks(spark):
+    row = spark.createDataFrame([("a\r\nb\rc\n\nd e\x85f\r\r\ng",)], "t string").select(F.split("t", X.LINE_BREAK).alias("x")).first()
+    assert row["x"] == ["a", "b", "c", "", "d", "e", "f", "", "g"]
