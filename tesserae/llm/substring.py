@@ -21,6 +21,7 @@ take words from each other; rows without a key keep all their words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SHARD_RUNS = 20_000
 HELD_RUNS = 200_000
 #: Runs of one anchor in a part.
 PART_RUNS = 50_000
+#: Anchors are dealt into so many lots, and the runs of one lot exchanged at a time.
+LOTS = 2
 #: Phrases held as frequent, and the share of documents that they are counted in.
 COMMON = 65_536
 SAMPLED = 16
@@ -121,8 +124,8 @@ def _common(rows: DataFrame, anchor: int) -> DataFrame:
     return rows.select("sample").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON)
 
 
-def _runs(rows: DataFrame, window: int, anchor: int, common: np.ndarray) -> DataFrame:
-    """Runs of all documents. Kind 0: a worker has seen the same words in an earlier document, into which this run is folded.
+def _runs(rows: DataFrame, window: int, anchor: int, common: np.ndarray, lot: int = 0, lots: int = 1) -> DataFrame:
+    """Runs of all documents whose anchors are in the lot. Kind 0: a worker has seen the same words in an earlier document, into which this run is folded.
     Kind 1: the earliest that the worker has seen; ``m`` is how many it has folded into it. A passage that very many
     documents share so comes to few rows of kind 1."""
     most = HELD_RUNS
@@ -147,6 +150,9 @@ def _runs(rows: DataFrame, window: int, anchor: int, common: np.ndarray) -> Data
             data, offsets = buffers(batch.column(2))
             for i, j in slices(offsets):
                 a, content, text, first, windows, left, right = find_runs(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), window, anchor, shared.value)
+                if lots > 1:
+                    own = mix(a) % np.uint64(lots) == lot
+                    a, content, text, first, windows, left, right = (x[own] for x in (a, content, text, first, windows, left, right))
                 if not len(a):
                     continue
                 held.append([a, content, key[i:j][text], mark[i:j][text] << 39 | span(first, windows), left, right])
@@ -302,7 +308,11 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     marked = rows.withColumn("mark", _mark(F.col("text")))
     names = [F.col("key"), F.col("mark")]
     common = np.sort(np.array([r["h"] for r in _common(named.filter("sample is not null"), anchor).select("h").collect()], dtype=np.int64)).view(np.uint64)
-    found = stored(_repeated(_runs(anti_join(marked, names, copies), window, anchor, common)), "runs")
+    lots = []
+    for lot in range(LOTS):  # the runs of all anchors at once would be half as much again as the texts
+        lots.append(stored(_repeated(_runs(anti_join(marked, names, copies), window, anchor, common, lot, LOTS)), "runs"))
+        discard(spark)
+    found = reduce(DataFrame.unionByName, lots)
     discard(spark, named, copied)
     runs = F.collect_list(F.struct("a", "c", "at", "m")).alias("runs")
     asked = stored(found.filter("kind = 1").groupBy("key", F.shiftright("at", 39).alias("mark")).agg(runs), "asked")
@@ -316,7 +326,7 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     direct = direct.select("key", F.shiftright("at", 39).alias("mark"), (F.col("at").bitwiseAND((1 << 39) - 1) + (window - 1)).alias("span"))
     spans = direct.unionByName(answers.filter("kind = 0").select("key", "mark", "span")).unionByName(copies.select("key", "mark", F.lit(WHOLE).cast("long").alias("span")))
     out = stored(spans.groupBy("key", "mark").agg(F.collect_set("span").alias("spans")), "spans")
-    discard(spark, found, answers, copies)
+    discard(spark, *lots, answers, copies)
     return out
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,21 @@ def test_substring_removal(docs, seed):
     assert removed(docs(rows)) == brute_removed(rows, 13)
 
 
+@pytest.mark.parametrize("lots", [1, 2, 5])
+def test_substring_lots(docs, monkeypatch, lots):
+    monkeypatch.setattr(substring, "LOTS", lots)
+    rows = corpus(3)
+    assert removed(docs(rows)) == brute_removed(rows, 13)
+
+
+def test_substring_lots_part_the_runs(docs):
+    rows = docs(corpus(1)).selectExpr("doc_id AS key", "0L AS mark", "text").filter("text is not null")
+    none = np.zeros(0, dtype=np.uint64)
+    made = lambda *lot: {(r["a"], r["key"], r["at"]) for r in substring._runs(rows, 13, 3, none, *lot).collect()}
+    parts = [made(i, 2) for i in range(2)]
+    assert parts[0] | parts[1] == made() and all(parts) and not {a for a, *_ in parts[0]} & {a for a, *_ in parts[1]}
+
+
 def test_substring_short_windows(docs):
     rng = random.Random(9)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))) for k in range(60)]

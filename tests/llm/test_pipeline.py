@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline against brute force, and on tables at the edge."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from test_dedup import brute_components, brute_removed
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tesserae.llm import langid, quality  # noqa: E402
 from tesserae.llm.queries import fold  # noqa: E402
+from tesserae.session import shared_dir  # noqa: E402
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 WORDS = {"en": "the quick brown fox and a lazy dog walk along the river of this town".split(), "de": "der schnelle braune Fuchs und ein fauler Hund laufen über die Straße".split()}
@@ -103,3 +105,11 @@ def test_every_stage_on_odd_tables(spark, tables, tmp_path):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "language_id", "near_duplicates", "repeated_passages", "best_fit_packing"]
+
+
+def test_run_keeps_the_rows_of_the_last_stage_alone(spark, tables):
+    here = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(here.iterdir())
+    assert corpus_pipeline.run(spark, tables).count()
+    left = {p.name.split("-")[1] for p in set(here.iterdir()) - before}
+    assert "repeated_passages" in left and not left & {"quality_classifier", "language_id", "near_duplicates"}
