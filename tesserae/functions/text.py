@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # What counts as white space (also U+001C to U+001F), tokens and sentence ends.
 SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-# The same inside of brackets; visible ASCII characters are told first.
+# What \s is in SQL.
+ASCII_SPACES = "\t\n\f\r "
+# SPACE inside of brackets; visible ASCII characters are told first.
 _SPACE = rf"[^!-~]&&[{SPACE}]"
 TOKEN = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^{SPACE}]"
 SENTENCE_ENDS = "。！？!?；;."

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, FloatType, StructField, StructType
 
+from tesserae.session import text_batches
+
 BATCH = 16
 
 
@@ -123,15 +125,21 @@ def embed_query(provider: Any, query: str) -> list[float]:
         raise EmbeddingUnavailable("the embedding provider failed") from error
 
 
-def embed(chunks: DataFrame, make: Callable[[], Any], text: str = "text", batch: int = BATCH, component: DataType = FloatType()) -> DataFrame:
-    """``chunks`` with ``vector``, whose components are kept as ``component``. ``make`` builds the provider once per task; a blank text fails. Texts are stripped for it only."""
+def _not_blank(text: str) -> str:
+    if not (found := text.strip()):
+        raise ValueError("texts to embed must not be blank")
+    return found
+
+
+def embed(chunks: DataFrame, make: Callable[[], Any], text: str = "text", batch: int = BATCH, component: DataType = FloatType(), ask: Callable[[str], str] = _not_blank) -> DataFrame:
+    """``chunks`` with ``vector``, whose components are kept as ``component``. ``make`` builds the provider once per task; ``ask`` makes of a text what
+    the provider is asked: without it texts are stripped, and a blank one fails."""
+    text_batches(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
         for rows in batches:
-            texts = [(t or "").strip() for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
-            if not all(texts):
-                raise ValueError("texts to embed must not be blank")
+            texts = [ask(t or "") for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
             found: list[list[float]] = []
             for i in range(0, len(texts), batch):
                 part = texts[i : i + batch]
