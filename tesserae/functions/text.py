@@ -10,6 +10,7 @@ SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # What \s is in SQL.
 ASCII_SPACES = "\t\n\f\r "
+ASCII_LIST_ITEM = r"^([-*+]|\d+[.)、])[\t\n\f\r ]"
 # SPACE inside of brackets; visible ASCII characters are told first.
 _SPACE = rf"[^!-~]&&[{SPACE}]"
 TOKEN = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9_]+|[^{SPACE}]"
@@ -44,9 +45,9 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.length(marks), F.lit(0))
 
 
-def lines(text: Column) -> Column:
+def lines(text: Column, breaks: str = LINE_BREAK, spaces: str = SPACES) -> Column:
     """Lines, stripped, without blank ones."""
-    return F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, breaks), lambda x: F.btrim(x, F.lit(spaces))), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:
@@ -77,15 +78,16 @@ def clean_markdown(text: Column, element_type: Column, kept: tuple[str, ...] = (
     return F.when(element_type.isin(*kept), F.regexp_replace(text, r"\n{4,}", "\n\n\n")).otherwise(loose)
 
 
-def merge_broken_lines(text: Column) -> Column:
-    """Joins a line to the one before it, with nothing between, unless that one ends a statement or this one is a list item."""
-    found = lines(text)
+def merge_broken_lines(text: Column, breaks: str = LINE_BREAK, spaces: str = SPACES, item: str = LIST_ITEM) -> Column:
+    """Joins a line to the one before it, with nothing between, unless that one ends a statement or this one is a list item. ``breaks``,
+    ``spaces`` and ``item`` may say otherwise what parts lines, what is stripped, and what a list item begins with."""
+    found = lines(text, breaks, spaces)
 
     def joined(all_lines: Column) -> Column:
         pieces = F.transform(
             all_lines,
             lambda line, i: F.when(i == 0, line).otherwise(
-                F.concat(F.when(F.get(all_lines, i - 1).rlike(f"[{OPEN_ENDED}]$") | line.rlike(LIST_ITEM), "\n").otherwise(""), line)
+                F.concat(F.when(F.get(all_lines, i - 1).rlike(rf"[{OPEN_ENDED}]\z") | line.rlike(item), "\n").otherwise(""), line)
             ),
         )
         return F.array_join(pieces, "")

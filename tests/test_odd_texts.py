@@ -44,3 +44,7 @@ def test_described_tables_under_a_line_without_words(differences):
 
 def test_review_items_of_lines_without_words(differences):
     assert differences("review_items", [PLAIN, *BLANK, *PARTLY, *SPACES, *MARKS]) == (0, 0)
+
+
+def test_merge_broken_lines_of_blank_texts_and_odd_spaces(differences):
+    assert differences("merge_broken_lines", [PLAIN, *BLANK, *PARTLY, *SPACES, *MARKS, ["a。\x85", "b"], ["a", "-\x0cb"]]) == (0, 0)
