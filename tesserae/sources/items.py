@@ -81,6 +81,10 @@ def block_type(kind: Column, text_level: Column, content: Column) -> Column:
     )
 
 
+def block_id(index: Column, content: Column) -> Column:
+    return uuid5_url(F.concat_ws(":", F.lit("pdf-block"), index, F.substring(content, 1, 80)))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """Blocks (file_id, block_idx, block_type, content, page_number, heading_level, block_id, ...) of items; those without content go."""
     is_table = (F.lower("type") == "table") | F.col("table").isNotNull() | F.col("table_rows").isNotNull()
@@ -93,4 +97,4 @@ def blocks(rows: DataFrame) -> DataFrame:
     level = F.when(F.col("block_type") == "heading", F.when(number != "", F.least(F.size(F.split(number, r"\.")) + 1, F.lit(6))).otherwise(F.coalesce("text_level", F.lit(1))))
     index = (F.row_number().over(Window.partitionBy("file_id").orderBy("item_idx")) - 1).alias("block_idx")
     done = typed.select("file_id", index, "block_type", "content", page_of(F.col("page_number"), F.col("page"), F.col("page_idx")).alias("page_number"), level.alias("heading_level"), F.col("type").alias("raw_type"), "bbox", "image_path")
-    return done.withColumn("block_id", uuid5_url(F.concat_ws(":", F.lit("pdf-block"), "block_idx", F.substring("content", 1, 80))))
+    return done.withColumn("block_id", block_id(F.col("block_idx"), F.col("content")))

@@ -48,3 +48,7 @@ def test_review_items_of_lines_without_words(differences):
 
 def test_merge_broken_lines_of_blank_texts_and_odd_spaces(differences):
     assert differences("merge_broken_lines", [PLAIN, *BLANK, *PARTLY, *SPACES, *MARKS, ["a。\x85", "b"], ["a", "-\x0cb"]]) == (0, 0)
+
+
+def test_parser_item_blocks_of_odd_lines(differences):
+    assert differences("parser_item_blocks", [PLAIN, *BLANK, *PARTLY, *SPACES, *MARKS]) == (0, 0)
